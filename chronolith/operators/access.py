@@ -36,7 +36,7 @@ def visible(g: Graph, clauses: Sequence[Sequence[str]]) -> Graph:
 def reader_list(col: Column | str) -> Column:
     """``;``-separated text as a sorted list without repeats and blanks; null and empty give an empty list."""
     c = F.col(col) if isinstance(col, str) else col
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 

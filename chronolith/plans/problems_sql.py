@@ -43,9 +43,9 @@ def _known(t: str, attr: str) -> str:
 def _ms(c: str) -> str:
     t = f"upper(trim({c}))"
     return f"""CASE WHEN regexp_full_match({t}, '[+-]?[0-9]{{1,18}}') THEN CAST({t} AS BIGINT)
-      WHEN regexp_full_match({t}, '\\d{{4}}-\\d\\d-\\d\\d') THEN epoch_ms(CAST({t} AS TIMESTAMP))
-      WHEN regexp_full_match({t}, '\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d(:\\d\\d([.]\\d+)?)?') THEN epoch_ms(CAST({t} AS TIMESTAMP))
-      WHEN regexp_full_match({t}, '\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d(:\\d\\d([.]\\d+)?)?(Z|[+-]\\d\\d:\\d\\d)') THEN epoch_ms(CAST({t} AS TIMESTAMPTZ)) END"""
+      WHEN regexp_full_match({t}, '\\d{{4}}-\\d\\d-\\d\\d') THEN epoch_ms(TRY_CAST({t} AS TIMESTAMP))
+      WHEN regexp_full_match({t}, '\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d(:\\d\\d([.]\\d+)?)?') THEN epoch_ms(TRY_CAST({t} AS TIMESTAMP))
+      WHEN regexp_full_match({t}, '\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d(:\\d\\d([.]\\d+)?)?(Z|[+-]\\d\\d:\\d\\d)') THEN epoch_ms(TRY_CAST({t} AS TIMESTAMPTZ)) END"""
 
 
 _REPORTS = f"""r AS (SELECT seq, coalesce(source, '') AS source, work_order, t0, ended, reported, t0 - ((t0 - 345600000) % 604800000 + 604800000) % 604800000 AS ps FROM (
