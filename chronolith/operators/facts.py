@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.errors import EngineError
+from chronolith.operators.prefix import successor
 
 MAX_CHANGES, MAX_RANGE = 100_000, 1000
 
@@ -32,9 +33,13 @@ def head_at(heads: DataFrame, branch: Sequence[str], at: int) -> DataFrame:
 
 
 def versions(log: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Liveness of each version: ``[from_seq, until_seq)`` (until null = still in force)."""
-    w = Window.partitionBy(*key).orderBy("seq", "position")
-    return log.withColumn("until_seq", F.lead("seq").over(w)).withColumnRenamed("seq", "from_seq").where(op() != "retract")
+    """Liveness of each version: ``[from_seq, until_seq)`` (until null = still in force).
+
+    Revision and position make one order number (positions below 2**32), whose
+    successor is found block by block, so a fact with very many versions is no hot task."""
+    at = F.shiftleft(F.col("seq").cast("long"), 32) + F.col("position")
+    told = successor(log.withColumn("_at", at), key, "_at", "_next", block=2**38)
+    return told.withColumn("until_seq", F.shiftright("_next", 32)).drop("_at", "_next").withColumnRenamed("seq", "from_seq").where(op() != "retract")
 
 
 def recorded_range(heads: DataFrame, start: int, end: int, limit: int = MAX_RANGE) -> DataFrame:

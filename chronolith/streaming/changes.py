@@ -32,7 +32,7 @@ def file_stream(spark: SparkSession, path: str, max_bytes: str | None = None) ->
     return reader.option("pathGlobFilter", at.getName()).parquet(path.rpartition("/")[0])
 
 
-def apply_changes(stream: DataFrame, keys: Sequence[str], order: Sequence[str], removed: Column, payload: Sequence[str], path: str | None = None, rocksdb: bool = False) -> DataFrame:
+def apply_changes(stream: DataFrame, keys: Sequence[str], order: Sequence[str], removed: Column, payload: Sequence[str], path: str | None = None, rocksdb: bool = True) -> DataFrame:
     """Run the stream to its present end; the newest state of each key: (keys, order, removed, payload).
 
     A change is newer if ``order`` is greater; equal orders are settled by
@@ -50,8 +50,11 @@ def apply_changes(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     def upsert(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    if rocksdb:
+    if rocksdb:  # state beyond the heap, with bounded native memory, and small incremental checkpoints
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "384")
     query = state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(upsert).trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.schema(state.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
