@@ -7,9 +7,9 @@ enough English words, few figures and no other language remains as prose.
 Scale: document d has a level t_d, word w a difficulty b_w on the same axis,
 and w occurs in d with log-odds  a_w - (t_d - b_w)^2 / 2:  a word is most at
 home in documents of its own difficulty.  Alternating optimisation: given the
-levels, a difficulty is the mean level of the documents with the word; given
-the difficulties, a level is the mean difficulty of a document's words; levels
-are standardised each round to fix the axis.  A round is one pass over the
+levels, a difficulty is the mean level over the word's occurrences; given the
+difficulties, a level is the mean difficulty over a document's occurrences;
+levels are standardised each round to fix the axis.  A round is one pass over the
 documents; the word parameters are all that travels.  Their number is bounded:
 a word is in the model if it occurs in at least ``min_df`` of the documents, so
 there are at most (mean distinct words a document) / min_df of them.
@@ -37,6 +37,8 @@ _DE = frozenset(b"die der das und ist nicht ein eine im am den dem mit weil blei
 _ES = frozenset(b"la el de y en que los las una un por con del al nadie aunque se es cerca sin".split())
 #: A line is boilerplate if it stands on pages of at least this share of all contexts (and at least 5).
 LINE_SHARE = 0.002
+#: Words in a stretch; a page is as hard as the middle one of its stretches.
+STRETCH = 15
 MIN_WORDS, MIN_ENGLISH, MAX_FIGURES = 40, 0.015, 0.3
 
 
@@ -91,7 +93,9 @@ def main_words(text: str | None, boiler: set[int]) -> list[bytes] | None:
 
 
 def prose(documents: DataFrame, boiler: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, types, start): the distinct words (hashes) of each page of English prose and its mean word length."""
+    """(doc_id, occurrences, start): all words (hashes, in order) of each page of English prose and its mean word length.
+
+    Occurrences, not kinds of words, are kept: a quotation weighs by its length."""
     shared = documents.sparkSession.sparkContext.broadcast(boiler)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,20 +107,20 @@ def prose(documents: DataFrame, boiler: np.ndarray, doc_id: str = "doc_id", text
                 w = main_words(t, lines)
                 if w is None or i is None:
                     continue
-                kinds = {x for x in w if len(x) > 1}
+                w = [x for x in w if len(x) > 1]
                 if len(known) > 200_000:
                     known.clear()
                 ids.append(i)
-                types.append([known[x] if x in known else known.setdefault(x, _hash(x)) for x in kinds])
-                start.append(sum(map(len, kinds)) / max(1, len(kinds)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(types, pa.list_(pa.int64())), pa.array(start, pa.float64())], names=["doc_id", "types", "start"])
+                types.append([known[x] if x in known else known.setdefault(x, _hash(x)) for x in w])
+                start.append(sum(map(len, w)) / max(1, len(w)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(types, pa.list_(pa.int64())), pa.array(start, pa.float64())], names=["doc_id", "occurrences", "start"])
 
-    return documents.select(doc_id, text).mapInArrow(read, "doc_id long, types array<long>, start double")
+    return documents.select(doc_id, text).mapInArrow(read, "doc_id long, occurrences array<long>, start double")
 
 
 def _levels(batch: pa.RecordBatch, vocab: np.ndarray, difficulty: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Level of each document of a batch, and the (document, word) pairs it holds."""
-    col = batch.column(batch.schema.get_field_index("types"))
+    col = batch.column(batch.schema.get_field_index("occurrences"))
     flat, off = col.flatten().to_numpy(zero_copy_only=False), np.asarray(col.offsets)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     at = np.searchsorted(vocab, flat)
@@ -133,7 +137,7 @@ def fit(pages: DataFrame, min_df: float = 0.0005, rounds: int = 20, tolerance: f
     """Word hashes (sorted) and their difficulties, by alternating optimisation over all pages."""
     spark = pages.sparkSession
     n = pages.count()
-    df = pages.select(F.explode("types").alias("w")).groupBy("w").count().where(F.col("count") >= max(3, min_df * n)).select("w").toArrow()
+    df = pages.select(F.explode(F.array_distinct("occurrences")).alias("w")).groupBy("w").count().where(F.col("count") >= max(3, min_df * n)).select("w").toArrow()
     vocab = np.sort(df.column(0).to_numpy().astype(np.int64)) if n else np.zeros(0, np.int64)
     difficulty: np.ndarray | None = None
     if not len(vocab):
@@ -153,7 +157,7 @@ def fit(pages: DataFrame, min_df: float = 0.0005, rounds: int = 20, tolerance: f
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((some, [-1, -2, -3]))), pa.array(np.concatenate((total[some], moments))), pa.array(np.concatenate((count[some], [0, 0, 0])))], names=["w", "s", "n"])
 
-        got = pages.select("types", "start").mapInArrow(half, "w long, s double, n long").groupBy("w").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toArrow()
+        got = pages.select("occurrences", "start").mapInArrow(half, "w long, s double, n long").groupBy("w").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toArrow()
         w, s, c = (got.column(k).to_numpy() for k in range(3))
         stat = {int(k): x for k, x in zip(w[w < 0], s[w < 0])}
         mean = stat[-2] / stat[-1]
@@ -169,16 +173,25 @@ def fit(pages: DataFrame, min_df: float = 0.0005, rounds: int = 20, tolerance: f
 
 
 def levels(pages: DataFrame, vocab: np.ndarray, difficulty: np.ndarray) -> DataFrame:
-    """(doc_id, level) of every page."""
+    """(doc_id, level) of every page: the median over its stretches of STRETCH words of their mean difficulty.
+
+    While fitting, a level is the mean over the page; for rating, the median
+    keeps a long quotation, or a few sentences of another kind, from moving it.
+    """
     shared = pages.sparkSession.sparkContext.broadcast((vocab, difficulty))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, b = shared.value
         for batch in batches:
-            level, _, _ = _levels(batch, v, b) if batch.num_rows else (np.zeros(0), None, None)
+            level, doc, at = _levels(batch, v, b) if batch.num_rows else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+            if len(v):
+                run = np.concatenate(([0.0], np.cumsum(b[at])))
+                for d, (lo, hi) in enumerate(zip(np.searchsorted(doc, np.arange(len(level)), "left"), np.searchsorted(doc, np.arange(len(level)), "right"))):
+                    if hi - lo >= 2 * STRETCH:
+                        level[d] = np.median(run[lo + STRETCH : hi + 1] - run[lo : hi + 1 - STRETCH]) / STRETCH
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level, pa.float64())], names=["doc_id", "level"])
 
-    return pages.select("doc_id", "types", "start").mapInArrow(rate, "doc_id long, level double")
+    return pages.select("doc_id", "occurrences", "start").mapInArrow(rate, "doc_id long, level double")
 
 
 def cuts(rated: DataFrame, graded: DataFrame) -> tuple[bool, list[tuple[float, str]]]:
