@@ -21,6 +21,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         ("spark.sql.adaptive.enabled", "true"),
         ("spark.sql.adaptive.skewJoin.enabled", "true"),
         ("spark.sql.adaptive.coalescePartitions.enabled", "true"),
+        # texts can be long: a batch sent to Python stays small in rows and bytes
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)),
     ):
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
