@@ -192,6 +192,8 @@ SQL = {
     "explain_paths": f"""WITH {_STAR}, p AS (SELECT DISTINCT l.src || '>' || r.dst AS c, l.id AS a, r.id AS b FROM e l JOIN e r ON l.dst = r.src WHERE l.predicate = 'placed_by' AND r.predicate = 'in_nation'), d AS (SELECT *, c || '/d' || (row_number() OVER (PARTITION BY c ORDER BY a, b) - 1) AS did FROM p)
       SELECT c AS src, did AS dst, 'alternative' AS predicate FROM d UNION ALL SELECT did, did || '/p0', 'joint_premise' FROM d UNION ALL SELECT did, did || '/p1', 'joint_premise' FROM d""",
     "provenance_union": "SELECT serial, array_to_string(list_sort(list_distinct(list(source))), ';') AS sources FROM (SELECT coalesce(source, '') AS source, m.serial AS serial FROM (SELECT source, unnest(tables.maintenance) AS m FROM updates)) WHERE serial IS NOT NULL GROUP BY serial",
+    "carrier_algebra": """SELECT p_partkey, array_to_string(list_transform(list_sort([list_sort([s, b]), list_sort([s, t])]), lambda x: array_to_string(x, '+')), '|') AS "both",
+      array_to_string(list_sort([s, b]), '|') AS either FROM (SELECT p_partkey, p_brand AS b, p_type AS t, CAST(p_size AS VARCHAR) AS s FROM part)""",
     "group_closure": "SELECT 'customer:' || c_custkey AS member, 'nation:' || c_nationkey AS \"group\" FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'region:' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, 'region:' || n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey",
     "parse_times": f"SELECT DISTINCT seq, reported_at, {_ms('reported_at')} AS ms FROM updates",
     "reader_lists": f"SELECT DISTINCT install_id, array_to_string({_READ}, ',') AS who FROM part_installs",
