@@ -25,6 +25,8 @@ from chronolith.llm.words import spellings, words
 
 #: Depth in words to which suffixes are sorted.  Longer matches are followed in the text itself.
 DEPTH = 8
+#: Places of seeds in a shard that are aligned at a time.
+HITS = 1_000_000
 FOUND = "item_id long, doc_id long, run_words int, item_words int"
 
 
@@ -40,9 +42,12 @@ class Items:
                 for m in more:
                     vocab.setdefault(m, vocab[base])
         self.vocab = vocab
-        kept = [(i, np.array(w, np.int32)) for i, w, _ in texts if w]
-        self.ids = np.array([i for i, _ in kept], np.int64)
-        self.words = [w for _, w in kept]
+        copies: dict[tuple[int, ...], list[int]] = {}  # items of one wording are searched once
+        for i, w, _ in texts:
+            if w:
+                copies.setdefault(tuple(w), []).append(i)
+        self.ids = list(copies.values())
+        self.words = [np.array(w, np.int32) for w in copies]
         self.least = np.array([max(1, int(np.ceil(share * len(w) - 1e-9))) for w in self.words], np.int64)
         # seeds: windows of `seed` words (of the whole least run where that is shorter, all of one length per search)
         self.by_len: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -50,11 +55,16 @@ class Items:
             at = [(x, p) for x, w in enumerate(self.words) if min(seed, self.least[x]) == k for p in range(len(w) - k + 1)]
             item, pos = np.array([a[0] for a in at], np.int64), np.array([a[1] for a in at], np.int64)
             keys = _keys([self.words[x][p : p + k] for x, p in at], k)
-            # windows that many items share are stock phrases: they count in an alignment but start none
+            # windows that many items share are stock phrases: they count in an alignment but start none, in items that
+            # any carried run can be found in without them; all other items are looked up by all their windows
             _, inv = np.unique(keys, return_inverse=True)
             pairs = np.unique(inv.astype(np.int64) * (len(self.words) + 1) + item)
             n = np.bincount(pairs // (len(self.words) + 1))
             own = n[inv] <= max(3, int(stock * len(self.words)))
+            ends = np.searchsorted(item, np.arange(len(self.words) + 1))
+            for x in np.unique(item[~own]):
+                part = slice(ends[x], ends[x + 1])
+                own[part] |= not _enough(own[part], k, int(self.least[x]), slack)
             order = np.argsort(keys[own], kind="stable")
             self.by_len[k] = (keys[own][order], item[own][order], pos[own][order])
         # a run of L words with e edits still has L - k + 1 - k e intact windows of k words
@@ -66,6 +76,15 @@ class Items:
         return [get(w, 0) for w in words(text)]
 
 
+def _enough(own: np.ndarray, k: int, least: int, slack: float) -> bool:
+    """Whether every run of ``least`` words or more keeps one of its own windows of k words, wherever its edits fall."""
+    upto, n = np.concatenate(([0], np.cumsum(own))), len(own) + k - 1
+    edits = [int(slack * L + 1e-9) for L in range(least, n + 1)]
+    # of the runs with equally many edits allowed, the shortest hold the fewest windows
+    shortest = [least + j for j, e in enumerate(edits) if j == 0 or e > edits[j - 1]]
+    return all((upto[L - k + 1 :] - upto[: len(upto) - (L - k + 1)]).min() > k * edits[L - least] for L in shortest)
+
+
 def _keys(rows: list[np.ndarray], depth: int) -> np.ndarray:
     m = np.zeros((len(rows), depth), ">u4")
     for i, r in enumerate(rows):
@@ -211,24 +230,28 @@ def leaked(documents: DataFrame, rows: list[tuple[int, str | None]], doc_id: str
     return documents.select(doc_id, text).mapInArrow(search, FOUND)
 
 
+def _pairs(shard: Shard, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+    """Places found, (item, text, place in item, place in text), a group for each item and text."""
+    row, member = _spread(lo, hi)
+    place = shard.suffixes[member]
+    doc = np.searchsorted(shard.starts, place, "right") - 1
+    h = np.stack([item[row], doc, pos[row], place - shard.starts[doc]])
+    h = h[:, np.lexsort((h[2], h[1], h[0]))]
+    cut = np.flatnonzero((np.diff(h[0]) != 0) | (np.diff(h[1]) != 0)) + 1
+    return np.split(h, cut, axis=1) if h.shape[1] else []
+
+
 def _matches(it: Items, ids: list[int], texts: list[list[int]]) -> pa.RecordBatch:
     out: list[tuple[int, int, int, int]] = []
     if it.by_len:
         shard = Shard(texts, min(it.by_len))
-        hits = []
-        for k, (keys, item, pos) in it.by_len.items():
-            lo, hi = shard.find(keys, k)
-            row, member = _spread(lo, hi)
-            place = shard.suffixes[member]
-            doc = np.searchsorted(shard.starts, place, "right") - 1
-            hits.append(np.stack([item[row], doc, pos[row], place - shard.starts[doc]]))
-        h = np.concatenate(hits, axis=1)
-        order = np.lexsort((h[2], h[1], h[0]))
-        h = h[:, order]
-        cut = np.flatnonzero((np.diff(h[0]) != 0) | (np.diff(h[1]) != 0)) + 1 if h.shape[1] else np.array([], int)
+        found = [(*shard.find(keys, k), item, pos) for k, (keys, item, pos) in it.by_len.items()]
+        lo, hi, item, pos = (np.concatenate(c) for c in zip(*found))
+        # items go in blocks of about HITS places, so that phrases on many pages don't fill the memory
+        block = np.cumsum(np.bincount(item, hi - lo, len(it.words))) // HITS
         flat64 = shard.flat.astype(np.uint64)
         rolled = {k: _rolling(flat64, k) for k in it.by_len}
-        for group in np.split(h, cut, axis=1) if h.shape[1] else []:
+        for group in (g for b in np.unique(block) for g in _pairs(shard, *(c[block[item] == b] for c in (lo, hi, item, pos)))):
             x, d = int(group[0, 0]), int(group[1, 0])
             w, least = it.words[x], int(it.least[x])
             at = shard.starts[d]
@@ -236,7 +259,7 @@ def _matches(it: Items, ids: list[int], texts: list[list[int]]) -> pa.RecordBatc
                 continue
             run = longest_run(w, shard.flat[at : at + len(texts[d])].astype(np.int32), least, it.slack, np.unique(group[3] - group[2]))
             if run >= least:
-                out.append((int(it.ids[x]), ids[d], run, len(w)))
+                out.extend((i, ids[d], run, len(w)) for i in it.ids[x])
     cols = list(zip(*out)) if out else [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["item_id", "doc_id", "run_words", "item_words"])
 

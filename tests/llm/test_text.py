@@ -72,6 +72,22 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked(df.limit(0), [(1, "a b c")]).count() == 0 and leaks.leaked(df, []).count() == 0
 
 
+def test_a_passage_shared_by_many_items_is_found(spark):
+    rnd = random.Random(8)
+    text = lambda n: [rnd.choice(VOCAB) for _ in range(n)]
+    passage = text(24)
+    shared = [(i, passage + text(10 + i)) for i in range(20)]
+    copied = [(100 + i, passage[::-1] + ["end"]) for i in range(5)]
+    other = [(200 + i, text(30)) for i in range(15)]
+    items = [*shared, *copied, *other]
+    edited = passage[:9] + ["zzz"] + passage[10:]
+    docs = [(1, text(40) + passage + text(9)), (2, passage[::-1]), (3, text(5) + edited), (4, shared[7][1]), (5, passage[:6] + text(30)), (6, text(80))]
+    want = {(i, d) for i, w in items for d, t in docs if brute_run(w, t, 0.1) >= np.ceil(0.4 * len(w) - 1e-9)}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    found = [(r["item_id"], r["doc_id"]) for r in leaks.leaked(df, [(i, " ".join(w)) for i, w in items]).collect()]
+    assert set(found) == want and len(found) == len(want) and {(0, 1), (19, 1), (104, 2), (7, 4)} <= want
+
+
 def test_leak_in_a_very_long_text_and_a_short_item(spark):
     long = " ".join(random.Random(1).choice(VOCAB) for _ in range(200_000))
     item = "one two three four five six seven eight nine ten eleven twelve"
