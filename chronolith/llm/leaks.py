@@ -27,7 +27,10 @@ from chronolith.llm.words import spellings, words
 DEPTH = 8
 #: Places of seeds in a shard that are aligned at a time.
 HITS = 1_000_000
-FOUND = "item_id long, doc_id long, run_words int, item_words int"
+#: Beginnings of runs that are followed at a time.
+STARTS = 4096
+PLACES = ["run_words", "item_words", "run_item_at", "run_page_at", "verbatim_words", "verbatim_item_at", "verbatim_page_at"]
+FOUND = "item_id long, doc_id long, " + ", ".join(f"{c} int" for c in PLACES)
 
 
 class Items:
@@ -141,65 +144,83 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def longest_run(item: np.ndarray, doc: np.ndarray, least: int, slack: float, diagonals: np.ndarray) -> int:
-    """Words of the longest run of ``item`` in ``doc`` with at most ``slack`` of its words changed, added or left out.
+def longest_run(item: np.ndarray, doc: np.ndarray, least: int, slack: float, diagonals: np.ndarray) -> tuple[int, int, int] | None:
+    """The longest run of ``item`` in ``doc`` with at most ``slack`` of its words changed, added or left out.
 
-    Pieces of verbatim match near the given diagonals (doc place - item place)
-    are chained; a chain from piece i to piece j is a run, and its cost is the
-    least number of edits in the gaps between.
+    Gives its words, place in the item and place in the text; None if it is
+    shorter than ``least``.  A run begins and ends with a word that stands in
+    both, so it begins where a piece of verbatim match does.  All beginnings near
+    the given diagonals (text place - item place) are followed word by word
+    together, each with the edit distances of the diagonals in its reach; those
+    beyond the edits allowed are dropped.  Of equally long runs the one with
+    the fewest edits counts, then the first in the item, then in the text.
     """
     n = len(item)
-    reach = int(slack * n) + 1
-    lines = sorted({int(d) + e for d in diagonals for e in range(-reach, reach + 1)})
-    pieces = []
-    for d in lines:
-        a0, a1 = max(0, -d), min(n, len(doc) - d)
-        if a1 <= a0:
-            continue
-        same = np.concatenate(([0], (item[a0:a1] == doc[a0 + d : a1 + d]).astype(np.int8), [0]))
-        edge = np.diff(same)
-        for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-            pieces.append((a0 + int(s), int(e - s), d))
-    best = max((x[1] for x in pieces), default=0)
-    if best >= least or len(pieces) < 2:
-        return best
-    pieces.sort()
-    m = len(pieces)
-    for i in range(m):
-        a, la, da = pieces[i]
-        if n - a < max(least, best + 1):
-            break
-        cost = {i: 0}
-        allowed = int(slack * (n - a))
-        for j in range(i + 1, m):
-            b, lb, db = pieces[j]
-            low = None
-            for p, c in cost.items():
-                s, l, d = pieces[p]
-                skip_item, skip_doc = b - (s + l), (b + db) - (s + l + d)
-                trim = max(0, -skip_item, -skip_doc)
-                if trim >= lb:
-                    continue
-                step = c + max(skip_item, skip_doc) + trim
-                if step <= allowed and (low is None or step < low):
-                    low = step
-            if low is not None:
-                cost[j] = low
-                run = b + lb - a
-                if run > best and low <= slack * run + 1e-9:
-                    best = run
-        if best >= least:
-            return best
+    reach = int(slack * n + 1e-9) + 1
+    lines = np.unique((np.unique(diagonals)[:, None] + np.arange(-reach, reach + 1)).ravel())
+    pad = n + 2 * reach + 1
+    text = np.concatenate((np.full(pad, -1, np.int64), doc, np.full(pad, -1, np.int64)))
+    lines = lines[(lines > -n) & (lines < len(doc))]
+    w = np.arange(2 * reach + 1)
+    best: tuple[int, int, int, int] | None = None
+    for c in range(0, len(lines), STARTS):
+        some = lines[c : c + STARTS]
+        same = text[some[:, None] + np.arange(n) + pad] == item
+        row, a = np.nonzero(same & ~np.concatenate((np.zeros((len(some), 1), bool), same[:, :-1]), axis=1))
+        d = some[row]
+        ok = n - a >= least
+        a, d = a[ok], d[ok]
+        for k in range(0, len(a), STARTS):
+            found = _followed(item, text, pad, a[k : k + STARTS], d[k : k + STARTS], w - reach, least, slack)
+            best = max((x for x in (best, found) if x), default=None)
+    return (best[0], -best[2], -best[3]) if best else None
+
+
+def _followed(item: np.ndarray, text: np.ndarray, pad: int, a: np.ndarray, d: np.ndarray, off: np.ndarray, least: int, slack: float) -> tuple[int, int, int, int] | None:
+    """The longest run from the beginnings (place a in the item, diagonal d): words, and negated edits and places."""
+    n, far, cols = len(item), 1 << 20, np.arange(len(off))
+    best = None
+    cost = np.broadcast_to(np.where(off >= 0, off, far), (len(a), len(off))).astype(np.int64)
+    for t in range(n):
+        if t:
+            on = (a + t < n) & (cost.min(axis=1) <= slack * (n - a) + 1e-9)
+            a, d, cost = a[on], d[on], cost[on]
+            if not len(a):
+                break
+        same = text[(a + t + d + pad)[:, None] + off] == item[a + t][:, None]
+        if t:
+            left_out = np.concatenate((cost[:, 1:], np.full((len(a), 1), far)), axis=1) + 1
+            cost = np.minimum(cost + ~same, left_out)
+            cost = np.minimum.accumulate(cost - cols, axis=1) + cols  # words added in the text
+        else:
+            same = same & (off == 0)
+        if t + 1 >= least:
+            ends = np.where(same, cost, far).min(axis=1)
+            i = np.lexsort((a + d, a, ends))[0]
+            if ends[i] <= slack * (t + 1) + 1e-9:
+                best = (t + 1, -int(ends[i]), -int(a[i]), -int(a[i] + d[i]))
+    return best
+
+
+def longest_verbatim(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
+    """Words of the longest verbatim match anywhere, its place in the item and in the text; the first of equals."""
+    best, run = (0, 0, 0), np.zeros(len(doc) + 1, np.int64)
+    for i, x in enumerate(item):
+        run[1:] = np.where(doc == x, run[:-1] + 1, 0)
+        j = int(run.argmax())
+        if run[j] > best[0]:
+            best = (int(run[j]), i + 1 - int(run[j]), j - int(run[j]))
     return best
 
 
 def leaked(documents: DataFrame, rows: list[tuple[int, str | None]], doc_id: str = "doc_id", text: str = "text", share: float = 0.4, slack: float = 0.1, shard_chars: int = 16_000_000, max_item_words: int = 5_000_000) -> DataFrame:
-    """Rows (item_id, doc_id, run_words, item_words): documents that carry an item.
+    """Rows (item_id, doc_id, and PLACES): documents that carry an item, how much of it and where.
 
     An item is carried if a run of at least ``share`` of its words stands in the
     text in order, with at most ``slack`` of the run's words changed, added or
-    left out.  ``run_words`` is the length of a run found (not always the
-    longest once enough is found).  Whole texts are read.  Null and empty texts
+    left out.  ``run_words`` is the length of the longest such run,
+    ``verbatim_words`` that of the longest verbatim match; ``*_item_at`` and
+    ``*_page_at`` are where they begin, in words() from 0.  Whole texts are read.  Null and empty texts
     carry nothing; items without words are never found; a document given twice
     is found twice.  Shards are cut off at ``shard_chars`` characters to bound
     memory, between documents, so nothing is lost.
@@ -242,7 +263,7 @@ def _pairs(shard: Shard, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, pos:
 
 
 def _matches(it: Items, ids: list[int], texts: list[list[int]]) -> pa.RecordBatch:
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, ...]] = []
     if it.by_len:
         shard = Shard(texts, min(it.by_len))
         found = [(*shard.find(keys, k), item, pos) for k, (keys, item, pos) in it.by_len.items()]
@@ -257,11 +278,13 @@ def _matches(it: Items, ids: list[int], texts: list[list[int]]) -> pa.RecordBatc
             at = shard.starts[d]
             if it.intact[x] > 1 and np.isin(it.windows[x], rolled[int(min(it.seed, least))][at : at + len(texts[d])]).sum() < it.intact[x]:
                 continue
-            run = longest_run(w, shard.flat[at : at + len(texts[d])].astype(np.int32), least, it.slack, np.unique(group[3] - group[2]))
-            if run >= least:
-                out.extend((i, ids[d], run, len(w)) for i in it.ids[x])
-    cols = list(zip(*out)) if out else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["item_id", "doc_id", "run_words", "item_words"])
+            doc = shard.flat[at : at + len(texts[d])].astype(np.int64)
+            run = longest_run(w, doc, least, it.slack, group[3] - group[2])
+            if run:
+                places = (run[0], len(w), *run[1:], *longest_verbatim(w, doc))
+                out.extend((i, ids[d], *places) for i in it.ids[x])
+    cols = list(zip(*out)) if out else [[]] * (2 + len(PLACES))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], names=["item_id", "doc_id", *PLACES])
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -88,6 +88,60 @@ def test_a_passage_shared_by_many_items_is_found(spark):
     assert set(found) == want and len(found) == len(want) and {(0, 1), (19, 1), (104, 2), (7, 4)} <= want
 
 
+def edits(x, y):
+    """Plain edit distance."""
+    row = list(range(len(y) + 1))
+    for i, p in enumerate(x):
+        new = [i + 1]
+        for j, q in enumerate(y):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (p != q)))
+        row = new
+    return row[-1]
+
+
+def whole_run(item, doc, least, slack):
+    """As brute_run, for runs of ``least`` words or more, also with words added next to the first; by plain edit distances of all pairs of stretches."""
+    for n in range(len(item), least - 1, -1):
+        e = int(slack * n + 1e-9)
+        for a in range(len(item) - n + 1):
+            x = item[a : a + n]
+            for s in (s for s in range(len(doc)) if doc[s] == x[0]):
+                if any(doc[z - 1] == x[-1] and edits(x, doc[s:z]) <= e for z in range(max(s + 1, s + n - e), min(len(doc), s + n + e) + 1)):
+                    return n
+    return 0
+
+
+def test_longest_run_and_verbatim_match_against_brute_force():
+    rnd = random.Random(12)
+    longer = 0
+    for case in range(100):
+        item = [rnd.randrange(1, 60 if case % 3 else 12) for _ in range(rnd.randrange(10, 45))]
+        quote = list(item)
+        for _ in range(rnd.randrange(0, 6)):
+            at = rnd.randrange(len(quote))
+            quote[at : at + 1] = rnd.choice([[], [0], [quote[at], 0], [0, 0]])
+        doc = [rnd.randrange(0, 60) for _ in range(rnd.randrange(0, 12))] + quote + [rnd.randrange(0, 60) for _ in range(5)]
+        least, a, b = int(np.ceil(0.4 * len(item))), np.array(item), np.array(doc)
+        hits = [j - i for i in range(len(item) - 2) for j in range(len(doc) - 2) if item[i : i + 3] == doc[j : j + 3]]
+        got = leaks.longest_run(a, b, least, 0.1, np.array(hits, int))
+        assert (got[0] if got else 0) == whole_run(item, doc, least, 0.1), case
+        n, i, j = leaks.longest_verbatim(a, b)
+        assert item[i : i + n] == doc[j : j + n] and not any(item[x : x + n + 1] == doc[y : y + n + 1] for x in range(len(item) - n) for y in range(len(doc) - n))
+        if got:
+            run, i, j = got
+            assert item[i] == doc[j] and whole_run(item[i : i + run], doc[j:], run, 0.1) == run
+            longer += run > n >= least
+    assert longer > 20
+
+
+def test_whole_run_is_told_with_its_places(spark):
+    item = [f"w{i}" for i in range(50)]
+    page = ["x"] * 7 + item[:30] + ["y"] + item[31:] + ["x"] * 3
+    df = spark.createDataFrame([(1, " ".join(page))], "doc_id long, text string")
+    r = leaks.leaked(df, [(3, " ".join(item))]).first().asDict()
+    assert r == {"item_id": 3, "doc_id": 1, "run_words": 50, "item_words": 50, "run_item_at": 0, "run_page_at": 7, "verbatim_words": 30, "verbatim_item_at": 0, "verbatim_page_at": 7}
+
+
 def test_leak_in_a_very_long_text_and_a_short_item(spark):
     long = " ".join(random.Random(1).choice(VOCAB) for _ in range(200_000))
     item = "one two three four five six seven eight nine ten eleven twelve"
