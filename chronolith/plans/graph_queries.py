@@ -449,6 +449,11 @@ def change_feed(spark: SparkSession, d: str) -> DataFrame:
     return first.withColumn("page", F.lit(1)).unionAll(second.withColumn("page", F.lit(2)))
 
 
+def change_feed_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The feed pulled from its first revision to its end: which page gave each revision."""
+    return feed.pages(heads(spark, d).groupBy("seq").agg(F.count(F.lit(1)).alias("n_heads"))).select("seq", "n_heads", "page")
+
+
 def view_membership(spark: SparkSession, d: str) -> DataFrame:
     """A live selection kept up to date from the changed edges only, as a change set."""
     g = fleet(spark, d)
@@ -500,5 +505,5 @@ QUERIES = {f.__name__: f for f in (
     window_attachments, series_overlap, units_running_with_sensor, _expand("out", "order:1", None), _expand("in", "nation:3"), _expand("both", "customer:1"), expand_nearest, degree, weak_components, strong_components,
     shortest_paths, pagerank_fixed10, _nearest("cosine_distance"), _nearest("euclidean"), nearest_candidates, knn_search, similar_candidates, geometry_distance, geometry_transform, geometry_axes,
     reason_transitive, reason_signed, cluster_matching, cluster_levels, aggregate_links, lineage_overlap, release_min_k, describe_schema, explain_paths, provenance_union, carrier_algebra, group_closure,
-    parse_times, reader_lists, exact_decimals, row_mapping, change_feed, view_membership, windows_tumbling, windows_session, rollup_orders, set_operations, fact_store_round_trip,
+    parse_times, reader_lists, exact_decimals, row_mapping, change_feed, change_feed_whole, view_membership, windows_tumbling, windows_session, rollup_orders, set_operations, fact_store_round_trip,
 )}

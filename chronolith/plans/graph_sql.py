@@ -200,6 +200,7 @@ SQL = {
     "exact_decimals": f"SELECT l_orderkey, l_linenumber, CAST({_DIGIT.format('l_extendedprice')} + {_DIGIT.format('l_quantity')} AS DOUBLE) AS plus, CAST({_DIGIT.format('l_extendedprice')} - {_DIGIT.format('l_quantity')} AS DOUBLE) AS minus, CAST({_DIGIT.format('l_extendedprice')} * {_DIGIT.format('l_discount')} AS DOUBLE) AS times, CAST({_DIGIT.format('l_extendedprice')} AS DOUBLE) / 8 AS eighth FROM lineitem",
     "row_mapping": "SELECT DISTINCT 'hw:performed_on:' || work_order AS id, work_order AS src, serial AS dst, 'hw:performed_on' AS predicate FROM maintenance WHERE serial IS NOT NULL UNION SELECT 'hw:performed_by:' || work_order, work_order, performed_by, 'hw:performed_by' FROM maintenance WHERE performed_by IS NOT NULL",
     "change_feed": f"WITH {_LOG} SELECT seq, count(*) AS n_heads, CASE WHEN dense_rank() OVER (ORDER BY seq) <= 10 THEN 1 ELSE 2 END AS page FROM hd WHERE seq > 0 GROUP BY seq QUALIFY dense_rank() OVER (ORDER BY seq) <= 20",
+    "change_feed_whole": f"WITH {_LOG} SELECT seq, count(*) AS n_heads, (dense_rank() OVER (ORDER BY seq) - 1) // 1000 + 1 AS page FROM hd GROUP BY seq",
     "view_membership": f"WITH {_FLEET}, a AS (SELECT id FROM e WHERE predicate = 'runs' AND {at('e', T1)}), b AS (SELECT id FROM a WHERE id NOT IN (SELECT id FROM e WHERE vs >= {T1}) UNION SELECT id FROM e WHERE vs >= {T1} AND predicate = 'runs' AND {at('e', T2)}) SELECT id, 'added' AS change FROM b WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT id, 'removed' FROM a WHERE id NOT IN (SELECT id FROM b)",
     "windows_tumbling": "SELECT epoch_ms(date_trunc('day', ts)) AS window_ms, event_type, count(*) AS n FROM events GROUP BY ALL",
     "windows_session": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM s GROUP BY user_id, k",

@@ -8,14 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.operators.algebra import edge_filter
+from chronolith.operators.prefix import running_sums
 from chronolith.session import scratch
 
 
-def pull(log: DataFrame, cursor: int, limit: int = 1000) -> tuple[DataFrame, int]:
-    """Events after the cursor in order of seq, at most ``limit`` revisions, and the next cursor."""
-    seqs = [r[0] for r in log.where(F.col("seq") > cursor).select("seq").distinct().orderBy("seq").limit(limit).collect()]
+PAGE = 1000
+
+
+def pull(log: DataFrame, cursor: int | None, limit: int = PAGE) -> tuple[DataFrame, int | None]:
+    """Events after the cursor (None: from the first) in order of seq, at most ``limit`` revisions, and the next cursor."""
+    left = log.where(F.col("seq").isNotNull() if cursor is None else F.col("seq") > cursor)
+    seqs = [r[0] for r in left.select("seq").distinct().orderBy("seq").limit(limit).collect()]
     upto = seqs[-1] if seqs else cursor
-    return log.where((F.col("seq") > cursor) & (F.col("seq") <= upto)), upto
+    return left.where(F.col("seq") <= upto) if seqs else left.limit(0), upto
+
+
+def pages(log: DataFrame, limit: int = PAGE) -> DataFrame:
+    """All events with the ``page`` that gives them when the feed is pulled from the first to its end, in one pass."""
+    ranks = running_sums(log.where("seq IS NOT NULL").select(F.col("seq").cast("long").alias("seq"), F.lit(1).alias("_one")).distinct(), [], "seq", {"_rank": "_one"}, block=10_000)
+    return log.join(ranks.select("seq", (F.floor((F.col("_rank") - 1) / limit) + 1).alias("page")), "seq")
 
 
 def dispatch(stream: DataFrame, adapter: str, deliver: Callable[[DataFrame], DataFrame], path: str, attempts: int = 3) -> None:

@@ -289,3 +289,20 @@ def test_csv_source(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("serial,nope\nU1,1\n")
     with pytest.raises(EngineError, match="E_COLUMN"):
         read_csv(spark, str(tmp_path / "bad.csv"), ["serial"], "serial")
+
+
+def test_feed_is_read_to_its_end(spark):
+    from chronolith.streaming import feed
+
+    seqs = [*range(0, 37), *range(25_000, 25_040), 7, 7, None]
+    log = spark.createDataFrame([(s, i) for i, s in enumerate(seqs)], "seq long, n int")
+    want, cursor, page = set(), None, 0
+    while True:
+        got, cursor = feed.pull(log, cursor, 10)
+        rows = got.collect()
+        if not rows:
+            break
+        page += 1
+        want |= {(r["seq"], r["n"], page) for r in rows}
+    assert {s for s, _, _ in want} == {s for s in seqs if s is not None} and page == 8
+    assert {(r["seq"], r["n"], r["page"]) for r in feed.pages(log, 10).collect()} == want
