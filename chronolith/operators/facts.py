@@ -43,13 +43,20 @@ def versions(log: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def recorded_range(heads: DataFrame, start: int, end: int, limit: int = MAX_RANGE) -> DataFrame:
-    """Heads recorded in ``[start, end)``, with the one in force before as the start state; more than the limit is E_BUDGET."""
+    """Heads recorded in ``[start, end)``, without a start state; more than the limit is E_BUDGET."""
     got = heads.where((F.col("recorded_at_ms") >= start) & (F.col("recorded_at_ms") < end))
     if got.limit(limit + 1).count() > limit:
         raise EngineError("E_BUDGET", "recorded range")
     return got
 
 
+def recorded_history(heads: DataFrame, branch: Sequence[str], start: int, end: int, limit: int = MAX_RANGE) -> DataFrame:
+    """(branch, seq, recorded_at_ms, is_start): the heads of ``recorded_range`` and, marked as the start state, the
+    head of each branch in force before ``start`` (none: no row, the empty state).  The limit counts the range only."""
+    before = head_at(heads, branch, start - 1).select(*branch, F.col("head_seq").alias("seq"), F.col("head_ms").alias("recorded_at_ms"), F.lit(True).alias("is_start"))
+    return before.unionAll(recorded_range(heads, start, end, limit).select(*branch, "seq", "recorded_at_ms", F.lit(False)))
+
+
 def changes(before: DataFrame, after: DataFrame, key: Sequence[str], content: str = "content") -> DataFrame:
     """Net content difference of two states: (key, change, before, after), change in asserted, retracted, corrected.
 

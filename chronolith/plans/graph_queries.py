@@ -154,6 +154,11 @@ def recorded_range(spark: SparkSession, d: str) -> DataFrame:
     return facts.recorded_range(heads(spark, d), T1, T2, limit=10_000_000).select("graph_id", "branch_id", "line", "seq", "recorded_at_ms")
 
 
+def recorded_history(spark: SparkSession, d: str) -> DataFrame:
+    """The recorded range with the head of each branch that was in force when it began."""
+    return facts.recorded_history(heads(spark, d), ["graph_id", "branch_id"], T1, T2, limit=10_000_000)
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fact_log").select("line", "kind", "id", "op", "seq", "position", "body").distinct()
 
@@ -500,7 +505,7 @@ def fact_store_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     query_all, query_predicate, query_endpoint, query_valid_at, query_visible, query_visible_two_clauses, filter_endpoints, filter_keeps_timed, project_members, context_default, context_open,
-    counterparts_bridge, counterparts_entity, resolve_identity, support_verdict, assertion_join, union_origin, diff_membership, metadata_follow, as_of_events, changes_events, heads_as_of, recorded_range,
+    counterparts_bridge, counterparts_entity, resolve_identity, support_verdict, assertion_join, union_origin, diff_membership, metadata_follow, as_of_events, changes_events, heads_as_of, recorded_range, recorded_history,
     facts_at_revision, changes_revisions, fact_versions, reconcile_report, path_join, path_join_fleet, _sequence("before"), _sequence("meets"), _sequence("overlaps"), _sequence("within"), window_clip,
     window_attachments, series_overlap, units_running_with_sensor, _expand("out", "order:1", None), _expand("in", "nation:3"), _expand("both", "customer:1"), expand_nearest, degree, weak_components, strong_components,
     shortest_paths, pagerank_fixed10, _nearest("cosine_distance"), _nearest("euclidean"), nearest_candidates, knn_search, similar_candidates, geometry_distance, geometry_transform, geometry_axes,

@@ -151,6 +151,7 @@ SQL = {
     "changes_events": f"WITH {_EVENTS} {_changes('user_id', _events_at(0.5), _events_at(0.75), 'content')}",
     "heads_as_of": f"WITH {_LOG} SELECT graph_id, branch_id, arg_max(seq, (recorded_at_ms, seq)) AS head_seq, max(recorded_at_ms) AS head_ms FROM hd WHERE recorded_at_ms <= {T1} GROUP BY ALL",
     "recorded_range": f"WITH {_LOG} SELECT graph_id, branch_id, line, seq, recorded_at_ms FROM hd WHERE recorded_at_ms >= {T1} AND recorded_at_ms < {T2}",
+    "recorded_history": f"WITH {_LOG} SELECT graph_id, branch_id, arg_max(seq, (recorded_at_ms, seq)) AS seq, max(recorded_at_ms) AS recorded_at_ms, TRUE AS is_start FROM hd WHERE recorded_at_ms < {T1} GROUP BY graph_id, branch_id UNION ALL SELECT graph_id, branch_id, seq, recorded_at_ms, FALSE FROM hd WHERE recorded_at_ms >= {T1} AND recorded_at_ms < {T2}",
     "facts_at_revision": f"WITH {_LOG} SELECT * FROM {_rev(20)}",
     "changes_revisions": f"WITH {_LOG} {_changes('line, kind, id', _rev(20), _rev(40), 'body')}",
     "fact_versions": f"WITH {_LOG} SELECT line, kind, id, position, from_seq, until_seq FROM (SELECT line, kind, id, op, position, seq AS from_seq, lead(seq) OVER (PARTITION BY line, kind, id ORDER BY seq, position) AS until_seq FROM lg) WHERE op <> 'retract'",

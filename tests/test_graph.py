@@ -306,3 +306,9 @@ def test_feed_is_read_to_its_end(spark):
         want |= {(r["seq"], r["n"], page) for r in rows}
     assert {s for s, _, _ in want} == {s for s in seqs if s is not None} and page == 8
     assert {(r["seq"], r["n"], r["page"]) for r in feed.pages(log, 10).collect()} == want
+
+
+def test_recorded_history_has_the_start_state(spark):
+    h = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 10), ("b", 1, 3), ("c", 1, 10), ("c", 2, 20), ("d", 7, 9), ("d", 8, 9)], "branch string, seq long, recorded_at_ms long")
+    got = {tuple(r) for r in facts.recorded_history(h, ["branch"], 10, 20).collect()}
+    assert got == {("a", 2, 9, True), ("b", 1, 3, True), ("d", 8, 9, True), ("a", 3, 10, False), ("c", 1, 10, False)}
