@@ -21,6 +21,8 @@ COSINE, EUCLIDEAN = "cosine_distance", "euclidean"
 MAX_K = 1000
 #: Query vectors in one block, and rows of one matrix product.
 BLOCK, CHUNK = 2048, 4096
+#: Milliseconds after all valid times.
+NEVER = 2**62
 
 
 def _fold(a: Column, b: Column, f) -> Column:
@@ -60,9 +62,14 @@ def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(n > 0, n, 1)[:, None], n > 0
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, id_col: str = "id", vec: str = "vector", block: int = BLOCK) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, id_col: str = "id", vec: str = "vector", block: int = BLOCK, subject: str | None = None, valid: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k nearest others of every query row, exactly.
 
+    ``queries`` are the sources, ``vectors`` the targets.  With ``subject``, rows
+    of the query's own subject take no place among the k; with ``valid`` (names of start
+    and end in ms, end null = open), nor do rows whose valid time doesn't
+    overlap the query's.  A null subject is no one's; a null start is never valid.
+
     Ids are long and unique, vectors of one length (others, nulls and - for
     cosine - zero vectors are left out).  Queries come to the driver a block at
     a time, in order of id; the number of blocks grows with the queries, their
@@ -71,13 +78,18 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, id
     if not 1 <= k <= MAX_K:
         raise EngineError("E_K", f"1 to {MAX_K}")
     spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
+    who = F.col(subject).cast("string") if subject else F.lit(None).cast("string")
+    # no valid time asked for: all hold always; null start: an interval that overlaps none
+    start = F.coalesce(F.col(valid[0]).cast("long"), F.lit(NEVER)) if valid else F.lit(-NEVER)
+    end = F.coalesce(F.col(valid[1]).cast("long"), F.lit(NEVER)) if valid else F.lit(NEVER)
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"), who.alias("who"), start.alias("vs"), end.alias("ve")]
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull()).select(*cols)
     parts, last = [], None
     while True:
         page = queries.where(F.col(id_col).isNotNull() & F.col(vec).isNotNull())
         if last is not None:
             page = page.where(F.col(id_col) > last)
-        got = page.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")).orderBy("id").limit(block).toArrow()
+        got = page.select(*cols).orderBy("id").limit(block).toArrow()
         if not got.num_rows:
             break
         ids = got.column("id").to_numpy()
@@ -85,7 +97,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, id
         last = int(ids[-1])
         dim = max(map(len, lists))
         ok = np.array([len(x) == dim for x in lists])
-        shared = spark.sparkContext.broadcast((ids[ok], np.array([x for x, o in zip(lists, ok) if o], np.float64).reshape(-1, dim)))
+        codes: dict[str, int] = {}
+        own = np.array([-2 if x is None else codes.setdefault(x, len(codes)) for x in got.column("who").to_pylist()], np.int64)
+        limits = [got.column(c).to_numpy()[ok] for c in ("vs", "ve")]
+        shared = spark.sparkContext.broadcast((ids[ok], np.array([x for x, o in zip(lists, ok) if o], np.float64).reshape(-1, dim), codes, own[ok], *limits))
         parts.append(_block(rows, shared, k, metric))
     if not parts:
         return spark.createDataFrame([], "query_id long, id long, score double, rank int")
@@ -98,11 +113,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, id
 
 def _block(rows: DataFrame, shared, k: int, metric: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
+        qid, q, codes, own, qs, qe = shared.value
         dim = q.shape[1]
         if metric == COSINE:
             q, live = _unit(q)
-            qid, q = qid[live], q[live]
+            qid, q, own, qs, qe = qid[live], q[live], own[live], qs[live], qe[live]
         qq = (q * q).sum(axis=1)
         best_s, best_i = np.full((len(qid), 0), np.inf), np.zeros((len(qid), 0), np.int64)
         for b in batches:
@@ -111,17 +126,20 @@ def _block(rows: DataFrame, shared, k: int, metric: str) -> DataFrame:
             good = np.flatnonzero(np.diff(off) == dim)
             flat = col.values.to_numpy(zero_copy_only=False)
             ids = b.column(0).to_numpy()
+            who = np.array([codes.get(x, -1) for x in b.column(2).to_pylist()], np.int64) if codes else np.full(len(ids), -1)
+            vs, ve = b.column(3).to_numpy(), b.column(4).to_numpy()
             for c in range(0, len(good), CHUNK):
                 at = good[c : c + CHUNK]
                 m = flat[off[at][:, None] + np.arange(dim)].astype(np.float64)
-                i = ids[at]
+                i, o, s0, s1 = ids[at], who[at], vs[at], ve[at]
                 if metric == COSINE:
                     m, live = _unit(m)
-                    m, i = m[live], i[live]
+                    m, i, o, s0, s1 = m[live], i[live], o[live], s0[live], s1[live]
                     s = np.clip(1.0 - q @ m.T, 0.0, 2.0)
                 else:
                     s = np.sqrt(np.maximum(qq[:, None] - 2 * (q @ m.T) + (m * m).sum(axis=1)[None, :], 0.0))
-                s[qid[:, None] == i[None, :]] = np.inf
+                lo, hi = np.maximum(qs[:, None], s0[None, :]), np.minimum(qe[:, None], s1[None, :])
+                s[(qid[:, None] == i[None, :]) | (own[:, None] == o[None, :]) | (lo >= hi)] = np.inf
                 s, i = np.concatenate((best_s, s), axis=1), np.concatenate((best_i, np.broadcast_to(i, (len(qid), len(i)))), axis=1)
                 if s.shape[1] > k:
                     # all that tie with the k-th stay in the running until the ids decide
@@ -139,7 +157,7 @@ def _block(rows: DataFrame, shared, k: int, metric: str) -> DataFrame:
 
 
 def similar_candidates(hits: DataFrame, max_score: float | None = None, linked: DataFrame | None = None) -> DataFrame:
-    """Pairs (low, high, score) from knn hits: first the k nearest, then ``max_score``, then oriented and
+    """Pairs (low, high, score) from knn hits: first the k nearest (of those that may be paired: ``subject`` and ``valid`` of knn), then ``max_score``, then oriented and
     deduplicated, then without pairs already linked (low, high) either way."""
     x = hits if max_score is None else hits.where(F.col("score") <= max_score)
     p = x.groupBy(F.least("query_id", "id").alias("low"), F.greatest("query_id", "id").alias("high")).agg(F.min("score").alias("score"))

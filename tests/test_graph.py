@@ -312,3 +312,20 @@ def test_recorded_history_has_the_start_state(spark):
     h = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 10), ("b", 1, 3), ("c", 1, 10), ("c", 2, 20), ("d", 7, 9), ("d", 8, 9)], "branch string, seq long, recorded_at_ms long")
     got = {tuple(r) for r in facts.recorded_history(h, ["branch"], 10, 20).collect()}
     assert got == {("a", 2, 9, True), ("b", 1, 3, True), ("d", 8, 9, True), ("a", 3, 10, False), ("c", 1, 10, False)}
+
+
+def test_knn_ranks_only_what_may_be_paired(spark):
+    rnd = np.random.default_rng(5)
+    m = rnd.integers(-9, 9, (80, 4))
+    m[~m.any(axis=1)] = 1
+    rows = [(i, [float(x) for x in v], None if i % 13 == 0 else f"s{i % 6}", None if i % 17 == 0 else i % 10 * 10, None if i % 5 == 0 else i % 10 * 10 + 25) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>, who string, vs long, ve long").repartition(4)
+    got = {}
+    for r in vectors.knn(df.where("id >= 20"), df.where("id % 4 = 0"), 3, vectors.EUCLIDEAN, block=7, subject="who", valid=("vs", "ve")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    far = 10**9
+    for i, _, who, vs, ve in rows[::4]:
+        ok = [j for j, _, w, s, e in rows[20:] if j != i and (w is None or w != who) and None not in (vs, s) and max(vs, s) < min(far if ve is None else ve, far if e is None else e)]
+        want = sorted(ok, key=lambda j: (((m[j] - m[i]) ** 2).sum(), j))[:3]
+        assert [j for _, j in sorted(got.get(i, []))] == want
+    assert len(got) > 15
