@@ -32,15 +32,25 @@ class Graph:
         return replace(self, **changes)
 
     def pruned(self) -> Graph:
-        """Without edges that lost an endpoint and attachments that lost their host (semi-joins)."""
-        ids = self.nodes.select(F.col("id").alias("_n"))
-        edges = self.edges.join(ids, F.col("src") == F.col("_n"), "left_semi").join(ids, F.col("dst") == F.col("_n"), "left_semi")
+        """Without edges that lost an endpoint and attachments that lost their host.
+
+        Inner joins with distinct ids instead of semi-joins: these would be pushed
+        below the unions that graphs are made of and read every node table once
+        for every edge table."""
+        edges = having(having(self.edges, "src", self.nodes), "dst", self.nodes)
         return self.with_(edges=edges, attachments=hosted(self.attachments, self.nodes, edges))
 
 
+def having(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is among ``ids`` (id), each once."""
+    want = ids.select(F.col("id").alias("_has")).distinct()
+    return df.join(want, F.col(col) == F.col("_has")).drop("_has")
+
+
 def hosted(attachments: DataFrame | None, nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
     """Attachments whose host is left."""
     if attachments is None:
         return None
     hosts = nodes.select(F.lit("node").alias("_k"), F.col("id").alias("_h")).unionAll(edges.select(F.lit("edge"), "id"))
-    return attachments.join(hosts, (F.col("host_kind") == F.col("_k")) & (F.col("host_id") == F.col("_h")), "left_semi")
+    on = (F.col("host_kind") == F.col("_k")) & (F.col("host_id") == F.col("_h"))
+    return attachments.join(hosts.distinct(), on).drop("_k", "_h")

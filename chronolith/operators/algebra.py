@@ -54,11 +54,12 @@ def filter_graph(g: Graph, predicate: str | None = None, valid_at: int | None =
 
 
 def _endpoints_only(g: Graph, keep_timed: int | None) -> Graph:
-    used = endpoints(g.edges)
-    nodes = g.nodes.join(used, g.nodes["id"] == used["_n"], "left_semi")
+    used = endpoints(g.edges).withColumn("_used", F.lit(True))
+    nodes = g.nodes.join(used, F.col("id") == F.col("_n"), "inner" if keep_timed is None else "left")
     if keep_timed is not None:
-        timed = g.nodes.where(F.col("valid_start").isNotNull() & contains(F.col("valid_start"), F.col("valid_end"), F.lit(keep_timed)))
-        nodes = nodes.unionAll(timed.join(used, timed["id"] == used["_n"], "left_anti"))
+        timed = F.col("valid_start").isNotNull() & contains(F.col("valid_start"), F.col("valid_end"), F.lit(keep_timed))
+        nodes = nodes.where(F.col("_used").isNotNull() | timed)
+    nodes = nodes.drop("_n", "_used")
     return g.with_(nodes=nodes, attachments=hosted(g.attachments, nodes, g.edges))
 
 

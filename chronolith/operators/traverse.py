@@ -12,49 +12,67 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.errors import EngineError
-from chronolith.model import POSITIVE, Graph
-from chronolith.operators.algebra import edge_filter
-from chronolith.session import checkpointed
+from chronolith.errors import EngineError, within
+from chronolith.model import POSITIVE, Graph, having
+from chronolith.operators.algebra import edge_filter, node_valid
+from chronolith.session import checkpointed, written
 
-MAX_HOPS = 16
+MAX_HOPS, MAX_SEEDS, MAX_RESULT = 16, 1000, 200_000
 
 
-def expand(g: Graph, seeds: DataFrame, hops: int, direction: str = "out", predicates: Sequence[str] | None = None, valid_at: int | None = None) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
+def expand(
+    g: Graph, seeds: DataFrame, hops: int, direction: str = "out", predicates: Sequence[str] | None = None,
+    valid_at: int | None = None, limit: int | None = None, max_seeds: int = MAX_SEEDS,
+) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
     """Exact k-hop reach: (nodes (id, hop), edges, diagnostics).
 
     Every node within ``hops`` of a visible seed, with its least hop, and every
     matching edge that leaves a node less than ``hops`` away, also to nodes met
-    before.  A seed that is not in the graph gives E_SEED_UNAVAILABLE and a
-    partial answer: hidden and missing look alike.
+    before.  With ``valid_at``, seeds, nodes on the way and both ends of every edge
+    must be valid then, as in query().  A seed that is not in the graph gives
+    E_SEED_UNAVAILABLE and a partial answer: hidden and missing look alike.
+    More than ``max_seeds`` seeds, or more nodes and edges than ``limit`` (None: any
+    number), is E_BUDGET.
+
+    A hop reads the edges once and writes those it follows, so that the answer
+    is put together without reading them again.
     """
     if not 1 <= hops <= MAX_HOPS:
         raise EngineError("E_HOPS", f"1 to {MAX_HOPS}")
+    steps = {"out": ["src"], "in": ["dst"], "both": ["src", "dst"]}.get(direction)
+    if steps is None:
+        raise EngineError("E_DIRECTION", direction)
+    if limit is not None and not 1 <= limit <= MAX_RESULT:
+        raise EngineError("E_LIMIT", f"1 to {MAX_RESULT}")
     edges = g.edges.where(edge_filter(valid_at=valid_at))
     if predicates is not None:
         edges = edges.where(F.col("predicate").isin(*predicates))
-    steps = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}.get(direction)
-    if steps is None:
-        raise EngineError("E_DIRECTION", direction)
-    wanted = seeds.select("id").distinct()
-    frontier = checkpointed(wanted.join(g.nodes.select("id"), "id", "left_semi").withColumn("hop", F.lit(0)))
-    lost = () if wanted.join(g.nodes.select("id"), "id", "left_anti").isEmpty() else ("E_SEED_UNAVAILABLE",)
-    seen, found = frontier, []
+    alive = g.nodes if valid_at is None else g.nodes.where(node_valid(valid_at))
+    wanted = within(seeds.select("id").distinct(), max_seeds)
+    asked = written(wanted.join(g.nodes.select("id", F.lit(True).alias("_seen")).distinct(), "id", "left"), "seeds")
+    lost = () if asked.where("_seen IS NULL").isEmpty() else ("E_SEED_UNAVAILABLE",)
+    frontier = checkpointed(having(asked.where("_seen").select("id"), "id", alive).withColumn("hop", F.lit(0)))
+    seen, found, n = frontier, [], 0
     for hop in range(1, hops + 1):
         legs = None
-        for a, b in steps:
-            leg = edges.join(frontier.select(F.col("id").alias("_f")), F.col(a) == F.col("_f")).select("id", F.col(b).alias("_next"))
+        for near in steps:
+            far = "dst" if near == "src" else "src"
+            leg = having(edges, near, frontier).withColumn("_next", F.col(far))
             legs = leg if legs is None else legs.unionAll(leg)
-        legs = checkpointed(legs)
-        found.append(legs.select("id"))
-        frontier = checkpointed(legs.select(F.col("_next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        legs = written(legs, "legs")
+        reached = checkpointed(having(legs.select(F.col("_next").alias("id")).distinct(), "id", alive))
+        found.append(having(legs, "_next", reached).drop("_next"))
+        frontier = checkpointed(reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionAll(frontier)
         if frontier.isEmpty():
             break
-    ids = found[0]
+    out = found[0]
     for f in found[1:]:
-        ids = ids.unionAll(f)
-    return seen, edges.join(ids.distinct(), "id", "left_semi"), lost
+        out = out.unionAll(f)
+    out = out.dropDuplicates(["id"])
+    if limit is not None:
+        within(seen.select("id").unionAll(out.select("id")), limit)
+    return seen, out, lost
 
 
 def topology(g: Graph, valid_at: int | None = None) -> DataFrame:

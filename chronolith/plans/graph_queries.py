@@ -243,6 +243,17 @@ def _expand(direction: str, seed: str, at: int | None = V1):
     return q
 
 
+def expand_valid_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders hold for sixty days here, so at a time most of them, and the edges to them, can't be passed."""
+    g = star(spark, d)
+    ends = F.when(F.col("type_id") == "order", F.col("valid_start") + 60 * 86_400_000)
+    g = g.with_(nodes=g.nodes.withColumn("valid_end", ends))
+    seeds = spark.createDataFrame([("nation:3",)], "id string")
+    nodes, edges, _ = traverse.expand(g, seeds, 2, "in", valid_at=V1)
+    hops = nodes.select(F.lit("node").alias("kind"), "id", F.col("hop").cast("long").alias("hop"))
+    return hops.unionAll(edges.select(F.lit("edge"), "id", F.lit(-1).cast("long")))
+
+
 def expand_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid question: as a reader, what is within two hops of a seed at a time, and which embeddings among it are nearest."""
     g = access.visible(star(spark, d), [["alice"]])
@@ -432,9 +443,17 @@ def reader_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_decimals(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(15,2)").alias("p"), F.col("l_quantity").cast("decimal(15,2)").alias("q"), F.col("l_discount").cast("decimal(15,2)").alias("c"))
+    """Sums, products and quotients of mixed scales, as text with the digits of the exact result."""
+    as_ = lambda c, t, n: F.col(c).cast(t).alias(n)
+    cols = [as_("l_extendedprice", "decimal(12,2)", "p"), as_("l_quantity", "decimal(12,2)", "q"), as_("l_discount", "decimal(5,2)", "c")]
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *cols)
     p, q, c = F.col("p"), F.col("q"), F.col("c")
-    return x.select("l_orderkey", "l_linenumber", exact.add(p, q).cast("double").alias("plus"), exact.sub(p, q).cast("double").alias("minus"), exact.mul(p, c).cast("double").alias("times"), exact.div(p, F.lit(8).cast("decimal(10,2)")).cast("double").alias("eighth"))
+    number = lambda v: F.lit(v).cast("decimal(38,18)")
+    shown = {
+        "plus": (exact.add(p, q), 2), "minus": (exact.sub(p, q), 2), "times": (exact.mul(p, c), 4), "fine": (exact.mul(q, number("0.1234567891")), 12),
+        "eighths": (exact.div(p, number("0.125")), 2), "sixteenth": (exact.div(p, number("16")), 6), "third": (exact.div(p, number("3")), 2),
+    }
+    return x.select("l_orderkey", "l_linenumber", *(v.cast(f"decimal(30,{n})").cast("string").alias(k) for k, (v, n) in shown.items()))
 
 
 def row_mapping(spark: SparkSession, d: str) -> DataFrame:
@@ -507,7 +526,7 @@ QUERIES = {f.__name__: f for f in (
     query_all, query_predicate, query_endpoint, query_valid_at, query_visible, query_visible_two_clauses, filter_endpoints, filter_keeps_timed, project_members, context_default, context_open,
     counterparts_bridge, counterparts_entity, resolve_identity, support_verdict, assertion_join, union_origin, diff_membership, metadata_follow, as_of_events, changes_events, heads_as_of, recorded_range, recorded_history,
     facts_at_revision, changes_revisions, fact_versions, reconcile_report, path_join, path_join_fleet, _sequence("before"), _sequence("meets"), _sequence("overlaps"), _sequence("within"), window_clip,
-    window_attachments, series_overlap, units_running_with_sensor, _expand("out", "order:1", None), _expand("in", "nation:3"), _expand("both", "customer:1"), expand_nearest, degree, weak_components, strong_components,
+    window_attachments, series_overlap, units_running_with_sensor, _expand("out", "order:1", None), _expand("in", "nation:3"), _expand("both", "customer:1"), expand_valid_nodes, expand_nearest, degree, weak_components, strong_components,
     shortest_paths, pagerank_fixed10, _nearest("cosine_distance"), _nearest("euclidean"), nearest_candidates, knn_search, similar_candidates, geometry_distance, geometry_transform, geometry_axes,
     reason_transitive, reason_signed, cluster_matching, cluster_levels, aggregate_links, lineage_overlap, release_min_k, describe_schema, explain_paths, provenance_union, carrier_algebra, group_closure,
     parse_times, reader_lists, exact_decimals, row_mapping, change_feed, change_feed_whole, view_membership, windows_tumbling, windows_session, rollup_orders, set_operations, fact_store_round_trip,

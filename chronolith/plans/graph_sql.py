@@ -93,14 +93,17 @@ def _seq(name: str) -> str:
     return f"WITH {_FLEET}, {p} {side('left', 'left_id', 'ls', 'le')} UNION ALL {side('right', 'right_id', 'rs', 're')}"
 
 
-def _hops(direction: str, seed: str, v: int | None) -> str:
-    legs = {"out": "SELECT id, src AS a, dst AS b FROM ex", "in": "SELECT id, dst AS a, src AS b FROM ex", "both": "SELECT id, src AS a, dst AS b FROM ex UNION ALL SELECT id, dst, src FROM ex"}[direction]
-    inside = lambda c: f"({c} = '{seed}' OR {c} IN (SELECT id FROM h1))"
-    near = {"out": inside("src"), "in": inside("dst"), "both": f"({inside('src')} OR {inside('dst')})"}[direction]
-    return f"""WITH {_STAR}, ex AS (SELECT * FROM e WHERE {at("e", v) if v else "TRUE"}), leg AS ({legs}),
-      h1 AS (SELECT DISTINCT b AS id FROM leg WHERE a = '{seed}' AND b <> '{seed}'), h2 AS (SELECT DISTINCT b AS id FROM leg WHERE a IN (SELECT id FROM h1) AND b <> '{seed}' AND b NOT IN (SELECT id FROM h1))
+def _hops(direction: str, seed: str, v: int | None, nodes: str = "") -> str:
+    """Two hops; edges that leave a node met before the last hop; ``nodes`` is a condition on both ends."""
+    out, back = "SELECT id, src AS a, dst AS b FROM ex", "SELECT id, dst AS a, src AS b FROM ex"
+    legs = {"out": out, "in": back, "both": f"{out} UNION ALL {back}"}[direction]
+    alive = f" AND src IN (SELECT id FROM n WHERE {nodes}) AND dst IN (SELECT id FROM n WHERE {nodes})" if nodes else ""
+    return f"""WITH {_STAR}, ex AS (SELECT * FROM e WHERE {at("e", v) if v else "TRUE"}{alive}), leg AS ({legs}),
+      h1 AS (SELECT DISTINCT b AS id FROM leg WHERE a = '{seed}' AND b <> '{seed}'),
+      h2 AS (SELECT DISTINCT b AS id FROM leg WHERE a IN (SELECT id FROM h1) AND b <> '{seed}' AND b NOT IN (SELECT id FROM h1)),
+      r AS (SELECT '{seed}' AS id UNION SELECT id FROM h1)
       SELECT 'node' AS kind, '{seed}' AS id, CAST(0 AS BIGINT) AS hop UNION ALL SELECT 'node', id, 1 FROM h1 UNION ALL SELECT 'node', id, 2 FROM h2
-      UNION ALL SELECT 'edge', id, -1 FROM ex WHERE {near}"""
+      UNION ALL SELECT 'edge', id, -1 FROM (SELECT DISTINCT leg.id FROM leg JOIN r ON r.id = leg.a)"""
 
 
 def _cos(a: str, b: str) -> str:
@@ -167,6 +170,7 @@ SQL = {
     "expand_2hop_out": _hops("out", "order:1", None),
     "expand_2hop_in": _hops("in", "nation:3", V1),
     "expand_2hop_both": _hops("both", "customer:1", V1),
+    "expand_valid_nodes": _hops("in", "nation:3", V1, f"vs IS NULL OR (vs <= {V1} AND {V1} < vs + 5184000000)"),
     "expand_nearest": f"""WITH {_STAR}, h1 AS (SELECT src AS id FROM e WHERE dst = 'nation:3' AND {at("e", V1)}), h2 AS (SELECT src AS id FROM e WHERE dst IN (SELECT id FROM h1) AND {at("e", V1)}), r AS (SELECT 'nation:3' AS id UNION SELECT id FROM h1 UNION SELECT id FROM h2),
       c AS (SELECT 'customer:' || vec_id AS id, {_cos("embedding", "q")} AS s FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)) SELECT id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY s, id) AS rank FROM c WHERE id IN (SELECT id FROM r)) WHERE rank <= 10""",
     "degree": f"WITH {_STAR}, i AS (SELECT dst AS id, count(*) AS c FROM e WHERE polarity = 'positive' GROUP BY 1), o AS (SELECT src AS id, count(*) AS c FROM e WHERE polarity = 'positive' GROUP BY 1) SELECT n.id, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree FROM n LEFT JOIN i ON i.id = n.id LEFT JOIN o ON o.id = n.id",
@@ -198,7 +202,10 @@ SQL = {
     "group_closure": "SELECT 'customer:' || c_custkey AS member, 'nation:' || c_nationkey AS \"group\" FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'region:' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier:' || s_suppkey, 'region:' || n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey",
     "parse_times": f"SELECT DISTINCT seq, reported_at, {_ms('reported_at')} AS ms FROM updates",
     "reader_lists": f"SELECT DISTINCT install_id, array_to_string({_READ}, ',') AS who FROM part_installs",
-    "exact_decimals": f"SELECT l_orderkey, l_linenumber, CAST({_DIGIT.format('l_extendedprice')} + {_DIGIT.format('l_quantity')} AS DOUBLE) AS plus, CAST({_DIGIT.format('l_extendedprice')} - {_DIGIT.format('l_quantity')} AS DOUBLE) AS minus, CAST({_DIGIT.format('l_extendedprice')} * {_DIGIT.format('l_discount')} AS DOUBLE) AS times, CAST({_DIGIT.format('l_extendedprice')} AS DOUBLE) / 8 AS eighth FROM lineitem",
+    "exact_decimals": """SELECT l_orderkey, l_linenumber, CAST(p + q AS VARCHAR) AS plus, CAST(p - q AS VARCHAR) AS minus, CAST(p * c AS VARCHAR) AS times,
+      CAST(q * CAST(0.1234567891 AS DECIMAL(11,10)) AS VARCHAR) AS fine, CAST(p * 8 AS VARCHAR) AS eighths, CAST(p * CAST(0.0625 AS DECIMAL(5,4)) AS VARCHAR) AS sixteenth,
+      CASE WHEN CAST(p * 100 AS BIGINT) % 3 = 0 THEN CAST(CAST(CAST(p * 100 AS BIGINT) // 3 AS DECIMAL(15,0)) * CAST(0.01 AS DECIMAL(3,2)) AS VARCHAR) END AS third
+      FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(12,2)) AS p, CAST(l_quantity AS DECIMAL(12,2)) AS q, CAST(l_discount AS DECIMAL(5,2)) AS c FROM lineitem)""",
     "row_mapping": "SELECT DISTINCT 'hw:performed_on:' || work_order AS id, work_order AS src, serial AS dst, 'hw:performed_on' AS predicate FROM maintenance WHERE serial IS NOT NULL UNION SELECT 'hw:performed_by:' || work_order, work_order, performed_by, 'hw:performed_by' FROM maintenance WHERE performed_by IS NOT NULL",
     "change_feed": f"WITH {_LOG} SELECT seq, count(*) AS n_heads, CASE WHEN dense_rank() OVER (ORDER BY seq) <= 10 THEN 1 ELSE 2 END AS page FROM hd WHERE seq > 0 GROUP BY seq QUALIFY dense_rank() OVER (ORDER BY seq) <= 20",
     "change_feed_whole": f"WITH {_LOG} SELECT seq, count(*) AS n_heads, (dense_rank() OVER (ORDER BY seq) - 1) // 1000 + 1 AS page FROM hd GROUP BY seq",

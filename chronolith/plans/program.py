@@ -156,8 +156,8 @@ def evaluate(x: dict, cat: Catalog, names: dict) -> Graph | DataFrame:
     if k == "support":
         return algebra.support(sub["input"].edges.where(F.col("predicate") == x["predicate"]), ["predicate", "src", "dst"], x["valid_at"])
     if k == "expand":
-        nodes, edges, lost = traverse.expand(sub["input"], ids(x["seeds"]), x["hops"], x.get("direction", "out"), x.get("predicates"), x.get("valid_at"))
-        within(nodes.select("id").unionAll(edges.select("id")), x.get("limit", 10_000))
+        how = (x["hops"], x.get("direction", "out"), x.get("predicates"), x.get("valid_at"), x.get("limit", 10_000))
+        nodes, edges, lost = traverse.expand(sub["input"], ids(x["seeds"]), *how)
         g = sub["input"]
         return Graph(g.nodes.join(nodes.select("id"), "id", "left_semi"), edges, None, "partial" if lost else g.coverage, lost)
     if k == "changes":

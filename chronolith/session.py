@@ -2,17 +2,27 @@
 
 Everything that has to outlive a stage (cut lineage, streaming state, batch
 outputs) goes to the folder named by ``spark.checkpoint.dir``, which all
-executors share.  Only where that setting is absent, as in unit tests on one
-machine, a private temporary folder is made.
+executors share.  Where that setting is absent, a cluster is an error
+(E_SHARED_DIR); a local session, all in one process, gets a folder of its own
+that goes with the process.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolith.errors import EngineError
+
+#: Scratch paths made by this process and not removed yet.
+_MADE: list[str] = []
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on: times without zone are UTC, AQE splits skewed joins."""
@@ -36,7 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = sc._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="chronolith-")
+        if known.isDefined():
+            base = known.get()
+        elif sc.master.split("[")[0] == "local":
+            base = tempfile.mkdtemp(prefix="chronolith-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        else:
+            raise EngineError("E_SHARED_DIR", "set spark.checkpoint.dir to a folder that all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -44,7 +60,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, on leaving, all scratch made inside; results that read it must have been used by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            remove(spark, path)
+        del _MADE[before:]
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -60,8 +89,61 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, whatever the scheme."""
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system, whatever the scheme."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a path with all below it."""
+    file_system(spark, path).delete(_path(spark, path), True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    fs, p = file_system(spark, path), _path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    stream = file_system(spark, path).open(_path(spark, path))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Make the file ``path`` with ``text``, whole and once: False if it is there already.
+
+    The text is written beside it first; then the name is taken in one step that
+    never replaces: a rename that refuses to overwrite (HDFS and the like), a hard
+    link on local files, whose rename would overwrite.  A store without such a
+    rename (plain object stores) can't hold the heads of a log.
+    """
+    jvm, fs, to = spark.sparkContext._jvm, file_system(spark, path), _path(spark, path)
+    part = _path(spark, f"{path.rpartition('/')[0]}/.part-{uuid.uuid4().hex}")
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(to), local(part))
+        else:
+            options = jvm.org.apache.hadoop.fs.Options.Rename
+            never = spark.sparkContext._gateway.new_array(options, 1)
+            never[0] = options.NONE
+            conf = spark.sparkContext._jsc.hadoopConfiguration()
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(part, to, never)
+    except Exception as e:
+        if "AlreadyExists" not in str(e):
+            raise
+        return False
+    finally:
+        fs.delete(part, False)
+    return True
