@@ -9,6 +9,8 @@ the join, and one hot key is spread over its nodes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +55,24 @@ def point_nodes(point: Column, leaf_bits: int = LEAF_BITS, levels: int = LEVELS)
     """Keys of all nodes that enclose a point, one a level."""
     at = leaf(point, leaf_bits, levels)
     return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: _code(k, F.call_function("shiftright", at, k), levels))
+
+
+def cover_nodes(lo: Column, hi: Column, steps: Sequence[int], leaf_bits: int = LEAF_BITS, levels: int = LEVELS) -> Column:
+    """Keys of the one or two nodes that enclose ``[lo, hi)`` on the lowest level of ``steps`` whose nodes are as long.
+
+    They reach beyond the interval, by no more than a few times its length: keep
+    the exact test after the join.  A point lies in at most one of them, so an
+    interval is met once.  ``steps`` ascends and ends with ``levels``.
+    """
+    a, b = leaf(lo, leaf_bits, levels), leaf(hi - F.lit(1), leaf_bits, levels)
+    k = F.lit(steps[-1])
+    for step in reversed(steps[:-1]):
+        k = F.when(b - a < F.lit(2**step), F.lit(step)).otherwise(k)
+    at = lambda x: _code(k, F.call_function("shiftright", x, k), levels)
+    return F.array_distinct(F.array(at(a), at(b)))
+
+
+def step_nodes(point: Column, steps: Sequence[int], leaf_bits: int = LEAF_BITS, levels: int = LEVELS) -> Column:
+    """Keys of the nodes that enclose a point, on the levels of ``steps``."""
+    at = leaf(point, leaf_bits, levels)
+    return F.array(*(_code(F.lit(k), F.shiftright(at, k), levels) for k in steps))

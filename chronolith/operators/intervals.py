@@ -2,10 +2,11 @@
 
 Method: starts and ends are ranked independently per entity.  A gap lies
 between the k-th end and the (k+1)-th start exactly if that start is the
-greater; the boundaries left over, ranked again and paired, are the periods.
-Equal starts (or ends) are combined first, so ranks become counts: the end up
-to which k intervals have closed meets the start before which k have opened.
-Ranks come from block-wise running sums, never from one task per entity.
+greater; the boundaries left over are paired to periods.  Both rankings are
+running counts over one long frame of boundaries, equal instants combined: at
+the k-th end the next start is later exactly if no more than k intervals have
+started by then.  The counts come from block-wise sums and the pairing from the
+next boundary in a block, never from one task per entity.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.operators.dyadic import OPEN
-from chronolith.operators.prefix import running_sums
+from chronolith.operators.prefix import running_sums, successor
+from chronolith.session import written
 
 
 def periods_and_gaps(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
@@ -28,20 +30,19 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> Da
     change nothing.  No rows give no rows.
     """
     keys = list(keys)
-    ok = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(*keys, F.col(lo).cast("long").alias("s"), F.coalesce(F.col(hi).cast("long"), F.lit(OPEN)).alias("e")).where("s IS NOT NULL AND e > s")
-    count = lambda c: ok.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("n"))
-    starts = running_sums(count("s"), keys, "s", {"upto": "n"}).select(*keys, "s", (F.col("upto") - F.col("n")).alias("k"))
-    ends = running_sums(count("e"), keys, "e", {"k": "n"}).select(*keys, "e", "k")
-    last = ends.groupBy(*keys).agg(F.max("e").alias("e"))
-    gaps = starts.join(ends, [*keys, "k"]).where("s > e").select(*keys, "e", "s")
-    opened = starts.where("k = 0").select(*keys, "s").unionAll(gaps.select(*keys, "s"))
-    closed = last.unionAll(gaps.select(*keys, "e"))
-    rank = lambda x, c: running_sums(x.withColumn("one", F.lit(1)), keys, c, {"r": "one"}).drop("one")
-    periods = rank(opened, "s").join(rank(closed, "e"), [*keys, "r"])
-    shown = lambda c: F.when(F.col(c) != OPEN, F.col(c))
-    return periods.select(*keys, F.lit("period").alias("what"), F.col("s").alias("start"), shown("e").alias("end")).unionAll(
-        gaps.select(*keys, F.lit("gap").alias("what"), F.col("e").alias("start"), F.col("s").alias("end"))
-    )
+    named = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    s, e = F.col(lo).cast("long"), F.coalesce(F.col(hi).cast("long"), F.lit(OPEN))
+    ok = named.select(*keys, s.alias("_s"), e.alias("_e")).where("_s IS NOT NULL AND _e > _s")
+    ends = F.array(*(F.struct(F.col(c).alias("at"), F.lit(i).alias("s"), F.lit(1 - i).alias("e")) for c, i in (("_s", 1), ("_e", 0))))
+    each = ok.select(*keys, F.explode(ends).alias("_x")).select(*keys, "_x.*")
+    frame = written(each.groupBy(*keys, "at").agg(F.sum("s").alias("s"), F.sum("e").alias("e")), "boundaries")
+    ranked = running_sums(frame, keys, "at", {"started": "s", "ended": "e"})
+    now, before = F.col("started") - F.col("ended"), F.col("started") - F.col("s") - F.col("ended") + F.col("e")
+    opens, closes = (F.col("s") > 0) & (before == 0), (F.col("e") > 0) & (now == 0)
+    left = written(ranked.where(opens | closes).select(*keys, "at", opens.alias("opens")), "left-over")
+    paired = successor(left, keys, "at", "next").where("next IS NOT NULL")
+    what = F.when(F.col("opens"), "period").otherwise("gap")
+    return paired.select(*keys, what.alias("what"), F.col("at").alias("start"), F.when(F.col("next") != OPEN, F.col("next")).alias("end"))
 
 
 def contains(lo: Column, hi: Column, at: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.refs import micros, reference
 from chronolith.operators.prefix import running_sums
+from chronolith.session import written
 
 
 @dataclass(frozen=True)
@@ -79,14 +80,14 @@ def orphans(parents: Sequence[Parent], children: Sequence[Child]) -> DataFrame:
         child.select("parent_table", "ref_key", "at", F.lit(0).alias("step"), F.lit(0).alias("seen"), F.lit(0).alias("is_parent"), F.lit(1).alias("is_child"))
     )
     key = ["parent_table", "ref_key"]
-    at = long.groupBy(*key, "at").agg(*(F.sum(c).alias(c) for c in ("step", "seen", "is_parent")), F.max("is_child").alias("is_child"))
-    swept = running_sums(at, key, "at", {"standing": "step", "known": "seen"})
-    flags = at.groupBy(*key).agg(F.max(F.col("is_parent") > 0).alias("has_parent"), F.max("is_child").alias("asked")).where("asked > 0").drop("asked")
-    timed = F.col("at").isNotNull()
-    verdict = (
-        swept.where("is_child > 0").join(flags, key).where(~F.col("has_parent") | ~timed | (F.col("standing") <= 0))
-        .select(*(F.col(c).alias(f"v_{c}") for c in [*key, "at"]), F.when(~F.col("has_parent"), "missing").when(timed & (F.col("known") > 0), "deleted").otherwise("late").alias("reason"))
-    )
+    summed = (F.sum(c).alias(c) for c in ("step", "seen", "is_parent"))
+    # the one long frame, combined and written: the sweep reads it twice
+    at = written(long.groupBy(*key, "at").agg(*summed, F.max("is_child").alias("is_child")), "references")
+    swept = running_sums(at, key, "at", {"standing": "step", "known": "seen"}, wholes={"parents": "is_parent"})
+    missing, timed = F.col("parents") <= 0, F.col("at").isNotNull()
+    reason = F.when(missing, "missing").when(timed & (F.col("known") > 0), "deleted").otherwise("late")
+    verdict = swept.where("is_child > 0").where(missing | ~timed | (F.col("standing") <= 0))
+    verdict = verdict.select(*(F.col(c).alias(f"v_{c}") for c in [*key, "at"]), reason.alias("reason"))
     on = [F.col(c) == F.col(f"v_{c}") for c in key] + [F.col("at").eqNullSafe(F.col("v_at"))]
     return child.join(verdict, on).select("src_table", "record_key", "ref_month", "reason", "ref_key", "parent_table")
 

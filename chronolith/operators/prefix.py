@@ -18,22 +18,36 @@ from pyspark.sql import functions as F
 DAY = 86_400_000_000
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], block: int = DAY) -> DataFrame:
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], block: int = DAY, wholes: dict[str, str] | None = None
+) -> DataFrame:
     """Add inclusive running sums per ``keys`` in the order of the long column ``order``.
 
-    ``sums`` maps new names to value columns.  (keys, order) must be distinct in
-    ``df``: aggregate equal ones first, which also shrinks what is shuffled.
-    Keys are compared null-safe through the aggregate; rows whose ``order`` is null come first.
+    ``sums`` maps new names to value columns; ``wholes`` likewise, for the sum over
+    all of the key.  (keys, order) must be distinct in ``df``: aggregate equal
+    ones first, which also shrinks what is shuffled.  ``df`` is read twice; give it
+    written if it is dear.  Keys are compared null-safe through the
+    aggregate; rows whose ``order`` is null come first.
     """
-    keys = list(keys)
-    rows = df.withColumn("_b", F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("long"), F.lit(-(2**62))))
-    totals = rows.groupBy(*keys, "_b").agg(*(F.sum(v).alias(f"_t{i}") for i, v in enumerate(sums.values())))
+    keys, wholes = list(keys), wholes or {}
+    values = [*sums.values(), *wholes.values()]
+    first = F.lit(-(2**62))
+    rows = df.withColumn("_b", F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("long"), first))
+    totals = rows.groupBy(*keys, "_b").agg(*(F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), *(F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_p{i}") for i in range(len(sums))))
+    whole = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = totals.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
+        F.col("_b").alias("_kb"),
+        *(F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_p{i}") for i in range(len(sums))),
+        *(F.sum(f"_t{i}").over(whole).alias(f"_p{i}") for i in range(len(sums), len(values))),
+    )
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
-    inside = Window.partitionBy(*keys, "_b").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.col(order).asc_nulls_first())
+    inside = inside.rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(base, on, "inner")
-    return out.select(*df.columns, *((F.sum(v).over(inside) + F.col(f"_p{i}")).alias(n) for i, (n, v) in enumerate(sums.items())))
+    added = [(F.sum(v).over(inside) + F.col(f"_p{i}")).alias(n) for i, (n, v) in enumerate(sums.items())]
+    return out.select(*df.columns, *added, *(F.col(f"_p{len(sums) + i}").alias(n) for i, n in enumerate(wholes)))
 
 
 def successor(df: DataFrame, keys: Sequence[str], order: str, name: str, block: int = 30 * DAY) -> DataFrame:

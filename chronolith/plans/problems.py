@@ -9,7 +9,7 @@ from chronolith.functions.refs import holding, micros, millis, reference
 from chronolith.functions.times import DAY_MS, text_millis
 from chronolith.operators import asknown, hierarchy, incremental, intervals, orphans
 from chronolith.sources.tables import table
-from chronolith.session import scratch
+from chronolith.session import scratch, written
 from chronolith.streaming import changes, late
 
 
@@ -100,21 +100,27 @@ def p3_cycles(spark: SparkSession, d: str) -> DataFrame:
 # 4. attributes as known at event time ----------------------------------------------------------
 
 
-def _known(spark: SparkSession, d: str, name: str, attrs: dict) -> DataFrame:
-    orders = holding(table(spark, d, "maintenance"), "work_order", "recorded_at", ["work_order", "serial", "started_at", "deleted_at", "recorded_at"])
-    events = orders.where("deleted_at IS NULL").select("work_order", "serial", micros("started_at").alias("at"))
-    rows = table(spark, d, name).select("serial", "install_id", micros("valid_from").alias("lo"), micros("valid_to").alias("hi"), micros("recorded_at").alias("rec"), *(c.alias(n) for n, c in attrs.items()))
-    return asknown.as_known(events, asknown.effective_versions(rows, "serial", "install_id", "lo", "hi", "rec", list(attrs)), "serial", "at")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    orders = holding(
+        table(spark, d, "maintenance"), "work_order", "recorded_at", ["work_order", "serial", "started_at", "deleted_at", "recorded_at"]
+    )
+    events = written(orders.where("deleted_at IS NULL").select("work_order", "serial", micros("started_at").alias("at")), "events")
 
+    def versions(name: str, field: str, value) -> DataFrame:
+        times = (micros(c).alias(n) for c, n in (("valid_from", "lo"), ("valid_to", "hi"), ("recorded_at", "rec")))
+        rows = table(spark, d, name).select("serial", "install_id", *times, value.alias("value"))
+        return asknown.effective_versions(rows, "serial", "install_id", "lo", "hi", "rec", ["value"]).withColumn("field", F.lit(field))
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    fw = _known(spark, d, "firmware_installs", {"firmware_id": reference("firmware_id", lower=True)})
+    both = versions("firmware_installs", "firmware_id", reference("firmware_id", lower=True))
+    both = both.unionAll(versions("part_installs", "part_serial", F.trim("part_serial")))
+    known = asknown.as_known(events, both, "serial", "at")
     number = F.regexp_extract("v_key", r"([0-9]+)\s*$", 1).try_cast("decimal(38,0)")
-    best = fw.groupBy("work_order").agg(F.max(F.struct("v_valid_lo", number.alias("n"), "v_key", "v_firmware_id")).alias("b")).where("b.v_firmware_id IS NOT NULL")
-    parts = _known(spark, d, "part_installs", {"part_serial": F.trim("part_serial")}).where("v_part_serial IS NOT NULL")
-    return best.select("work_order", F.lit("firmware_id").alias("field"), F.col("b.v_firmware_id").alias("known_value")).unionAll(
-        parts.select("work_order", F.lit("part_serial").alias("field"), F.col("v_part_serial").alias("known_value")).distinct()
-    )
+    # of a work order's firmware the greatest counts, of its parts each: parts are told apart by their value
+    order = F.struct("v_valid_lo", number.alias("n"), "v_key", "v_value")
+    apart = F.when(F.col("v_field") == "part_serial", F.col("v_value")).alias("part")
+    best = known.where("v_field = 'firmware_id' OR v_value IS NOT NULL").groupBy("work_order", F.col("v_field").alias("field"), apart)
+    best = best.agg(F.max(order).alias("b")).where("b.v_value IS NOT NULL")
+    return best.select("work_order", "field", F.col("b.v_value").alias("known_value"))
 
 
 # 5. intervals ---------------------------------------------------------------------------------
