@@ -377,7 +377,7 @@ def imported(store: FactStore, wanted: DataFrame, chunk: int = MAX_CHANGES, grap
     todo = plan.where("action <> 'unchanged'").select("kind", "id", F.lit("assert").alias("op"), "content")
     for is_node in (True, False):
         part = todo.where(F.col("kind") == "node") if is_node else todo.where(F.col("kind") != "node")
-        n = counts and part.count()
+        n = part.count()
         blocks = max(1, -(-2 * n // chunk)) if n > chunk else 1  # hash blocks of about half a chunk
         for b in range(blocks if n else 0):
             of = part if blocks == 1 else part.where(F.pmod(F.xxhash64("kind", "id"), F.lit(blocks)) == b)

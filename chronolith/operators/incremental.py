@@ -1,23 +1,36 @@
 """Processing only new or changed records.
 
-State is the set of (key, content hash) already processed, kept in versions: a
-run writes a complete new version beside the old one and then swaps the pointer
-file by one atomic rename.  A run that dies before the swap has changed
-nothing; one that dies after it is simply done.
+State is the set of (key, content hash) that succeeded runs have processed, kept
+in versions that outlive the run.  Current rows are hashed and joined with the
+state; what it does not hold is new or changed.  A run writes what it has
+judged to a folder of its own name and then swaps the version by claiming the
+next number with one file that names all folders of the state (session.claim).
+A run that dies before the swap has changed nothing; one that dies after it is
+simply done; of two runs at a time one is told so.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.errors import EngineError
 from chronolith.operators.dyadic import interval_nodes, point_nodes
 from chronolith.operators.prefix import successor
+from chronolith.session import claim, listed, read_text, remove
 
 #: Positions per block in the join of records with covered stretches.
 BLOCK = 4096
+#: Folders of a state from which it is written together anew.
+FOLDERS = 16
+RECORD = ["feed", "scope", "pos"]
+CONTENT = [*RECORD, "h1", "h2"]
+JUDGED = "feed string, scope string, pos long, h1 long, h2 long, first_received long, done boolean"
+RUN = "feed string, scope string, after_pos long, upto_pos long, started long"
 
 
 def content_hash(cols: Sequence[str], df: DataFrame) -> list[Column]:
@@ -28,36 +41,78 @@ def content_hash(cols: Sequence[str], df: DataFrame) -> list[Column]:
 
 
 class ContentState:
-    """Versioned table of (scope columns, h1, h2) with an atomically replaced pointer."""
+    """Versioned contents that have been processed, with the runs they were judged by."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._at("").getFileSystem(self._conf)
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def version(self) -> int:
         """The current version; 0 before the first swap."""
-        if not self._fs.exists(self._at("")):
-            return 0
-        done = [f.getPath().getName() for f in self._fs.listStatus(self._at(""))]
-        return max([int(n[8:]) for n in done if n.startswith("CURRENT-")], default=0)
-
-    def read(self, schema) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], schema)
-
-    def publish(self, df: DataFrame) -> int:
-        """Write the next version and swap to it; a leftover of a failed attempt is overwritten."""
-        v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        mark = self._at(f".pending-{v}")
-        self._fs.create(mark, True).close()
-        if not self._fs.rename(mark, self._at(f"CURRENT-{v}")):
-            raise RuntimeError(f"E_STATE: version {v} was published by another run")
-        return v
+        names = listed(self.spark, f"{self.path}/versions")
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _told(self, version: int) -> dict:
+        if not version:
+            return {"contents": [], "runs": None}
+        return json.loads(read_text(self.spark, f"{self.path}/versions/{version}"))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """CONTENT of what has been processed."""
+        names = self._told(self.version() if version is None else version)["contents"]
+        if not names:
+            return self.spark.createDataFrame([], JUDGED).select(*CONTENT)
+        return self.spark.read.schema(JUDGED).parquet(*(f"{self.path}/contents/{n}" for n in names)).where("done").select(*CONTENT)
+
+    def runs(self, version: int) -> DataFrame:
+        """RUN rows that a version rests on."""
+        name = self._told(version)["runs"]
+        return self.spark.read.schema(RUN).parquet(f"{self.path}/runs/{name}") if name else self.spark.createDataFrame([], RUN)
+
+    def publish(self, judged: str, runs: DataFrame, version: int, anew: bool = False) -> int:
+        """Swap from ``version`` to the next: its contents and the folder ``judged``, or (``anew``) that alone.
+
+        E_STALE_STATE if another run has swapped since ``version`` was read."""
+        old = [] if anew else self._told(version)["contents"]
+        names, run = [*old, judged], uuid.uuid4().hex
+        if len(names) > FOLDERS:
+            names = [uuid.uuid4().hex]
+            done = self.spark.read.schema(JUDGED).parquet(*(f"{self.path}/contents/{n}" for n in [*old, judged])).where("done")
+            done.write.parquet(f"{self.path}/contents/{names[0]}")
+        runs.write.parquet(f"{self.path}/runs/{run}")
+        if not claim(self.spark, f"{self.path}/versions/{version + 1}", json.dumps({"contents": names, "runs": run})):
+            raise EngineError("E_STALE_STATE", f"version {version + 1} was made by another run")
+        return version + 1
+
+    def forget(self, keep: int = 2) -> None:
+        """Remove folders that none of the last ``keep`` versions names, and the versions before."""
+        last = self.version()
+        named = [self._told(v) for v in range(max(1, last - keep + 1), last + 1)]
+        for kind, used in (("contents", {c for t in named for c in t["contents"]}), ("runs", {t["runs"] for t in named})):
+            for name in listed(self.spark, f"{self.path}/{kind}"):
+                if name not in used:
+                    remove(self.spark, f"{self.path}/{kind}/{name}")
+        for v in listed(self.spark, f"{self.path}/versions"):
+            if v.isdigit() and int(v) <= last - keep:
+                remove(self.spark, f"{self.path}/versions/{v}")
+
+
+def take_up(state: ContentState, current: DataFrame, runs: DataFrame, tops: DataFrame) -> DataFrame:
+    """The records (feed, scope, pos) still to process, and the state brought up to the succeeded ``runs``.
+
+    current: from content_versions; runs: RUN; tops: (feed, scope, top).  A version
+    rests on its runs: if one of them is no longer there, all contents are judged
+    anew.  Contents that the state holds are not judged again."""
+    version = state.version()
+    runs = runs.select(*(c.split()[0] for c in RUN.split(", "))).distinct()
+    keep = version > 0 and state.runs(version).exceptAll(runs).isEmpty()
+    todo = current.join(state.read(version), CONTENT, "left_anti") if keep else current
+    name = uuid.uuid4().hex
+    path = f"{state.path}/contents/{name}"
+    processed(todo, covered_until(runs, tops)).write.parquet(path)
+    judged = state.spark.read.schema(JUDGED).parquet(path)
+    if not keep or not judged.where("done").isEmpty():
+        state.publish(name, runs, version, anew=not keep)
+    return judged.where("NOT done").select(*RECORD)
 
 
 def covered_until(runs: DataFrame, last: DataFrame) -> DataFrame:
@@ -89,13 +144,12 @@ def content_versions(records: DataFrame) -> DataFrame:
 
 
 def processed(current: DataFrame, stretches: DataFrame) -> DataFrame:
-    """Current contents that a succeeded run has processed: its stretch covers the position and it began no earlier than the content came."""
-    s = stretches.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor((F.col("hi") - 1) / BLOCK))))
+    """JUDGED: ``done`` where a succeeded run has processed the content: its stretch covers the position and it began
+    no earlier than the content came.  Stretches of a scope are disjoint, so a content meets one at most."""
+    blocks = F.sequence(F.floor(F.col("lo") / BLOCK), F.floor((F.col("hi") - 1) / BLOCK))
+    s = stretches.withColumn("block", F.explode(blocks))
     s = s.select(F.col("feed").alias("s_feed"), F.col("scope").alias("s_scope"), "block", "lo", "hi", "done_at")
-    hit = current.join(s, (F.col("feed") == F.col("s_feed")) & (F.col("scope") == F.col("s_scope")) & (F.floor(F.col("pos") / BLOCK) == F.col("block")) & (F.col("lo") <= F.col("pos")) & (F.col("pos") < F.col("hi")) & (F.col("first_received") <= F.col("done_at")))
-    return hit.select("feed", "scope", "pos", "h1", "h2")
-
-
-def unprocessed(current: DataFrame, state: DataFrame) -> DataFrame:
-    """New or changed: current contents that the state does not hold."""
-    return current.join(state, ["feed", "scope", "pos", "h1", "h2"], "left_anti").select("feed", "scope", "pos")
+    same = (F.col("feed") == F.col("s_feed")) & (F.col("scope") == F.col("s_scope")) & (F.floor(F.col("pos") / BLOCK) == F.col("block"))
+    inside = (F.col("lo") <= F.col("pos")) & (F.col("pos") < F.col("hi")) & (F.col("first_received") <= F.col("done_at"))
+    hit = current.join(s, same & inside, "left")
+    return hit.select(*CONTENT, "first_received", F.col("lo").isNotNull().alias("done"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions.refs import holding, micros, millis, reference
-from chronolith.functions.times import DAY_MS, text_millis
+from chronolith.functions.times import text_millis
 from chronolith.operators import asknown, hierarchy, incremental, intervals, orphans
 from chronolith.sources.tables import table
-from chronolith.session import scratch, written
+from chronolith.session import scratch, shared_dir, written
 from chronolith.streaming import changes, late
 
 
@@ -140,47 +142,74 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 # 6. late events -------------------------------------------------------------------------------
 
 
+#: Files the reports are laid out in by their time; the stream takes half of them a batch.
+REPORT_FILES = 16
+
+
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    rows = holding(table(spark, d, "updates").select("seq", "source", "reported_at", "received_at", "tables"), "seq", "received_at", ["seq", "source", "reported_at", "tables", "received_at"])
+    """Maintenance entries of the deliveries that hold, as a stream of files in the order of their reports."""
+    cols = ["seq", "source", "reported_at", "tables", "received_at"]
+    rows = holding(table(spark, d, "updates").select(*cols), "seq", "received_at", cols)
     each = rows.select("seq", "source", text_millis("reported_at").alias("reported"), F.explode("tables.maintenance").alias("m"))
-    return each.select("seq", "source", "reported", reference("m.work_order").alias("work_order"), text_millis("m.started_at").alias("at"), text_millis("m.ended_at").alias("ended"))
+    at, ended = text_millis("m.started_at"), text_millis("m.ended_at")
+    hours = F.when(F.col("ended") >= F.col("at"), (F.col("ended") - F.col("at")) / 3_600_000.0).otherwise(0.0)
+    each = each.select("seq", "source", "reported", reference("m.work_order").alias("work_order"), at.alias("at"), ended.alias("ended"))
+    path = scratch(spark, "reports")
+    each.withColumn("hours", hours).repartitionByRange(REPORT_FILES, "reported").write.parquet(path)
+    stream = spark.readStream.schema(each.withColumn("hours", hours).schema)
+    return stream.option("maxFilesPerTrigger", REPORT_FILES // 2).parquet(path)
+
+
+def _late(spark: SparkSession, d: str) -> tuple[late.LateEvents, DataFrame]:
+    events = late.LateEvents(spark, scratch(spark, "late"), "hours")
+    return events, events.run(_reports(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    j = late.judged(_reports(spark, d))
-    return j.where("verdict <> 'on_time'").select(F.col("seq").cast("long").alias("seq"), "work_order", "verdict").distinct()
+    _, verdicts = _late(spark, d)
+    return verdicts.where("verdict <> 'on_time'").select(F.col("seq").cast("long").alias("seq"), "work_order", "verdict").distinct()
 
 
 def p6_weeks(spark: SparkSession, d: str) -> DataFrame:
     """Weekly counts and hours of work: as first known, corrected up to the cut-off, and diverted."""
-    hours = F.when((F.col("ended") >= F.col("at")), (F.col("ended") - F.col("at")) / 3_600_000.0).otherwise(0.0)
-    w = late.corrected_periods(_reports(spark, d).withColumn("hours", hours), "hours")
-    return w.select("period_start", "n_first", "n_corrected", "n_diverted", F.round("sum_first", 4).alias("hours_first"), F.round("sum_corrected", 4).alias("hours_corrected"))
+    events, _ = _late(spark, d)
+    hours = (F.round(f"sum_{c}", 4).alias(f"hours_{c}") for c in ("first", "corrected"))
+    return events.periods().select("period_start", "n_first", "n_corrected", "n_diverted", *hours)
 
 
 def p6_closings(spark: SparkSession, d: str) -> DataFrame:
     """When each week could be closed: every source past the bound, or silent for four weeks."""
-    ok = late.judged(_reports(spark, d)).drop("verdict")
-    return late.closings(ok, 21 * DAY_MS, 28 * DAY_MS)
+    return _late(spark, d)[0].closings()
 
 
 # 7. new or changed records only ---------------------------------------------------------------
 
 
+#: Form of the content state; a state of another form is not read.
+STATE_FORM = 1
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["run_id", "feed", "scope", "run_status", "after_pos", "upto_pos", "started_at", "logged_at"]
+    runs = holding(table(spark, d, "sync_runs"), "run_id", "logged_at", cols)
+    ok = runs.where("lower(trim(run_status)) = 'succeeded' AND scope <> ''")
+    return ok.select("feed", "scope", "after_pos", "upto_pos", micros("started_at").alias("started"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The state lies in the shared folder under a name made of the tables' folder, and is taken up by the next call."""
     facts, ups = table(spark, d, "fact_log"), table(spark, d, "updates")
-    rest = lambda t: [c for c in t.columns if c != "received_at"]
-    records = facts.select(F.lit("fact_log").alias("feed"), F.col("line").cast("string").alias("scope"), F.col("position").cast("long").alias("pos"), micros("received_at").alias("received"), *incremental.content_hash(rest(facts), facts)).unionAll(
-        ups.select(F.lit("updates").alias("feed"), F.coalesce("source", F.lit("")).alias("scope"), F.col("seq").cast("long").alias("pos"), micros("received_at").alias("received"), *incremental.content_hash(rest(ups), ups))
-    )
+
+    def hashed(t: DataFrame, feed: str, scope, pos: str) -> DataFrame:
+        content = incremental.content_hash([c for c in t.columns if c != "received_at"], t)
+        return t.select(F.lit(feed).alias("feed"), scope.alias("scope"), F.col(pos).cast("long").alias("pos"), micros("received_at").alias("received"), *content)
+
+    records = hashed(facts, "fact_log", F.col("line").cast("string"), "position").unionAll(hashed(ups, "updates", F.coalesce("source", F.lit("")), "seq"))
     current = incremental.content_versions(records.where("scope IS NOT NULL AND pos IS NOT NULL"))
-    runs = holding(table(spark, d, "sync_runs"), "run_id", "logged_at", ["run_id", "feed", "scope", "run_status", "after_pos", "upto_pos", "started_at", "logged_at"])
-    runs = runs.where("lower(trim(run_status)) = 'succeeded' AND scope <> ''").select("feed", "scope", "after_pos", "upto_pos", micros("started_at").alias("started"))
-    top = records.groupBy("feed", "scope").agg(F.max("pos").alias("top"))
-    done = incremental.processed(current, incremental.covered_until(runs, top))
-    state = incremental.ContentState(spark, scratch(spark, "content-state"))
-    state.publish(done)
-    return incremental.unprocessed(current, state.read(done.schema))
+    tops = records.groupBy("feed", "scope").agg(F.max("pos").alias("top"))
+    name = hashlib.sha256(d.encode()).hexdigest()[:16]
+    state = incremental.ContentState(spark, f"{shared_dir(spark)}/content-state-{STATE_FORM}-{name}")
+    return incremental.take_up(state, current, _runs(spark, d), tops)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_lines, p3_found, p3_paths, p3_later, p3_cycles, p4_found, p5_found, p6_found, p6_weeks, p6_closings, p7_found)}

@@ -2,6 +2,7 @@
 
 import json
 import random
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pytest
@@ -89,6 +90,24 @@ def test_expand(small, spark):
     assert {r["id"]: r["hop"] for r in n.collect()} == {"a": 0, "b": 1, "h": 1, "c": 2, "d": 2} and ids(e) == ["1", "2", "4", "5", "6"] and lost == ("E_SEED_UNAVAILABLE",)
     with pytest.raises(EngineError):
         traverse.expand(small, seeds, 17)
+    for limit in (9, 10):
+        if limit < 10:
+            with pytest.raises(EngineError, match="E_BUDGET"):
+                traverse.expand(small, seeds, 2, limit=limit)
+        else:
+            traverse.expand(small, seeds, 2, limit=limit)
+    with pytest.raises(EngineError, match="E_BUDGET"):
+        traverse.expand(small, seeds, 2, max_seeds=1)
+
+
+def test_expand_passes_only_nodes_valid_then(spark):
+    nodes = [(x, x, "s", "t", lo, hi, []) for x, lo, hi in (("a", None, None), ("b", 50, 60), ("c", None, None), ("d", 5, None))]
+    g = Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame([edge("1", "p", "a", "b"), edge("2", "p", "b", "c"), edge("3", "p", "a", "d"), edge("4", "p", "d", "gone")], EDGE))
+    seeds = spark.createDataFrame([("a",), ("b",)], "id string")
+    for at, reached, edges in ((10, {"a": 0, "d": 1}, ["3"]), (55, {"a": 0, "b": 0, "c": 1, "d": 1}, ["1", "2", "3"]), (60, {"a": 0, "d": 1}, ["3"])):
+        n, e, lost = traverse.expand(g, seeds, 3, valid_at=at)
+        assert {r["id"]: r["hop"] for r in n.collect()} == reached and ids(e) == edges and lost == ()
+        assert set(ids(algebra.query(g, valid_at=at).edges)) == set(edges)
 
 
 def random_graph(rnd, n, m):
@@ -188,27 +207,111 @@ def test_knn_and_candidates(spark):
         vectors.nearest(df, [1.0] * 5, 0)
 
 
+def changes_of(spark, *xs):
+    return spark.createDataFrame([x if len(x) == 4 else (*x, None) for x in xs], "kind string, id string, op string, content string")
+
+
+AB = json.dumps({"src": "a", "dst": "b"})
+
+
 def test_fact_store(spark, tmp_path):
-    st = facts.FactStore(spark, str(tmp_path / "store"))
-    f = lambda *xs: spark.createDataFrame([x if len(x) == 4 else (*x, None) for x in xs], "kind string, id string, op string, content string")
-    e = json.dumps({"src": "a", "dst": "b"})
+    now = iter(range(10, 1000, 10))
+    st = facts.FactStore(spark, str(tmp_path / "store"), clock=lambda: next(now))
+    f = lambda *xs: changes_of(spark, *xs)
     assert st.head() is None and st.state().count() == 0
-    assert st.write(f(("node", "a", "assert", "1"), ("node", "b", "assert", "1"), ("edge", "e", "assert", e)), expected=None)["head"] == 0
+    assert st.write(f(("node", "a", "assert", "1"), ("node", "b", "assert", "1"), ("edge", "e", "assert", AB)), expected=None)["head"] == 0
     assert st.write(f(("node", "a", "assert", "1")))["status"] == "unchanged"
-    for bad, code in ((f(("node", "a", "retract")), "E_DEPENDENT_FACT"), (f(("edge", "z", "assert", json.dumps({"src": "a", "dst": "q"}))), "E_ENDPOINT"), (f(("node", "zz", "retract")), "E_UNKNOWN_FACT"), (f(("edge", "e", "assert", json.dumps({"src": "b", "dst": "b"}))), "E_CONFLICT")):
+    for bad, code in ((f(("node", "a", "retract")), "E_DEPENDENT_FACT"), (f(("edge", "z", "assert", json.dumps({"src": "a", "dst": "q"}))), "E_ENDPOINT"), (f(("node", "zz", "retract")), "E_UNKNOWN_FACT"), (f(("edge", "e", "assert", json.dumps({"src": "b", "dst": "b"}))), "E_CONFLICT"), (f(("node", "a", "assert", "1"), ("node", "a", "assert", "2")), "E_CONFLICT"), (f(("node", "a", "drop")), "E_OP"), (f(("node", "a", "retract"), ("edge", "y", "assert", AB)), "E_DEPENDENT_FACT")):
         with pytest.raises(EngineError, match=code):
             st.write(bad)
     with pytest.raises(EngineError, match="E_STALE_HEAD"):
         st.write(f(("node", "c", "assert", "1")), expected=5)
+    with pytest.raises(EngineError, match="E_BUDGET"):
+        st.write(f(("node", "c", "assert", "1"), ("node", "d", "assert", "1")), max_changes=1)
+    for want in (-1, 7):
+        each = f(("node", "a", "assert", "9")).withColumn("expected", F.lit(want))
+        if want == -1:
+            with pytest.raises(EngineError, match="E_STALE_FACT"):
+                st.write(each)
     st.write(f(("edge", "e", "retract"), ("node", "a", "assert", "2")), expected=0)
+    with pytest.raises(EngineError, match="E_STALE_FACT"):
+        st.write(f(("node", "a", "assert", "9")).withColumn("expected", F.lit(0)))
     st.checkpoint()
     st.write(f(("node", "b", "retract")))
     assert {r["id"]: r["content"] for r in st.state().collect()} == {"a": "2"}
     assert {r["id"] for r in st.state(0).collect()} == {"a", "b", "e"} and {r["id"] for r in st.state(1).collect()} == {"a", "b"}
     ch = {r["id"]: r["change"] for r in facts.changes(st.state(0), st.state(), ["kind", "id"]).collect()}
     assert ch == {"a": "corrected", "b": "retracted", "e": "retracted"}
+    times = [st.commit_of(i)["recorded_at_ms"] for i in range(3)]
+    assert ids(st.as_of(times[1])) == ["a", "b"] and ids(st.as_of(times[0] - 1)) == []
+    with pytest.raises(EngineError, match="E_HISTORY_TIME"):
+        st.as_of(10**9)
+    state, seen = st.recorded_query(F.lit(True), at=times[1])
+    assert ids(state) == ["a", "b"] and seen["seq"] == 1 and len(seen["revision"]) == 64
+    with pytest.raises(EngineError, match="E_HISTORY_UNAVAILABLE"):
+        st.recorded_query(F.col("id") != "b", seq=1)
     st.compact(1)
-    assert {r["id"] for r in st.state().collect()} == {"a"}
+    assert ids(st.state()) == ["a"] and ids(st.state(1)) == ["a", "b"] and st.floor() == 1
+    for read in (lambda: st.state(0), lambda: st.as_of(times[0])):
+        with pytest.raises(EngineError, match="E_HISTORY_EXPIRED"):
+            read()
+    with pytest.raises(EngineError, match="E_CHECKPOINT"):
+        st.drop_checkpoint(1)
+    st.compact(1)
+    st.checkpoint()
+    st.drop_checkpoint(2)
+    assert ids(facts.FactStore(spark, str(tmp_path / "store")).state()) == ["a"]
+
+
+def test_of_two_writers_the_first_keeps_its_rows(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    a, b = facts.FactStore(spark, path), facts.FactStore(spark, path)
+    checked = facts.FactStore._checked
+
+    def overtaken(self, *args):
+        out = checked(self, *args)
+        if self is b:
+            monkeypatch.setattr(facts.FactStore, "_checked", checked)
+            a.write(changes_of(spark, ("node", "x", "assert", "1")))
+        return out
+
+    monkeypatch.setattr(facts.FactStore, "_checked", overtaken)
+    with pytest.raises(EngineError, match="E_STALE_HEAD"):
+        b.write(changes_of(spark, ("node", "y", "assert", "1")))
+    assert ids(a.state()) == ids(b.state()) == ["x"]
+    assert b.write(changes_of(spark, ("node", "y", "assert", "1")))["head"] == 1 and ids(a.state()) == ["x", "y"]
+
+
+def test_batches_are_seen_together_and_a_snapshot_replaces(spark, tmp_path):
+    st = facts.FactStore(spark, str(tmp_path / "store"))
+    node = lambda *xs: changes_of(spark, *(("node", x, "assert", "1") for x in xs))
+    st.commit_batch({"g": node("a", "b"), "h": node("c")}, {"g": None, "h": None})
+    with pytest.raises(EngineError, match="E_STALE_HEAD"):
+        st.commit_batch({"g": node("z"), "h": node("z")}, {"g": 0, "h": 7})
+    assert ids(st.state(graph="g")) == ["a", "b"] and ids(st.state(graph="h")) == ["c"]
+    out = st.commit_batch({"g": node("d"), "h": node("c")})
+    assert out == {"g": {"status": "written", "head": 1}, "h": {"status": "unchanged", "head": 0}} and st.head("h") == 0
+    st.commit(changes_of(spark, ("node", "a", None, "2"), ("node", "q", None, "1")).drop("op"), graph="g")
+    assert {r["id"]: r["content"] for r in st.state(graph="g").collect()} == {"a": "2", "q": "1"} and ids(st.state(1, "g")) == ["a", "b", "d"]
+
+
+def test_import_writes_only_what_differs(spark, tmp_path):
+    st = facts.FactStore(spark, str(tmp_path / "store"))
+    rows = [("node", f"n{i}", "1") for i in range(40)] + [("edge", f"e{i}", json.dumps({"src": f"n{i}", "dst": f"n{i + 1}"})) for i in range(39)]
+    wanted = lambda rs: spark.createDataFrame(rs, "kind string, id string, content string")
+    first = facts.imported(st, wanted([*rows, rows[0]]), chunk=25)
+    assert (first["assert"], first["correct"], first["unchanged"]) == (79, 0, 0) and first["commits"] > 2 and st.state().count() == 79
+    assert facts.imported(st, wanted(rows), chunk=25) == {"assert": 0, "correct": 0, "unchanged": 79, "commits": 0}
+    assert facts.imported(st, wanted([("node", "n3", "2"), *rows[5:]]))["correct"] == 1
+    assert facts.imported(st, wanted([]))["commits"] == 0
+
+
+def test_facts_are_selected_by_their_keys(spark):
+    cols = "kind string, id string, entity string, subject string, object string, predicate string, valid_from long, valid_to long, recorded_at_ms long"
+    df = spark.createDataFrame([("node", "a", "E", None, None, None, None, None, 1), ("edge", "e", None, "a", "b", "p", 0, 5, 2), ("edge", "f", None, "b", "a", "q", 3, None, 3), ("space", "s", None, None, None, None, None, None, 4)], cols)
+    f = lambda **k: ids(facts.selected(df, **k))
+    assert f() == ["a", "e", "f", "s"] and f(kind="edge", valid_at=5) == ["f"] and f(subject="a") == ["e"] and f(object_="a") == ["f"]
+    assert f(recorded=(2, 4)) == ["e", "f"] and f(unanchored=True) == ["s"] and f(entity="E", predicate="p") == []
 
 
 def test_programs(spark, small):
@@ -244,10 +347,24 @@ def test_hidden_records_change_nothing(spark, small):
 
 
 def test_exact_decimals(spark):
-    df = spark.createDataFrame([("0.1", "0.2"), ("1", "3"), ("123456789012345678", "0.1"), ("2.5", "0")], "a string, b string").select(*(F.col(c).cast("decimal(38,18)").alias(c) for c in "ab"))
+    cases = [("0.1", "0.2"), ("1", "3"), ("123456789012345678", "0.1"), ("2.5", "0"), ("2", "0.1234567891"), ("0.0000000003", "3"), ("1", "0.125"), ("-1", "0.298023223876953125"), ("0", "7"), (None, "1"), ("1000000000", "1000000000"), ("-0.5", "-8")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string").select("i", *(F.col(c).cast("decimal(38,18)").alias(c) for c in "ab"))
+    rnd = random.Random(1)
+    value = lambda: Decimal(rnd.choice([1, -1]) * rnd.randrange(10 ** rnd.choice([1, 3, 6, 9]))).scaleb(-rnd.randrange(12))
+    more = [(i + 100, value(), rnd.choice([value(), Decimal(5 ** rnd.randrange(20)).scaleb(-rnd.randrange(9)), Decimal(2 ** rnd.randrange(25))])) for i in range(150)]
+    df = df.unionAll(spark.createDataFrame(more, "i int, a decimal(38,18), b decimal(38,18)"))
     a, b = F.col("a"), F.col("b")
-    r = df.select(exact.add(a, b), exact.div(a, b), exact.mul(a, b)).collect()
-    assert [x and float(x) for x in r[0]] == [0.3, 0.5, 0.02] and r[1][1] is None and r[2][0] is None and r[3][1] is None
+
+    def fits(x):
+        digits = x.normalize().as_tuple()
+        return x if len(digits.digits) <= 18 and -digits.exponent <= 18 and abs(x) < 10**20 else None
+
+    with localcontext() as c:
+        c.prec = 250
+        for r in df.select("a", "b", exact.add(a, b).alias("plus"), exact.sub(a, b).alias("minus"), exact.mul(a, b).alias("times"), exact.div(a, b).alias("by")).collect():
+            x, y = r["a"], r["b"]
+            want = (None,) * 4 if x is None else (fits(x + y), fits(x - y), fits(x * y), fits(x / y) if y and x / y * y == x else None)
+            assert (r["plus"], r["minus"], r["times"], r["by"]) == want, r
 
 
 def test_carriers_contexts_and_views(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.refs import holding, reference
 from chronolith.functions.times import text_millis
 from chronolith.operators import asknown, hierarchy, incremental, intervals, orphans
-from chronolith.operators.dyadic import interval_nodes, point_nodes
+from chronolith.operators.dyadic import cover_nodes, interval_nodes, point_nodes, step_nodes
 from chronolith.operators.prefix import running_sums, successor
 from chronolith.streaming import changes, late
 
@@ -146,8 +146,18 @@ def test_hierarchy_with_cycles_long_chains_and_a_hot_parent(spark):
     pairs = hierarchy.ancestor_pairs(got)
     assert pairs.count() == sum(d for r, d in brute_tree(links).values() if d > 0)
     assert pairs.where("ancestor = 'n0' AND descendant = 'n44'").first()["distance"] == 44
-    with pytest.raises(ValueError):
-        hierarchy.hierarchy(spark.createDataFrame(links, "child string, parent string"), levels_per_job=2, max_levels=5)
+    few = spark.createDataFrame(links, "child string, parent string")
+    for wide in (1, 2, None):
+        again = hierarchy.hierarchy(few, levels_per_job=wide)
+        assert {r["child"]: (r["root"], r["depth"]) for r in again.collect()} == brute_tree(links)
+
+
+def test_hierarchy_depth_limit_is_exact(spark):
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i - 1:02}") for i in range(1, 15)], "child string, parent string")
+    for limit in (13, 8, 1):
+        with pytest.raises(ValueError, match="E_DEPTH"):
+            hierarchy.hierarchy(chain, max_levels=limit)
+    assert hierarchy.hierarchy(chain, max_levels=14).count() == 14
 
 
 def test_hierarchy_of_nothing(spark):
@@ -167,6 +177,15 @@ def test_dyadic_nodes_cover_exactly(spark):
     assert {(r["lo"], r["hi"], r["id"]) for r in hits} == {(a, b, p) for a, b in cases for p in range(a, min(b, 256))}
 
 
+def test_covering_nodes_are_met_once(spark):
+    rnd = random.Random(2)
+    cases = [(a, a + rnd.randrange(1, 120)) for a in (rnd.randrange(0, 200) for _ in range(60))]
+    iv = spark.createDataFrame(cases, "lo long, hi long").select("lo", "hi", F.explode(cover_nodes(F.col("lo"), F.col("hi"), (1, 3, 5, 8), 0, 8)).alias("n"))
+    pt = spark.range(0, 256).select("id", F.explode(step_nodes(F.col("id"), (1, 3, 5, 8), 0, 8)).alias("n"))
+    hits = [tuple(r) for r in iv.distinct().join(pt, "n").select("lo", "hi", "id").collect()]
+    assert len(hits) == len(set(hits)) and {h for h in hits if h[0] <= h[2] < h[1]} == {(a, b, p) for a, b in cases for p in range(a, min(b, 256))}
+
+
 def test_attributes_as_known_against_brute_force(spark):
     rnd = random.Random(7)
     U = 10**11
@@ -219,28 +238,101 @@ def test_periods_and_gaps_against_brute_force(spark):
 # 6
 
 
-def test_late_records_and_closings(spark):
+def late_records():
     W, D = late.WEEK_MS, late.DAY_MS
     mon = late.WEEK_MS * 2800 + 4 * D  # a Monday
     recs = [("a", mon, mon + 1), ("a", mon + 1, mon + W), ("a", mon + 2, mon + W + 21 * D), ("a", mon + 3, mon + W + 21 * D + 1), (None, mon, mon + 2 * W), ("b", None, mon), ("b", mon, None), ("a", mon + W - 1, mon + 60 * D)]
-    df = spark.createDataFrame(recs, "source string, at long, reported long").withColumn("h", F.lit(1.0))
-    j = late.judged(df)
-    assert sorted((r["source"], r["reported"] - mon, r["verdict"]) for r in j.collect()) == sorted([("a", 1, "on_time"), ("a", W, "corrects"), ("a", W + 21 * D, "corrects"), ("a", W + 21 * D + 1, "too_late"), ("", 2 * W, "corrects"), ("a", 60 * D, "too_late")])
-    c = late.closings(j.drop("verdict"), 21 * D, 28 * D).collect()
+    return mon, recs
+
+
+def stream_of(spark, path, recs, files):
+    """The records in so many files, a micro-batch each."""
+    for i in range(files):
+        spark.createDataFrame(recs[i::files], "source string, at long, reported long").withColumn("h", F.lit(1.0)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("source string, at long, reported long, h double").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def told(events, out):
+    v = sorted(((r["source"], r["at"], r["reported"], r["verdict"]) for r in out.collect()), key=str)
+    return v, rows(events.periods()), rows(events.closings())
+
+
+def test_late_records_and_closings(spark, tmp_path):
+    mon, recs = late_records()
+    W, D = late.WEEK_MS, late.DAY_MS
+    events = late.LateEvents(spark, str(tmp_path / "s"), "h")
+    out = events.run(stream_of(spark, str(tmp_path / "in"), recs, 1))
+    assert sorted((r["source"], r["reported"] - mon, r["verdict"]) for r in out.collect()) == sorted([("a", 1, "on_time"), ("a", W, "corrects"), ("a", W + 21 * D, "corrects"), ("a", W + 21 * D + 1, "too_late"), ("", 2 * W, "corrects"), ("a", 60 * D, "too_late")])
     # source a passes the bound at its own report; the nameless source has been silent for four weeks by then
-    assert [(r["period_end"], r["closed_at"], r["n_sources"]) for r in c] == [(mon + W, mon + 2 * W + 28 * D, 2)]
-    p = late.corrected_periods(df, "h").first()
+    assert rows(events.closings()) == [(mon + W, mon + 2 * W + 28 * D, 2)]
+    p = events.periods().first()
     assert (p["n_first"], p["n_corrected"], p["n_diverted"], p["sum_corrected"]) == (1, 4, 2, 4.0)
-    assert late.closings(j.drop("verdict").limit(0), 1, 1).count() == 0 and late.judged(df.limit(0)).count() == 0
+
+
+def test_late_records_in_any_order_of_arrival_and_in_two_runs(spark, tmp_path):
+    rnd = random.Random(21)
+    W, D = late.WEEK_MS, late.DAY_MS
+    mon, few = late_records()
+    recs = few + [(rnd.choice(["a", "a", "b", "c", None]), at, at + rnd.randrange(0, 70 * D)) for at in (mon + rnd.randrange(6 * W) for _ in range(120))]
+    want = None
+    for k in range(3):
+        events = late.LateEvents(spark, str(tmp_path / f"s{k}"), "h")
+        at = str(tmp_path / f"in{k}")
+        out = events.run(stream_of(spark, at, recs[:90], 1 + k))
+        out = events.run(stream_of(spark, at, recs[90:], 1))
+        got = told(events, out)
+        want = want or got
+        assert got == want and len(got[0]) == len(recs) - 2
+        rnd.shuffle(recs)
+    bound = lambda at: (at - 4 * D) // W * W + 4 * D + W
+    for _, at, rep, verdict in want[0]:
+        assert verdict == ("on_time" if rep < bound(at) else "corrects" if rep <= bound(at) + 21 * D else "too_late")
+    # without idle time-outs a week closes no earlier, and only by reports
+    slow = {r["period_end"]: r["closed_at"] for r in late.LateEvents(spark, str(tmp_path / "s0"), "h", idle_ms=10**15).closings().collect()}
+    assert all(slow[end] is None or slow[end] >= at for end, at, _ in want[2] if at is not None) and len(slow) == len(want[2])
+
+
+def test_late_events_survive_a_killed_run(spark, tmp_path, monkeypatch):
+    mon, recs = late_records()
+    whole = late.LateEvents(spark, str(tmp_path / "a"), "h")
+    want = told(whole, whole.run(stream_of(spark, str(tmp_path / "in"), recs, 3)))
+    stream = spark.readStream.schema("source string, at long, reported long, h double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    events, calls = late.LateEvents(spark, str(tmp_path / "b"), "h"), []
+    real = late.claim
+
+    def dies(spark_, path, text):
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("killed before the swap")
+        done = real(spark_, path, text)
+        if len(calls) == 4:
+            raise RuntimeError("killed after the swap")
+        return done
+
+    monkeypatch.setattr(late, "claim", dies)
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            events.run(stream)
+    assert told(events, events.run(stream)) == want and len(calls) == 4
+
+
+def test_late_events_of_nothing(spark, tmp_path):
+    events = late.LateEvents(spark, str(tmp_path / "s"), "h")
+    out = events.run(stream_of(spark, str(tmp_path / "in"), late_records()[1][5:7], 1))
+    assert told(events, out) == ([], [], [])
+    assert rows(late.LateEvents(spark, str(tmp_path / "none")).closings()) == []
 
 
 # 7
 
 
-def test_incremental_against_brute_force(spark, tmp_path):
-    rnd = random.Random(13)
-    runs = [("f", rnd.choice(["s", "t"]), a, a + rnd.randrange(0, 30), rnd.randrange(100)) for a in (rnd.randrange(0, 80) for _ in range(12))] + [("f", None, 0, 9, 5), ("f", "s", None, 9, 5)]
-    recs = [("f", rnd.choice(["s", "t", ""]), rnd.randrange(1, 90), rnd.randrange(100), rnd.randrange(3)) for _ in range(300)]
+def content_case(rnd, n_runs=12, n_recs=300):
+    runs = [("f", rnd.choice(["s", "t"]), a, a + rnd.randrange(0, 30), rnd.randrange(100)) for a in (rnd.randrange(0, 80) for _ in range(n_runs))] + [("f", None, 0, 9, 5), ("f", "s", None, 9, 5)]
+    recs = [("f", rnd.choice(["s", "t", ""]), rnd.randrange(1, 90), rnd.randrange(100), rnd.randrange(3)) for _ in range(n_recs)]
+    return runs, recs
+
+
+def brute_unprocessed(runs, recs):
     want = set()
     for key in {r[:3] for r in recs}:
         mine = [r for r in recs if r[:3] == key]
@@ -248,22 +340,71 @@ def test_incremental_against_brute_force(spark, tmp_path):
         first = min(r[3] for r in mine if r[4] == last[2])
         if not any(sc == key[1] and a is not None and a < key[2] <= b and first <= st for _, sc, a, b, st in runs):
             want.add(key)
+    return want
+
+
+def taken_up(spark, state, runs, recs):
     df = spark.createDataFrame([(f, s, p, t, c * 7, c) for f, s, p, t, c in recs], "feed string, scope string, pos long, received long, h1 long, h2 long")
-    cur = incremental.content_versions(df)
     rs = spark.createDataFrame(runs, "feed string, scope string, after_pos long, upto_pos long, started long")
-    done = incremental.processed(cur, incremental.covered_until(rs, df.groupBy("feed", "scope").agg(F.max("pos").alias("top"))))
-    assert done.count() == done.distinct().count()
-    state = incremental.ContentState(spark, str(tmp_path / "state"))
-    assert state.version() == 0 and state.read(done.schema).count() == 0
-    state.publish(done)
-    got = incremental.unprocessed(cur, state.read(done.schema))
-    assert {tuple(r) for r in got.collect()} == want
-    # everything is processed now; nothing is left, and the state before the swap is untouched by a leftover
-    (tmp_path / "state" / "v2").mkdir()
-    (tmp_path / "state" / "v2" / "junk").write_text("half written")
-    assert state.version() == 1
-    state.publish(cur.select("feed", "scope", "pos", "h1", "h2"))
-    assert state.version() == 2 and incremental.unprocessed(cur, state.read(done.schema)).count() == 0
+    got = incremental.take_up(state, incremental.content_versions(df), rs, df.groupBy("feed", "scope").agg(F.max("pos").alias("top")))
+    out = [tuple(r) for r in got.collect()]
+    assert len(out) == len(set(out))
+    return set(out)
+
+
+def test_incremental_over_several_runs_with_changes_and_crashes(spark, tmp_path, monkeypatch):
+    rnd = random.Random(13)
+    runs, recs = content_case(rnd)
+    path = str(tmp_path / "state")
+    state = lambda: incremental.ContentState(spark, path)
+    assert state().version() == 0 and state().read().count() == 0
+    assert taken_up(spark, state(), runs, recs) == brute_unprocessed(runs, recs) and state().version() == 1
+    held = rows(state().read())
+    assert taken_up(spark, state(), runs, recs) == brute_unprocessed(runs, recs) and state().version() == 1
+    # more runs and changed records; the run dies between write and swap and leaves what holds as it was
+    more_runs, more = [r[:4] + (r[4] + 100,) for r in content_case(rnd)[0][:5]], [(f, s, p, t + 100, c) for f, s, p, t, c in content_case(rnd)[1][:80]]
+    real = incremental.claim
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(incremental, "claim", dies)
+    with pytest.raises(RuntimeError, match="killed"):
+        taken_up(spark, state(), runs + more_runs, recs + more)
+    monkeypatch.setattr(incremental, "claim", real)
+    assert state().version() == 1 and rows(state().read()) == held
+    assert taken_up(spark, state(), runs + more_runs, recs + more) == brute_unprocessed(runs + more_runs, recs + more)
+    assert state().version() == 2 and len(rows(state().read())) > len(held)
+    # a run that was taken back: contents are judged anew
+    fewer = runs[3:] + more_runs
+    assert taken_up(spark, state(), fewer, recs + more) == brute_unprocessed(fewer, recs + more)
+    before = rows(state().read())
+    state().forget(keep=1)
+    assert rows(state().read()) == before
+    assert taken_up(spark, state(), fewer, recs + more) == brute_unprocessed(fewer, recs + more)
+    monkeypatch.setattr(incremental, "FOLDERS", 1)
+    last = [*fewer, ("f", "s", 0, 90, 500)]
+    assert taken_up(spark, state(), last, recs + more) == brute_unprocessed(last, recs + more)
+    assert taken_up(spark, state(), last, recs + more) == brute_unprocessed(last, recs + more)
+
+
+def test_of_two_runs_at_a_time_the_first_to_swap_wins(spark, tmp_path):
+    runs, recs = content_case(random.Random(3))
+    a, b = (incremental.ContentState(spark, str(tmp_path / "state")) for _ in range(2))
+    taken_up(spark, a, runs, recs)
+    held = rows(a.read())
+    with pytest.raises(ValueError, match="E_STALE_STATE"):
+        b.publish("other", spark.createDataFrame([], incremental.RUN), 0)
+    assert rows(a.read()) == held and b.version() == 1
+
+
+def test_incremental_of_nothing(spark, tmp_path):
+    runs, recs = content_case(random.Random(3))
+    none = incremental.ContentState(spark, str(tmp_path / "state"))
+    df = spark.createDataFrame([], "feed string, scope string, pos long, received long, h1 long, h2 long")
+    tops = df.groupBy("feed", "scope").agg(F.max("pos").alias("top"))
+    assert incremental.take_up(none, incremental.content_versions(df), spark.createDataFrame(runs, incremental.RUN), tops).count() == 0
+    assert len(taken_up(spark, incremental.ContentState(spark, str(tmp_path / "other")), runs[:0] or runs[-2:], recs)) == len({r[:3] for r in recs})
 
 
 def test_content_hash_tells_nulls_apart(spark):
