@@ -2,30 +2,31 @@
 
 Method: suffix arrays.  Each partition of the corpus is a shard.  Its texts
 become word numbers (of the words that occur in the evaluation items; all
-others are 0 and match nothing), and the suffixes that begin with at least
-``seed`` known words are sorted.  Every suffix of every item is looked up by
-binary search; the stretch of the array it falls into gives all places with a
-verbatim match of ``seed`` words or more.  The matches of an item in a document
-are then aligned exactly: the longest run of the item with at most one word in
-ten changed, added or left out.
-
-The items are a fixed set (TESTDATA: 300 rows, fixed); their words are sent to
-the shards, bounded by ``max_item_words``, beyond which an error is raised.
+others are 0 and match nothing), and all their suffixes are sorted, to the depth
+of the longest item.  Every suffix of every item is looked up by binary search;
+the stretch of the array it falls into gives all places with a verbatim match
+of so many words as any carried run must hold in one piece: e changed words
+part a run of L words into e + 1 pieces, so one has (L - e) / (e + 1) words or
+more.  No window is left out for being frequent.  From these places an item
+and a page are aligned exactly: the longest run of the item with at most one
+word in ten changed, added or left out, and the longest verbatim match.
+
+Items are sent to the shards in blocks of a bounded size; one block is one
+pass over the corpus, so any number of items can be searched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chronolith.llm.words import spellings, words
+from chronolith.session import written
 
-#: Depth in words to which suffixes are sorted.  Longer matches are followed in the text itself.
-DEPTH = 8
-#: Places of seeds in a shard that are aligned at a time.
+#: Places of matches in a shard that are aligned at a time.
 HITS = 1_000_000
 #: Beginnings of runs that are followed at a time.
 STARTS = 4096
@@ -34,107 +35,112 @@ FOUND = "item_id long, doc_id long, " + ", ".join(f"{c} int" for c in PLACES)
 
 
 class Items:
-    """Evaluation items as word numbers, with the array of their suffixes."""
+    """A block of evaluation items as word numbers; items of one wording are searched once."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], share: float, slack: float, seed: int = 5, stock: float = 0.05):
-        self.share, self.slack, self.seed = share, slack, seed
-        vocab: dict[bytes, int] = {}
-        texts = [(i, [vocab.setdefault(w, len(vocab) + 1) for w in words(t)], t) for i, t in rows if t]
+    def __init__(self, rows: Iterable[tuple[int, str | None]], share: float, slack: float):
+        self.share, self.slack = share, slack
+        self.vocab: dict[bytes, int] = {}
+        texts = [(i, [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(t)], t) for i, t in rows if t]
         for _, _, t in texts:
             for base, *more in spellings(t):
                 for m in more:
-                    vocab.setdefault(m, vocab[base])
-        self.vocab = vocab
-        copies: dict[tuple[int, ...], list[int]] = {}  # items of one wording are searched once
+                    self.vocab.setdefault(m, self.vocab[base])
+        copies: dict[tuple[int, ...], list[int]] = {}
         for i, w, _ in texts:
             if w:
                 copies.setdefault(tuple(w), []).append(i)
         self.ids = list(copies.values())
-        self.words = [np.array(w, np.int32) for w in copies]
+        self.words = [np.array(w, np.int64) for w in copies]
         self.least = np.array([max(1, int(np.ceil(share * len(w) - 1e-9))) for w in self.words], np.int64)
-        # seeds: windows of `seed` words (of the whole least run where that is shorter, all of one length per search)
-        self.by_len: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in {int(min(seed, n)) for n in self.least}:
-            at = [(x, p) for x, w in enumerate(self.words) if min(seed, self.least[x]) == k for p in range(len(w) - k + 1)]
-            item, pos = np.array([a[0] for a in at], np.int64), np.array([a[1] for a in at], np.int64)
-            keys = _keys([self.words[x][p : p + k] for x, p in at], k)
-            # windows that many items share are stock phrases: they count in an alignment but start none, in items that
-            # any carried run can be found in without them; all other items are looked up by all their windows
-            _, inv = np.unique(keys, return_inverse=True)
-            pairs = np.unique(inv.astype(np.int64) * (len(self.words) + 1) + item)
-            n = np.bincount(pairs // (len(self.words) + 1))
-            own = n[inv] <= max(3, int(stock * len(self.words)))
-            ends = np.searchsorted(item, np.arange(len(self.words) + 1))
-            for x in np.unique(item[~own]):
-                part = slice(ends[x], ends[x + 1])
-                own[part] |= not _enough(own[part], k, int(self.least[x]), slack)
-            order = np.argsort(keys[own], kind="stable")
-            self.by_len[k] = (keys[own][order], item[own][order], pos[own][order])
-        # a run of L words with e edits still has L - k + 1 - k e intact windows of k words
-        self.windows = [_rolling(w.astype(np.uint64), int(min(seed, n))) for w, n in zip(self.words, self.least)]
-        self.intact = [max(1, min(L - k + 1 - k * int(slack * L + 1e-9) for L in range(int(n), len(w) + 1))) for w, n in zip(self.words, self.least) for k in [int(min(seed, n))]]
+        self.piece = np.array([piece(int(least), len(w), slack) for least, w in zip(self.least, self.words)], np.int64)
+        self.starts = np.cumsum([0, *(len(w) + 1 for w in self.words)])
+        self.flat = np.zeros(int(self.starts[-1]) + 1, np.int64)
+        for s, w in zip(self.starts, self.words):
+            self.flat[s : s + len(w)] = w
+        # every suffix that is long enough for a piece: item, place in the item, words looked up
+        at = [(x, p) for x, w in enumerate(self.words) for p in range(len(w) - int(self.piece[x]) + 1)]
+        self.item, self.pos = (np.array([a[i] for a in at], np.int64) for i in range(2))
+        self.look = self.piece[self.item]
+        self.depth = max(map(len, self.words), default=1)
 
     def numbers(self, text: str | None) -> list[int]:
         get = self.vocab.get
         return [get(w, 0) for w in words(text)]
 
 
-def _enough(own: np.ndarray, k: int, least: int, slack: float) -> bool:
-    """Whether every run of ``least`` words or more keeps one of its own windows of k words, wherever its edits fall."""
-    upto, n = np.concatenate(([0], np.cumsum(own))), len(own) + k - 1
-    edits = [int(slack * L + 1e-9) for L in range(least, n + 1)]
-    # of the runs with equally many edits allowed, the shortest hold the fewest windows
-    shortest = [least + j for j, e in enumerate(edits) if j == 0 or e > edits[j - 1]]
-    return all((upto[L - k + 1 :] - upto[: len(upto) - (L - k + 1)]).min() > k * edits[L - least] for L in shortest)
-
-
-def _keys(rows: list[np.ndarray], depth: int) -> np.ndarray:
-    m = np.zeros((len(rows), depth), ">u4")
-    for i, r in enumerate(rows):
-        m[i, : min(depth, len(r))] = r[:depth]
-    return m.view(f"S{4 * depth}").ravel()
-
-
-def _rolling(flat: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every window of k numbers."""
-    h = np.zeros(len(flat) - k + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + flat[i : len(flat) - k + 1 + i]
-    return h
+def piece(least: int, n: int, slack: float) -> int:
+    """Words in one piece that every run of ``least`` to ``n`` words keeps, wherever its edits fall."""
+    edits = lambda length: int(slack * length + 1e-9)
+    return min(max(1, -(-(length - edits(length)) // (edits(length) + 1))) for length in range(least, n + 1))
 
 
 class Shard:
-    """The suffix array of one shard's texts, to a depth of DEPTH words."""
+    """The suffix array of one shard's texts, sorted to ``depth`` words (or to the next unknown word).
+
+    Prefix doubling: suffixes are sorted by as many words as fit a machine word,
+    then those that are still equal by the rank of what follows, twice as deep each
+    round."""
 
-    def __init__(self, texts: list[list[int]], least: int):
+    def __init__(self, texts: list[list[int]], depth: int):
         self.starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        flat = np.zeros(int(self.starts[-1]) + DEPTH + 1, np.uint32)
+        n = int(self.starts[-1])
+        flat = np.zeros(n + 1, np.int64)
         for s, t in zip(self.starts, texts):
             flat[s : s + len(t)] = t
         self.flat = flat
-        known = flat != 0
-        live = known.copy()
-        for k in range(1, least):  # a suffix that can't match `least` words is not in the array
-            live[:-k] &= known[k:]
-        at = np.flatnonzero(live)
-        m = np.zeros((len(at), DEPTH), ">u4")
-        on = np.ones(len(at), bool)
-        for k in range(DEPTH):
-            on &= known[np.minimum(at + k, len(flat) - 1)]
-            m[on, k] = flat[at[on] + k]
-        keys = m.view(f"S{4 * DEPTH}").ravel()
-        order = np.argsort(keys, kind="stable")
-        self.suffixes, self.keys = at[order], keys[order]
-
-    def find(self, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each sorted key of k words: first and last place in the array with that beginning."""
-        raw = np.frombuffer(keys.tobytes(), np.uint8).reshape(len(keys), -1)[:, : 4 * k]
-        low, high = np.zeros((len(keys), 4 * DEPTH), np.uint8), np.full((len(keys), 4 * DEPTH), 255, np.uint8)
-        low[:, : 4 * k] = raw
-        high[:, : 4 * k] = raw
-        as_key = lambda x: np.ascontiguousarray(x).view(f"S{4 * DEPTH}").ravel()
-        return np.searchsorted(self.keys, as_key(low), "left"), np.searchsorted(self.keys, as_key(high), "right")
+        stops = np.flatnonzero(flat == 0)
+        known = stops[np.searchsorted(stops, np.arange(n + 1))] - np.arange(n + 1)  # words up to the next unknown one
+        at = np.flatnonzero(flat)
+        bits = max(1, int(flat.max(initial=0)).bit_length())
+        wide = max(1, 62 // bits)
+        key = np.zeros(len(at), np.int64)
+        for k in range(wide):
+            key = (key << bits) | np.where(known[at] > k, flat[np.minimum(at + k, n)], 0)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        rank = np.zeros(n + 1, np.int64)  # 1 + first place in the array of the suffixes equal so far
+        first = np.concatenate(([True], key[1:] != key[:-1])) if len(at) else np.zeros(0, bool)
+        rank[at] = np.flatnonzero(first)[np.cumsum(first) - 1] + 1 if len(at) else 0
+        while wide < depth and len(at):
+            size = np.diff(np.concatenate((np.flatnonzero(first), [len(at)])))
+            tied = np.flatnonzero((np.repeat(size, size) > 1) & (known[at] >= wide))
+            if not len(tied):
+                break
+            some = at[tied]
+            key = rank[some] * (n + 2) + rank[np.minimum(some + wide, n)]
+            order = np.argsort(key, kind="stable")
+            at[tied], key = some[order], key[order]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            first[tied] = new
+            rank[at[tied]] = tied[np.flatnonzero(new)[np.cumsum(new) - 1]] + 1
+            wide *= 2
+        self.suffixes = at
+
+    def bounds(self, flat: np.ndarray, at: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query (``look`` words of ``flat`` from ``at``): first and last place in the array that begins with it."""
+        return self._bisect(flat, at, look, False), self._bisect(flat, at, look, True)
+
+    def _bisect(self, flat: np.ndarray, at: np.ndarray, look: np.ndarray, beyond: bool) -> np.ndarray:
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.suffixes), np.int64)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) // 2
+            less = self._before(flat, at[open_], look[open_], self.suffixes[mid], beyond)
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo
+
+    def _before(self, flat: np.ndarray, at: np.ndarray, look: np.ndarray, suffix: np.ndarray, beyond: bool) -> np.ndarray:
+        """Whether suffixes come before their queries (``beyond``: also those that begin with them)."""
+        out = np.full(len(at), beyond)
+        live, k, end = np.arange(len(at)), 0, len(self.flat) - 1
+        while len(live := live[look[live] > k]):
+            a, b = self.flat[np.minimum(suffix[live] + k, end)], flat[at[live] + k]
+            differ = a != b
+            out[live[differ]] = (a < b)[differ]
+            live, k = live[~differ], k + 1
+        return out
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,34 +208,58 @@ def _followed(item: np.ndarray, text: np.ndarray, pad: int, a: np.ndarray, d: np
     return best
 
 
-def longest_verbatim(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
-    """Words of the longest verbatim match anywhere, its place in the item and in the text; the first of equals."""
-    best, run = (0, 0, 0), np.zeros(len(doc) + 1, np.int64)
-    for i, x in enumerate(item):
-        run[1:] = np.where(doc == x, run[:-1] + 1, 0)
-        j = int(run.argmax())
-        if run[j] > best[0]:
-            best = (int(run[j]), i + 1 - int(run[j]), j - int(run[j]))
-    return best
+def longest_verbatim(pos: np.ndarray, place: np.ndarray, look: int) -> tuple[int, int, int]:
+    """From the places of an item's suffixes in a text: words of the longest verbatim match, and where it begins in the item
+    and in the text; the first of equals.
+
+    Matches of suffixes that follow each other on one diagonal are one match."""
+    order = np.lexsort((pos, place - pos))
+    p, q = pos[order], place[order]
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(q - p) != 0) | (np.diff(p) != 1))))
+    length = np.diff(np.concatenate((cut, [len(p)]))) + look - 1
+    best = np.lexsort((q[cut], p[cut], -length))[0]
+    return int(length[best]), int(p[cut[best]]), int(q[cut[best]])
 
 
-def leaked(documents: DataFrame, rows: list[tuple[int, str | None]], doc_id: str = "doc_id", text: str = "text", share: float = 0.4, slack: float = 0.1, shard_chars: int = 16_000_000, max_item_words: int = 5_000_000) -> DataFrame:
+def leaked(
+    documents: DataFrame, items: DataFrame | Iterable[tuple[int, str | None]], doc_id: str = "doc_id", text: str = "text",
+    share: float = 0.4, slack: float = 0.1, shard_chars: int = 16_000_000, block_chars: int = 20_000_000,
+) -> DataFrame:
     """Rows (item_id, doc_id, and PLACES): documents that carry an item, how much of it and where.
 
     An item is carried if a run of at least ``share`` of its words stands in the
     text in order, with at most ``slack`` of the run's words changed, added or
     left out.  ``run_words`` is the length of the longest such run,
     ``verbatim_words`` that of the longest verbatim match; ``*_item_at`` and
-    ``*_page_at`` are where they begin, in words() from 0.  Whole texts are read.  Null and empty texts
-    carry nothing; items without words are never found; a document given twice
-    is found twice.  Shards are cut off at ``shard_chars`` characters to bound
-    memory, between documents, so nothing is lost.
+    ``*_page_at`` are where they begin, in words() from 0.  Whole texts are read.
+
+    Null and empty texts carry nothing; items without words are never found; a
+    document given twice is found twice; one without an id can't be named and is
+    left out.  Shards are cut off at ``shard_chars`` characters to bound memory,
+    between documents, so nothing is lost.  ``items``: (item_id, text), a frame or
+    rows; they come in blocks of ``block_chars`` characters, of which the driver and
+    each task hold one at a time; where there are several, each pass is written.
     """
-    items = Items([(int(i), t) for i, t in rows if i is not None], share, slack)
-    if sum(map(len, items.words)) > max_item_words:
-        raise ValueError("E_BUDGET: the evaluation items are too large to be sent to every shard")
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(items)
+    rows = ((r["item_id"], r["text"]) for r in items.select("item_id", "text").toLocalIterator()) if isinstance(items, DataFrame) else iter(items)
+    found, block, size = None, [], 0
+
+    def searched(more: bool) -> DataFrame:
+        out = _searched(documents.select(doc_id, text), Items(block, share, slack), shard_chars)
+        out = written(out, "leaks") if more or found is not None else out
+        return out if found is None else found.unionAll(out)
+
+    for i, t in rows:
+        if i is None:
+            continue
+        if block and size + len(t or "") > block_chars:
+            found, block, size = searched(True), [], 0
+        block.append((int(i), t))
+        size += len(t or "")
+    return searched(False)
+
+
+def _searched(documents: DataFrame, items: Items, shard_chars: int) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = shared.value
@@ -248,7 +278,7 @@ def leaked(documents: DataFrame, rows: list[tuple[int, str | None]], doc_id: str
         if ids:
             yield _matches(it, ids, texts)
 
-    return documents.select(doc_id, text).mapInArrow(search, FOUND)
+    return documents.mapInArrow(search, FOUND)
 
 
 def _pairs(shard: Shard, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
@@ -264,27 +294,24 @@ def _pairs(shard: Shard, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, pos:
 
 def _matches(it: Items, ids: list[int], texts: list[list[int]]) -> pa.RecordBatch:
     out: list[tuple[int, ...]] = []
-    if it.by_len:
-        shard = Shard(texts, min(it.by_len))
-        found = [(*shard.find(keys, k), item, pos) for k, (keys, item, pos) in it.by_len.items()]
-        lo, hi, item, pos = (np.concatenate(c) for c in zip(*found))
+    if len(it.item):
+        shard = Shard(texts, it.depth)
+        lo, hi = shard.bounds(it.flat, it.starts[it.item] + it.pos, it.look)
         # items go in blocks of about HITS places, so that phrases on many pages don't fill the memory
-        block = np.cumsum(np.bincount(item, hi - lo, len(it.words))) // HITS
-        flat64 = shard.flat.astype(np.uint64)
-        rolled = {k: _rolling(flat64, k) for k in it.by_len}
-        for group in (g for b in np.unique(block) for g in _pairs(shard, *(c[block[item] == b] for c in (lo, hi, item, pos)))):
-            x, d = int(group[0, 0]), int(group[1, 0])
-            w, least = it.words[x], int(it.least[x])
-            at = shard.starts[d]
-            if it.intact[x] > 1 and np.isin(it.windows[x], rolled[int(min(it.seed, least))][at : at + len(texts[d])]).sum() < it.intact[x]:
-                continue
-            doc = shard.flat[at : at + len(texts[d])].astype(np.int64)
-            run = longest_run(w, doc, least, it.slack, group[3] - group[2])
-            if run:
-                places = (run[0], len(w), *run[1:], *longest_verbatim(w, doc))
-                out.extend((i, ids[d], *places) for i in it.ids[x])
+        block = np.cumsum(np.bincount(it.item, hi - lo, len(it.words))) // HITS
+        for b in np.unique(block):
+            of = block[it.item] == b
+            for group in _pairs(shard, lo[of], hi[of], it.item[of], it.pos[of]):
+                x, d = int(group[0, 0]), int(group[1, 0])
+                w = it.words[x]
+                doc = shard.flat[shard.starts[d] : shard.starts[d] + len(texts[d])]
+                run = longest_run(w, doc, int(it.least[x]), it.slack, group[3] - group[2])
+                if run:
+                    places = (run[0], len(w), *run[1:], *longest_verbatim(group[2], group[3], int(it.piece[x])))
+                    out.extend((i, ids[d], *places) for i in it.ids[x])
     cols = list(zip(*out)) if out else [[]] * (2 + len(PLACES))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], names=["item_id", "doc_id", *PLACES])
+    arrays = [pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)]
+    return pa.RecordBatch.from_arrays(arrays, names=["item_id", "doc_id", *PLACES])
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

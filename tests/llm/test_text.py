@@ -125,7 +125,8 @@ def test_longest_run_and_verbatim_match_against_brute_force():
         hits = [j - i for i in range(len(item) - 2) for j in range(len(doc) - 2) if item[i : i + 3] == doc[j : j + 3]]
         got = leaks.longest_run(a, b, least, 0.1, np.array(hits, int))
         assert (got[0] if got else 0) == whole_run(item, doc, least, 0.1), case
-        n, i, j = leaks.longest_verbatim(a, b)
+        at = [(i, j) for i in range(len(item)) for j in range(len(doc)) if item[i] == doc[j]]
+        n, i, j = leaks.longest_verbatim(*(np.array(x) for x in zip(*at)), 1) if at else (0, 0, 0)
         assert item[i : i + n] == doc[j : j + n] and not any(item[x : x + n + 1] == doc[y : y + n + 1] for x in range(len(item) - n) for y in range(len(doc) - n))
         if got:
             run, i, j = got
@@ -219,13 +220,62 @@ def test_queries_of_the_package_are_registered(spark):
     assert {"p8_found", "p9_found", "p10_found"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("k", [1, 5])
-def test_suffix_array_finds_every_place(k):
-    rnd = random.Random(k)
-    texts = [[rnd.choice([0, 1, 2, 3]) for _ in range(60)] for _ in range(5)]
-    s = leaks.Shard(texts, k)
-    keys = [np.array([1, 2, 3, 1, 2][:k]), np.array([3, 3, 1, 2, 2][:k])]
-    q = np.sort(leaks._keys(keys, k))
-    lo, hi = s.find(q, k)
-    want = [sum(t[p : p + k] == list(x) for t in texts for p in range(len(t) - k + 1)) for x in sorted(map(tuple, keys))]
-    assert [h - l for l, h in zip(lo, hi)] == want
+@pytest.mark.parametrize("letters", [2, 5, 3000])
+def test_suffix_array_is_sorted_and_finds_every_place(letters):
+    rnd = random.Random(letters)
+    texts = [[rnd.choice([0, *range(1, letters)]) for _ in range(rnd.randrange(90))] for _ in range(6)]
+    texts += [[1] * 40, [1] * 40, [], texts[0]]
+    for depth in (3, 200):
+        s = leaks.Shard(texts, depth)
+        flat = s.flat.tolist()
+        suffix = lambda p: flat[p : p + next(k for k in range(depth + 1) if k == depth or flat[p + k] == 0)]
+        got = [suffix(p) for p in s.suffixes]
+        assert got == sorted(got) and sorted(s.suffixes.tolist()) == [p for p, x in enumerate(flat) if x]
+    for k in (1, 2, 5, 30):
+        keys = [rnd.choices(range(1, letters), k=k) for _ in range(20)] + [flat[p : p + k] for p in s.suffixes[::7] if len(suffix(p)) >= k] + [[1] * k]
+        q = np.concatenate([np.array(x, np.int64) for x in keys])
+        lo, hi = s.bounds(q, np.arange(len(keys)) * k, np.full(len(keys), k))
+        for x, l, h in zip(keys, lo, hi):
+            assert {int(p) for p in s.suffixes[l:h]} == {p for p in range(len(flat)) if flat[p : p + k] == x}
+    assert len(leaks.Shard([[], [0]], 5).suffixes) == 0
+
+
+def test_every_run_keeps_a_piece():
+    for n in range(1, 70):
+        least = max(1, int(np.ceil(0.4 * n - 1e-9)))
+        k = leaks.piece(least, n, 0.1)
+        for length in range(least, n + 1):
+            e = int(0.1 * length + 1e-9)
+            # pieces as even as can be, with e words between them
+            assert -(-(length - e) // (e + 1)) >= k >= 1
+        if n >= 25:
+            assert k >= 5
+
+
+def test_items_of_stock_windows_and_of_one_text_are_found(spark):
+    rnd = random.Random(17)
+    text = lambda n: " ".join(rnd.choice(VOCAB) for _ in range(n))
+    one, page = text(40), text(60)
+    df = spark.createDataFrame([(1, f"{page} {one} {page}"), (2, page)], "doc_id long, text string")
+    many = [(i, one) for i in range(17)] + [(100 + i, text(40)) for i in range(300)]
+    assert {tuple(r)[:2] for r in leaks.leaked(df, many).collect()} == {(i, 1) for i in range(17)}
+    assert {tuple(r)[:2] for r in leaks.leaked(df, many[:4]).collect()} == {(i, 1) for i in range(4)}
+    rows = spark.createDataFrame([*many, (None, one), (7, None)], "item_id long, text string").repartition(3)
+    for block in (1, 500, 10**9):
+        got = [tuple(r)[:2] for r in leaks.leaked(df, rows if block > 1 else rows.where("item_id < 9"), block_chars=block).collect()]
+        assert sorted(got) == [(i, 1) for i in range(17 if block > 1 else 9)]
+
+
+def test_passages_in_other_scripts_are_found(spark):
+    ru = "Зимой старая мельница стояла над рекой, и никто не помнил, когда её колесо повернулось в последний раз перед большим наводнением"
+    ja = "春になると村の人々は古い橋を渡って市場へ出かけ新しい種と道具を買い求めた"
+    wrong = [ru.encode().decode("cp1251", "replace"), ru.encode().decode("cp1252", "replace")]
+    docs = [(1, f"Home | News\n{ru}. Конец."), (2, f"前文。{ja}。"), *((3 + i, f"a b c\n{w}") for i, w in enumerate(wrong)), (9, "Зимой старая река")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r)[:2] for r in leaks.leaked(df, [(1, ru), (2, ja)]).collect()}
+    assert {(1, 1), (2, 2), (1, 3)} <= got and not any(d == 9 for _, d in got)
+
+
+def test_other_scripts_leave_latin_words_alone():
+    assert words("a \u0432\u0402\u201d b") == words("a \u2014 b") == [b"a", b"b"]
+    assert len(words("\u0434\u043e\u043c \u0443 \u0440\u0435\u043a\u0438")) == 2 and words("caf\u0438") == [b"caf"]
