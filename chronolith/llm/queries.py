@@ -63,17 +63,32 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return reading.rated(_corpus(spark, d, "doc_id", "text"), table(spark, d, "graded_docs")).select("doc_id", "band").distinct()
+    rated = reading.rated(_corpus(spark, d, "doc_id", "text", "lang"), table(spark, d, "graded_docs"))
+    return rated.select("doc_id", "band").distinct()
 
 
 def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     """Pages and mean level per source and band."""
-    r = reading.rated(_corpus(spark, d, "doc_id", "text"), table(spark, d, "graded_docs"))
+    r = reading.rated(_corpus(spark, d, "doc_id", "text", "lang"), table(spark, d, "graded_docs"))
     s = _corpus(spark, d, "doc_id", "source").select("doc_id", F.coalesce(mixing.source_key("source"), F.lit("")).alias("source"))
-    return r.join(s, "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("n_pages"), F.round(F.avg("level"), 3).alias("mean_level"))
+    level = F.round(F.avg("level"), 3).alias("mean_level")
+    return r.join(s, "doc_id").groupBy("source", "band").agg(F.count(F.lit(1)).alias("n_pages"), level)
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_items, p8_clean, p9_found, p9_mix, p9_shares, p10_found, p10_profile)}
+def p10_fit(spark: SparkSession, d: str) -> DataFrame:
+    """How the fit went: objective of an occurrence and greatest change of a difficulty, by round."""
+    _, scale = reading.scaled(_corpus(spark, d, "doc_id", "text", "lang"))
+    rows = [(*h, scale.converged) for h in scale.history]
+    return spark.createDataFrame(rows, "round int, objective double, moved double, converged boolean")
+
+
+def p10_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Grades of half of the graded pages against bands fitted to the other half."""
+    scored, _ = reading.scaled(_corpus(spark, d, "doc_id", "text", "lang"))
+    return reading.held_out(scored, table(spark, d, "graded_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_items, p8_clean, p9_found, p9_mix, p9_shares, p10_found, p10_profile, p10_fit, p10_held_out)}
 
 #: p9_found holds for any measure of size (TESTDATA); the SQL takes characters.
 SQL = {

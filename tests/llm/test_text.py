@@ -190,21 +190,79 @@ def pages(rnd, n=240):
     return out
 
 
+GERMAN = "die der das und ist nicht ein eine haus baum fluss wasser stadt licht kommen gehen sehen schon immer wieder".split()
+
+
+def labelled(rnd, ps):
+    """Pages with languages, some labels wrong or missing."""
+    german = [(2000 + i, " ".join(rnd.choices(GERMAN, k=rnd.randrange(60, 120))), "de" if rnd.random() > 0.1 else "en") for i in range(60)]
+    return [(i, t, rnd.choice(["en", "en", "EN-us", None])) for i, _, t in ps] + german
+
+
 def test_reading_levels_of_held_out_pages(spark):
     rnd = random.Random(9)
     ps = pages(rnd)
-    bad = [(1000, "spare pump 317-A 360.39 EUR\n" * 30), (1001, ""), (1002, None), (1003, "404 - not found"), (1004, "die der das und ist nicht ein eine " * 20), (1005, ps[0][2]), (1006, "Дом стоял у реки. " * 40)]
-    df = spark.createDataFrame([*((i, t) for i, _, t in ps), *bad], "doc_id long, text string").withColumn("level", F.lit("clash")).repartition(4)
+    ps[200] = (200, "hard", ps[200][2] + " " + " ".join(rnd.choice(EASY) for _ in range(40)))
+    bad = [(1000, "spare pump 317-A 360.39 EUR\n" * 30, "en"), (1001, "", "en"), (1002, None, "en"), (1003, "404 - not found", None), (1004, "Дом стоял у реки. " * 40, "en"), (1005, ps[0][2], "de"), (None, ps[1][2], "en")]
+    df = spark.createDataFrame([*labelled(rnd, ps), *bad], "doc_id long, text string, lang string").withColumn("level", F.lit("clash")).repartition(4)
     graded = spark.createDataFrame([(i, f"r{k}", g if rnd.random() > 0.1 else "middle") for i, g, _ in ps[:60] for k in (1, 2)], "doc_id long, rater string, grade string").withColumn("grade", F.upper("grade"))
-    got = {r["doc_id"]: r["band"] for r in reading.rated(df, graded).collect()}
+    scored, scale = reading.scaled(df)
+    got = {r["doc_id"]: r["band"] for r in reading.banded(scored, graded).collect()}
     held = [(got.get(i), b) for i, b, _ in ps[60:]]
-    assert np.mean([a == b for a, b in held]) > 0.95
+    assert np.mean([a == b for a, b in held]) > 0.95 and got[200] == "hard"
     assert set(got) == {i for i, _, _ in ps} | {1005}
-    none = reading.rated(df, graded.limit(0)).collect()
+    gains = np.diff([h[1] for h in scale.history])
+    assert scale.converged and (gains > -1e-3).all() and gains.sum() > 0.01
+    told = reading.held_out(scored, graded).collect()
+    assert sum(r["n"] for r in told if r["grade"] == r["band"]) > 0.8 * sum(r["n"] for r in told) > 0
+    none = reading.banded(scored, graded.limit(0)).collect()
     assert len(none) == len(got) and {r["band"] for r in none} == {None}
     assert reading.rated(df.limit(0), graded).count() == 0
 
 
+def test_languages_are_told_by_their_letters(spark):
+    rnd = random.Random(4)
+    rows = labelled(rnd, pages(rnd, 90))
+    df = spark.createDataFrame([*rows, (1, None, "en"), (2, "", "de"), (3, "12 34", "de")], "doc_id long, text string, lang string")
+    model = reading.language_model(df, np.zeros(0, np.int64))
+    assert model.labels == ["de", "en"]
+    more = labelled(random.Random(5), pages(random.Random(6), 60))
+    assert np.mean([model.is_english(t) == (i < 2000) for i, t, _ in more]) > 0.98
+    assert np.mean([reading.language_model(df, np.zeros(0, np.int64), labelled=60).is_english(t) == (i < 2000) for i, t, _ in more]) > 0.95
+    none = reading.language_model(df.withColumn("lang", F.lit(None).cast("string")), np.zeros(0, np.int64))
+    assert none.labels == [] and none.is_english("whatever")
+    assert not reading.language_model(df.where("doc_id >= 2000 AND lang = 'de'"), np.zeros(0, np.int64)).is_english("the house")
+
+
+def test_word_step_and_levels_maximise_the_stated_likelihood():
+    """Against brute force: the objective from its formula, and no better level on a fine grid."""
+    rnd = np.random.default_rng(3)
+    scale = reading.Scale(rnd.normal(size=40), rnd.normal(size=40)).tabulate()
+    p = np.exp(scale.a[:, None] + scale.b[:, None] * reading.GRID)
+    assert np.allclose(scale.log_z, np.log(p.sum(axis=0))) and np.allclose(scale.mean, (scale.b @ p) / p.sum(axis=0))
+    import pyarrow as pa
+
+    docs = [rnd.integers(0, 40, n).tolist() for n in (7, 15, 100, 31)] + [[]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(docs, pa.list_(pa.int32()))], names=["doc_id", "at"])
+    r = reading.read(batch, scale, rounds=50)
+    log_p = lambda ws, t: sum(scale.a[w] + scale.b[w] * t - np.interp(t, reading.GRID, scale.log_z) for w in ws)
+
+    def of(ws, t):
+        total = -t * t / 2
+        for c in range(0, len(ws), reading.STRETCH):
+            s = ws[c : c + reading.STRETCH]
+            own = np.array([log_p(s, u) - u * u / 2 for u in reading.GRID])
+            integral = np.log(np.exp(own - own.max()).sum() * (reading.GRID[1] - reading.GRID[0]) / np.sqrt(2 * np.pi)) + own.max()
+            total += np.logaddexp(np.log(1 - reading.QUOTED) + log_p(s, t), np.log(reading.QUOTED) + integral)
+        return total
+
+    assert abs(sum(of(ws, t) for ws, t in zip(docs, r.level)) - r.objective) < 0.02 * len(docs)
+    for ws, t in zip(docs, r.level):
+        near = [of(ws, u) for u in np.linspace(t - 0.3, t + 0.3, 13)]
+        assert of(ws, t) >= max(near) - 0.01
+    assert r.level[4] == 0
+
+
 def test_a_page_mirrored_many_times_is_no_boilerplate(spark):
     rnd = random.Random(3)
     ps = pages(rnd, 60)
