@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.errors import EngineError
+from chronolith.model import POSITIVE, Graph
+from chronolith.operators.algebra import edge_filter
 from chronolith.session import checkpointed
 
 
@@ -80,3 +82,26 @@ def evidence(links: DataFrame, offset: int, limit: int) -> DataFrame:
 def zoom(tree: DataFrame, cluster: str) -> DataFrame:
     """Direct members of a cluster."""
     return tree.where(F.col("cluster") == cluster).select("level", "child")
+
+
+def clustered(g: Graph, predicate: str, levels: int, valid_at: int) -> Graph:
+    """hierarchy() as a graph: a leaf for each node, a node for each cluster, and ``cluster:member`` edges that hold at
+    ``valid_at``; ``cluster:frontier`` edges lead from the clustering to what stands on top.  Coverage is partial.
+
+    Links are the positive edges of the predicate that hold then; nodes without links are leaves on top."""
+    links = g.edges.where(edge_filter(predicate, valid_at=valid_at) & (F.col("polarity") == POSITIVE)).select("src", "dst")
+    tree = checkpointed(hierarchy(g.nodes, links, levels))
+    all_ = g.nodes.select("id").unionAll(tree.select("cluster")).distinct()
+    top = all_.join(tree.select(F.col("child").alias("id")), "id", "left_anti")
+    none, nobody = F.lit(None).cast("long"), F.array().cast("array<string>")
+    made = lambda df, kind: df.select("id", F.col("id").alias("entity_id"), F.lit("cluster").alias("space_id"), F.lit(kind).alias("type_id"), none.alias("valid_start"), none.alias("valid_end"), nobody.alias("readers"))
+    manifest = g.nodes.sparkSession.createDataFrame([("cluster:manifest",)], "id string")
+    clusters = tree.select(F.col("cluster").alias("id")).distinct()
+    nodes = made(g.nodes.select("id").distinct(), "Leaf").unionAll(made(clusters, "Cluster")).unionAll(made(manifest, "Manifest"))
+    pairs = tree.select(F.lit("cluster:member").alias("predicate"), F.col("cluster").alias("src"), F.col("child").alias("dst"))
+    pairs = pairs.unionAll(top.select(F.lit("cluster:frontier"), F.lit("cluster:manifest"), "id"))
+    edges = pairs.select(
+        F.concat_ws("/", "predicate", "src", "dst").alias("id"), "predicate", "src", "dst", F.lit(valid_at).cast("long").alias("valid_start"), F.lit(valid_at + 1).cast("long").alias("valid_end"),
+        F.lit(POSITIVE).alias("polarity"), F.lit(None).cast("string").alias("context"), nobody.alias("readers"),
+    )
+    return Graph(nodes, edges, None, "partial", ("I_CLUSTER_SCOPED",))

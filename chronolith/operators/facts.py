@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -274,8 +275,66 @@ class FactStore:
             remove(self.spark, f"{self.path}/segments/{self.commit_of(seq)['segments'][graph]}")
             seq = self.commit_of(seq)["before"].get(graph)
 
+    def graphs(self) -> list[str]:
+        """Names of the graphs that have a commit."""
+        tip = self.tip()
+        return [] if tip is None else sorted(self.commit_of(tip)["last"])
+
+    def lookup(self, kind: str, id_: str, graph: str = MAIN) -> str | None:
+        """The content of one fact in force; None if there is none."""
+        hit = self.state(graph=graph).where((F.col("kind") == kind) & (F.col("id") == id_)).first()
+        return hit["content"] if hit else None
+
+    def audit(self, after: int = -1, limit: int = 256) -> tuple[list[dict], int | None]:
+        """A page of commits in order, {seq, revision, recorded_at_ms, graphs}, and where the next begins (None: at the end)."""
+        if not 1 <= limit <= 256:
+            raise EngineError("E_PAGE", str(limit))
+        tip = self.tip()
+        upto = min(after + limit, tip if tip is not None else -1)
+        seqs = range(after + 1, upto + 1)
+        rows = [{"seq": i, **{k: self.commit_of(i)[k] for k in ("revision", "recorded_at_ms")}, "graphs": sorted(self.commit_of(i)["segments"])} for i in seqs]
+        return rows, upto if tip is not None and upto < tip else None
+
+    def export(self, path: str, graph: str = MAIN) -> dict:
+        """Write the state of a graph's head to a folder that can be carried elsewhere, with its count and digest."""
+        head = self.head(graph)
+        if head is None:
+            raise EngineError("E_HISTORY_UNAVAILABLE", graph)
+        self.state(head, graph).write.parquet(f"{path}/facts")
+        told = {"graph": graph, "head": head, "revision": self.commit_of(head)["revision"], **_digest(self.spark.read.parquet(f"{path}/facts"))}
+        if not claim(self.spark, f"{path}/manifest.json", json.dumps(told)):
+            raise EngineError("E_CAPSULE", "there is one already")
+        return told
+
+    def import_export(self, path: str, graph: str, max_changes: int = MAX_CHANGES) -> dict:
+        """Make an exported state a new graph; one whose facts are not those of its manifest is E_CAPSULE."""
+        told = json.loads(read_text(self.spark, f"{path}/manifest.json"))
+        facts = self.spark.read.schema("kind string, id string, content string").parquet(f"{path}/facts")
+        if any(told[k] != v for k, v in _digest(facts).items()):
+            raise EngineError("E_CAPSULE", "the facts are not those of the manifest")
+        return self.write(facts.withColumn("op", F.lit("assert")), None, max_changes, graph)
+
     # writes -----------------------------------------------------------------------------------
 
+    def fork(self, graph: str, to: str) -> dict:
+        """A new graph that begins with the state of another's head (E_STALE_HEAD if it exists)."""
+        n = self.state(graph=graph)
+        return self.write(n.withColumn("op", F.lit("assert")), None, n.count() + 1, to)
+
+    def integrate(self, proposal: str, base: int, graph: str = MAIN, max_changes: int = MAX_CHANGES) -> dict:
+        """Write what a fork changed since it was made from revision ``base`` of a graph.
+
+        A fact that the graph has changed since then too is E_STALE_FACT, and nothing is written."""
+        changed = changes(self.state(base, graph), self.state(graph=proposal), ["kind", "id"])
+        since = changes(self.state(base, graph), self.state(graph=graph), ["kind", "id"]).select("kind", "id", F.col("after").alias("now"))
+        both = changed.join(since, ["kind", "id"]).where(~F.col("after").eqNullSafe(F.col("now")))
+        if not both.isEmpty():
+            raise EngineError("E_STALE_FACT", "changed on both sides")
+        done = since.select("kind", "id")
+        op_ = F.when(F.col("change") == "retracted", "retract").otherwise("assert")
+        todo = changed.join(done, ["kind", "id"], "left_anti").select("kind", "id", op_.alias("op"), F.col("after").alias("content"))
+        return self.write(todo, self.head(graph), max_changes, graph)
+
     def write(self, facts: DataFrame, expected: object = NO_CHECK, max_changes: int = MAX_CHANGES, graph: str = MAIN) -> dict:
         """Atomic write of (kind, id, op, content[, expected]); op assert or retract.
 
@@ -299,6 +358,8 @@ class FactStore:
 
     def commit_batch(self, changes: dict[str, DataFrame], expected: dict[str, object] | None = None, max_changes: int = MAX_CHANGES) -> dict[str, dict]:
         """Writes to several graphs that become visible together, or not at all."""
+        if bad := [g for g in changes if not re.fullmatch(r"[A-Za-z0-9_.]+(-[A-Za-z0-9_.]+)*", g)]:
+            raise EngineError("E_GRAPH", ", ".join(bad))
         expected, tip = expected or {}, self.tip()
         heads = {g: None if tip is None else self.commit_of(tip)["last"].get(g) for g in changes}
         for g, want in expected.items():
@@ -366,6 +427,13 @@ class FactStore:
         return real
 
 
+def _digest(facts: DataFrame) -> dict:
+    """Rows and a sum of row hashes, whatever their order."""
+    row = F.xxhash64("kind", "id", "content", F.col("content").isNull()).cast("decimal(38,0)")
+    n, total = facts.agg(F.count(F.lit(1)), F.sum(row)).first()
+    return {"n": n, "digest": str(total or 0)}
+
+
 def imported(store: FactStore, wanted: DataFrame, chunk: int = MAX_CHANGES, graph: str = MAIN) -> dict:
     """Idempotent import of (kind, id, content): only what differs is written, nodes before edges, ``chunk`` changes at most at a time.
 

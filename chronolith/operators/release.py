@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.errors import EngineError, within
 from chronolith.model import Graph
 
 
@@ -14,6 +15,38 @@ def release_counts(nodes: DataFrame, by: list[str], min_k: int) -> DataFrame:
     return g.select(*by, F.when(F.col("_n") >= min_k, F.col("_n")).alias("n"), (F.col("_n") >= min_k).alias("released"))
 
 
+MAX_PERSISTED = 10_000
+
+
+def persisted(g: Graph, results: DataFrame, key: str, valid_at: int) -> Graph:
+    """Results (id, value) of a computation over a graph as attachments of its nodes.
+
+    Whoever may read them must have been able to read all that went in: they list
+    the readers that every restricted input lists, or nobody at all if these share
+    none (``-``, no one's name).  More than MAX_PERSISTED are E_BUDGET; an id that is
+    no node is E_PROJECT_MEMBER."""
+    within(results, MAX_PERSISTED)
+    if not results.join(g.nodes.select("id"), "id", "left_anti").isEmpty():
+        raise EngineError("E_PROJECT_MEMBER", "an id is not in the graph")
+    listed = g.nodes.select("readers").unionAll(g.edges.select("readers")).where(F.size("readers") > 0)
+    lists = listed.select(F.array_sort(F.array_distinct("readers")).alias("r")).withColumn("_one", F.lit(1))
+    n = lists.count()
+    shared = lists.select(F.explode("r").alias("who")).groupBy("who").count().where(F.col("count") == n).select("who").orderBy("who").limit(MAX_PERSISTED)
+    names = [r["who"] for r in shared.collect()] if n else []
+    readers = F.array(*(F.lit(x) for x in (names or (["-"] if n else [])))).cast("array<string>")
+    made = results.select(
+        F.concat_ws(":", F.lit(key), "id").alias("id"), F.lit("node").alias("host_kind"), F.col("id").alias("host_id"), F.lit(key).alias("key"),
+        F.col("value").cast("string").alias("value"), F.lit(valid_at).cast("long").alias("valid_start"), F.lit(None).cast("long").alias("valid_end"), readers.alias("readers"),
+    )
+    return g.with_(attachments=made if g.attachments is None else g.attachments.unionByName(made, allowMissingColumns=True))
+
+
+def release_audit(released: DataFrame, min_k: int, at: int, who: str) -> DataFrame:
+    """What was told to whom: one row for each count asked for, released or not, without the count."""
+    keys = [c for c in released.columns if c not in ("n", "released")]
+    return released.select(F.lit(at).alias("asked_at"), F.lit(who).alias("principal"), F.lit(min_k).alias("min_k"), F.to_json(F.struct(*keys)).alias("key"), "released")
+
+
 def describe(g: Graph) -> DataFrame:
     """(what, name, n): visible nodes by type and space, edges by predicate, attachments by key."""
     parts = [(g.nodes, "type_id", "type"), (g.nodes, "space_id", "space"), (g.edges, "predicate", "predicate")] + ([(g.attachments, "key", "attachment")] if g.attachments is not None else [])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.errors import EngineError
+from chronolith.model import ALL, Graph
 from chronolith.session import checkpointed
 
 KEY = ["predicate", "src", "dst", "negative", "valid_start", "valid_end"]
@@ -102,3 +103,21 @@ def reason(facts: DataFrame, rules: Sequence[Rule], max_rounds: int = MAX_ROUNDS
         if fresh.isEmpty():
             return derived
     raise EngineError("E_RULE_BUDGET", "rounds")
+
+
+def reasoned(g: Graph, rules: Sequence[Rule], allow_cross_space: bool = False, **limits) -> Graph:
+    """The graph with one ``rule:`` edge more for each derived fact; given edges stay, also where they are derived too.
+
+    A head between two spaces is E_RULE_SPACE unless allowed."""
+    facts = reason(g.edges, rules, **limits)
+    name = F.concat(F.lit("rule:"), F.substring(F.sha2(F.to_json(F.struct(*KEY), {"ignoreNullFields": "false"}), 256), 1, 32))
+    made = facts.select(
+        name.alias("id"), "predicate", "src", "dst", "valid_start", "valid_end", F.when(F.col("negative"), "negative").otherwise("positive").alias("polarity"),
+        F.lit(None if g.selection == ALL else g.selection).cast("string").alias("context"), F.array().cast("array<string>").alias("readers"),
+    )
+    if not allow_cross_space:
+        space = g.nodes.select("id", "space_id").distinct()
+        of = lambda end, as_: space.select(F.col("id").alias(end), F.col("space_id").alias(as_))
+        if not made.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").where("_a <> _b").isEmpty():
+            raise EngineError("E_RULE_SPACE", "a derived edge joins two spaces")
+    return g.with_(edges=g.edges.unionByName(made, allowMissingColumns=True))

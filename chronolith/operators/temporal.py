@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.model import POSITIVE, Graph
+from chronolith.model import ALL, POSITIVE, Graph
+from chronolith.operators.algebra import same_context
 from chronolith.operators.intervals import meet, overlap
 
 RELATIONS = ("before", "meets", "overlaps", "within")
@@ -44,6 +45,53 @@ def path_join(left: Graph, right: Graph, output_predicate: str) -> DataFrame:
     return both.select("left_id", "right_id", F.lit(output_predicate).alias("predicate"), "src", "dst", s.alias("valid_start"), e.alias("valid_end"))
 
 
+def _pair_id(kind: str, *cols: str) -> Column:
+    return F.concat(F.lit(f"{kind}:"), F.substring(F.sha2(F.concat_ws("\u0000", *cols), 256), 1, 32))
+
+
+def _wrapped(g: Graph, edges: DataFrame, end: str) -> DataFrame:
+    """Nodes of a graph as the ends of occurrences: each occurrence has its own, of the same entity and space."""
+    real, own = F.col(f"_{end}"), F.col(end)
+    of = edges.select(own.alias("_own"), real.alias("_real"))
+    n = g.nodes.select(F.col("id").alias("_real"), *(c for c in g.nodes.columns if c != "id"))
+    return of.join(n, "_real").select(F.col("_own").alias("id"), *(c for c in g.nodes.columns if c != "id"))
+
+
+def _occurrences(pairs: DataFrame, left: Graph, right: Graph) -> Graph:
+    """A graph of made edges (id, predicate, _src, _dst, times): positive, of default context, public, with wrapped ends."""
+    same_context(left, right)
+    ends = {"src": left, "dst": right}
+    edges = pairs.select(
+        "id", "predicate", *(F.concat(F.col("id"), F.lit(f"/{e}")).alias(e) for e in ends), "valid_start", "valid_end", F.lit(POSITIVE).alias("polarity"),
+        F.lit(None if left.selection == ALL else left.selection).cast("string").alias("context"), F.array().cast("array<string>").alias("readers"),
+        *(F.col(f"_{e}") for e in ends), *(["_in"] if "_in" in pairs.columns else []),
+    )
+    if "_in" in pairs.columns:  # both ends of an occurrence are of the side it comes from
+        parts = [_wrapped(g, edges.where(F.col("_in") == side), e) for side, g in (("left", left), ("right", right)) for e in ends]
+    else:
+        parts = [_wrapped(g, edges, e) for e, g in ends.items()]
+    nodes = parts[0]
+    for p in parts[1:]:
+        nodes = nodes.unionByName(p, allowMissingColumns=True)
+    coverage = "complete" if left.coverage == right.coverage == "complete" else "partial"
+    return Graph(nodes.distinct(), edges.drop("_src", "_dst", "_in"), None, coverage, left.diagnostics + right.diagnostics, left.selection)
+
+
+def joined(left: Graph, right: Graph, output_predicate: str) -> Graph:
+    """path_join() as a graph that can be joined again: an edge for each pair, its ends wrapped, the middle left out."""
+    p = path_join(left, right, output_predicate)
+    return _occurrences(p.select(_pair_id("join", "left_id", "right_id").alias("id"), "predicate", F.col("src").alias("_src"), F.col("dst").alias("_dst"), "valid_start", "valid_end"), left, right)
+
+
+def sequenced(left: Graph, right: Graph, name: str, window: tuple[int, int]) -> Graph:
+    """sequence() as a graph: two clipped edges for each pair, of their own predicates, with their own ends."""
+    s = sequence(left, right, name, window)
+    own = lambda g: g.edges.select(F.col("id").alias("edge_id"), "predicate", F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+    parts = [s.where(F.col("role") == role).join(own(g), "edge_id").withColumn("_in", F.lit(role)) for role, g in (("left", left), ("right", right))]
+    both = parts[0].unionByName(parts[1]).withColumn("id", _pair_id("sequence", "left_id", "right_id", "role"))
+    return _occurrences(both, left, right)
+
+
 def sequence(left: Graph, right: Graph, name: str, window: tuple[int, int]) -> DataFrame:
     """Pairs in a temporal relation, tested on the whole intervals; both must reach into the window.
 

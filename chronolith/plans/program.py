@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chronolith.errors import EngineError, within
 from chronolith.model import Graph
-from chronolith.operators import access, algebra, cluster, facts, rules, temporal, traverse, vectors
+from chronolith.operators import accepted, access, algebra, cluster, facts, rules, temporal, traverse, vectors
 
 MAX_COMMANDS, MAX_NODES, MAX_DEPTH = 1000, 1000, 32
 
@@ -37,8 +37,11 @@ KINDS: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
     "expand": (("input",), ("seeds", "hops"), ("direction", "predicates", "valid_at", "limit")),
     "changes": (("before", "after"), (), ("limit",)),
     "nearest": (("candidates",), ("space", "query", "k"), ()),
-    "reason": (("input",), ("rules",), ()),
-    "cluster": (("input",), ("predicate", "levels"), ("valid_at",)),
+    "reason": (("input",), ("rules",), ("allow_cross_space",)),
+    "cluster": (("input",), ("predicate", "levels", "valid_at"), ()),
+    "query_mount": ((), ("mount",), ("predicate", "from", "to", "valid_at")),
+    "metadata": (("input",), ("host_kind", "host_id", "key"), ()),
+    "typed_context": (("input",), ("selection", "definition"), ()),
 }
 OPTIONAL_OPERANDS = {"nearest": {"candidates"}}
 COMMANDS = {"bind": ("name", "expression"), "evaluate": ("expression",)}
@@ -98,6 +101,10 @@ class Catalog:
     spark: SparkSession
     graphs: dict[str, Callable[[int | None], Graph]]
     spaces: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)
+    #: Mounts: name -> (graph, as-of ms or None for a live alias).
+    mounts: dict[str, tuple[str, int | None]] = field(default_factory=dict)
+    #: Typed contexts (context, axes).
+    contexts: DataFrame | None = None
     #: One clause a principal; None: everything is seen (no principal).
     clauses: list[list[str]] | None = None
 
@@ -131,6 +138,25 @@ def evaluate(x: dict, cat: Catalog, names: dict) -> Graph | DataFrame:
     ids = lambda xs: cat.spark.createDataFrame([(i,) for i in xs], "id string")
     if k in ("query", "as_of"):
         return algebra.query(cat.graph(x["graph_id"], x.get("unix_millis")), x.get("predicate"), x.get("from"), x.get("to"), x.get("valid_at"))
+    if k == "query_mount":
+        if x["mount"] not in cat.mounts:
+            raise EngineError("E_MOUNT", x["mount"])
+        return algebra.query(cat.graph(*cat.mounts[x["mount"]]), x.get("predicate"), x.get("from"), x.get("to"), x.get("valid_at"))
+    if k == "metadata":
+        g = sub["input"]
+        if g.attachments is None:
+            return Graph(g.nodes.limit(0), g.edges.limit(0), None, "partial", ("E_METADATA_UNAVAILABLE",))
+        hit = g.attachments.where((F.col("host_kind") == x["host_kind"]) & (F.col("host_id") == x["host_id"]) & (F.col("key") == x["key"]))
+        named = [r["value"] for r in hit.select("value").limit(2).collect()]
+        if len(named) != 1 or named[0] not in cat.graphs:
+            return Graph(g.nodes.limit(0), g.edges.limit(0), None, "partial", ("E_METADATA_UNAVAILABLE",))
+        to = cat.graph(named[0])
+        made = algebra.metadata(g, x["host_kind"], x["host_id"], x["key"], to.edges.withColumn("graph_id", F.lit(named[0])))
+        return made.with_(nodes=to.nodes).pruned()
+    if k == "typed_context":
+        if cat.contexts is None or accepted.typed_context(cat.contexts.where(F.col("context") == x["selection"]), x["definition"]).isEmpty():
+            raise EngineError("E_CONTEXT_TYPE", str(x["selection"]))
+        return algebra.context(sub["input"], x["selection"])
     if k == "reference":
         if x["name"] not in names:
             raise EngineError("E_REFERENCE", x["name"])
@@ -146,15 +172,16 @@ def evaluate(x: dict, cat: Catalog, names: dict) -> Graph | DataFrame:
     if k == "union":
         return algebra.union(sub["left"], sub["right"])
     if k == "diff":
-        return algebra.diff(sub["before"], sub["after"])
+        return algebra.diff_graph(sub["before"], sub["after"])
     if k == "join":
-        return temporal.path_join(sub["left"], sub["right"], x["output_predicate"])
+        return temporal.joined(sub["left"], sub["right"], x["output_predicate"])
     if k == "sequence":
-        return temporal.sequence(sub["left"], sub["right"], x["relation"], tuple(x["window"]))
+        return temporal.sequenced(sub["left"], sub["right"], x["relation"], tuple(x["window"]))
     if k == "window":
         return temporal.window(sub["input"], x["start"], x["end"])
     if k == "support":
-        return algebra.support(sub["input"].edges.where(F.col("predicate") == x["predicate"]), ["predicate", "src", "dst"], x["valid_at"])
+        claims = sub["input"].edges.where(F.col("predicate") == x["predicate"])
+        return algebra.support_graph(claims, ["predicate", "src", "dst"], x["valid_at"])
     if k == "expand":
         how = (x["hops"], x.get("direction", "out"), x.get("predicates"), x.get("valid_at"), x.get("limit", 10_000))
         nodes, edges, lost = traverse.expand(sub["input"], ids(x["seeds"]), *how)
@@ -170,11 +197,10 @@ def evaluate(x: dict, cat: Catalog, names: dict) -> Graph | DataFrame:
         return vectors.nearest(df, x["query"], x["k"], metric, candidates=sub["candidates"].nodes if "candidates" in sub else None)
     if k == "reason":
         atom = lambda a: rules.Atom(a["predicate"], a["from"], a["to"], a.get("negative", False))
-        return rules.reason(sub["input"].edges, [rules.Rule(atom(r["head"]), tuple(atom(b) for b in r["body"])) for r in x["rules"]])
+        made = [rules.Rule(atom(r["head"]), tuple(atom(b) for b in r["body"])) for r in x["rules"]]
+        return rules.reasoned(sub["input"], made, x.get("allow_cross_space", False))
     if k == "cluster":
-        g = sub["input"]
-        e = g.edges.where(algebra.edge_filter(x["predicate"], valid_at=x.get("valid_at")) & (F.col("polarity") == "positive"))
-        return cluster.hierarchy(g.nodes, e.select("src", "dst"), x["levels"])
+        return cluster.clustered(sub["input"], x["predicate"], x["levels"], x["valid_at"])
     raise EngineError("E_EXPRESSION", k)
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions.refs import holding, millis, reference
-from chronolith.model import EDGE_COLS, NODE_COLS, Graph
+from chronolith.model import ATTACHMENT_COLS, EDGE_COLS, NODE_COLS, Graph
 from chronolith.operators.access import reader_list
+from chronolith.operators.facts import changes
 from chronolith.sources.tables import table
 
 THIRTY_DAYS = 30 * 86_400_000
-NONE = F.lit
 
 
 def _id(kind: str, *cols: str) -> Column:
@@ -65,12 +65,34 @@ def star(spark: SparkSession, d: str) -> Graph:
     return Graph(nodes, edges)
 
 
-def fleet(spark: SparkSession, d: str) -> Graph:
+def unit_records(g: Graph) -> DataFrame:
+    """(unit, kind, id, content) of the edges that touch a unit, the attachments on it and itself."""
+    e = g.edges.select(F.explode(F.array("src", "dst")).alias("unit"), F.lit("edge").alias("kind"), "id", F.to_json(F.struct(*EDGE_COLS)).alias("content"))
+    n = g.nodes.select(F.col("id").alias("unit"), F.lit("node").alias("kind"), "id", F.to_json(F.struct(*NODE_COLS)).alias("content"))
+    both = e.unionAll(n)
+    if g.attachments is not None:
+        body = F.to_json(F.struct(*ATTACHMENT_COLS)).alias("content")
+        both = both.unionAll(g.attachments.where("host_kind = 'node'").select(F.col("host_id").alias("unit"), F.lit("attachment").alias("kind"), "id", body))
+    return both.where("unit LIKE 'unit:%'").distinct()
+
+
+def unit_changes(before: Graph, after: Graph) -> DataFrame:
+    """(unit, kind, id, change): records of each unit that were added, removed or corrected between two states."""
+    found = changes(unit_records(before), unit_records(after), ["unit", "kind", "id"])
+    name = F.when(F.col("change") == "asserted", "added").when(F.col("change") == "retracted", "removed").otherwise("corrected")
+    return found.select("unit", "kind", "id", name.alias("change"))
+
+
+def fleet(spark: SparkSession, d: str, recorded_by: int | None = None) -> Graph:
     """Units, parts, firmware and sensors; installed_in, runs and measured_by over the rows that hold, with their
     intervals; maintenance notes as attachments of units.  Rows without an interval, or whose reference means
-    none, give no edge."""
+    none, give no edge.  ``recorded_by``: as rows recorded by that time (ms) told."""
+    def told(name: str) -> DataFrame:
+        t = table(spark, d, name)
+        return t if recorded_by is None else t.where(millis("recorded_at") <= recorded_by)
+
     def rows(name: str, key: str, *cols: str) -> DataFrame:
-        h = holding(table(spark, d, name), key, "recorded_at", [key, "serial", "valid_from", "valid_to", "readers", "recorded_at", *cols])
+        h = holding(told(name), key, "recorded_at", [key, "serial", "valid_from", "valid_to", "readers", "recorded_at", *cols])
         return h.withColumn("lo", millis("valid_from")).withColumn("hi", millis("valid_to")).where("lo IS NOT NULL AND (hi IS NULL OR hi > lo) AND serial IS NOT NULL")
 
     pi, fi, sm = rows("part_installs", "install_id", "part_serial"), rows("firmware_installs", "install_id", "firmware_id").withColumn("fw", reference("firmware_id", lower=True)), rows("sensor_mounts", "mount_id", "sensor_id").withColumn("sn", reference("sensor_id"))
@@ -82,7 +104,7 @@ def fleet(spark: SparkSession, d: str) -> Graph:
     ])
     ends = edges.select(F.explode(F.array("src", "dst")).alias("x")).distinct()
     nodes = _node(ends, F.col("x"), F.col("x"), "fleet", "thing").withColumn("type_id", F.substring_index("id", ":", 1))
-    notes = holding(table(spark, d, "maintenance"), "work_order", "recorded_at", ["work_order", "serial", "note", "started_at", "readers", "deleted_at", "recorded_at"]).where("note IS NOT NULL AND started_at IS NOT NULL AND deleted_at IS NULL")
+    notes = holding(told("maintenance"), "work_order", "recorded_at", ["work_order", "serial", "note", "started_at", "readers", "deleted_at", "recorded_at"]).where("note IS NOT NULL AND started_at IS NOT NULL AND deleted_at IS NULL")
     att = notes.select(_id("note", "work_order").alias("id"), F.lit("node").alias("host_kind"), _id("unit", "serial").alias("host_id"), F.lit("hw:note").alias("key"), F.col("note").alias("value"), millis("started_at").alias("valid_start"), F.lit(None).cast("long").alias("valid_end"), reader_list("readers").alias("readers"))
     return Graph(nodes, edges, att)
 
