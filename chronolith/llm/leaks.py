@@ -30,6 +30,8 @@ from chronolith.session import written
 HITS = 1_000_000
 #: Beginnings of runs that are followed at a time.
 STARTS = 4096
+#: Words of the windows that are counted before a page and an item are aligned, and how many words can be told in them.
+TRIPLE, MAX_VOCAB = 3, 1 << 21
 PLACES = ["run_words", "item_words", "run_item_at", "run_page_at", "verbatim_words", "verbatim_item_at", "verbatim_page_at"]
 FOUND = "item_id long, doc_id long, " + ", ".join(f"{c} int" for c in PLACES)
 
@@ -45,6 +47,8 @@ class Items:
             for base, *more in spellings(t):
                 for m in more:
                     self.vocab.setdefault(m, self.vocab[base])
+        if len(self.vocab) >= MAX_VOCAB:
+            raise ValueError("E_BUDGET: a block of items with too many different words")
         copies: dict[tuple[int, ...], list[int]] = {}
         for i, w, _ in texts:
             if w:
@@ -62,12 +66,24 @@ class Items:
         self.item, self.pos = (np.array([a[i] for a in at], np.int64) for i in range(2))
         self.look = self.piece[self.item]
         self.depth = max(map(len, self.words), default=1)
+        # a run of L words with e edits keeps L - TRIPLE + 1 - TRIPLE e windows of TRIPLE words
+        self.windows = [packed(w) for w in self.words]
+        self.intact = [min(L - TRIPLE + 1 - TRIPLE * int(slack * L + 1e-9) for L in range(int(n), len(w) + 1)) for n, w in zip(self.least, self.words)]
 
     def numbers(self, text: str | None) -> list[int]:
         get = self.vocab.get
         return [get(w, 0) for w in words(text)]
 
 
+def packed(flat: np.ndarray) -> np.ndarray:
+    """Every window of TRIPLE word numbers (of 21 bits) as one number."""
+    n = max(0, len(flat) - TRIPLE + 1)
+    out = np.zeros(n, np.int64)
+    for i in range(TRIPLE):
+        out = (out << 21) | flat[i : i + n]
+    return out
+
+
 def piece(least: int, n: int, slack: float) -> int:
     """Words in one piece that every run of ``least`` to ``n`` words keeps, wherever its edits fall."""
     edits = lambda length: int(slack * length + 1e-9)
@@ -223,7 +239,7 @@ def longest_verbatim(pos: np.ndarray, place: np.ndarray, look: int) -> tuple[int
 
 def leaked(
     documents: DataFrame, items: DataFrame | Iterable[tuple[int, str | None]], doc_id: str = "doc_id", text: str = "text",
-    share: float = 0.4, slack: float = 0.1, shard_chars: int = 16_000_000, block_chars: int = 20_000_000,
+    share: float = 0.4, slack: float = 0.1, shard_chars: int = 16_000_000, block_chars: int = 8_000_000,
 ) -> DataFrame:
     """Rows (item_id, doc_id, and PLACES): documents that carry an item, how much of it and where.
 
@@ -299,12 +315,15 @@ def _matches(it: Items, ids: list[int], texts: list[list[int]]) -> pa.RecordBatc
         lo, hi = shard.bounds(it.flat, it.starts[it.item] + it.pos, it.look)
         # items go in blocks of about HITS places, so that phrases on many pages don't fill the memory
         block = np.cumsum(np.bincount(it.item, hi - lo, len(it.words))) // HITS
+        windows = packed(shard.flat)
         for b in np.unique(block):
             of = block[it.item] == b
             for group in _pairs(shard, lo[of], hi[of], it.item[of], it.pos[of]):
                 x, d = int(group[0, 0]), int(group[1, 0])
-                w = it.words[x]
-                doc = shard.flat[shard.starts[d] : shard.starts[d] + len(texts[d])]
+                w, at, end = it.words[x], shard.starts[d], shard.starts[d] + len(texts[d])
+                if it.intact[x] > 1 and np.isin(it.windows[x], windows[at:end]).sum() < it.intact[x]:
+                    continue
+                doc = shard.flat[at:end]
                 run = longest_run(w, doc, int(it.least[x]), it.slack, group[3] - group[2])
                 if run:
                     places = (run[0], len(w), *run[1:], *longest_verbatim(group[2], group[3], int(it.piece[x])))
