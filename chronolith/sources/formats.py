@@ -57,7 +57,7 @@ def read_updates(spark: SparkSession, path: str, schema: StructType, columns: di
 
 def read_batch(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A JSON batch {source?, tables: {name: [row]}}, a file each: (source, tables), as strict as read_updates."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     flat = scratch(spark, "batch")
     whole.select(F.regexp_replace("value", r"[\r\n]+", " ")).write.text(flat)
     return read_updates(spark, flat, schema)

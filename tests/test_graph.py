@@ -319,7 +319,7 @@ def test_programs(spark, small):
     b = program.build
     q = b["query"](graph_id="g")
     out = program.run([program.bind("x", q), program.ask(b["expand"](input=b["reference"](name="x"), seeds=["a"], hops=2)), program.ask(b["diff"](before=b["filter"](input=q, predicate="q"), after=q))], cat)
-    assert ids(out[0].nodes) == ["a", "b", "c"] and out[1].count() > 0
+    assert ids(out[0].nodes) == ["a", "b", "c"] and out[1].attachments.count() > 0
     for text, code in (('{"version":1,"commands":[],"x":1}', "E_FIELD"), ('{"version":2,"commands":[]}', "E_VERSION"), ('{"version":1,"version":1,"commands":[]}', "E_DUPLICATE_KEY"), ('{"version":1,"commands":[{"kind":"drop"}]}', "E_COMMAND"), ('{"version":1,"commands":[{"kind":"evaluate","expression":{"kind":"query"}}]}', "E_FIELD"), ('{"version":1,"commands":[{"kind":"evaluate","expression":{"kind":"query","graph_id":NaN}}]}', "E_NUMBER"), ("{", "E_JSON")):
         with pytest.raises(EngineError, match=code):
             program.run(text, cat)
@@ -327,6 +327,198 @@ def test_programs(spark, small):
         program.run([program.ask(b["expand"](input=q, seeds=["a"], hops=2, limit=1))], cat)
 
 
+def test_programs_nest_and_mount(spark, small):
+    contexts = spark.createDataFrame([("x", {"n": "5"})], "context string, axes map<string,string>")
+    cat = program.Catalog(spark, {"g": lambda at: small}, mounts={"m": ("g", None)}, contexts=contexts)
+    b = program.build
+    q = b["query"](graph_id="g")
+    p = b["filter"](input=q, predicate="p")
+    inner = b["join"](left=p, right=p, output_predicate="pp")
+    outer = b["join"](left=inner, right=b["filter"](input=q, predicate="q"), output_predicate="ppq")
+    rule = [{"head": {"predicate": "r", "from": "?x", "to": "?y"}, "body": [{"predicate": "pp", "from": "?x", "to": "?y"}]}]
+    asked = [outer, b["reason"](input=inner, rules=rule), b["sequence"](left=p, right=p, relation="overlaps", window=[0, 100]), b["support"](input=b["query_mount"](mount="m"), predicate="p", valid_at=4), b["cluster"](input=q, predicate="p", levels=1, valid_at=6), b["typed_context"](input=q, selection="x", definition={"n": {"type": "integer"}}), b["expand"](input=b["union"](left=inner, right=q), seeds=["a"], hops=1)]
+    got = program.run([program.ask(x) for x in asked], cat)
+    entity = {r["id"]: r["entity_id"] for r in got[0].nodes.collect()}
+    # a-b [0,10) and b-c [5,20) give a-c [5,10), which then meets c-d
+    assert [(entity[r["src"]], entity[r["dst"]], r["valid_start"], r["valid_end"]) for r in got[0].edges.collect()] == [("a", "d", 5, 10)]
+    assert {r["predicate"] for r in got[1].edges.collect()} == {"pp", "r"}
+    assert got[2].edges.count() == 2 * temporal.sequence(*(small.with_(edges=small.edges.where("predicate = 'p'")),) * 2, "overlaps", (0, 100)).select("left_id", "right_id").distinct().count()
+    states = {r["value"] for r in got[3].attachments.collect()}
+    assert states == {"conflicted", "supported", "unknown"} and got[3].edges.count() == small.edges.where("predicate = 'p' AND valid_start <= 4 AND (valid_end IS NULL OR valid_end > 4)").count()
+    assert got[4].coverage == "partial" and got[4].edges.where("predicate = 'cluster:member'").count() > 0
+    assert ids(got[5].edges) == ["7"] and set(ids(got[6].edges)) >= {"1", "4", "6"}
+    with pytest.raises(EngineError, match="E_CONTEXT"):
+        program.run([program.ask(b["union"](left=b["context"](input=q, selection="x"), right=q))], cat)
+    for bad, code in ((b["query_mount"](mount="none"), "E_MOUNT"), (b["typed_context"](input=q, selection="x", definition={"k": {"type": "string"}}), "E_CONTEXT_TYPE")):
+        with pytest.raises(EngineError, match=code):
+            program.run([program.ask(bad)], cat)
+
+
+def test_union_by_origin_and_identity(spark, small):
+    n = lambda *xs: spark.createDataFrame([(*x[:2], "s", "t", None, None, [], x[2]) for x in xs], f"{NODE}, origin string")
+    e = spark.createDataFrame([], f"{EDGE}, origin string")
+    a, b = Graph(n(("1", "E", "g@1"), ("2", "F", None)), e), Graph(n(("9", "E", "g@1"), ("2", "F", None), ("3", "E", "g@2")), e)
+    assert ids(algebra.union(a, b).nodes) == ["1", "2", "3"]
+    assert {(r["id"], r["membership"]) for r in algebra.diff(a, b).collect()} == {("1", "kept"), ("2", "kept"), ("3", "added")}
+    nodes = [("p", "E", "phys"), ("d", "E", "digi"), ("z", "F", "digi")]
+    g = Graph(spark.createDataFrame([(i, en, sp, "t", None, None, []) for i, en, sp in nodes], NODE), spark.createDataFrame([edge("1", "same", "p", "d")], EDGE))
+    assert ids(algebra.counterparts(g, "E", "phys", "digi", 1).nodes) == ["d", "p"]
+    wrong = g.with_(edges=g.edges.unionAll(spark.createDataFrame([edge("2", "same", "p", "z")], EDGE)))
+    with pytest.raises(EngineError, match="E_IDENTITY"):
+        algebra.counterparts(wrong, "E", "phys", "digi", 1)
+    refs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("a", None)], "graph_id string, ref_graph string")
+    start = spark.createDataFrame([("a",)], "graph_id string")
+    assert {tuple(r) for r in algebra.metadata_closure(refs, start).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    with pytest.raises(EngineError, match="E_BUDGET"):
+        algebra.metadata_closure(refs, start, max_graphs=2)
+
+
+def test_results_are_kept_for_those_who_may_read_all(spark, small):
+    results = spark.createDataFrame([("a", 1), ("b", 2)], "id string, value int")
+    g = release.persisted(small, results, "degree", 5)
+    kept = g.attachments.where("key = 'degree'").collect()
+    assert sorted(r["host_id"] for r in kept) == ["a", "b"] and all(r["readers"] == ["bob"] for r in kept)
+    two = small.with_(edges=small.edges.unionAll(spark.createDataFrame([edge("8", "p", "a", "b", readers=["ann"])], EDGE)))
+    assert {tuple(r["readers"]) for r in release.persisted(two, results, "k", 5).attachments.where("key = 'k'").collect()} == {("-",)}
+    with pytest.raises(EngineError, match="E_PROJECT_MEMBER"):
+        release.persisted(small, results.withColumn("id", F.lit("zz")), "k", 5)
+    told = release.release_audit(release.release_counts(small.nodes, ["space_id"], 9), 9, 7, "alice").collect()
+    assert [(r["released"], r["principal"]) for r in told] == [(False, "alice")]
+
+
+def test_forks_proposals_and_exports(spark, tmp_path):
+    st = facts.FactStore(spark, str(tmp_path / "store"))
+    f = lambda *xs: changes_of(spark, *xs)
+    st.write(f(("node", "a", "assert", "1"), ("node", "b", "assert", "1")))
+    st.fork("main", "draft")
+    st.write(f(("node", "a", "assert", "2"), ("node", "c", "assert", "1")), graph="draft")
+    st.write(f(("node", "d", "assert", "1")))
+    assert st.integrate("draft", 0)["status"] == "written" and {r["id"]: r["content"] for r in st.state().collect()} == {"a": "2", "b": "1", "c": "1", "d": "1"}
+    assert st.integrate("draft", 0)["status"] == "unchanged"
+    st.write(f(("node", "a", "assert", "3")), graph="draft")
+    st.write(f(("node", "a", "assert", "4")))
+    with pytest.raises(EngineError, match="E_STALE_FACT"):
+        st.integrate("draft", 0)
+    assert st.graphs() == ["draft", "main"] and st.lookup("node", "a") == "4" and st.lookup("node", "q") is None
+    page, more = st.audit(limit=2)
+    assert [r["seq"] for r in page] == [0, 1] and more == 1 and st.audit(after=more, limit=256)[1] is None
+    told = st.export(str(tmp_path / "out"))
+    other = facts.FactStore(spark, str(tmp_path / "other"))
+    other.import_export(str(tmp_path / "out"), "copy")
+    assert told["n"] == 4 and {r["id"] for r in other.state(graph="copy").collect()} == set("abcd")
+    spark.createDataFrame([("node", "z", "1")], "kind string, id string, content string").write.mode("append").parquet(str(tmp_path / "out" / "facts"))
+    with pytest.raises(EngineError, match="E_CAPSULE"):
+        other.import_export(str(tmp_path / "out"), "again")
+    with pytest.raises(EngineError, match="E_GRAPH"):
+        st.write(f(("node", "a", "assert", "1")), graph="a/b")
+
+
+def test_views_and_experiments(spark, tmp_path, small):
+    from chronolith.plans.experiments import Experiments
+    from chronolith.streaming.views import Views
+
+    v = Views(spark, str(tmp_path / "views"))
+    plan = lambda tick: small.edges.where(algebra.edge_filter("p", valid_at=tick)).select("id", F.concat("dst", F.lit(tick % 2)).alias("content"))
+    v.register("ps", plan, ["g"])
+    with pytest.raises(EngineError, match="E_VIEW_STALE"):
+        v.current("ps", 4, {"g": 1})
+    assert v.drain([("other", 1)], 4, {"g": 1}) == [] and v.drain([("g", 1)], 4, {"g": 1}) == ["ps"] and v.drain([("g", 1)], 4, {"g": 1}) == []
+    assert ids(v.current("ps", 4, {"g": 1})) == ["1", "4", "5", "6", "7"]
+    assert v.refresh("ps", 9, {"g": 2}) == 2
+    assert {tuple(r) for r in v.changes("ps").collect()} == {("2", "added"), ("6", "removed"), ("7", "removed"), ("1", "changed"), ("4", "changed"), ("5", "changed")}
+    with pytest.raises(EngineError, match="E_CLOCK"):
+        v.refresh("ps", 8, {"g": 2})
+    with pytest.raises(EngineError, match="E_VIEW"):
+        v.register("ps", plan, [])
+    cat = program.Catalog(spark, {"g": lambda at: small})
+    text = json.dumps({"version": 1, "commands": [program.ask(program.build["query"](graph_id="g", predicate="p"))]})
+    x = Experiments(spark, str(tmp_path / "exp"))
+    x.save("one", text, cat, {"g": 3})
+    assert x.names() == ["one"] and x.replay("one", cat, {"g": 3}) == {"moved": [], "drifted": []}
+    less = program.Catalog(spark, {"g": lambda at: small.with_(edges=small.edges.where("id <> '1'"))})
+    assert x.replay("one", less, {"g": 4}) == {"moved": ["g"], "drifted": [0]}
+    with pytest.raises(EngineError, match="E_EXPERIMENT"):
+        x.save("one", text, cat)
+
+
+def test_vector_properties_and_generator(spark):
+    from chronolith.functions.splitmix import splitmix64, unit_interval
+
+    rows = [("a", "E", "s", [3e200, 0.0]), ("b", "E", "s", [1e200, 1e200]), ("c", "E", "t", [1.0, 0.0]), ("d", "E", "s", None), ("e", "E", "s", [0.0, -2.0])]
+    n = spark.createDataFrame(rows, "id string, entity_id string, space_id string, v array<double>")
+    near = lambda m, q, df=n: [(r["id"], round(r["distance"], 9)) for r in vectors.nearest_vectors(df, q, 5, "s", m, "v").collect()]
+    assert near(vectors.COSINE, [2.0, 0.0]) == [("a", 0.0), ("b", round(1 - 0.5**0.5, 9)), ("e", 1.0)]
+    assert [i for i, _ in near(vectors.EUCLIDEAN, [1e200, 0.0])][0] in ("b", "e")
+    for bad in ([1.0], [float("nan"), 1.0], [0.0, 0.0]):
+        wrong = n.unionAll(spark.createDataFrame([("z", "E", "s", bad)], n.schema))
+        with pytest.raises(Exception, match="E_VECTOR"):
+            near(vectors.COSINE, [1.0, 0.0], wrong)
+    g = spark.createDataFrame([("a", [1.0, 2.0], None, None, []), ("b", None, None, None, [])], "id string, v array<double>, valid_start long, valid_end long, readers array<string>")
+    assert [tuple(r)[:3] for r in vectors.embedding_facts(g, "v", 2).collect()] == [("embedding:a", "a", [1.0, 2.0])]
+    # the first numbers of seed 0, as published with the generator
+    got = [r[0] for r in spark.range(3).select(splitmix64(F.col("id"), 0)).collect()]
+    assert [x % 2**64 for x in got] == [0xE220A8397B1DCDAF, 0x6E789E6AA1B965F4, 0x06C45D188009454F]
+    assert spark.range(200).select(unit_interval(splitmix64(F.col("id"), 7)).alias("u")).where("u < 0 OR u >= 1").count() == 0
+    e = spark.createDataFrame([(i, [float(i % 5), 1.0], f"s{i % 3}", i, i + 4) for i in range(20)], "id long, vector array<double>, who string, valid_start long, valid_end long")
+    hit = vectors.nearest(e, None, 3, of=6, subject="who", valid_at=8).collect()
+    assert [r["id"] for r in hit] == sorted((i for i in range(5, 9) if i % 3), key=lambda i: (1 - (i % 5 * 1 + 1) / ((i % 5) ** 2 + 1) ** 0.5 / 2**0.5, i))[:3]
+    with pytest.raises(EngineError, match="E_EMBEDDING"):
+        vectors.nearest(e, None, 3, of=99)
+
+
+def test_updates_are_read_strictly(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from chronolith.sources.formats import read_batch, read_updates
+
+    row = "struct<work_order:string,kind:string>"
+    schema = StructType.fromDDL(f"seq long, kind string, tables struct<maintenance:array<{row}>,parts:array<{row}>>")
+    good = [{"seq": 1, "kind": "maintenance", "tables": {"maintenance": [{"work_order": "W1"}]}}, {"seq": 2, "tables": {"parts": None}}, {"seq": 3}]
+    bad = [{"seq": 1, "new": 1}, {"seq": 1, "tables": {"other": []}}, {"seq": 1, "tables": {"maintenance": [{"work_order": "W", "x": 1}]}}, [1]]
+    (tmp_path / "ok.jsonl").write_text("\n".join(map(json.dumps, good)) + "\n\n")
+    got = read_updates(spark, str(tmp_path / "ok.jsonl"), schema).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == [1, 2, 3] and got[0]["tables"]["maintenance"][0]["work_order"] == "W1"
+    for i, line in enumerate(bad):
+        (tmp_path / f"bad{i}.jsonl").write_text(json.dumps(line))
+        with pytest.raises(Exception, match="E_FIELD"):
+            read_updates(spark, str(tmp_path / f"bad{i}.jsonl"), schema).collect()
+    (tmp_path / "batch").mkdir()
+    (tmp_path / "batch" / "b.json").write_text(json.dumps(good[0], indent=2))
+    assert read_batch(spark, str(tmp_path / "batch"), schema).first()["seq"] == 1
+
+
+def test_shared_scratch_is_removed_and_required_on_a_cluster(spark):
+    import os
+
+    from chronolith import session
+
+    with session.scratch_scope(spark):
+        path = session.scratch(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert os.path.exists(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Far:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getConf = Conf
+
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        def isDefined(self):
+                            return False
+
+    with pytest.raises(EngineError, match="E_SHARED_DIR"):
+        session.shared_dir(Far)
+
+
 def test_hidden_records_change_nothing(spark, small):
     """Two worlds that differ only in what alice may not read give her the same answers."""
     more = small.with_(
