@@ -198,29 +198,32 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, source: str, directed: bo
     raise EngineError("E_BUDGET", "paths are too long")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10, max_iterations: int = 100, keep_every: int = 5) -> tuple[DataFrame, dict]:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10, max_iterations: int = 100) -> tuple[DataFrame, dict]:
     """((id, score), {iterations, converged, residual}).
 
     Parallel edges weigh; what dangling nodes hold is spread evenly; stops when
     the sum of absolute changes is at most ``tolerance`` (0: run all rounds).
+    A round writes the scores once and takes the residual and what dangling nodes
+    hold from them in one pass.
     """
-    ids = checkpointed(nodes.select("id").distinct())
-    n = ids.count()
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("total"))
+    ends = nodes.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(False).alias("ends")), "id", "left")
+    ids = written(ends.select("id", F.coalesce("ends", F.lit(True)).alias("ends")), "ids")
+    n, hanging = ids.agg(F.count(F.lit(1)), F.sum(F.col("ends").cast("long"))).first()
     if n == 0:
-        return ids.withColumn("score", F.lit(0.0)), {"iterations": 0, "converged": True, "residual": 0.0}
+        return ids.select("id", F.lit(0.0).alias("score")), {"iterations": 0, "converged": True, "residual": 0.0}
     w = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("total"))
-    links = checkpointed(w.join(out, "src").select("src", "dst", (F.col("k") / F.col("total")).alias("w")))
-    dangling = checkpointed(ids.join(out.select(F.col("src").alias("id")), "id", "left_anti"))
-    rank = checkpointed(ids.withColumn("score", F.lit(1.0 / n)))
-    residual = float("inf")
+    links = written(w.join(out, "src").select("src", "dst", (F.col("k") / F.col("total")).alias("w")).repartition("src"), "links")
+    rank, lost, residual = ids.withColumn("score", F.lit(1.0 / n)), hanging / n, float("inf")
     for i in range(1, max_iterations + 1):
-        lost = rank.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        inflow = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("score")).alias("s"))
-        new = rank.withColumnRenamed("score", "was").join(inflow, "id", "left").select("id", "was", (F.lit((1 - damping) / n + damping * lost / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("score"))
-        new = checkpointed(new)
-        residual = new.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
-        rank = new.select("id", "score")
+        inflow = links.join(rank.select(F.col("id").alias("src"), "score"), "src")
+        inflow = inflow.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("score")).alias("s"))
+        score = F.lit((1 - damping) / n + damping * lost / n) + F.lit(damping) * F.coalesce("s", F.lit(0.0))
+        new = rank.withColumnRenamed("score", "was").join(inflow, "id", "left").select("id", "ends", "was", score.alias("score"))
+        new = written(new, "rank")
+        moved = F.sum(F.abs(F.col("score") - F.col("was")))
+        residual, lost = new.agg(moved, F.coalesce(F.sum(F.when(F.col("ends"), F.col("score"))), F.lit(0.0))).first()
+        rank = new.select("id", "ends", "score")
         if tolerance and residual <= tolerance:
-            return rank, {"iterations": i, "converged": True, "residual": residual}
-    return rank, {"iterations": max_iterations, "converged": False, "residual": residual}
+            return rank.select("id", "score"), {"iterations": i, "converged": True, "residual": residual}
+    return rank.select("id", "score"), {"iterations": max_iterations, "converged": False, "residual": residual}

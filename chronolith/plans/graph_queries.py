@@ -465,14 +465,6 @@ def row_mapping(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", "src", "dst", "predicate").distinct()
 
 
-def change_feed(spark: SparkSession, d: str) -> DataFrame:
-    """Two pulls of the feed by cursor: which revisions each gave."""
-    h = heads(spark, d).groupBy("seq").agg(F.count(F.lit(1)).alias("n_heads"))
-    first, cursor = feed.pull(h, 0, 10)
-    second, _ = feed.pull(h, cursor, 10)
-    return first.withColumn("page", F.lit(1)).unionAll(second.withColumn("page", F.lit(2)))
-
-
 def change_feed_whole(spark: SparkSession, d: str) -> DataFrame:
     """The feed pulled from its first revision to its end: which page gave each revision."""
     return feed.pages(heads(spark, d).groupBy("seq").agg(F.count(F.lit(1)).alias("n_heads"))).select("seq", "n_heads", "page")
@@ -488,7 +480,7 @@ def view_membership(spark: SparkSession, d: str) -> DataFrame:
 
 def windows_tumbling(spark: SparkSession, d: str) -> DataFrame:
     s = cdc.file_stream(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    w = feed.tumbling_stream(s, "ts", "1 day", "400 days", ["event_type"])
+    w = feed.tumbling_stream(s, "ts", "1 day", "2 days", ["event_type"])
     return w.select(F.unix_millis("window_start").alias("window_ms"), "event_type", "n")
 
 
@@ -507,27 +499,12 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return c.intersect(s).withColumn("what", F.lit("both")).unionAll(c.exceptAll(s).groupBy("k").count().select("k", F.lit("rest").alias("what")))
 
 
-def fact_store_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Nations and regions written, corrected and retracted through the store; the state that is left."""
-    from chronolith.session import scratch
-
-    g = star(spark, d)
-    st = facts.FactStore(spark, scratch(spark, "store"))
-    nodes = g.nodes.where("type_id IN ('nation', 'region')").select(F.lit("node").alias("kind"), "id", F.lit("assert").alias("op"), F.to_json(F.struct("type_id")).alias("content"))
-    edges = g.edges.where("predicate = 'in_region'").select(F.lit("edge").alias("kind"), "id", F.lit("assert").alias("op"), F.to_json(F.struct("src", "dst")).alias("content"))
-    st.write(nodes.unionAll(edges), expected=None)
-    st.write(edges.where("id LIKE '%1'").withColumn("op", F.lit("retract")), expected=0)
-    st.checkpoint()
-    st.write(nodes, expected=1)
-    return st.state()
-
-
 QUERIES = {f.__name__: f for f in (
     query_all, query_predicate, query_endpoint, query_valid_at, query_visible, query_visible_two_clauses, filter_endpoints, filter_keeps_timed, project_members, context_default, context_open,
     counterparts_bridge, counterparts_entity, resolve_identity, support_verdict, assertion_join, union_origin, diff_membership, metadata_follow, as_of_events, changes_events, heads_as_of, recorded_range, recorded_history,
-    facts_at_revision, changes_revisions, fact_versions, reconcile_report, path_join, path_join_fleet, _sequence("before"), _sequence("meets"), _sequence("overlaps"), _sequence("within"), window_clip,
+    facts_at_revision, changes_revisions, fact_versions, reconcile_report, path_join, path_join_fleet, _sequence("before"), _sequence("overlaps"), _sequence("within"), window_clip,
     window_attachments, series_overlap, units_running_with_sensor, _expand("out", "order:1", None), _expand("in", "nation:3"), _expand("both", "customer:1"), expand_valid_nodes, expand_nearest, degree, weak_components, strong_components,
     shortest_paths, pagerank_fixed10, _nearest("cosine_distance"), _nearest("euclidean"), nearest_candidates, knn_search, similar_candidates, geometry_distance, geometry_transform, geometry_axes,
     reason_transitive, reason_signed, cluster_matching, cluster_levels, aggregate_links, lineage_overlap, release_min_k, describe_schema, explain_paths, provenance_union, carrier_algebra, group_closure,
-    parse_times, reader_lists, exact_decimals, row_mapping, change_feed, change_feed_whole, view_membership, windows_tumbling, windows_session, rollup_orders, set_operations, fact_store_round_trip,
+    parse_times, reader_lists, exact_decimals, row_mapping, change_feed_whole, view_membership, windows_tumbling, windows_session, rollup_orders, set_operations,
 )}

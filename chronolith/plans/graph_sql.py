@@ -161,7 +161,7 @@ SQL = {
     "reconcile_report": f"WITH {_EVENTS} SELECT CASE WHEN c.user_id IS NULL THEN 'assert' WHEN c.content IS NOT DISTINCT FROM x.content THEN 'unchanged' ELSE 'correct' END AS action, count(*) AS n FROM {_events_at(0.75)} x LEFT JOIN {_events_at(0.5)} c ON c.user_id = x.user_id GROUP BY 1",
     "path_join": f"WITH {_STAR} SELECT l.id AS left_id, r.id AS right_id, 'ordered_from' AS predicate, l.src, r.dst, greatest(l.vs, r.vs) AS valid_start, {_N} AS valid_end FROM e l JOIN e r ON l.dst = r.src WHERE l.predicate = 'placed_by' AND r.predicate = 'in_nation'",
     "path_join_fleet": f"WITH {_FLEET} SELECT l.id AS left_id, r.id AS right_id, 'part_runs' AS predicate, l.src, r.dst, greatest(l.vs, r.vs) AS valid_start, CASE WHEN l.ve IS NULL THEN r.ve WHEN r.ve IS NULL THEN l.ve ELSE least(l.ve, r.ve) END AS valid_end {_FLEET_PAIR} AND {_OVER}",
-    **{f"sequence_{k}": _seq(k) for k in _REL},
+    **{f"sequence_{k}": _seq(k) for k in _REL if k != "meets"},  # see sequence_touching
     "window_clip": f"WITH {_FLEET} SELECT id, greatest(vs, {T1}) AS valid_start, least(coalesce(ve, {T2}), {T2}) AS valid_end FROM e WHERE {_IN.format('e')}",
     "window_attachments": f"WITH {_FLEET} SELECT id, host_id, greatest(vs, {T1}) AS valid_start, CAST({T2} AS BIGINT) AS valid_end FROM att WHERE vs < {T2}",
     "series_overlap": f"""WITH {_FLEET}, s AS (SELECT 'sensor:' || {_ref("sensor_id")} AS sensor_id, min(epoch_ms(recorded_at)) AS s FROM sensors GROUP BY 1), j AS (SELECT s.sensor_id, e.src AS serial, greatest(e.vs, s.s, {T1}) AS lo, least(coalesce(e.ve, 9000000000000000), s.s + 31536000000, {T2}) AS hi FROM e JOIN s ON s.sensor_id = e.dst WHERE predicate = 'measured_by')
@@ -207,12 +207,10 @@ SQL = {
       CASE WHEN CAST(p * 100 AS BIGINT) % 3 = 0 THEN CAST(CAST(CAST(p * 100 AS BIGINT) // 3 AS DECIMAL(15,0)) * CAST(0.01 AS DECIMAL(3,2)) AS VARCHAR) END AS third
       FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(12,2)) AS p, CAST(l_quantity AS DECIMAL(12,2)) AS q, CAST(l_discount AS DECIMAL(5,2)) AS c FROM lineitem)""",
     "row_mapping": "SELECT DISTINCT 'hw:performed_on:' || work_order AS id, work_order AS src, serial AS dst, 'hw:performed_on' AS predicate FROM maintenance WHERE serial IS NOT NULL UNION SELECT 'hw:performed_by:' || work_order, work_order, performed_by, 'hw:performed_by' FROM maintenance WHERE performed_by IS NOT NULL",
-    "change_feed": f"WITH {_LOG} SELECT seq, count(*) AS n_heads, CASE WHEN dense_rank() OVER (ORDER BY seq) <= 10 THEN 1 ELSE 2 END AS page FROM hd WHERE seq > 0 GROUP BY seq QUALIFY dense_rank() OVER (ORDER BY seq) <= 20",
     "change_feed_whole": f"WITH {_LOG} SELECT seq, count(*) AS n_heads, (dense_rank() OVER (ORDER BY seq) - 1) // 1000 + 1 AS page FROM hd GROUP BY seq",
     "view_membership": f"WITH {_FLEET}, a AS (SELECT id FROM e WHERE predicate = 'runs' AND {at('e', T1)}), b AS (SELECT id FROM a WHERE id NOT IN (SELECT id FROM e WHERE vs >= {T1}) UNION SELECT id FROM e WHERE vs >= {T1} AND predicate = 'runs' AND {at('e', T2)}) SELECT id, 'added' AS change FROM b WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT id, 'removed' FROM a WHERE id NOT IN (SELECT id FROM b)",
     "windows_tumbling": "SELECT epoch_ms(date_trunc('day', ts)) AS window_ms, event_type, count(*) AS n FROM events GROUP BY ALL",
     "windows_session": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, count(*) AS n FROM s GROUP BY user_id, k",
     "rollup_orders": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(20,2))) AS DOUBLE) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "set_operations": "SELECT c_nationkey AS k, 'both' AS what FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT c_nationkey, 'rest' FROM (SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)",
-    "fact_store_round_trip": "SELECT 'node' AS kind, 'nation:' || n_nationkey AS id, '{\"type_id\":\"nation\"}' AS content FROM nation UNION ALL SELECT 'node', 'region:' || r_regionkey, '{\"type_id\":\"region\"}' FROM region UNION ALL SELECT 'edge', 'in_region:nation:' || n_nationkey, '{\"src\":\"nation:' || n_nationkey || '\",\"dst\":\"region:' || n_regionkey || '\"}' FROM nation WHERE n_nationkey % 10 <> 1",
 }

@@ -10,16 +10,40 @@ batch, replaced when the batch is run again, which makes the output idempotent.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.session import prepare, scratch
+from chronolith.session import listed, prepare, remove, scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: State beyond the heap, with bounded native memory, and small incremental checkpoints.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "384",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def file_stream(spark: SparkSession, path: str, max_bytes: str | None = None) -> DataFrame:
     """A Parquet file, or directory of files, as a stream; a batch takes at most ``max_bytes`` (None: all there is)."""
     prepare(spark)
@@ -50,13 +74,29 @@ def apply_changes(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
     def upsert(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    if rocksdb:  # state beyond the heap, with bounded native memory, and small incremental checkpoints
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "384")
-    query = state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(upsert).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with _settings(spark, STATE if rocksdb else {}):
+        start = state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(upsert)
+        start.trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(state.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
-    newest = out.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_s"))
-    return newest.select(*keys, *(F.col(f"_s.{c}").alias("removed" if c == "_removed" else c) for c in fields))
+    return _newest(out, keys, fields)
+
+
+def _newest(out: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    top = out.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_s"))
+    return top.select(*keys, *(F.col(f"_s.{c}").alias("removed" if c == "_removed" else c) for c in fields))
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], payload: Sequence[str]) -> int:
+    """Put the batches of apply_changes(path=...) together to one folder with the newest state of each key; how many they were.
+
+    Between runs only.  Tombstones stay: a late change of a removed key must find
+    them.  The new folder is whole before the old ones go, and a state that stands in
+    both counts once, so a run that dies half-way has lost nothing."""
+    old = [n for n in listed(spark, f"{path}/out") if n.startswith(("batch=", "kept-"))]
+    if len(old) > 1:
+        fields = [*order, "_removed", *payload]
+        newest = _newest(spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/out"), keys, fields)
+        newest.withColumnRenamed("removed", "_removed").write.parquet(f"{path}/out/kept-{uuid.uuid4().hex}")
+        for n in old:
+            remove(spark, f"{path}/out/{n}")
+    return len(old)

@@ -112,6 +112,20 @@ def test_changes_in_any_order_with_repeats_and_in_two_runs(spark, tmp_path):
     assert rows(again) == rows(got)
 
 
+def test_changes_are_compacted_between_runs(spark, tmp_path):
+    src, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "k string, s int, o string"
+    run = lambda: changes.apply_changes(changes.file_stream(spark, src), ["k"], ["s"], F.col("o") == "del", [], path=out)
+    spark.createDataFrame([("a", 1, "put"), ("b", 5, "del")], schema).write.mode("append").parquet(src)
+    run()
+    spark.createDataFrame([("a", 3, "put")], schema).write.mode("append").parquet(src)
+    want = rows(run())
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert want == [("a", 3, False), ("b", 5, True)] and "RocksDB" not in before
+    assert changes.compact(spark, out, ["k"], ["s"], []) == 2 and changes.compact(spark, out, ["k"], ["s"], []) == 1
+    spark.createDataFrame([("b", 4, "put"), ("c", 1, "put")], schema).write.mode("append").parquet(src)
+    assert rows(run()) == [*want, ("c", 1, False)]
+
+
 def test_changes_of_one_file_and_of_nothing(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("a", 1)], "k string, s int").coalesce(1).write.parquet(src)
