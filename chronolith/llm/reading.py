@@ -430,7 +430,7 @@ def fit(pages: DataFrame, size: int, rounds: int = 30, tolerance: float = 3e-4)
     last = -np.inf
     for i in range(1, rounds + 1):
         count, total, bins, objective = _pass(pages, scale, size, mean, sd)
-        now = (objective - RIDGE / 2 * float(scale.b @ scale.b)) / max(count.sum(), 1)
+        now = float((objective - RIDGE / 2 * float(scale.b @ scale.b)) / max(count.sum(), 1))
         scale.history.append((i, now, moved))
         if now - last < tolerance:
             scale.converged = True
