@@ -47,12 +47,13 @@ def expand(
     edges = g.edges.where(edge_filter(valid_at=valid_at))
     if predicates is not None:
         edges = edges.where(F.col("predicate").isin(*predicates))
-    alive = g.nodes if valid_at is None else g.nodes.where(node_valid(valid_at))
-    wanted = within(seeds.select("id").distinct(), max_seeds)
-    asked = written(wanted.join(g.nodes.select("id", F.lit(True).alias("_seen")).distinct(), "id", "left"), "seeds")
-    lost = () if asked.where("_seen IS NULL").isEmpty() else ("E_SEED_UNAVAILABLE",)
-    frontier = checkpointed(having(asked.where("_seen").select("id"), "id", alive).withColumn("hop", F.lit(0)))
-    seen, found, n = frontier, [], 0
+    here = F.lit(True) if valid_at is None else F.coalesce(node_valid(valid_at), F.lit(False))
+    known = g.nodes.groupBy("id").agg(F.max(here).alias("_alive"))
+    alive = known.where("_alive").select("id")
+    asked = written(within(seeds.select("id").distinct(), max_seeds).join(known, "id", "left"), "seeds")
+    lost = () if asked.where("_alive IS NULL").isEmpty() else ("E_SEED_UNAVAILABLE",)
+    frontier = asked.where("_alive").select("id", F.lit(0).alias("hop"))
+    seen, found = frontier, []
     for hop in range(1, hops + 1):
         legs = None
         for near in steps:
@@ -60,11 +61,13 @@ def expand(
             leg = having(edges, near, frontier).withColumn("_next", F.col(far))
             legs = leg if legs is None else legs.unionAll(leg)
         legs = written(legs, "legs")
-        reached = checkpointed(having(legs.select(F.col("_next").alias("id")).distinct(), "id", alive))
+        met = having(legs.select(F.col("_next").alias("id")).distinct(), "id", alive)
+        before = seen.select("id", F.lit(False).alias("_new"))
+        reached = written(met.join(before, "id", "left").select("id", F.coalesce("_new", F.lit(True)).alias("_new")), "reached")
         found.append(having(legs, "_next", reached).drop("_next"))
-        frontier = checkpointed(reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = reached.where("_new").select("id", F.lit(hop).alias("hop"))
         seen = seen.unionAll(frontier)
-        if frontier.isEmpty():
+        if hop < hops and frontier.isEmpty():
             break
     out = found[0]
     for f in found[1:]:
