@@ -39,7 +39,10 @@ class Graph:
     def ordered(self) -> Graph:
         """Members in canonical order, by id: for what leaves the engine."""
         att = self.attachments
-        return self.with_(nodes=self.nodes.orderBy("id"), edges=self.edges.orderBy("id"), attachments=None if att is None else att.orderBy("id"))
+        return self.with_(
+            nodes=self.nodes.orderBy("id"), edges=self.edges.orderBy("id"),
+            attachments=None if att is None else att.orderBy("id")
+        )
 
     def settled(self, spark_name: str = "graph") -> Graph:
         """Written once: what is read several times, or put into loops, is not derived again."""

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from chronolith.errors import EngineError
 
-AXES = {"boolean": r"true|false", "integer": r"[+-]?[0-9]{1,18}", "string": r"(?s).*", "decimal": r"[+-]?[0-9]{1,18}([.][0-9]{1,18})?", "enum": r"(?s).*"}
+AXES = {
+    "boolean": r"true|false", "integer": r"[+-]?[0-9]{1,18}", "string": r"(?s).*",
+    "decimal": r"[+-]?[0-9]{1,18}([.][0-9]{1,18})?", "enum": r"(?s).*"
+}
 
 
 def accepted_at(decisions: DataFrame, view: Sequence[str], at: int | None = None) -> DataFrame:
@@ -17,7 +20,9 @@ def accepted_at(decisions: DataFrame, view: Sequence[str], at: int | None = None
     d = decisions.where("accepted")
     if at is not None:
         d = d.where(F.col("decided_at") <= at)
-    return d.groupBy(*view).agg(F.max(F.struct("decided_at", "decision_id", "revision")).alias("d")).select(*view, "d.revision", "d.decision_id", "d.decided_at")
+    return d.groupBy(*view).agg(F.max(F.struct("decided_at", "decision_id", "revision")).alias("d")).select(
+        *view, "d.revision", "d.decision_id", "d.decided_at"
+    )
 
 
 def accepted_by(decisions: DataFrame, decision_id: object) -> DataFrame:
@@ -28,7 +33,9 @@ def accepted_by(decisions: DataFrame, decision_id: object) -> DataFrame:
 def accepted_range(decisions: DataFrame, view: Sequence[str], start: int, end: int) -> DataFrame:
     """Versions in force at some time in ``[start, end)``, with the one in force at the start."""
     first = accepted_at(decisions, view, start)
-    later = decisions.where(F.col("accepted") & (F.col("decided_at") > start) & (F.col("decided_at") < end)).select(*view, "revision", "decision_id", "decided_at")
+    later = decisions.where(F.col("accepted") & (F.col("decided_at") > start) & (F.col("decided_at") < end)).select(
+        *view, "revision", "decision_id", "decided_at"
+    )
     return first.unionByName(later)
 
 

@@ -48,7 +48,9 @@ def memberships(direct: DataFrame, max_rounds: int = 64) -> DataFrame:
     known = checkpointed(direct.select("member", "group").where("member IS NOT NULL AND group IS NOT NULL").distinct())
     n = known.count()
     for _ in range(max_rounds):
-        hop = known.join(known.select(F.col("member").alias("group"), F.col("group").alias("above")), "group").select("member", F.col("above").alias("group"))
+        hop = known.join(
+            known.select(F.col("member").alias("group"), F.col("group").alias("above")), "group"
+        ).select("member", F.col("above").alias("group"))
         known = checkpointed(known.unionAll(hop).distinct())
         if (m := known.count()) == n:
             return known

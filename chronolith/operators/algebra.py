@@ -44,7 +44,9 @@ def query(g: Graph, predicate: str | None = None, src: str | None = None, dst: s
     if predicate is None and src is None and dst is None and valid_at is None:
         return g
     nodes = g.nodes if valid_at is None else g.nodes.where(node_valid(valid_at))
-    att = g.attachments if valid_at is None or g.attachments is None else g.attachments.where(contains(F.col("valid_start"), F.col("valid_end"), F.lit(valid_at)))
+    att = g.attachments if valid_at is None or g.attachments is None else g.attachments.where(contains(
+        F.col("valid_start"), F.col("valid_end"), F.lit(valid_at)
+    ))
     x = Graph(nodes, g.edges.where(edge_filter(predicate, src, dst, valid_at)), att, g.coverage, g.diagnostics).pruned()
     return _endpoints_only(x, keep_timed=valid_at if predicate is None and src is None and dst is None else None)
 
@@ -111,7 +113,9 @@ def counterparts(g: Graph, entity_id: str, source_space: str, target_space: str,
 def bridges(g: Graph, predicate: str) -> DataFrame:
     """All counterpart edges of a bridging predicate, as (edge_id, entity_id, source_space, target_space, shared): shared is false where the ends are different entities."""
     n = g.nodes.select("id", "entity_id", "space_id")
-    x = g.edges.where((F.col("predicate") == predicate) & (F.col("polarity") == POSITIVE)).select(F.col("id").alias("edge_id"), "src", "dst")
+    x = g.edges.where((F.col("predicate") == predicate) & (F.col("polarity") == POSITIVE)).select(
+        F.col("id").alias("edge_id"), "src", "dst"
+    )
     x = x.join(n.select(F.col("id").alias("src"), F.col("entity_id").alias("e1"), F.col("space_id").alias("source_space")), "src")
     x = x.join(n.select(F.col("id").alias("dst"), F.col("entity_id").alias("e2"), F.col("space_id").alias("target_space")), "dst")
     return x.select("edge_id", F.col("e1").alias("entity_id"), "source_space", "target_space", (F.col("e1") == F.col("e2")).alias("shared"))
@@ -120,8 +124,12 @@ def bridges(g: Graph, predicate: str) -> DataFrame:
 def resolve_identity(partitions: DataFrame, node_ids: DataFrame, target_space: str, at: int) -> DataFrame:
     """Members of the same accepted partition in another space: partitions (mapping, partition_id, node_id, space_id, valid_start, valid_end)."""
     live = partitions.where(contains(F.col("valid_start"), F.col("valid_end"), F.lit(at)))
-    mine = live.join(node_ids.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("mapping", "partition_id", F.col("node_id").alias("from_id"), F.col("space_id").alias("from_space"))
-    return live.where(F.col("space_id") == target_space).join(mine, ["mapping", "partition_id"]).where("from_space <> space_id").select("mapping", "partition_id", "from_id", F.col("node_id").alias("to_id"))
+    mine = live.join(node_ids.select(F.col("id").alias("node_id")), "node_id", "left_semi").select(
+        "mapping", "partition_id", F.col("node_id").alias("from_id"), F.col("space_id").alias("from_space")
+    )
+    return live.where(F.col("space_id") == target_space).join(mine, ["mapping", "partition_id"]).where("from_space <> space_id").select(
+        "mapping", "partition_id", "from_id", F.col("node_id").alias("to_id")
+    )
 
 
 def origin_key(kind: str, cols: Sequence[str]) -> Column:
@@ -132,7 +140,9 @@ def origin_key(kind: str, cols: Sequence[str]) -> Column:
 def _same(df: DataFrame, key: Sequence[str], payload: Sequence[str], code: str) -> DataFrame:
     """One row per key; two payloads under one key are an error raised when the result is computed."""
     digest = F.xxhash64(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))
-    a = df.withColumn("_h", digest).groupBy(*key).agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"), F.max(F.struct(*payload)).alias("_p"))
+    a = df.withColumn("_h", digest).groupBy(*key).agg(
+        F.min("_h").alias("_lo"), F.max("_h").alias("_hi"), F.max(F.struct(*payload)).alias("_p")
+    )
     ok = F.when(F.col("_lo") == F.col("_hi"), F.col("_p")).otherwise(F.raise_error(F.lit(code)).cast(a.schema["_p"].dataType))
     return a.select(*key, ok.alias("_p")).select(*key, *(F.col(f"_p.{c}").alias(c) for c in payload))
 
@@ -207,8 +217,13 @@ def support(edges: DataFrame, claim: Sequence[str], valid_at: int) -> DataFrame:
 
     Counts are combined before the shuffle.  Refuting evidence is not absence."""
     at = contains(F.col("valid_start"), F.col("valid_end"), F.lit(valid_at))
-    g = edges.groupBy(*claim).agg(F.count(F.when(at & (F.col("polarity") == POSITIVE), 1)).alias("n_for"), F.count(F.when(at & (F.col("polarity") == NEGATIVE), 1)).alias("n_against"))
-    state = F.when((F.col("n_for") > 0) & (F.col("n_against") > 0), "conflicted").when(F.col("n_for") > 0, "supported").when(F.col("n_against") > 0, "refuted").otherwise("unknown")
+    g = edges.groupBy(*claim).agg(
+        F.count(F.when(at & (F.col("polarity") == POSITIVE), 1)).alias("n_for"),
+        F.count(F.when(at & (F.col("polarity") == NEGATIVE), 1)).alias("n_against")
+    )
+    state = F.when(
+        (F.col("n_for") > 0) & (F.col("n_against") > 0), "conflicted"
+    ).when(F.col("n_for") > 0, "supported").when(F.col("n_against") > 0, "refuted").otherwise("unknown")
     return g.withColumn("state", state)
 
 
@@ -221,11 +236,25 @@ def support_graph(edges: DataFrame, claim: Sequence[str], valid_at: int) -> Grap
 
     none, nobody = F.lit(None).cast("long"), F.array().cast("array<string>")
     verdict = support(edges, claim, valid_at).withColumn("id", name("support"))
-    nodes = verdict.select("id", F.col("id").alias("entity_id"), F.lit("analysis").alias("space_id"), F.lit("Support").alias("type_id"), none.alias("valid_start"), none.alias("valid_end"), nobody.alias("readers"))
-    att = verdict.select(F.concat(F.col("id"), F.lit("/state")).alias("id"), F.lit("node").alias("host_kind"), F.col("id").alias("host_id"), F.lit("support:state").alias("key"), F.col("state").alias("value"), F.lit(valid_at).cast("long").alias("valid_start"), none.alias("valid_end"), nobody.alias("readers"))
+    nodes = verdict.select(
+        "id", F.col("id").alias("entity_id"), F.lit("analysis").alias("space_id"), F.lit("Support").alias("type_id"),
+        none.alias("valid_start"), none.alias("valid_end"), nobody.alias("readers")
+    )
+    att = verdict.select(
+        F.concat(F.col("id"), F.lit("/state")).alias("id"), F.lit("node").alias("host_kind"),
+        F.col("id").alias("host_id"), F.lit("support:state").alias("key"), F.col("state").alias("value"),
+        F.lit(valid_at).cast("long").alias("valid_start"), none.alias("valid_end"), nobody.alias("readers")
+    )
     at = contains(F.col("valid_start"), F.col("valid_end"), F.lit(valid_at))
-    proofs = edges.where(at).select(F.concat(F.lit("proof:"), "id").alias("id"), F.lit("support:proof").alias("predicate"), F.col("id").alias("src"), name("support").alias("dst"), "valid_start", "valid_end", "polarity", "context", "readers")
-    claims = proofs.select(F.col("src").alias("id"), F.col("src").alias("entity_id"), F.lit("analysis").alias("space_id"), F.lit("Claim").alias("type_id"), none.alias("valid_start"), none.alias("valid_end"), F.col("readers"))
+    proofs = edges.where(at).select(
+        F.concat(F.lit("proof:"), "id").alias("id"), F.lit("support:proof").alias("predicate"),
+        F.col("id").alias("src"), name("support").alias("dst"), "valid_start", "valid_end", "polarity", "context",
+        "readers"
+    )
+    claims = proofs.select(
+        F.col("src").alias("id"), F.col("src").alias("entity_id"), F.lit("analysis").alias("space_id"),
+        F.lit("Claim").alias("type_id"), none.alias("valid_start"), none.alias("valid_end"), F.col("readers")
+    )
     return Graph(nodes.unionAll(claims), proofs, att)
 
 
@@ -250,7 +279,9 @@ def metadata_closure(refs: DataFrame, start: DataFrame, max_depth: int = 8, max_
 def materialize(structures: DataFrame, assertions: DataFrame) -> DataFrame:
     """Explicit profile: each assertion becomes an edge over the structure it speaks of."""
     s = structures.select(F.col("id").alias("edge_id"), "predicate", "src", "dst")
-    return assertions.join(s, "edge_id").select(F.col("id"), "predicate", "src", "dst", "valid_start", "valid_end", "polarity", "context", "readers", "source")
+    return assertions.join(s, "edge_id").select(
+        F.col("id"), "predicate", "src", "dst", "valid_start", "valid_end", "polarity", "context", "readers", "source"
+    )
 
 
 def metadata(g: Graph, host_kind: str, host_id: str, key: str, graphs: DataFrame) -> Graph:
@@ -262,6 +293,8 @@ def metadata(g: Graph, host_kind: str, host_id: str, key: str, graphs: DataFrame
         return Graph(g.nodes.limit(0), g.edges.limit(0), None, "partial", ("E_METADATA_UNAVAILABLE",))
     v, lo, hi = hit[0]
     e = graphs.where(F.col("graph_id") == v).where(overlap(F.col("valid_start"), F.col("valid_end"), F.lit(lo), F.lit(hi).cast("long")))
-    e = e.withColumn("valid_start", F.greatest("valid_start", F.lit(lo))).withColumn("valid_end", F.least("valid_end", F.lit(hi).cast("long"))).drop("graph_id")
+    e = e.withColumn("valid_start", F.greatest("valid_start", F.lit(lo))).withColumn(
+        "valid_end", F.least("valid_end", F.lit(hi).cast("long"))
+    ).drop("graph_id")
     used = endpoints(e)
     return Graph(g.nodes.join(used, g.nodes["id"] == used["_n"], "left_semi"), e, None)

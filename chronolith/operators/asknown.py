@@ -30,12 +30,18 @@ def effective_versions(df: DataFrame, entity: str, key: str, lo: str, hi: str, r
     still ends the span of the one before.  Rows without entity, key or
     ``recorded`` are left out.
     """
-    rows = df.select(F.col(entity).alias("entity"), F.col(key).alias("key"), F.col(recorded).cast("long").alias("rec"), F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"), *(F.col(a).alias(f"a_{a}") for a in attrs))
+    rows = df.select(
+        F.col(entity).alias("entity"), F.col(key).alias("key"), F.col(recorded).cast("long").alias("rec"),
+        F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"),
+        *(F.col(a).alias(f"a_{a}") for a in attrs)
+    )
     rows = rows.where("entity IS NOT NULL AND key IS NOT NULL AND rec IS NOT NULL")
     last = rows.groupBy("entity", "key", "rec").agg(F.max(F.struct("lo", "hi", *(f"a_{a}" for a in attrs))).alias("v"))
     told = successor(last, ["entity", "key"], "rec", "superseded")
     out = told.select(
-        "entity", "key", F.greatest("v.lo", "rec").alias("since"), F.least(F.coalesce("v.hi", F.lit(OPEN)), F.coalesce("superseded", F.lit(OPEN))).alias("until"), F.col("v.lo").alias("valid_lo"),
+        "entity", "key", F.greatest("v.lo", "rec").alias("since"), F.least(
+            F.coalesce("v.hi", F.lit(OPEN)), F.coalesce("superseded", F.lit(OPEN))
+        ).alias("until"), F.col("v.lo").alias("valid_lo"),
         *(F.col(f"v.a_{a}").alias(a) for a in attrs), (F.col("v.lo").isNotNull() & (F.col("v.hi").isNull() | (F.col("v.hi") > F.col("v.lo")))).alias("ok"),
     )
     return out.where("ok AND since < until").drop("ok")

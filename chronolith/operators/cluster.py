@@ -29,7 +29,9 @@ def greedy_matching(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
         both = checkpointed(both)
         picked = checkpointed(picked.unionAll(both))
         used = both.select(F.explode(F.array("a", "b")).alias("n"))
-        left = checkpointed(left.join(used.withColumnRenamed("n", "a"), "a", "left_anti").join(used.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b"))
+        left = checkpointed(left.join(
+            used.withColumnRenamed("n", "a"), "a", "left_anti"
+        ).join(used.withColumnRenamed("n", "b"), "b", "left_anti").select("a", "b"))
     raise EngineError("E_BUDGET", "matching did not settle")
 
 
@@ -48,9 +50,14 @@ def hierarchy(nodes: DataFrame, links: DataFrame, levels: int) -> DataFrame:
         member = pairs.select(name.alias("cluster"), F.explode(F.array("a", "b")).alias("child"))
         step = member.select(F.lit(level).alias("level"), "child", "cluster")
         out = step if out is None else out.unionAll(step)
-        moved = owner.join(member.select(F.col("child").alias("_c"), F.col("cluster").alias("_up")), F.col("cluster") == F.col("_c"), "left")
+        moved = owner.join(
+            member.select(F.col("child").alias("_c"), F.col("cluster").alias("_up")), F.col("cluster") == F.col("_c"),
+            "left"
+        )
         owner = checkpointed(moved.select("id", F.coalesce("_up", "cluster").alias("cluster")))
-    return out if out is not None else nodes.select(F.lit(0).alias("level"), F.col("id").alias("child"), F.col("id").alias("cluster")).limit(0)
+    return out if out is not None else nodes.select(
+        F.lit(0).alias("level"), F.col("id").alias("child"), F.col("id").alias("cluster")
+    ).limit(0)
 
 
 def aggregate_links(owner: DataFrame, links: DataFrame) -> DataFrame:
@@ -68,7 +75,9 @@ def lineage(before: DataFrame, after: DataFrame) -> DataFrame:
     outs = real.groupBy("before").agg(F.count(F.lit(1)).alias("n_after"))
     ins = real.groupBy("after").agg(F.count(F.lit(1)).alias("n_before"))
     x = n.join(outs, "before", "left").join(ins, "after", "left")
-    change = F.when(F.col("after").isNull(), "retired").when(F.col("before").isNull(), "created").when((F.col("n_after") > 1) & (F.col("n_before") > 1), "split_merge").when(F.col("n_after") > 1, "split").when(F.col("n_before") > 1, "merged").otherwise("kept")
+    change = F.when(F.col("after").isNull(), "retired").when(F.col("before").isNull(), "created").when(
+        (F.col("n_after") > 1) & (F.col("n_before") > 1), "split_merge"
+    ).when(F.col("n_after") > 1, "split").when(F.col("n_before") > 1, "merged").otherwise("kept")
     return x.select("before", "after", "n_shared", change.alias("change"))
 
 
@@ -94,7 +103,10 @@ def clustered(g: Graph, predicate: str, levels: int, valid_at: int) -> Graph:
     all_ = g.nodes.select("id").unionAll(tree.select("cluster")).distinct()
     top = all_.join(tree.select(F.col("child").alias("id")), "id", "left_anti")
     none, nobody = F.lit(None).cast("long"), F.array().cast("array<string>")
-    made = lambda df, kind: df.select("id", F.col("id").alias("entity_id"), F.lit("cluster").alias("space_id"), F.lit(kind).alias("type_id"), none.alias("valid_start"), none.alias("valid_end"), nobody.alias("readers"))
+    made = lambda df, kind: df.select(
+        "id", F.col("id").alias("entity_id"), F.lit("cluster").alias("space_id"), F.lit(kind).alias("type_id"),
+        none.alias("valid_start"), none.alias("valid_end"), nobody.alias("readers")
+    )
     manifest = g.nodes.sparkSession.createDataFrame([("cluster:manifest",)], "id string")
     clusters = tree.select(F.col("cluster").alias("id")).distinct()
     nodes = made(g.nodes.select("id").distinct(), "Leaf").unionAll(made(clusters, "Cluster")).unionAll(made(manifest, "Manifest"))

@@ -23,19 +23,26 @@ def op(col: Column | str = "op") -> Column:
     return F.lower(F.trim(F.col(col) if isinstance(col, str) else col))
 
 
-def live(log: DataFrame, line: Sequence[str], key: Sequence[str], order: Sequence[str], payload: Sequence[str], until: Column | None = None, removed: Column | None = None) -> DataFrame:
+def live(
+    log: DataFrame, line: Sequence[str], key: Sequence[str], order: Sequence[str], payload: Sequence[str],
+    until: Column | None = None, removed: Column | None = None
+) -> DataFrame:
     """Facts in force on each line after all operations with ``until``: one aggregate, the latest by ``order`` wins.
 
     The condition is pushed to the scan.  Retracted facts are left out."""
     rows = log if until is None else log.where(until)
     gone = removed if removed is not None else op() == "retract"
-    last = rows.withColumn("_gone", gone).groupBy(*line, *key).agg(F.max(F.struct(*order, "_gone", *(c for c in payload if c not in order))).alias("_l"))
+    last = rows.withColumn("_gone", gone).groupBy(*line, *key).agg(F.max(F.struct(
+        *order, "_gone", *(c for c in payload if c not in order)
+    )).alias("_l"))
     return last.where("NOT _l._gone").select(*line, *key, *(F.col(f"_l.{c}").alias(c) for c in payload))
 
 
 def head_at(heads: DataFrame, branch: Sequence[str], at: int) -> DataFrame:
     """As-of selection: the last head of each branch recorded at or before ``at`` (none: no row, the empty state)."""
-    return heads.where(F.col("recorded_at_ms") <= at).groupBy(*branch).agg(F.max(F.struct("recorded_at_ms", "seq")).alias("h")).select(*branch, F.col("h.seq").alias("head_seq"), F.col("h.recorded_at_ms").alias("head_ms"))
+    return heads.where(F.col("recorded_at_ms") <= at).groupBy(*branch).agg(F.max(F.struct("recorded_at_ms", "seq")).alias("h")).select(
+        *branch, F.col("h.seq").alias("head_seq"), F.col("h.recorded_at_ms").alias("head_ms")
+    )
 
 
 def versions(log: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -59,7 +66,9 @@ def recorded_range(heads: DataFrame, start: int, end: int, limit: int = MAX_RANG
 def recorded_history(heads: DataFrame, branch: Sequence[str], start: int, end: int, limit: int = MAX_RANGE) -> DataFrame:
     """(branch, seq, recorded_at_ms, is_start): the heads of ``recorded_range`` and, marked as the start state, the
     head of each branch in force before ``start`` (none: no row, the empty state).  The limit counts the range only."""
-    before = head_at(heads, branch, start - 1).select(*branch, F.col("head_seq").alias("seq"), F.col("head_ms").alias("recorded_at_ms"), F.lit(True).alias("is_start"))
+    before = head_at(heads, branch, start - 1).select(
+        *branch, F.col("head_seq").alias("seq"), F.col("head_ms").alias("recorded_at_ms"), F.lit(True).alias("is_start")
+    )
     return before.unionAll(recorded_range(heads, start, end, limit).select(*branch, "seq", "recorded_at_ms", F.lit(False)))
 
 
@@ -67,9 +76,14 @@ def changes(before: DataFrame, after: DataFrame, key: Sequence[str], content: st
     """Net content difference of two states: (key, change, before, after), change in asserted, retracted, corrected.
 
     One aggregate over both states in long form; equal contents leave no row."""
-    both = before.select(*key, F.col(content).alias("b"), F.lit(None).cast("string").alias("a"), F.lit(1).alias("nb"), F.lit(0).alias("na")).unionAll(after.select(*key, F.lit(None).cast("string"), F.col(content), F.lit(0), F.lit(1)))
+    both = before.select(
+        *key, F.col(content).alias("b"), F.lit(None).cast("string").alias("a"), F.lit(1).alias("nb"),
+        F.lit(0).alias("na")
+    ).unionAll(after.select(*key, F.lit(None).cast("string"), F.col(content), F.lit(0), F.lit(1)))
     g = both.groupBy(*key).agg(F.max("b").alias("before"), F.max("a").alias("after"), F.max("nb").alias("nb"), F.max("na").alias("na"))
-    kind = F.when(F.col("nb") == 0, "asserted").when(F.col("na") == 0, "retracted").when(~F.col("before").eqNullSafe(F.col("after")), "corrected")
+    kind = F.when(F.col("nb") == 0, "asserted").when(F.col("na") == 0, "retracted").when(
+        ~F.col("before").eqNullSafe(F.col("after")), "corrected"
+    )
     return g.withColumn("change", kind).where("change IS NOT NULL").select(*key, "change", "before", "after")
 
 
@@ -82,7 +96,13 @@ def reconcile(current: DataFrame, desired: DataFrame, key: Sequence[str], conten
     """(key, action, content): what to write so that the desired facts hold: assert, correct or unchanged (facts not named stay)."""
     c = current.select(*key, F.col(content).alias("_was"), F.lit(True).alias("_have"))
     j = desired.select(*key, F.col(content).alias("content")).join(c, list(key), "left")
-    return j.select(*key, F.when(F.col("_have").isNull(), "assert").when(F.col("_was").eqNullSafe(F.col("content")), "unchanged").otherwise("correct").alias("action"), "content")
+    return j.select(
+        *key,
+        F.when(F.col("_have").isNull(), "assert").when(
+            F.col("_was").eqNullSafe(F.col("content")), "unchanged"
+        ).otherwise("correct").alias("action"),
+        "content"
+    )
 
 
 def selected(
@@ -292,7 +312,10 @@ class FactStore:
         tip = self.tip()
         upto = min(after + limit, tip if tip is not None else -1)
         seqs = range(after + 1, upto + 1)
-        rows = [{"seq": i, **{k: self.commit_of(i)[k] for k in ("revision", "recorded_at_ms")}, "graphs": sorted(self.commit_of(i)["segments"])} for i in seqs]
+        rows = [{
+            "seq": i, **{k: self.commit_of(i)[k] for k in ("revision", "recorded_at_ms")},
+            "graphs": sorted(self.commit_of(i)["segments"])
+        } for i in seqs]
         return rows, upto if tip is not None and upto < tip else None
 
     def export(self, path: str, graph: str = MAIN) -> dict:
@@ -301,7 +324,10 @@ class FactStore:
         if head is None:
             raise EngineError("E_HISTORY_UNAVAILABLE", graph)
         self.state(head, graph).write.parquet(f"{path}/facts")
-        told = {"graph": graph, "head": head, "revision": self.commit_of(head)["revision"], **_digest(self.spark.read.parquet(f"{path}/facts"))}
+        told = {
+            "graph": graph, "head": head, "revision": self.commit_of(head)["revision"],
+            **_digest(self.spark.read.parquet(f"{path}/facts"))
+        }
         if not claim(self.spark, f"{path}/manifest.json", json.dumps(told)):
             raise EngineError("E_CAPSULE", "there is one already")
         return told
@@ -356,7 +382,9 @@ class FactStore:
         head = self.head(graph) if expected is NO_CHECK else expected
         return self.write(both, head, max_changes, graph)
 
-    def commit_batch(self, changes: dict[str, DataFrame], expected: dict[str, object] | None = None, max_changes: int = MAX_CHANGES) -> dict[str, dict]:
+    def commit_batch(
+        self, changes: dict[str, DataFrame], expected: dict[str, object] | None = None, max_changes: int = MAX_CHANGES
+    ) -> dict[str, dict]:
         """Writes to several graphs that become visible together, or not at all."""
         if bad := [g for g in changes if not re.fullmatch(r"[A-Za-z0-9_.]+(-[A-Za-z0-9_.]+)*", g)]:
             raise EngineError("E_GRAPH", ", ".join(bad))
@@ -406,8 +434,12 @@ class FactStore:
             some(change).alias("change"), some((F.col("kind") == "node") & (F.col("op") == "retract")).alias("gone"),
         ).first()
         for failed, code, text in (
-            (seen["n"] > max_changes, "E_BUDGET", "changes"), (seen["op"], "E_OP", "assert or retract"), (seen["keys"] < seen["n"], "E_CONFLICT", "a fact is written twice"),
-            (seen["stale"], "E_STALE_FACT", "a fact is not as expected"), (seen["unknown"], "E_UNKNOWN_FACT", "retract"), (seen["moved"], "E_CONFLICT", "an edge keeps its ends"),
+            (seen["n"] > max_changes, "E_BUDGET", "changes"), (seen["op"], "E_OP", "assert or retract"), (
+                seen["keys"] < seen["n"], "E_CONFLICT", "a fact is written twice"
+            ),
+            (
+                seen["stale"], "E_STALE_FACT", "a fact is not as expected"
+            ), (seen["unknown"], "E_UNKNOWN_FACT", "retract"), (seen["moved"], "E_CONFLICT", "an edge keeps its ends"),
         ):
             if failed:
                 raise EngineError(code, text)
@@ -415,7 +447,10 @@ class FactStore:
             return None
         real = j.where(change).select("kind", "id", "op", "content")
         gone = real.where("kind = 'node' AND op = 'retract'").select(F.col("id").alias("n"))
-        both_ends = lambda df: df.where("kind = 'edge'").select("id", F.explode(F.array(F.get_json_object("content", "$.src"), F.get_json_object("content", "$.dst"))).alias("n"))
+        both_ends = lambda df: df.where("kind = 'edge'").select(
+            "id",
+            F.explode(F.array(F.get_json_object("content", "$.src"), F.get_json_object("content", "$.dst"))).alias("n")
+        )
         nodes = cur.where("kind = 'node'").select(F.col("id").alias("n")).join(gone, "n", "left_anti").unionAll(real.where("kind = 'node' AND op = 'assert'").select("id"))
         asked = both_ends(real.where("op = 'assert'"))
         if not asked.where("n IS NULL").unionAll(asked.join(nodes, "n", "left_anti").select("id", "n")).isEmpty():

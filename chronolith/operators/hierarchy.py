@@ -86,7 +86,9 @@ def _ways(edges: DataFrame, width: int) -> tuple[DataFrame, int]:
 
 def _below(frontier: DataFrame, ways: DataFrame, with_path: bool) -> DataFrame:
     """The nodes on the ways down from the frontier, each once."""
-    far = frontier.join(ways, F.col("node") == F.col("top")).select("root", "depth", *(["path"] if with_path else []), "way", F.posexplode("way").alias("_i", "node"))
+    far = frontier.join(ways, F.col("node") == F.col("top")).select(
+        "root", "depth", *(["path"] if with_path else []), "way", F.posexplode("way").alias("_i", "node")
+    )
     below = [F.concat("path", F.slice("way", F.lit(1), F.col("_i") + 1)).alias("path")] if with_path else []
     return far.select("node", "root", (F.col("depth") + F.col("_i") + 1).alias("depth"), *below).dropDuplicates(["node"])
 

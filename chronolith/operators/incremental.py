@@ -35,7 +35,9 @@ RUN = "feed string, scope string, after_pos long, upto_pos long, started long"
 
 def content_hash(cols: Sequence[str], df: DataFrame) -> list[Column]:
     """Two independent 64-bit hashes over the columns, nulls told apart from empty values."""
-    flat = [F.to_json(F.col(c), {"ignoreNullFields": "false"}) if df.schema[c].dataType.typeName() in ("struct", "array", "map", "variant") else F.col(c) for c in sorted(cols)]
+    flat = [F.to_json(
+        F.col(c), {"ignoreNullFields": "false"}
+    ) if df.schema[c].dataType.typeName() in ("struct", "array", "map", "variant") else F.col(c) for c in sorted(cols)]
     marks = [F.col(c).isNull() for c in sorted(cols)]
     return [F.xxhash64(*flat, *marks).alias("h1"), F.xxhash64(F.lit("second"), *flat[::-1], *marks).alias("h2")]
 
@@ -126,10 +128,17 @@ def covered_until(runs: DataFrame, last: DataFrame) -> DataFrame:
     lv = 40
     key = ["feed", "scope"]
     r = runs.where("feed IS NOT NULL AND scope IS NOT NULL AND after_pos IS NOT NULL AND upto_pos IS NOT NULL AND started IS NOT NULL").join(last, key)
-    r = r.select(*key, F.greatest(F.col("after_pos") + 1, F.lit(0)).alias("lo"), (F.least("upto_pos", "top") + 1).alias("hi"), "started").where("lo < hi")
-    nodes = r.withColumn("node", F.explode(interval_nodes(F.col("lo"), F.col("hi"), 0, lv))).groupBy(*key, "node").agg(F.max("started").alias("started"))
+    r = r.select(
+        *key, F.greatest(F.col("after_pos") + 1, F.lit(0)).alias("lo"), (F.least("upto_pos", "top") + 1).alias("hi"),
+        "started"
+    ).where("lo < hi")
+    nodes = r.withColumn(
+        "node", F.explode(interval_nodes(F.col("lo"), F.col("hi"), 0, lv))
+    ).groupBy(*key, "node").agg(F.max("started").alias("started"))
     points = r.select(*key, F.explode(F.array("lo", "hi")).alias("lo")).distinct()
-    known = points.withColumn("node", F.explode(point_nodes(F.col("lo"), 0, lv))).join(nodes, [*key, "node"]).groupBy(*key, "lo").agg(F.max("started").alias("done_at"))
+    known = points.withColumn(
+        "node", F.explode(point_nodes(F.col("lo"), 0, lv))
+    ).join(nodes, [*key, "node"]).groupBy(*key, "lo").agg(F.max("started").alias("done_at"))
     return successor(points, key, "lo", "hi", block=10**6).join(known, [*key, "lo"]).where("hi IS NOT NULL")
 
 
@@ -139,8 +148,12 @@ def content_versions(records: DataFrame) -> DataFrame:
     ``current`` marks the content received last (ties: the greater hash).  Rows
     delivered again are combined before the shuffle.
     """
-    c = records.groupBy("feed", "scope", "pos", "h1", "h2").agg(F.min("received").alias("first_received"), F.max("received").alias("last_received"))
-    return c.groupBy("feed", "scope", "pos").agg(F.max(F.struct("last_received", "h1", "h2", "first_received")).alias("now")).select("feed", "scope", "pos", "now.h1", "now.h2", "now.first_received")
+    c = records.groupBy("feed", "scope", "pos", "h1", "h2").agg(
+        F.min("received").alias("first_received"), F.max("received").alias("last_received")
+    )
+    return c.groupBy("feed", "scope", "pos").agg(F.max(F.struct("last_received", "h1", "h2", "first_received")).alias("now")).select(
+        "feed", "scope", "pos", "now.h1", "now.h2", "now.first_received"
+    )
 
 
 def processed(current: DataFrame, stretches: DataFrame) -> DataFrame:

@@ -62,22 +62,36 @@ def orphans(parents: Sequence[Parent], children: Sequence[Child]) -> DataFrame:
 
     def points(p: Parent) -> DataFrame:
         at, off = micros(p.recorded), micros(p.deleted) if p.deleted else F.lit(None).cast("long")
-        ends = F.when(at.isNotNull() & off.isNotNull() & (off > at), F.struct(off.alias("at"), F.lit(-1).alias("step"), F.lit(0).alias("seen")))
+        ends = F.when(
+            at.isNotNull() & off.isNotNull() & (off > at),
+            F.struct(off.alias("at"), F.lit(-1).alias("step"), F.lit(0).alias("seen"))
+        )
         never = at.isNotNull() & off.isNotNull() & (off <= at)
-        start = F.struct(at.alias("at"), F.when(at.isNull() | never, 0).otherwise(1).alias("step"), F.when(at.isNull(), 0).otherwise(1).alias("seen"))
+        start = F.struct(
+            at.alias("at"), F.when(at.isNull() | never, 0).otherwise(1).alias("step"),
+            F.when(at.isNull(), 0).otherwise(1).alias("seen")
+        )
         x = p.df.select(of(p, p.key).alias("ref_key"), F.explode(F.filter(F.array(start, ends), lambda e: e.isNotNull())).alias("e"))
-        return x.where("ref_key IS NOT NULL").select(F.lit(p.name).alias("parent_table"), "ref_key", "e.at", "e.step", "e.seen", F.lit(1).alias("is_parent"), F.lit(0).alias("is_child"))
+        return x.where("ref_key IS NOT NULL").select(
+            F.lit(p.name).alias("parent_table"), "ref_key", "e.at", "e.step", "e.seen", F.lit(1).alias("is_parent"),
+            F.lit(0).alias("is_child")
+        )
 
     def rows(c: Child) -> DataFrame:
         p = tables[c.parent]
         return c.df.select(
             F.lit(c.parent).alias("parent_table"), of(p, c.ref).alias("ref_key"), micros(c.recorded).alias("at"), F.lit(c.name).alias("src_table"),
-            F.col(c.key).cast("string").alias("record_key"), F.date_format(F.col(c.recorded).cast("timestamp"), "yyyy-MM").alias("ref_month"),
+            F.col(c.key).cast("string").alias("record_key"), F.date_format(
+                F.col(c.recorded).cast("timestamp"), "yyyy-MM"
+            ).alias("ref_month"),
         ).where("ref_key IS NOT NULL")
 
     child = reduce(DataFrame.unionAll, map(rows, children))
     long = reduce(DataFrame.unionAll, map(points, parents)).unionAll(
-        child.select("parent_table", "ref_key", "at", F.lit(0).alias("step"), F.lit(0).alias("seen"), F.lit(0).alias("is_parent"), F.lit(1).alias("is_child"))
+        child.select(
+            "parent_table", "ref_key", "at", F.lit(0).alias("step"), F.lit(0).alias("seen"),
+            F.lit(0).alias("is_parent"), F.lit(1).alias("is_child")
+        )
     )
     key = ["parent_table", "ref_key"]
     summed = (F.sum(c).alias(c) for c in ("step", "seen", "is_parent"))
@@ -94,4 +108,6 @@ def orphans(parents: Sequence[Parent], children: Sequence[Child]) -> DataFrame:
 
 def orphan_counts(found: DataFrame) -> DataFrame:
     """Orphan rows per referring table, month and reason."""
-    return found.groupBy("src_table", "parent_table", "ref_month", "reason").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ref_key").alias("n_keys"))
+    return found.groupBy("src_table", "parent_table", "ref_month", "reason").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ref_key").alias("n_keys")
+    )

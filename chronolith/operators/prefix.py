@@ -58,7 +58,10 @@ def successor(df: DataFrame, keys: Sequence[str], order: str, name: str, block:
     keys = list(keys)
     rows = df.withColumn("_b", F.floor(F.col(order) / F.lit(block)).cast("long"))
     firsts = rows.groupBy(*keys, "_b").agg(F.min(order).alias("_first"))
-    base = firsts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), F.lead("_first").over(Window.partitionBy(*keys).orderBy("_b")).alias("_beyond"))
+    base = firsts.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"),
+        F.lead("_first").over(Window.partitionBy(*keys).orderBy("_b")).alias("_beyond")
+    )
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
     inside = Window.partitionBy(*keys, "_b").orderBy(order)
     return rows.join(base, on, "inner").select(*df.columns, F.coalesce(F.lead(order).over(inside), F.col("_beyond")).alias(name))

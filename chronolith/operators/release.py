@@ -44,12 +44,17 @@ def persisted(g: Graph, results: DataFrame, key: str, valid_at: int) -> Graph:
 def release_audit(released: DataFrame, min_k: int, at: int, who: str) -> DataFrame:
     """What was told to whom: one row for each count asked for, released or not, without the count."""
     keys = [c for c in released.columns if c not in ("n", "released")]
-    return released.select(F.lit(at).alias("asked_at"), F.lit(who).alias("principal"), F.lit(min_k).alias("min_k"), F.to_json(F.struct(*keys)).alias("key"), "released")
+    return released.select(
+        F.lit(at).alias("asked_at"), F.lit(who).alias("principal"), F.lit(min_k).alias("min_k"),
+        F.to_json(F.struct(*keys)).alias("key"), "released"
+    )
 
 
 def describe(g: Graph) -> DataFrame:
     """(what, name, n): visible nodes by type and space, edges by predicate, attachments by key."""
-    parts = [(g.nodes, "type_id", "type"), (g.nodes, "space_id", "space"), (g.edges, "predicate", "predicate")] + ([(g.attachments, "key", "attachment")] if g.attachments is not None else [])
+    parts = [
+        (g.nodes, "type_id", "type"), (g.nodes, "space_id", "space"), (g.edges, "predicate", "predicate")
+    ] + ([(g.attachments, "key", "attachment")] if g.attachments is not None else [])
     out = None
     for df, col, what in parts:
         x = df.groupBy(F.col(col).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "name", "n")
@@ -70,9 +75,15 @@ def explain(derived: DataFrame, node_id: str = "id") -> tuple[DataFrame, DataFra
     -joint_premise-> premise; each premise is a node of its derivation."""
     alt = derived.select(F.col(node_id).alias("c"), F.posexplode("derivations").alias("i", "d"))
     d_id = F.concat_ws("/", "c", F.concat(F.lit("d"), F.col("i")))
-    prem = alt.select("c", d_id.alias("did"), F.posexplode("d.premises").alias("j", "premise")).withColumn("pid", F.concat_ws("/", "did", F.concat(F.lit("p"), F.col("j"))))
-    nodes = derived.select(F.col(node_id).alias("id"), F.lit("conclusion").alias("kind"), F.col(node_id).alias("refers_to")).unionAll(alt.select(d_id, F.lit("derivation"), F.col("c"))).unionAll(prem.select("pid", F.lit("premise"), "premise"))
-    edges = alt.select(F.col("c").alias("src"), d_id.alias("dst"), F.lit("alternative").alias("predicate")).unionAll(prem.select("did", "pid", F.lit("joint_premise")))
+    prem = alt.select(
+        "c", d_id.alias("did"), F.posexplode("d.premises").alias("j", "premise")
+    ).withColumn("pid", F.concat_ws("/", "did", F.concat(F.lit("p"), F.col("j"))))
+    nodes = derived.select(
+        F.col(node_id).alias("id"), F.lit("conclusion").alias("kind"), F.col(node_id).alias("refers_to")
+    ).unionAll(alt.select(d_id, F.lit("derivation"), F.col("c"))).unionAll(prem.select("pid", F.lit("premise"), "premise"))
+    edges = alt.select(
+        F.col("c").alias("src"), d_id.alias("dst"), F.lit("alternative").alias("predicate")
+    ).unionAll(prem.select("did", "pid", F.lit("joint_premise")))
     return nodes, edges
 
 

@@ -69,7 +69,11 @@ def _derive(rule: Rule, sides: Sequence[DataFrame]) -> DataFrame:
             raise EngineError("E_RULE_PRODUCT", "body atoms must share a variable with those before")
         acc = acc.join(m, on).withColumn("_s", F.greatest("_s", "_s2")).withColumn("_e", F.least("_e", "_e2")).drop("_s2", "_e2").where("_e IS NULL OR _s < _e")
     term = lambda t: F.col(f"`{t}`") if t.startswith("?") else F.lit(t)
-    return acc.select(F.lit(rule.head.predicate).alias("predicate"), term(rule.head.src).alias("src"), term(rule.head.dst).alias("dst"), F.lit(rule.head.negative).alias("negative"), F.col("_s").alias("valid_start"), F.col("_e").alias("valid_end"))
+    return acc.select(
+        F.lit(rule.head.predicate).alias("predicate"), term(rule.head.src).alias("src"),
+        term(rule.head.dst).alias("dst"), F.lit(rule.head.negative).alias("negative"), F.col("_s").alias("valid_start"),
+        F.col("_e").alias("valid_end")
+    )
 
 
 def reason(facts: DataFrame, rules: Sequence[Rule], max_rounds: int = MAX_ROUNDS, max_facts: int | None = None) -> DataFrame:
@@ -79,7 +83,9 @@ def reason(facts: DataFrame, rules: Sequence[Rule], max_rounds: int = MAX_ROUNDS
     given and derived is among the results too."""
     check(rules)
     used = sorted({a.predicate for r in rules for a in r.body})
-    base = checkpointed(facts.where(F.col("predicate").isin(*used)).select("predicate", "src", "dst", (F.col("polarity") == "negative").alias("negative"), "valid_start", "valid_end").distinct())
+    base = checkpointed(facts.where(F.col("predicate").isin(*used)).select(
+        "predicate", "src", "dst", (F.col("polarity") == "negative").alias("negative"), "valid_start", "valid_end"
+    ).distinct())
     derived = base.limit(0)
     known, fresh = base, base
     for n in range(max_rounds):

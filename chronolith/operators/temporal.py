@@ -38,11 +38,28 @@ def path_join(left: Graph, right: Graph, output_predicate: str) -> DataFrame:
     valid_end), the interval being the intersection.  An equi-join with the
     overlap as residual, so no product of the sides; AQE splits a hot middle."""
     pos = F.col("polarity") == POSITIVE
-    l = _ends(left, left.edges.where(pos).select(F.col("id").alias("left_id"), "src", F.col("dst").alias("_to"), F.col("valid_start").alias("ls"), F.col("valid_end").alias("le")), "_to", "m")
-    r = _ends(right, right.edges.where(pos).select(F.col("id").alias("right_id"), F.col("src").alias("_from"), "dst", F.col("valid_start").alias("rs"), F.col("valid_end").alias("re")), "_from", "m")
+    l = _ends(
+        left,
+        left.edges.where(pos).select(
+            F.col("id").alias("left_id"), "src", F.col("dst").alias("_to"), F.col("valid_start").alias("ls"),
+            F.col("valid_end").alias("le")
+        ),
+        "_to", "m"
+    )
+    r = _ends(
+        right,
+        right.edges.where(pos).select(
+            F.col("id").alias("right_id"), F.col("src").alias("_from"), "dst", F.col("valid_start").alias("rs"),
+            F.col("valid_end").alias("re")
+        ),
+        "_from", "m"
+    )
     both = l.join(r, ["m_entity", "m_space"]).where(overlap(F.col("ls"), F.col("le"), F.col("rs"), F.col("re")))
     s, e = meet(F.col("ls"), F.col("le"), F.col("rs"), F.col("re"))
-    return both.select("left_id", "right_id", F.lit(output_predicate).alias("predicate"), "src", "dst", s.alias("valid_start"), e.alias("valid_end"))
+    return both.select(
+        "left_id", "right_id", F.lit(output_predicate).alias("predicate"), "src", "dst", s.alias("valid_start"),
+        e.alias("valid_end")
+    )
 
 
 def _pair_id(kind: str, *cols: str) -> Column:
@@ -80,14 +97,25 @@ def _occurrences(pairs: DataFrame, left: Graph, right: Graph) -> Graph:
 def joined(left: Graph, right: Graph, output_predicate: str) -> Graph:
     """path_join() as a graph that can be joined again: an edge for each pair, its ends wrapped, the middle left out."""
     p = path_join(left, right, output_predicate)
-    return _occurrences(p.select(_pair_id("join", "left_id", "right_id").alias("id"), "predicate", F.col("src").alias("_src"), F.col("dst").alias("_dst"), "valid_start", "valid_end"), left, right)
+    return _occurrences(
+        p.select(
+            _pair_id("join", "left_id", "right_id").alias("id"), "predicate", F.col("src").alias("_src"),
+            F.col("dst").alias("_dst"), "valid_start", "valid_end"
+        ),
+        left, right
+    )
 
 
 def sequenced(left: Graph, right: Graph, name: str, window: tuple[int, int]) -> Graph:
     """sequence() as a graph: two clipped edges for each pair, of their own predicates, with their own ends."""
     s = sequence(left, right, name, window)
-    own = lambda g: g.edges.select(F.col("id").alias("edge_id"), "predicate", F.col("src").alias("_src"), F.col("dst").alias("_dst"))
-    parts = [s.where(F.col("role") == role).join(own(g), "edge_id").withColumn("_in", F.lit(role)) for role, g in (("left", left), ("right", right))]
+    own = lambda g: g.edges.select(
+        F.col("id").alias("edge_id"), "predicate", F.col("src").alias("_src"), F.col("dst").alias("_dst")
+    )
+    parts = [
+        s.where(F.col("role") == role).join(own(g), "edge_id").withColumn("_in", F.lit(role)) for role,
+        g in (("left", left), ("right", right))
+    ]
     both = parts[0].unionByName(parts[1]).withColumn("id", _pair_id("sequence", "left_id", "right_id", "role"))
     return _occurrences(both, left, right)
 
@@ -100,11 +128,31 @@ def sequence(left: Graph, right: Graph, name: str, window: tuple[int, int]) -> D
     lo, hi = F.lit(window[0]), F.lit(window[1])
     inside = overlap(F.col("valid_start"), F.col("valid_end"), lo, hi)
     pos = (F.col("polarity") == POSITIVE) & inside
-    l = _ends(left, left.edges.where(pos).select(F.col("id").alias("left_id"), F.col("dst").alias("_to"), F.col("valid_start").alias("ls"), F.col("valid_end").alias("le")), "_to", "m")
-    r = _ends(right, right.edges.where(pos).select(F.col("id").alias("right_id"), F.col("src").alias("_from"), F.col("valid_start").alias("rs"), F.col("valid_end").alias("re")), "_from", "m")
+    l = _ends(
+        left,
+        left.edges.where(pos).select(
+            F.col("id").alias("left_id"), F.col("dst").alias("_to"), F.col("valid_start").alias("ls"),
+            F.col("valid_end").alias("le")
+        ),
+        "_to", "m"
+    )
+    r = _ends(
+        right,
+        right.edges.where(pos).select(
+            F.col("id").alias("right_id"), F.col("src").alias("_from"), F.col("valid_start").alias("rs"),
+            F.col("valid_end").alias("re")
+        ),
+        "_from", "m"
+    )
     both = l.join(r, ["m_entity", "m_space"]).where(relation(name, F.col("ls"), F.col("le"), F.col("rs"), F.col("re")))
-    clip = lambda role, i, s, e: F.struct(F.lit(role).alias("role"), F.col(i).alias("edge_id"), F.greatest(F.col(s), lo).alias("valid_start"), F.least(F.col(e), hi).alias("valid_end"))
-    return both.select("left_id", "right_id", F.explode(F.array(clip("left", "left_id", "ls", "le"), clip("right", "right_id", "rs", "re"))).alias("o")).select("left_id", "right_id", "o.*")
+    clip = lambda role, i, s, e: F.struct(
+        F.lit(role).alias("role"), F.col(i).alias("edge_id"), F.greatest(F.col(s), lo).alias("valid_start"),
+        F.least(F.col(e), hi).alias("valid_end")
+    )
+    return both.select(
+        "left_id", "right_id",
+        F.explode(F.array(clip("left", "left_id", "ls", "le"), clip("right", "right_id", "rs", "re"))).alias("o")
+    ).select("left_id", "right_id", "o.*")
 
 
 def window(g: Graph, start: int, end: int) -> Graph:
@@ -113,7 +161,9 @@ def window(g: Graph, start: int, end: int) -> Graph:
         if df is None:
             return None
         kept = df.where(overlap(F.col("valid_start"), F.col("valid_end"), F.lit(start), F.lit(end)))
-        return kept.withColumn("valid_start", F.greatest("valid_start", F.lit(start))).withColumn("valid_end", F.least("valid_end", F.lit(end)))
+        return kept.withColumn(
+            "valid_start", F.greatest("valid_start", F.lit(start))
+        ).withColumn("valid_end", F.least("valid_end", F.lit(end)))
 
     return g.with_(edges=clip(g.edges), attachments=clip(g.attachments))
 

@@ -86,7 +86,9 @@ def topology(g: Graph, valid_at: int | None = None) -> DataFrame:
 def degree(g: Graph, valid_at: int | None = None) -> DataFrame:
     """(id, in_degree, out_degree, degree) of all nodes; a loop counts once each way, isolated nodes 0."""
     e = topology(g, valid_at)
-    ends = e.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionAll(e.select("dst", F.lit(1), F.lit(0))).unionAll(g.nodes.select("id", F.lit(0), F.lit(0)))
+    ends = e.select(
+        F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")
+    ).unionAll(e.select("dst", F.lit(1), F.lit(0))).unionAll(g.nodes.select("id", F.lit(0), F.lit(0)))
     d = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     return d.join(g.nodes.select("id"), "id", "left_semi").withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
@@ -98,7 +100,9 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -
     jumps to that label's own label, so rounds grow with the logarithm of the
     diameter.  The least label of a hot node is combined before the shuffle.
     """
-    both = checkpointed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select("dst", "src")).where("a <> b").distinct())
+    both = checkpointed(edges.select(
+        F.col("src").alias("a"), F.col("dst").alias("b")
+    ).unionAll(edges.select("dst", "src")).where("a <> b").distinct())
     label = checkpointed(nodes.select("id", F.col("id").alias("component")).distinct())
     for _ in range(max_rounds):
         near = both.join(label, both["b"] == label["id"]).select(F.col("a").alias("id"), "component")
@@ -106,7 +110,9 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -
         # the label's own label, taken over members of the old component as well
         hook = label.join(best.withColumnRenamed("component", "low"), "id").groupBy("component").agg(F.min("low").alias("low"))
         up = hook.select(F.col("component").alias("_c"), "low")
-        new = checkpointed(best.join(up, best["component"] == up["_c"], "left").select("id", F.least("component", "low").alias("component")))
+        new = checkpointed(best.join(up, best["component"] == up["_c"], "left").select(
+            "id", F.least("component", "low").alias("component")
+        ))
         moved = new.join(label.withColumnRenamed("component", "was"), "id").where("component <> was").isEmpty()
         label = new
         if moved:
@@ -128,13 +134,17 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200)
         if left.isEmpty():
             break
         while True:  # trim
-            inner = left.join(e.select(F.col("src").alias("id")), "id", "left_semi").join(e.select(F.col("dst").alias("id")), "id", "left_semi")
+            inner = left.join(
+                e.select(F.col("src").alias("id")), "id", "left_semi"
+            ).join(e.select(F.col("dst").alias("id")), "id", "left_semi")
             cut = checkpointed(left.join(inner, "id", "left_anti"))
             if cut.isEmpty():
                 break
             done.append(cut.select("id", F.col("id").alias("component")))
             left = checkpointed(left.join(cut, "id", "left_anti"))
-            e = checkpointed(e.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+            e = checkpointed(e.join(
+                left.select(F.col("id").alias("src")), "src", "left_semi"
+            ).join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
         if left.isEmpty():
             break
         label = checkpointed(left.select("id", F.col("id").alias("c")))
@@ -145,15 +155,23 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200)
             label = got
             if same:
                 break
-        inside = checkpointed(e.join(label.select(F.col("id").alias("src"), F.col("c").alias("c1")), "src").join(label.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("c")))
+        inside = checkpointed(e.join(
+            label.select(F.col("id").alias("src"), F.col("c").alias("c1")), "src"
+        ).join(
+            label.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst"
+        ).where("c1 = c2").select("src", "dst", F.col("c1").alias("c")))
         reach = frontier = checkpointed(label.where("id = c"))
         while not frontier.isEmpty():
-            back = inside.join(frontier.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
+            back = inside.join(
+                frontier.select(F.col("id").alias("dst"), "c"), ["dst", "c"]
+            ).select(F.col("src").alias("id"), "c").distinct()
             frontier = checkpointed(back.join(reach.select("id"), "id", "left_anti"))
             reach = checkpointed(reach.unionAll(frontier))
         done.append(reach.select("id", F.col("c").alias("component")))
         left = checkpointed(left.join(reach.select("id"), "id", "left_anti"))
-        e = checkpointed(e.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        e = checkpointed(e.join(
+            left.select(F.col("id").alias("src")), "src", "left_semi"
+        ).join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
     else:
         raise EngineError("E_BUDGET", "components did not settle")
     out = done[0] if done else nodes.select("id", F.col("id").alias("component")).limit(0)
@@ -188,11 +206,19 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, source: str, directed: bo
     if not directed:
         e = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     e = checkpointed(e)
-    frontier = checkpointed(nodes.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("distance"), F.lit(None).cast("string").alias("predecessor"), F.lit(0).cast("long").alias("r")).distinct())
+    frontier = checkpointed(nodes.where(F.col("id") == source).select(
+        "id", F.lit(0).cast("long").alias("distance"), F.lit(None).cast("string").alias("predecessor"),
+        F.lit(0).cast("long").alias("r")
+    ).distinct())
     seen = frontier
     for level in range(1, max_levels + 1):
-        step = e.join(frontier.select(F.col("id").alias("src"), F.col("r").alias("pr")), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("pr", "src")).alias("b"))
-        new = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).cast("long").alias("distance"), F.col("b.src").alias("predecessor"), F.col("b.pr").alias("pr"))
+        step = e.join(
+            frontier.select(F.col("id").alias("src"), F.col("r").alias("pr")), "src"
+        ).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("pr", "src")).alias("b"))
+        new = step.join(seen.select("id"), "id", "left_anti").select(
+            "id", F.lit(level).cast("long").alias("distance"), F.col("b.src").alias("predecessor"),
+            F.col("b.pr").alias("pr")
+        )
         frontier = global_rank(new, ["pr", "id"], "r").drop("pr")
         frontier = checkpointed(frontier)
         if frontier.isEmpty():
@@ -201,7 +227,9 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, source: str, directed: bo
     raise EngineError("E_BUDGET", "paths are too long")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10, max_iterations: int = 100) -> tuple[DataFrame, dict]:
+def pagerank(
+    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10, max_iterations: int = 100
+) -> tuple[DataFrame, dict]:
     """((id, score), {iterations, converged, residual}).
 
     Parallel edges weigh; what dangling nodes hold is spread evenly; stops when

@@ -64,7 +64,9 @@ def nearest(
         lo, hi = (F.col(c) for c in valid)
         rows = rows.where((lo <= valid_at) & (hi.isNull() | (hi > valid_at)))
     if of is not None:
-        own = rows.where(F.col(id_col) == F.lit(of)).select(F.col(vec).alias("v"), (F.col(subject) if subject else F.col(id_col)).alias("s")).first()
+        own = rows.where(F.col(id_col) == F.lit(of)).select(
+            F.col(vec).alias("v"), (F.col(subject) if subject else F.col(id_col)).alias("s")
+        ).first()
         if own is None:
             raise EngineError("E_EMBEDDING", str(of))
         query, exclude = own["v"], of
@@ -75,7 +77,9 @@ def nearest(
     if exclude is not None:
         rows = rows.where(F.col(id_col) != F.lit(exclude))
     q = F.array(*(F.lit(float(x)) for x in query))
-    top = rows.select(F.col(id_col).alias("id"), distance(F.col(vec), q, metric).alias("score")).where("score IS NOT NULL").orderBy("score", "id").limit(k)
+    top = rows.select(
+        F.col(id_col).alias("id"), distance(F.col(vec), q, metric).alias("score")
+    ).where("score IS NOT NULL").orderBy("score", "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("score", "id")))
 
 
@@ -117,7 +121,10 @@ def embedding_facts(nodes: DataFrame, vec: str, dimensions: int) -> DataFrame:
     bad = (F.size(F.col(vec)) != dimensions) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     checked = F.when(bad, F.raise_error(F.lit("E_VECTOR")).cast("array<float>")).otherwise(v)
     rows = nodes.where(F.col(vec).isNotNull())
-    return rows.select(F.concat(F.lit("embedding:"), "id").alias("id"), F.col("id").alias("subject"), checked.alias("vector"), "valid_start", "valid_end", "readers")
+    return rows.select(
+        F.concat(F.lit("embedding:"), "id").alias("id"), F.col("id").alias("subject"), checked.alias("vector"),
+        "valid_start", "valid_end", "readers"
+    )
 
 
 def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +132,10 @@ def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(n > 0, n, 1)[:, None], n > 0
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, id_col: str = "id", vec: str = "vector", block: int = BLOCK, subject: str | None = None, valid: tuple[str, str] | None = None) -> DataFrame:
+def knn(
+    vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, id_col: str = "id", vec: str = "vector",
+    block: int = BLOCK, subject: str | None = None, valid: tuple[str, str] | None = None
+) -> DataFrame:
     """(query_id, id, score, rank): the k nearest others of every query row, exactly.
 
     ``queries`` are the sources, ``vectors`` the targets.  With ``subject``, rows
@@ -171,7 +181,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = COSINE, id
         codes: dict[str, int] = {}
         own = np.array([-2 if x is None else codes.setdefault(x, len(codes)) for x in got.column("who").to_pylist()], np.int64)
         limits = [got.column(c).to_numpy()[ok] for c in ("vs", "ve")]
-        shared = spark.sparkContext.broadcast((ids[ok], np.array([x for x, o in zip(lists, ok) if o], np.float64).reshape(-1, dim), codes, own[ok], *limits))
+        shared = spark.sparkContext.broadcast((
+            ids[ok], np.array([x for x, o in zip(lists, ok) if o], np.float64).reshape(-1, dim), codes, own[ok], *limits
+        ))
         w = Window.partitionBy("query_id").orderBy("score", "id")
         best = _block(rows, shared, k, metric).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         if len(blocks) > 1:
@@ -253,21 +265,31 @@ def similar_candidates(hits: DataFrame, max_score: float | None = None, linked:
 UNITS = {"m": 1.0, "cm": 0.01, "mm": 0.001}
 
 
-def geometry_distance(a: DataFrame, b: DataFrame, on: str, frame: str = "frame", unit: str = "unit", role: str = "role", value: str = "value") -> DataFrame:
+def geometry_distance(
+    a: DataFrame, b: DataFrame, on: str, frame: str = "frame", unit: str = "unit", role: str = "role",
+    value: str = "value"
+) -> DataFrame:
     """(on, distance) of two positions; descriptors must be equal field by field and no side a direction, else null."""
-    j = a.select(on, *(F.col(c).alias(f"a_{c}") for c in (frame, unit, role, value))).join(b.select(on, *(F.col(c).alias(f"b_{c}") for c in (frame, unit, role, value))), on)
+    j = a.select(on, *(F.col(c).alias(f"a_{c}") for c in (frame, unit, role, value))).join(
+        b.select(on, *(F.col(c).alias(f"b_{c}") for c in (frame, unit, role, value))), on
+    )
     same = (F.col(f"a_{frame}") == F.col(f"b_{frame}")) & (F.col(f"a_{unit}") == F.col(f"b_{unit}")) & (F.col(f"a_{role}") == F.col(f"b_{role}")) & (F.col(f"a_{role}") != "direction")
     return j.select(on, F.when(same, distance(F.col(f"a_{value}"), F.col(f"b_{value}"), EUCLIDEAN)).alias("distance"))
 
 
-def rigid_transform(value: Column, rotation: Sequence[Sequence[float]], translation: Sequence[float], from_unit: str, to_unit: str, direction: bool = False) -> Column:
+def rigid_transform(
+    value: Column, rotation: Sequence[Sequence[float]], translation: Sequence[float], from_unit: str, to_unit: str,
+    direction: bool = False
+) -> Column:
     """Rotate, scale to the new unit and (positions only) move; the rotation must be orthonormal and right-handed to 1e-10."""
     r = np.array(rotation, float)
     if r.shape != (3, 3) or np.abs(r @ r.T - np.eye(3)).max() > 1e-10 or abs(np.linalg.det(r) - 1) > 1e-10:
         raise EngineError("E_TRANSFORM", "not a rotation")
     s = UNITS[from_unit] / UNITS[to_unit]
     at = lambda i: F.element_at(value, i + 1).cast("double")
-    return F.array(*(sum((F.lit(float(r[i, j])) * at(j) for j in range(1, 3)), F.lit(float(r[i, 0])) * at(0)) * s + (0.0 if direction else float(translation[i])) for i in range(3)))
+    return F.array(*(sum(
+        (F.lit(float(r[i, j])) * at(j) for j in range(1, 3)), F.lit(float(r[i, 0])) * at(0)
+    ) * s + (0.0 if direction else float(translation[i])) for i in range(3)))
 
 
 def project_axes(value: Column, axes: Sequence[int]) -> Column:

@@ -66,7 +66,10 @@ def filter_keeps_timed(spark: SparkSession, d: str) -> DataFrame:
 
 def project_members(spark: SparkSession, d: str) -> DataFrame:
     g = star(spark, d)
-    return _members(algebra.project(g, g.nodes.where("type_id = 'region'").select("id"), g.edges.where("predicate = 'in_nation' AND src LIKE 'supplier:%'").select("id")))
+    return _members(algebra.project(
+        g, g.nodes.where("type_id = 'region'").select("id"),
+        g.edges.where("predicate = 'in_nation' AND src LIKE 'supplier:%'").select("id")
+    ))
 
 
 def context_default(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +90,10 @@ def counterparts_entity(spark: SparkSession, d: str) -> DataFrame:
 
 def resolve_identity(spark: SparkSession, d: str) -> DataFrame:
     n = star(spark, d).nodes.where("type_id = 'supplier'")
-    parts = n.select(F.lit("accepted").alias("mapping"), F.col("entity_id").alias("partition_id"), F.col("id").alias("node_id"), "space_id", F.lit(0).cast("long").alias("valid_start"), F.lit(None).cast("long").alias("valid_end"))
+    parts = n.select(
+        F.lit("accepted").alias("mapping"), F.col("entity_id").alias("partition_id"), F.col("id").alias("node_id"),
+        "space_id", F.lit(0).cast("long").alias("valid_start"), F.lit(None).cast("long").alias("valid_end")
+    )
     return algebra.resolve_identity(parts, n.where("space_id = 'biz'").select("id"), "geo", V1)
 
 
@@ -101,8 +107,13 @@ def assertion_join(spark: SparkSession, d: str) -> DataFrame:
     e = star(spark, d).edges.where("predicate = 'contains'")
     key = F.concat_ws(">", "src", "dst")
     structures = e.groupBy("predicate", "src", "dst").agg(F.first(key).alias("id"))
-    said = e.select("id", key.alias("edge_id"), "valid_start", "valid_end", "polarity", "context", "readers", F.lit("lines").alias("source"))
-    return algebra.materialize(structures, said).groupBy("predicate", "polarity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src", "dst").alias("n_structures"))
+    said = e.select(
+        "id", key.alias("edge_id"), "valid_start", "valid_end", "polarity", "context", "readers",
+        F.lit("lines").alias("source")
+    )
+    return algebra.materialize(structures, said).groupBy("predicate", "polarity").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("src", "dst").alias("n_structures")
+    )
 
 
 def union_origin(spark: SparkSession, d: str) -> DataFrame:
@@ -112,13 +123,19 @@ def union_origin(spark: SparkSession, d: str) -> DataFrame:
 
 def diff_membership(spark: SparkSession, d: str) -> DataFrame:
     g = star(spark, d)
-    return algebra.diff(algebra.query(g, valid_at=V1), algebra.query(g, valid_at=V2)).groupBy("kind", "membership").agg(F.count(F.lit(1)).alias("n"))
+    return algebra.diff(
+        algebra.query(g, valid_at=V1), algebra.query(g, valid_at=V2)
+    ).groupBy("kind", "membership").agg(F.count(F.lit(1)).alias("n"))
 
 
 def metadata_follow(spark: SparkSession, d: str) -> DataFrame:
     """A graph-valued attachment, clipped to the attachment's time."""
     g = fleet(spark, d)
-    at = g.edges.where("predicate = 'runs'").agg(F.min("src")).select(F.lit("a").alias("id"), F.lit("node").alias("host_kind"), F.col("min(src)").alias("host_id"), F.lit("history").alias("key"), F.lit("runs").alias("value"), F.lit(T1).alias("valid_start"), F.lit(T2).alias("valid_end"))
+    at = g.edges.where("predicate = 'runs'").agg(F.min("src")).select(
+        F.lit("a").alias("id"), F.lit("node").alias("host_kind"), F.col("min(src)").alias("host_id"),
+        F.lit("history").alias("key"), F.lit("runs").alias("value"), F.lit(T1).alias("valid_start"),
+        F.lit(T2).alias("valid_end")
+    )
     host = at.first()["host_id"]
     m = algebra.metadata(g.with_(attachments=at), "node", host, "history", g.edges.withColumn("graph_id", F.col("predicate")))
     return m.edges.select("id", "valid_start", "valid_end")
@@ -129,7 +146,10 @@ def metadata_follow(spark: SparkSession, d: str) -> DataFrame:
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     op = F.when(F.col("event_type") == "error", "retract").otherwise("assert")
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id", op.alias("op"), millis("ts").alias("recorded_at_ms"), F.concat_ws("|", F.round("value", 4).cast("decimal(20,4)").cast("string"), "props").alias("content"))
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), "user_id", op.alias("op"), millis("ts").alias("recorded_at_ms"),
+        F.concat_ws("|", F.round("value", 4).cast("decimal(20,4)").cast("string"), "props").alias("content")
+    )
 
 
 def _events_at(spark: SparkSession, d: str, share: float) -> DataFrame:
@@ -219,15 +239,25 @@ def window_attachments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series_overlap(spark: SparkSession, d: str) -> DataFrame:
-    m = fleet(spark, d).edges.where("predicate = 'measured_by'").select(F.col("dst").alias("sensor_id"), F.col("src").alias("serial"), "valid_start", "valid_end")
-    s = table(spark, d, "sensors").groupBy(F.concat(F.lit("sensor:"), reference("sensor_id")).alias("sensor_id")).agg(F.min(millis("recorded_at")).alias("s")).select("sensor_id", F.concat(F.lit("series:"), "sensor_id").alias("series_id"), "s", (F.col("s") + 365 * 86_400_000).alias("e"))
+    m = fleet(spark, d).edges.where("predicate = 'measured_by'").select(
+        F.col("dst").alias("sensor_id"), F.col("src").alias("serial"), "valid_start", "valid_end"
+    )
+    s = table(spark, d, "sensors").groupBy(F.concat(
+        F.lit("sensor:"), reference("sensor_id")
+    ).alias("sensor_id")).agg(F.min(millis("recorded_at")).alias("s")).select(
+        "sensor_id", F.concat(F.lit("series:"), "sensor_id").alias("series_id"), "s",
+        (F.col("s") + 365 * 86_400_000).alias("e")
+    )
     return temporal.series_overlap(m, s, T1, T2)
 
 
 def units_running_with_sensor(spark: SparkSession, d: str) -> DataFrame:
     """Units that run some firmware and carry some sensor at a time, with both counts."""
     e = fleet(spark, d).edges.where(contains(F.col("valid_start"), F.col("valid_end"), F.lit(T1)))
-    g = e.where("predicate IN ('runs', 'measured_by')").groupBy(F.col("src").alias("unit")).agg(F.count(F.when(F.col("predicate") == "runs", 1)).alias("n_firmware"), F.count(F.when(F.col("predicate") == "measured_by", 1)).alias("n_sensors"))
+    g = e.where("predicate IN ('runs', 'measured_by')").groupBy(F.col("src").alias("unit")).agg(
+        F.count(F.when(F.col("predicate") == "runs", 1)).alias("n_firmware"),
+        F.count(F.when(F.col("predicate") == "measured_by", 1)).alias("n_sensors")
+    )
     return g.where("n_firmware > 0 AND n_sensors > 0")
 
 
@@ -237,7 +267,9 @@ def units_running_with_sensor(spark: SparkSession, d: str) -> DataFrame:
 def _expand(direction: str, seed: str, at: int | None = V1):
     def q(spark: SparkSession, d: str) -> DataFrame:
         nodes, edges, _ = traverse.expand(star(spark, d), spark.createDataFrame([(seed,)], "id string"), 2, direction, valid_at=at)
-        return nodes.select(F.lit("node").alias("kind"), "id", F.col("hop").cast("long").alias("hop")).unionAll(edges.select(F.lit("edge"), "id", F.lit(-1).cast("long")))
+        return nodes.select(
+            F.lit("node").alias("kind"), "id", F.col("hop").cast("long").alias("hop")
+        ).unionAll(edges.select(F.lit("edge"), "id", F.lit(-1).cast("long")))
 
     q.__name__ = f"expand_2hop_{direction}"
     return q
@@ -258,9 +290,13 @@ def expand_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid question: as a reader, what is within two hops of a seed at a time, and which embeddings among it are nearest."""
     g = access.visible(star(spark, d), [["alice"]])
     nodes, _, _ = traverse.expand(g, spark.createDataFrame([("nation:3",)], "id string"), 2, "in", valid_at=V1)
-    emb = table(spark, d, "embeddings").select(F.concat(F.lit("customer:"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"))
+    emb = table(spark, d, "embeddings").select(
+        F.concat(F.lit("customer:"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector")
+    )
     q = table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
-    return vectors.nearest(emb, q, 10, candidates=nodes).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return vectors.nearest(emb, q, 10, candidates=nodes).select(
+        "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 def degree(spark: SparkSession, d: str) -> DataFrame:
@@ -307,7 +343,9 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 def _nearest(metric: str):
     def q(spark: SparkSession, d: str) -> DataFrame:
         v = _vectors(spark, d)
-        return vectors.nearest(v, v.where("id = 0").first()["vector"], 10, metric, exclude=0).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+        return vectors.nearest(v, v.where("id = 0").first()["vector"], 10, metric, exclude=0).select(
+            "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")
+        )
 
     q.__name__ = f"nearest_{metric.split('_')[0]}"
     return q
@@ -315,12 +353,16 @@ def _nearest(metric: str):
 
 def nearest_candidates(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return vectors.nearest(v, v.where("id = 0").first()["vector"], 10, candidates=v.where("label = 3").select("id"), exclude=0).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return vectors.nearest(
+        v, v.where("id = 0").first()["vector"], 10, candidates=v.where("label = 3").select("id"), exclude=0
+    ).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def knn_search(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return vectors.knn(v, v.where("id % 100 = 0"), 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return vectors.knn(v, v.where("id % 100 = 0"), 5).select(
+        "query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 def similar_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -328,13 +370,19 @@ def similar_candidates(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     hits = vectors.knn(v, v.where("id % 100 = 0"), 5)
     lab = v.select("id", "label")
-    ids = hits.select("query_id", "id").join(lab.select(F.col("id").alias("query_id"), F.col("label").alias("l1")), "query_id").join(lab, "id").where("l1 = label").select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    ids = hits.select("query_id", "id").join(
+        lab.select(F.col("id").alias("query_id"), F.col("label").alias("l1")), "query_id"
+    ).join(lab, "id").where("l1 = label").select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
     return vectors.similar_candidates(hits, 0.9, ids).select("low", "high", F.round("score", 6).alias("score"))
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
     at = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("lab").alias("frame"), F.when(F.col("label") % 2 == 0, "mm").otherwise("m").alias("unit"), F.when(F.col("label") == 1, "direction").otherwise("position").alias("role"), at.alias("value"))
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.lit("lab").alias("frame"),
+        F.when(F.col("label") % 2 == 0, "mm").otherwise("m").alias("unit"),
+        F.when(F.col("label") == 1, "direction").otherwise("position").alias("role"), at.alias("value")
+    )
 
 
 def geometry_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -350,7 +398,9 @@ def geometry_transform(spark: SparkSession, d: str) -> DataFrame:
 
 def geometry_axes(spark: SparkSession, d: str) -> DataFrame:
     out = vectors.project_axes(F.transform("embedding", lambda x: x.cast("double")), (5, 0, 63))
-    return table(spark, d, "embeddings").select("vec_id", out.alias("v")).select("vec_id", *(F.round(F.col("v")[i], 6).alias(f"c{i}") for i in range(3)))
+    return table(spark, d, "embeddings").select("vec_id", out.alias("v")).select(
+        "vec_id", *(F.round(F.col("v")[i], 6).alias(f"c{i}") for i in range(3))
+    )
 
 
 # rules, clusters, releases ----------------------------------------------------------------------
@@ -358,7 +408,12 @@ def geometry_axes(spark: SparkSession, d: str) -> DataFrame:
 
 def reason_transitive(spark: SparkSession, d: str) -> DataFrame:
     A = rules.Atom
-    rs = [rules.Rule(A("within", "?x", "?y"), (A("in_nation", "?x", "?y"),)), rules.Rule(A("within", "?x", "?y"), (A("in_region", "?x", "?y"),)), rules.Rule(A("within", "?x", "?y"), (A("placed_by", "?x", "?y"),)), rules.Rule(A("within", "?x", "?z"), (A("within", "?x", "?y"), A("within", "?y", "?z")))]
+    rs = [
+        rules.Rule(A("within", "?x", "?y"), (A("in_nation", "?x", "?y"),)),
+        rules.Rule(A("within", "?x", "?y"), (A("in_region", "?x", "?y"),)),
+        rules.Rule(A("within", "?x", "?y"), (A("placed_by", "?x", "?y"),)),
+        rules.Rule(A("within", "?x", "?z"), (A("within", "?x", "?y"), A("within", "?y", "?z")))
+    ]
     return rules.reason(star(spark, d).edges, rs).select("src", "dst", "valid_start", "valid_end")
 
 
@@ -380,8 +435,13 @@ def cluster_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def aggregate_links(spark: SparkSession, d: str) -> DataFrame:
     """Lines between part brands and supplier nations."""
-    own = table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("cluster")).unionAll(
-        table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")))
+    own = table(spark, d, "part").select(
+        F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("cluster")
+    ).unionAll(
+        table(spark, d, "supplier").select(
+            F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")),
+            F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string"))
+        )
     )
     return cluster.aggregate_links(own, star(spark, d).edges.where("predicate = 'supplied_by'"))
 
@@ -395,7 +455,9 @@ def lineage_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def release_min_k(spark: SparkSession, d: str) -> DataFrame:
     g = star(spark, d)
-    x = g.edges.where("predicate = 'in_nation'").join(g.nodes.where("type_id = 'customer'").select(F.col("id").alias("src"), "entity_id"), "src")
+    x = g.edges.where("predicate = 'in_nation'").join(
+        g.nodes.where("type_id = 'customer'").select(F.col("id").alias("src"), "entity_id"), "src"
+    )
     return release.release_counts(x, ["dst"], 60)
 
 
@@ -412,7 +474,9 @@ def explain_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def provenance_union(spark: SparkSession, d: str) -> DataFrame:
     """Distinct depots whose deliveries speak of each unit."""
-    u = table(spark, d, "updates").select(F.coalesce("source", F.lit("")).alias("source"), F.explode("tables.maintenance").alias("m")).where("m.serial IS NOT NULL").select("source", F.col("m.serial").alias("serial"))
+    u = table(spark, d, "updates").select(
+        F.coalesce("source", F.lit("")).alias("source"), F.explode("tables.maintenance").alias("m")
+    ).where("m.serial IS NOT NULL").select("source", F.col("m.serial").alias("serial"))
     return release.assertions_of(u, ["serial"]).select("serial", F.array_join("sources", ";").alias("sources"))
 
 
@@ -422,7 +486,10 @@ def carrier_algebra(spark: SparkSession, d: str) -> DataFrame:
     b, t, s = F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string")
     one, two = g((b,), (t, s)), g((s,), (b, s))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.array_join(x, "+")), "|")
-    return table(spark, d, "part").select("p_partkey", text(release.conjunction(one, two)).alias("both"), text(release.disjunction(one, two)).alias("either"))
+    return table(spark, d, "part").select(
+        "p_partkey", text(release.conjunction(one, two)).alias("both"),
+        text(release.disjunction(one, two)).alias("either")
+    )
 
 
 def group_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -450,7 +517,9 @@ def exact_decimals(spark: SparkSession, d: str) -> DataFrame:
     p, q, c = F.col("p"), F.col("q"), F.col("c")
     number = lambda v: F.lit(v).cast("decimal(38,18)")
     shown = {
-        "plus": (exact.add(p, q), 2), "minus": (exact.sub(p, q), 2), "times": (exact.mul(p, c), 4), "fine": (exact.mul(q, number("0.1234567891")), 12),
+        "plus": (exact.add(p, q), 2), "minus": (exact.sub(p, q), 2), "times": (exact.mul(p, c), 4), "fine": (
+            exact.mul(q, number("0.1234567891")), 12
+        ),
         "eighths": (exact.div(p, number("0.125")), 2), "sixteenth": (exact.div(p, number("16")), 6), "third": (exact.div(p, number("3")), 2),
     }
     return x.select("l_orderkey", "l_linenumber", *(v.cast(f"decimal(30,{n})").cast("string").alias(k) for k, (v, n) in shown.items()))
@@ -460,8 +529,14 @@ def row_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Work orders as edges, a missing technician giving no edge."""
     from chronolith.sources.formats import edge_rows
 
-    m = table(spark, d, "maintenance").select("work_order", "serial", "performed_by", "readers", F.col("started_at").cast("string").alias("started_at"), F.col("ended_at").cast("string").alias("ended_at"))
-    e = edge_rows(m, "maintenance", "work_order", [("hw:performed_on", "work_order", "serial", "serial"), ("hw:performed_by", "work_order", "performed_by", "performed_by")])
+    m = table(spark, d, "maintenance").select(
+        "work_order", "serial", "performed_by", "readers", F.col("started_at").cast("string").alias("started_at"),
+        F.col("ended_at").cast("string").alias("ended_at")
+    )
+    e = edge_rows(
+        m, "maintenance", "work_order",
+        [("hw:performed_on", "work_order", "serial", "serial"), ("hw:performed_by", "work_order", "performed_by", "performed_by")]
+    )
     return e.select("id", "src", "dst", "predicate").distinct()
 
 
@@ -491,7 +566,9 @@ def windows_session(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rollup_orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("total"))
+    return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("total")
+    )
 
 
 def set_operations(spark: SparkSession, d: str) -> DataFrame:

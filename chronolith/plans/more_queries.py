@@ -35,7 +35,9 @@ def join_nested(spark: SparkSession, d: str) -> DataFrame:
     far = temporal.joined(both, _part(g, "in_region"), "ordered_in")
     n = far.nodes.select("id", "entity_id")
     e = far.edges.join(n.select(F.col("id").alias("src"), F.col("entity_id").alias("order")), "src")
-    return e.join(n.select(F.col("id").alias("dst"), F.col("entity_id").alias("region")), "dst").select("order", "region", "predicate", "valid_start", "valid_end")
+    return e.join(
+        n.select(F.col("id").alias("dst"), F.col("entity_id").alias("region")), "dst"
+    ).select("order", "region", "predicate", "valid_start", "valid_end")
 
 
 def sequence_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +45,9 @@ def sequence_graph(spark: SparkSession, d: str) -> DataFrame:
     g = fleet(spark, d)
     s = temporal.sequenced(_part(g, "installed_in"), _part(g, "runs"), "overlaps", (T1, T2))
     ends = s.nodes.select(F.col("id").alias("src"), "entity_id")
-    return s.edges.join(ends, "src").groupBy("predicate", "entity_id").agg(F.count(F.lit(1)).alias("n"), F.min("valid_start").alias("first"))
+    return s.edges.join(ends, "src").groupBy("predicate", "entity_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("valid_start").alias("first")
+    )
 
 
 def sequence_touching(spark: SparkSession, d: str) -> DataFrame:
@@ -51,20 +55,30 @@ def sequence_touching(spark: SparkSession, d: str) -> DataFrame:
     e = fleet(spark, d).edges.where("predicate = 'runs'").select("id", "src", "dst", "valid_start", "polarity")
     nxt = e.groupBy("src", "valid_start").agg(F.min("id").alias("id"))
     later = nxt.select(F.col("src").alias("u"), F.col("valid_start").alias("v"))
-    cut = nxt.join(later, (F.col("src") == F.col("u")) & (F.col("v") > F.col("valid_start"))).groupBy("id").agg(F.min("v").alias("valid_end"))
+    cut = nxt.join(
+        later, (F.col("src") == F.col("u")) & (F.col("v") > F.col("valid_start"))
+    ).groupBy("id").agg(F.min("v").alias("valid_end"))
     kept = e.drop("dst").join(nxt.select("id"), "id").join(cut, "id", "left")
-    line = kept.select("id", F.lit("era").alias("predicate"), F.col("src"), F.col("src").alias("dst"), "valid_start", "valid_end", "polarity")
+    line = kept.select(
+        "id", F.lit("era").alias("predicate"), F.col("src"), F.col("src").alias("dst"), "valid_start", "valid_end",
+        "polarity"
+    )
     ends = line.select(F.col("src").alias("id")).distinct()
     nodes = ends.select("id", F.col("id").alias("entity_id"), F.lit("fleet").alias("space_id"))
     g = Graph(nodes, line)
-    return temporal.sequence(g, g, "meets", (0, 4_102_444_800_000)).select("left_id", "right_id", "role", "edge_id", "valid_start", "valid_end")
+    return temporal.sequence(g, g, "meets", (0, 4_102_444_800_000)).select(
+        "left_id", "right_id", "role", "edge_id", "valid_start", "valid_end"
+    )
 
 
 def diff_attachments(spark: SparkSession, d: str) -> DataFrame:
     """Changed members of the fleet between two recorded states, as attachments on the union."""
     def ids(at: int) -> Graph:
         g = fleet(spark, d, recorded_by=at)
-        e = g.edges.select("id", "predicate", "src", "dst", F.lit(0).cast("long").alias("valid_start"), F.lit(None).cast("long").alias("valid_end"))
+        e = g.edges.select(
+            "id", "predicate", "src", "dst", F.lit(0).cast("long").alias("valid_start"),
+            F.lit(None).cast("long").alias("valid_end")
+        )
         return Graph(g.nodes, e)
 
     x = algebra.diff_graph(ids(T1), ids(T2))
@@ -84,7 +98,9 @@ def support_states(spark: SparkSession, d: str) -> DataFrame:
     g = algebra.support_graph(star(spark, d).edges.where("predicate = 'contains'"), ["predicate", "dst"], V1)
     proofs = g.edges.groupBy(F.col("dst").alias("host_id")).agg(F.count(F.lit(1)).alias("k"))
     x = g.attachments.join(proofs, "host_id", "left")
-    return x.groupBy(F.col("value").alias("state")).agg(F.count(F.lit(1)).alias("n_claims"), F.sum(F.coalesce("k", F.lit(0))).alias("n_proofs"))
+    return x.groupBy(F.col("value").alias("state")).agg(
+        F.count(F.lit(1)).alias("n_claims"), F.sum(F.coalesce("k", F.lit(0))).alias("n_proofs")
+    )
 
 
 def reason_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +115,10 @@ def reason_graph(spark: SparkSession, d: str) -> DataFrame:
 def cluster_graph(spark: SparkSession, d: str) -> DataFrame:
     """Stars of customers and nations: at each level a nation can be merged with one customer only."""
     g = star(spark, d)
-    g = g.with_(nodes=g.nodes.where("type_id IN ('customer', 'nation')"), edges=g.edges.where("predicate = 'in_nation' AND src LIKE 'customer:%'"))
+    g = g.with_(
+        nodes=g.nodes.where("type_id IN ('customer', 'nation')"),
+        edges=g.edges.where("predicate = 'in_nation' AND src LIKE 'customer:%'")
+    )
     c = cluster.clustered(g, "in_nation", 2, V1)
     return c.edges.groupBy("predicate").agg(F.count(F.lit(1)).alias("n")).unionAll(c.nodes.groupBy("type_id").agg(F.count(F.lit(1)).alias("n")))
 
@@ -107,7 +126,9 @@ def cluster_graph(spark: SparkSession, d: str) -> DataFrame:
 def metadata_graphs(spark: SparkSession, d: str) -> DataFrame:
     """Orders, customers, nations and regions as graphs that refer to each other: all that finished orders reach."""
     e = star(spark, d).edges.where("predicate IN ('placed_by', 'in_nation', 'in_region')")
-    start = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("graph_id"))
+    start = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(
+        F.lit("order:"), F.col("o_orderkey").cast("string")
+    ).alias("graph_id"))
     refs = e.select(F.col("src").alias("graph_id"), F.col("dst").alias("ref_graph"))
     return algebra.metadata_closure(refs, start, 2, max_graphs=10_000_000).withColumn("depth", F.col("depth").cast("long"))
 
@@ -128,13 +149,18 @@ def facts_selected(spark: SparkSession, d: str) -> DataFrame:
 
 def event_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events (revisions) and operations of each graph's log."""
-    return table(spark, d, "fact_log").groupBy("graph_id").agg(F.countDistinct("line", "seq").alias("n_events"), F.countDistinct("line", "position").alias("n_operations"))
+    return table(spark, d, "fact_log").groupBy("graph_id").agg(
+        F.countDistinct("line", "seq").alias("n_events"), F.countDistinct("line", "position").alias("n_operations")
+    )
 
 
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "sync_runs").where("run_id IS NOT NULL AND logged_at IS NOT NULL").distinct()
     ok = F.coalesce(F.lower(F.trim("run_status")) == "succeeded", F.lit(False))
-    return t.select("feed", F.coalesce("scope", F.lit("")).alias("scope"), millis("logged_at").alias("decided_at"), F.col("run_id").alias("decision_id"), F.col("upto_pos").alias("revision"), ok.alias("accepted"))
+    return t.select(
+        "feed", F.coalesce("scope", F.lit("")).alias("scope"), millis("logged_at").alias("decided_at"),
+        F.col("run_id").alias("decision_id"), F.col("upto_pos").alias("revision"), ok.alias("accepted")
+    )
 
 
 def accepted_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +181,9 @@ def import_round_trip(spark: SparkSession, d: str) -> DataFrame:
     g = star(spark, d)
     content = F.to_json(F.struct("type_id", F.size("readers").alias("n_readers")))
     nodes = g.nodes.where("type_id IN ('customer', 'nation')").select(F.lit("node").alias("kind"), "id", content.alias("content"))
-    edges = g.edges.where("predicate = 'in_nation' AND src LIKE 'customer:%'").select(F.lit("edge").alias("kind"), "id", F.to_json(F.struct("src", "dst")).alias("content"))
+    edges = g.edges.where("predicate = 'in_nation' AND src LIKE 'customer:%'").select(
+        F.lit("edge").alias("kind"), "id", F.to_json(F.struct("src", "dst")).alias("content")
+    )
     most = 10_000_000
     first = facts.imported(st, nodes.unionAll(edges), chunk=most)
     again = facts.imported(st, nodes.unionAll(edges), chunk=most)
@@ -167,14 +195,21 @@ def import_round_trip(spark: SparkSession, d: str) -> DataFrame:
     st.commit(left, expected=floor, max_changes=most)
     st.compact(floor)
     told = json.dumps({"first": first["assert"], "again": again["commits"]})
-    return st.state().groupBy("kind", F.when(F.col("content") == "corrected", "corrected").otherwise("as given").alias("content")).agg(F.count(F.lit(1)).alias("n")).withColumn("told", F.lit(told))
+    return st.state().groupBy(
+        "kind", F.when(F.col("content") == "corrected", "corrected").otherwise("as given").alias("content")
+    ).agg(F.count(F.lit(1)).alias("n")).withColumn("told", F.lit(told))
 
 
 def node_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Work orders as nodes with their cells as properties."""
-    m = table(spark, d, "maintenance").select("work_order", "kind", "performed_by", F.col("started_at").cast("string").alias("started_at"), "readers")
+    m = table(spark, d, "maintenance").select(
+        "work_order", "kind", "performed_by", F.col("started_at").cast("string").alias("started_at"), "readers"
+    )
     n = node_rows(m, "work_order", "work_order", "fleet", ["kind", "performed_by"], "started_at")
-    return n.select("id", "valid_start", F.size("properties").cast("long").alias("n_properties"), F.col("properties")["kind"].alias("kind")).distinct()
+    return n.select(
+        "id", "valid_start", F.size("properties").cast("long").alias("n_properties"),
+        F.col("properties")["kind"].alias("kind")
+    ).distinct()
 
 
 # views, programs, vectors ----------------------------------------------------------------------
@@ -183,7 +218,9 @@ def node_mapping(spark: SparkSession, d: str) -> DataFrame:
 def view_generations(spark: SparkSession, d: str) -> DataFrame:
     """What each generation of a live view changed: firmware in force at the view's tick, at three ticks."""
     g = fleet(spark, d)
-    live = lambda tick: g.edges.where(algebra.edge_filter("runs", valid_at=tick)).select(F.col("src").alias("id"), F.concat_ws(">", "dst", "id").alias("content")).groupBy("id").agg(F.max("content").alias("content"))
+    live = lambda tick: g.edges.where(algebra.edge_filter("runs", valid_at=tick)).select(
+        F.col("src").alias("id"), F.concat_ws(">", "dst", "id").alias("content")
+    ).groupBy("id").agg(F.max("content").alias("content"))
     v = Views(spark, scratch(spark, "views"))
     v.register("runs", live, ["fleet"])
     out = None
@@ -199,16 +236,27 @@ def program_nested(spark: SparkSession, d: str) -> DataFrame:
     cat = program.Catalog(spark, {"star": lambda at: star(spark, d)}, mounts={"shop": ("star", None)}, clauses=[["alice"]])
     b = program.build
     whole = b["reference"](name="whole")
-    joined = b["join"](left=b["filter"](input=whole, predicate="placed_by"), right=b["filter"](input=whole, predicate="in_nation"), output_predicate="ordered_from")
+    joined = b["join"](
+        left=b["filter"](input=whole, predicate="placed_by"), right=b["filter"](input=whole, predicate="in_nation"),
+        output_predicate="ordered_from"
+    )
     clipped = b["window"](input=joined, start=V1 - 10**10, end=V1)
-    text = [program.bind("whole", b["query"](graph_id="star")), program.ask(b["union"](left=clipped, right=b["query_mount"](mount="shop", predicate="in_region")))]
+    text = [
+        program.bind("whole", b["query"](graph_id="star")),
+        program.ask(b["union"](left=clipped, right=b["query_mount"](mount="shop", predicate="in_region")))
+    ]
     g = program.run(text, cat)[0]
-    return g.edges.groupBy("predicate").agg(F.count(F.lit(1)).alias("n"), F.min("valid_start").alias("first"), F.max("valid_end").alias("last"))
+    return g.edges.groupBy("predicate").agg(
+        F.count(F.lit(1)).alias("n"), F.min("valid_start").alias("first"), F.max("valid_end").alias("last")
+    )
 
 
 def _emb(spark: SparkSession, d: str) -> DataFrame:
     lo = (F.col("vec_id") % 50).cast("long")
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label", lo.alias("valid_start"), F.when(F.col("vec_id") % 7 != 0, lo + 20).alias("valid_end"))
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label", lo.alias("valid_start"),
+        F.when(F.col("vec_id") % 7 != 0, lo + 20).alias("valid_end")
+    )
 
 
 def nearest_valid(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +267,10 @@ def nearest_valid(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     """By a vector property in one space, of vectors scaled before they are normed."""
-    n = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").cast("string").alias("entity_id"), F.concat(F.lit("s"), F.col("label") % 2).alias("space_id"), "embedding")
+    n = table(spark, d, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), F.col("vec_id").cast("string").alias("entity_id"),
+        F.concat(F.lit("s"), F.col("label") % 2).alias("space_id"), "embedding"
+    )
     q = table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
     return vectors.nearest_vectors(n, q, 10, "s1", vec="embedding").select("id", "space_id", F.round("distance", 6).alias("distance"))
 

@@ -21,8 +21,16 @@ from chronolith.streaming import changes, late
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     return orphans.orphans(
-        [orphans.Parent("maintenance", t("maintenance"), "work_order"), orphans.Parent("sensors", t("sensors"), "sensor_id"), orphans.Parent("firmware", t("firmware"), "firmware_id", lower=True)],
-        [orphans.Child("part_installs", t("part_installs"), "install_id", "work_order", "maintenance"), orphans.Child("sensor_mounts", t("sensor_mounts"), "mount_id", "sensor_id", "sensors"), orphans.Child("firmware_installs", t("firmware_installs"), "install_id", "firmware_id", "firmware")],
+        [
+            orphans.Parent("maintenance", t("maintenance"), "work_order"),
+            orphans.Parent("sensors", t("sensors"), "sensor_id"),
+            orphans.Parent("firmware", t("firmware"), "firmware_id", lower=True)
+        ],
+        [
+            orphans.Child("part_installs", t("part_installs"), "install_id", "work_order", "maintenance"),
+            orphans.Child("sensor_mounts", t("sensor_mounts"), "mount_id", "sensor_id", "sensors"),
+            orphans.Child("firmware_installs", t("firmware_installs"), "install_id", "firmware_id", "firmware")
+        ],
     )
 
 
@@ -38,27 +46,43 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts_in_force(spark: SparkSession, d: str) -> DataFrame:
-    s = changes.file_stream(spark, f"{d}/fact_log.parquet").select("line", "kind", "id", "position", "received_at", "seq", "op", "valid_from", "valid_to")
-    state = changes.apply_changes(s, ["line", "kind", "id"], ["position", "received_at"], F.lower(F.trim("op")) == "retract", ["seq", "valid_from", "valid_to"])
+    s = changes.file_stream(spark, f"{d}/fact_log.parquet").select(
+        "line", "kind", "id", "position", "received_at", "seq", "op", "valid_from", "valid_to"
+    )
+    state = changes.apply_changes(
+        s, ["line", "kind", "id"], ["position", "received_at"], F.lower(F.trim("op")) == "retract",
+        ["seq", "valid_from", "valid_to"]
+    )
     return state.where("NOT removed")
 
 
 def _deliveries_in_force(spark: SparkSession, d: str) -> DataFrame:
     """The newest delivery of each seq, from the stream of deliveries."""
-    s = changes.file_stream(spark, f"{d}/updates.parquet").select("seq", "received_at", "kind", F.transform("tables.maintenance", lambda m: reference(m["work_order"])).alias("work_orders"))
+    s = changes.file_stream(spark, f"{d}/updates.parquet").select(
+        "seq", "received_at", "kind",
+        F.transform("tables.maintenance", lambda m: reference(m["work_order"])).alias("work_orders")
+    )
     withdrawn = F.regexp_replace(F.lower(F.trim("kind")), "-", "_") == "withdrawal"
     return changes.apply_changes(s, ["seq"], ["received_at"], F.coalesce(withdrawn, F.lit(False)), ["work_orders"])
 
 
 def _work_orders_in_force(spark: SparkSession, d: str) -> DataFrame:
-    each = _deliveries_in_force(spark, d).select("seq", "removed", F.explode("work_orders").alias("work_order")).where("work_order IS NOT NULL")
+    each = _deliveries_in_force(spark, d).select(
+        "seq", "removed", F.explode("work_orders").alias("work_order")
+    ).where("work_order IS NOT NULL")
     top = each.groupBy("work_order").agg(F.max(F.struct("seq", "removed")).alias("t"))
     return top.where("NOT t.removed").select("work_order", "t.seq")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    facts = _facts_in_force(spark, d).select(F.lit("fact_log").alias("feed"), F.col("line").cast("long").alias("line"), "kind", "id", F.col("seq").cast("long").alias("seq"))
-    orders = _work_orders_in_force(spark, d).select(F.lit("updates").alias("feed"), F.lit(0).cast("long").alias("line"), F.lit("maintenance").alias("kind"), F.col("work_order").alias("id"), F.col("seq").cast("long").alias("seq"))
+    facts = _facts_in_force(spark, d).select(
+        F.lit("fact_log").alias("feed"), F.col("line").cast("long").alias("line"), "kind", "id",
+        F.col("seq").cast("long").alias("seq")
+    )
+    orders = _work_orders_in_force(spark, d).select(
+        F.lit("updates").alias("feed"), F.lit(0).cast("long").alias("line"), F.lit("maintenance").alias("kind"),
+        F.col("work_order").alias("id"), F.col("seq").cast("long").alias("seq")
+    )
     return facts.unionAll(orders)
 
 
@@ -73,18 +97,26 @@ def p2_lines(spark: SparkSession, d: str) -> DataFrame:
 def _replacement_links(spark: SparkSession, d: str) -> DataFrame:
     held = holding(table(spark, d, "part_installs"), "install_id", "recorded_at", ["install_id", "part_serial", "replaces", "recorded_at"])
     part = held.where("part_serial IS NOT NULL").groupBy(F.upper(F.trim("part_serial")).alias("part")).agg(F.min("install_id").alias("parent"))
-    return held.select(F.col("install_id").alias("child"), reference("replaces").alias("part")).where("part IS NOT NULL").join(part, "part").select("child", "parent")
+    return held.select(
+        F.col("install_id").alias("child"), reference("replaces").alias("part")
+    ).where("part IS NOT NULL").join(part, "part").select("child", "parent")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     tree = hierarchy.hierarchy(_replacement_links(spark, d))
-    return tree.select(F.col("child").alias("install_id"), F.col("root").alias("root_install_id"), F.col("depth").cast("long").alias("depth"))
+    return tree.select(
+        F.col("child").alias("install_id"), F.col("root").alias("root_install_id"),
+        F.col("depth").cast("long").alias("depth")
+    )
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every linked install with its path from the first install, as text."""
     tree = hierarchy.hierarchy(_replacement_links(spark, d), with_path=True)
-    return tree.select(F.col("child").alias("install_id"), F.col("root").alias("root_install_id"), "depth", F.array_join("path", ">").alias("path"))
+    return tree.select(
+        F.col("child").alias("install_id"), F.col("root").alias("root_install_id"), "depth",
+        F.array_join("path", ">").alias("path")
+    )
 
 
 def p3_later(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +128,9 @@ def p3_later(spark: SparkSession, d: str) -> DataFrame:
 def p3_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Links whose way up runs in a circle."""
     links = _replacement_links(spark, d)
-    return hierarchy.hierarchy(links).where("depth = -1").select(F.col("child").alias("install_id")).join(links.withColumnRenamed("child", "install_id"), "install_id").select("install_id", F.col("parent").alias("replaced_install_id"))
+    return hierarchy.hierarchy(links).where("depth = -1").select(F.col("child").alias("install_id")).join(
+        links.withColumnRenamed("child", "install_id"), "install_id"
+    ).select("install_id", F.col("parent").alias("replaced_install_id"))
 
 
 # 4. attributes as known at event time ----------------------------------------------------------
@@ -130,13 +164,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     def of(name: str, key: str, entity) -> DataFrame:
-        rows = holding(table(spark, d, name), key, "recorded_at", sorted({key, "serial", "valid_from", "valid_to", "recorded_at", *(["sensor_id"] if name == "sensor_mounts" else [])}))
-        return rows.select(F.lit(name).alias("src_table"), entity.alias("entity"), micros("valid_from").alias("lo"), micros("valid_to").alias("hi"))
+        rows = holding(
+            table(spark, d, name), key, "recorded_at",
+            sorted({key, "serial", "valid_from", "valid_to", "recorded_at", *(["sensor_id"] if name == "sensor_mounts" else [])})
+        )
+        return rows.select(
+            F.lit(name).alias("src_table"), entity.alias("entity"), micros("valid_from").alias("lo"),
+            micros("valid_to").alias("hi")
+        )
 
     both = of("firmware_installs", "install_id", F.col("serial")).unionAll(of("sensor_mounts", "mount_id", reference("sensor_id")))
     out = intervals.periods_and_gaps(both, ["src_table", "entity"], "lo", "hi")
     ms = lambda c: F.floor(F.col(c) / 1000).cast("long")
-    return out.select("src_table", "entity", "what", ms("start").alias("start_ms"), F.coalesce(ms("end"), F.lit(-1).cast("long")).alias("end_ms"))
+    return out.select(
+        "src_table", "entity", "what", ms("start").alias("start_ms"),
+        F.coalesce(ms("end"), F.lit(-1).cast("long")).alias("end_ms")
+    )
 
 
 # 6. late events -------------------------------------------------------------------------------
@@ -202,9 +245,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
     def hashed(t: DataFrame, feed: str, scope, pos: str) -> DataFrame:
         content = incremental.content_hash([c for c in t.columns if c != "received_at"], t)
-        return t.select(F.lit(feed).alias("feed"), scope.alias("scope"), F.col(pos).cast("long").alias("pos"), micros("received_at").alias("received"), *content)
-
-    records = hashed(facts, "fact_log", F.col("line").cast("string"), "position").unionAll(hashed(ups, "updates", F.coalesce("source", F.lit("")), "seq"))
+        return t.select(
+            F.lit(feed).alias("feed"), scope.alias("scope"), F.col(pos).cast("long").alias("pos"),
+            micros("received_at").alias("received"), *content
+        )
+
+    records = hashed(
+        facts, "fact_log", F.col("line").cast("string"), "position"
+    ).unionAll(hashed(ups, "updates", F.coalesce("source", F.lit("")), "seq"))
     current = incremental.content_versions(records.where("scope IS NOT NULL AND pos IS NOT NULL"))
     tops = records.groupBy("feed", "scope").agg(F.max("pos").alias("top"))
     name = hashlib.sha256(d.encode()).hexdigest()[:16]
@@ -212,4 +260,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.take_up(state, current, _runs(spark, d), tops)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_lines, p3_found, p3_paths, p3_later, p3_cycles, p4_found, p5_found, p6_found, p6_weeks, p6_closings, p7_found)}
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_counts, p2_found, p2_lines, p3_found, p3_paths, p3_later, p3_cycles, p4_found, p5_found, p6_found,
+    p6_weeks, p6_closings, p7_found
+)}

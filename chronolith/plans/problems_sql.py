@@ -14,9 +14,16 @@ def _hold(t: str, key: str, by: str = "recorded_at") -> str:
 
 _CASES = " UNION ALL ".join(
     f"SELECT '{src}' AS src_table, '{par}' AS parent_table, {key} AS record_key, strftime(recorded_at, '%Y-%m') AS ref_month, {_ref(ref, low)} AS k, recorded_at AS t FROM {src}"
-    for src, key, ref, par, low in (("part_installs", "install_id", "work_order", "maintenance", False), ("sensor_mounts", "mount_id", "sensor_id", "sensors", False), ("firmware_installs", "install_id", "firmware_id", "firmware", True))
+    for src, key, ref, par, low in (
+        ("part_installs", "install_id", "work_order", "maintenance", False),
+        ("sensor_mounts", "mount_id", "sensor_id", "sensors", False),
+        ("firmware_installs", "install_id", "firmware_id", "firmware", True)
+    )
+)
+_TARGETS = " UNION ALL ".join(
+    f"SELECT '{par}' AS parent_table, {_ref(key, low)} AS k, recorded_at AS r, deleted_at AS x FROM {par}" for par, key,
+    low in (("maintenance", "work_order", False), ("sensors", "sensor_id", False), ("firmware", "firmware_id", True))
 )
-_TARGETS = " UNION ALL ".join(f"SELECT '{par}' AS parent_table, {_ref(key, low)} AS k, recorded_at AS r, deleted_at AS x FROM {par}" for par, key, low in (("maintenance", "work_order", False), ("sensors", "sensor_id", False), ("firmware", "firmware_id", True)))
 _ORPHANS = f"""WITH c AS ({_CASES}), p AS ({_TARGETS}), j AS (
   SELECT c.src_table, c.record_key, c.ref_month, c.k, c.parent_table, c.t, count(p.k) AS n, count(*) FILTER (WHERE p.r <= c.t) AS seen,
          count(*) FILTER (WHERE p.r <= c.t AND (p.x IS NULL OR c.t < p.x)) AS standing

@@ -137,7 +137,10 @@ def evaluate(x: dict, cat: Catalog, names: dict) -> Graph | DataFrame:
             raise EngineError("E_OPERAND", f"{k}.{o} takes a graph")
     ids = lambda xs: cat.spark.createDataFrame([(i,) for i in xs], "id string")
     if k in ("query", "as_of"):
-        return algebra.query(cat.graph(x["graph_id"], x.get("unix_millis")), x.get("predicate"), x.get("from"), x.get("to"), x.get("valid_at"))
+        return algebra.query(
+            cat.graph(x["graph_id"], x.get("unix_millis")), x.get("predicate"), x.get("from"), x.get("to"),
+            x.get("valid_at")
+        )
     if k == "query_mount":
         if x["mount"] not in cat.mounts:
             raise EngineError("E_MOUNT", x["mount"])
@@ -154,7 +157,9 @@ def evaluate(x: dict, cat: Catalog, names: dict) -> Graph | DataFrame:
         made = algebra.metadata(g, x["host_kind"], x["host_id"], x["key"], to.edges.withColumn("graph_id", F.lit(named[0])))
         return made.with_(nodes=to.nodes).pruned()
     if k == "typed_context":
-        if cat.contexts is None or accepted.typed_context(cat.contexts.where(F.col("context") == x["selection"]), x["definition"]).isEmpty():
+        if cat.contexts is None or accepted.typed_context(
+            cat.contexts.where(F.col("context") == x["selection"]), x["definition"]
+        ).isEmpty():
             raise EngineError("E_CONTEXT_TYPE", str(x["selection"]))
         return algebra.context(sub["input"], x["selection"])
     if k == "reference":
@@ -164,7 +169,10 @@ def evaluate(x: dict, cat: Catalog, names: dict) -> Graph | DataFrame:
     if k == "filter":
         return algebra.filter_graph(sub["input"], x.get("predicate"), x.get("valid_at"))
     if k == "project":
-        return algebra.project(sub["input"], ids(x["node_ids"]) if "node_ids" in x else None, ids(x["edge_ids"]) if "edge_ids" in x else None)
+        return algebra.project(
+            sub["input"], ids(x["node_ids"]) if "node_ids" in x else None,
+            ids(x["edge_ids"]) if "edge_ids" in x else None
+        )
     if k == "context":
         return algebra.context(sub["input"], x.get("selection"))
     if k == "counterparts":
@@ -188,7 +196,10 @@ def evaluate(x: dict, cat: Catalog, names: dict) -> Graph | DataFrame:
         g = sub["input"]
         return Graph(g.nodes.join(nodes.select("id"), "id", "left_semi"), edges, None, "partial" if lost else g.coverage, lost)
     if k == "changes":
-        text = lambda g: g.nodes.select(F.lit("node").alias("kind"), "id", F.to_json(F.struct(*[c for c in g.nodes.columns if c != "id"])).alias("content")).unionAll(g.edges.select(F.lit("edge"), "id", F.to_json(F.struct(*[c for c in g.edges.columns if c != "id"]))))
+        text = lambda g: g.nodes.select(
+            F.lit("node").alias("kind"), "id",
+            F.to_json(F.struct(*[c for c in g.nodes.columns if c != "id"])).alias("content")
+        ).unionAll(g.edges.select(F.lit("edge"), "id", F.to_json(F.struct(*[c for c in g.edges.columns if c != "id"]))))
         return within(facts.changes(text(sub["before"]), text(sub["after"]), ["kind", "id"]), x.get("limit", 10_000))
     if k == "nearest":
         if x["space"] not in cat.spaces:

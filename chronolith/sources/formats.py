@@ -67,19 +67,40 @@ def update_stream(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.readStream.schema(schema).json(path)
 
 
-def edge_rows(df: DataFrame, table: str, key: str, edges: Sequence[tuple[str, str, str, str]], start: str | None = None, end: str | None = None) -> DataFrame:
+def edge_rows(
+    df: DataFrame, table: str, key: str, edges: Sequence[tuple[str, str, str, str]], start: str | None = None,
+    end: str | None = None
+) -> DataFrame:
     """Rows as edges: (predicate, source column, target column, gating column) each; the gate null means no such edge."""
     lo = text_millis(start) if start else F.lit(0).cast("long")
     hi = text_millis(end) if end else F.lit(None).cast("long")
-    made = F.array(*(F.when(F.col(gate).isNotNull(), F.struct(F.concat_ws(":", F.lit(p), key).alias("id"), F.lit(p).alias("predicate"), F.col(a).alias("src"), F.col(b).alias("dst"))) for p, a, b, gate in edges))
+    made = F.array(*(
+        F.when(
+            F.col(gate).isNotNull(),
+            F.struct(F.concat_ws(":", F.lit(p), key).alias("id"), F.lit(p).alias("predicate"), F.col(a).alias("src"), F.col(b).alias("dst"))
+        ) for p,
+        a, b, gate in edges
+    ))
     readers = reader_list("readers") if "readers" in df.columns else F.array().cast("array<string>")
-    return df.select(F.explode(F.filter(made, lambda x: x.isNotNull())).alias("e"), lo.alias("valid_start"), hi.alias("valid_end"), readers.alias("readers"), F.lit(table).alias("from_table")).select("e.*", "valid_start", "valid_end", F.lit("positive").alias("polarity"), F.lit(None).cast("string").alias("context"), "readers", "from_table")
-
-
-def node_rows(df: DataFrame, kind: str, key: str, space: str, properties: Sequence[str], start: str | None = None, end: str | None = None) -> DataFrame:
+    return df.select(
+        F.explode(F.filter(made, lambda x: x.isNotNull())).alias("e"), lo.alias("valid_start"), hi.alias("valid_end"),
+        readers.alias("readers"), F.lit(table).alias("from_table")
+    ).select(
+        "e.*", "valid_start", "valid_end", F.lit("positive").alias("polarity"),
+        F.lit(None).cast("string").alias("context"), "readers", "from_table"
+    )
+
+
+def node_rows(
+    df: DataFrame, kind: str, key: str, space: str, properties: Sequence[str], start: str | None = None,
+    end: str | None = None
+) -> DataFrame:
     """Rows as nodes (model.NODE) with ``properties``, a map of the cells that are not empty."""
     none = F.lit(None).cast("long")
-    cells = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(p).alias("k"), F.col(p).cast("string").alias("v")) for p in properties)), lambda e: e["v"].isNotNull()))
+    cells = F.map_from_entries(F.filter(
+        F.array(*(F.struct(F.lit(p).alias("k"), F.col(p).cast("string").alias("v")) for p in properties)),
+        lambda e: e["v"].isNotNull()
+    ))
     readers = reader_list("readers") if "readers" in df.columns else F.array().cast("array<string>")
     name = F.concat_ws(":", F.lit(kind), key)
     return df.select(

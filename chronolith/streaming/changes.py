@@ -56,7 +56,10 @@ def file_stream(spark: SparkSession, path: str, max_bytes: str | None = None) ->
     return reader.option("pathGlobFilter", at.getName()).parquet(path.rpartition("/")[0])
 
 
-def apply_changes(stream: DataFrame, keys: Sequence[str], order: Sequence[str], removed: Column, payload: Sequence[str], path: str | None = None, rocksdb: bool = True) -> DataFrame:
+def apply_changes(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], removed: Column, payload: Sequence[str],
+    path: str | None = None, rocksdb: bool = True
+) -> DataFrame:
     """Run the stream to its present end; the newest state of each key: (keys, order, removed, payload).
 
     A change is newer if ``order`` is greater; equal orders are settled by

@@ -25,7 +25,10 @@ def pull(log: DataFrame, cursor: int | None, limit: int = PAGE) -> tuple[DataFra
 
 def pages(log: DataFrame, limit: int = PAGE) -> DataFrame:
     """All events with the ``page`` that gives them when the feed is pulled from the first to its end, in one pass."""
-    ranks = running_sums(log.where("seq IS NOT NULL").select(F.col("seq").cast("long").alias("seq"), F.lit(1).alias("_one")).distinct(), [], "seq", {"_rank": "_one"}, block=10_000)
+    ranks = running_sums(
+        log.where("seq IS NOT NULL").select(F.col("seq").cast("long").alias("seq"), F.lit(1).alias("_one")).distinct(),
+        [], "seq", {"_rank": "_one"}, block=10_000
+    )
     return log.join(ranks.select("seq", (F.floor((F.col("_rank") - 1) / limit) + 1).alias("page")), "seq")
 
 
@@ -46,11 +49,16 @@ def dispatch(stream: DataFrame, adapter: str, deliver: Callable[[DataFrame], Dat
             return spark.createDataFrame([], schema)
 
     def each(batch: DataFrame, number: int) -> None:
-        todo = batch.dropDuplicates(["event_id"]).join(receipts().where(F.col("adapter") == adapter).select("event_id"), "event_id", "left_anti").persist()
+        todo = batch.dropDuplicates(["event_id"]).join(
+            receipts().where(F.col("adapter") == adapter).select("event_id"), "event_id", "left_anti"
+        ).persist()
         try:
             left = todo
             for attempt in range(attempts):
-                got = deliver(left).select("event_id", F.lit(adapter).alias("adapter"), F.when(F.col("ok"), "done").otherwise("dead" if attempt == attempts - 1 else "retry").alias("status"))
+                got = deliver(left).select(
+                    "event_id", F.lit(adapter).alias("adapter"),
+                    F.when(F.col("ok"), "done").otherwise("dead" if attempt == attempts - 1 else "retry").alias("status")
+                )
                 out = f"{path}/{'try' if attempt < attempts - 1 else 'last'}/{number}-{attempt}"
                 got.write.mode("overwrite").parquet(out)
                 res = spark.read.schema(schema).parquet(out)
@@ -76,7 +84,9 @@ def refresh_membership(members: DataFrame, changed: DataFrame, predicate: str |
 
 def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
     """(id, change): added and removed members between two generations of a view."""
-    b = before.select("id", F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(after.select("id", F.lit(0), F.lit(1))).groupBy("id").agg(F.max("b").alias("b"), F.max("a").alias("a"))
+    b = before.select(
+        "id", F.lit(1).alias("b"), F.lit(0).alias("a")
+    ).unionAll(after.select("id", F.lit(0), F.lit(1))).groupBy("id").agg(F.max("b").alias("b"), F.max("a").alias("a"))
     return b.where("a <> b").select("id", F.when(F.col("a") == 1, "added").otherwise("removed").alias("change"))
 
 
@@ -84,7 +94,9 @@ def tumbling_stream(stream: DataFrame, ts: str, width: str, lateness: str, by: l
     """Event-time windows over a stream with a watermark, run to its present end; (window_start, by, n)."""
     spark: SparkSession = stream.sparkSession
     base = path or scratch(spark, "windows")
-    agg = stream.withWatermark(ts, lateness).groupBy(F.window(ts, width), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), *by, "n")
+    agg = stream.withWatermark(ts, lateness).groupBy(F.window(ts, width), *by).agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("window.start").alias("window_start"), *by, "n"
+    )
     q = agg.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out/batch={i}")).trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.schema(agg.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")

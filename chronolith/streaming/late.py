@@ -99,7 +99,9 @@ def closings(marks: DataFrame, periods: DataFrame, lateness_ms: int = LATENESS_M
         return ends.select("period_end", F.lit(None).cast("long").alias("closed_at"), F.lit(0).cast("long").alias("n_sources")).limit(0)
     none = F.lit(None).cast("long")
     weeks = F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(WEEK_MS)))
-    asks = marks.select("source").distinct().select("source", weeks.alias("upto"), none.alias("first"), none.alias("last"), F.lit(1).alias("ask"))
+    asks = marks.select("source").distinct().select(
+        "source", weeks.alias("upto"), none.alias("first"), none.alias("last"), F.lit(1).alias("ask")
+    )
     both = marks.select("source", "upto", "first", "last", F.lit(0).alias("ask")).unionAll(asks)
     behind = Window.partitionBy("source").orderBy(F.col("upto").desc(), "ask").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("source").orderBy("upto", F.col("ask").desc()).rowsBetween(Window.unboundedPreceding, 0)

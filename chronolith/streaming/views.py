@@ -66,7 +66,9 @@ class Views:
         g = self.generation(name)
         next_tick(self.told(name, g)["tick"] if g else None, tick)
         folder = uuid.uuid4().hex
-        plan(tick).select("id", F.col("content").cast("string").alias("content")).distinct().write.parquet(f"{self.path}/{name}/results/{folder}")
+        plan(tick).select(
+            "id", F.col("content").cast("string").alias("content")
+        ).distinct().write.parquet(f"{self.path}/{name}/results/{folder}")
         body = {"result": folder, "tick": tick, "inputs": {i: heads.get(i) for i in inputs}}
         if not claim(self.spark, f"{self.path}/{name}/generations/{g + 1}", json.dumps(body)):
             raise EngineError("E_VIEW", f"generation {g + 1} was made by another run")
@@ -77,7 +79,9 @@ class Views:
         g = self.generation(name) if generation is None else generation
         side = lambda df, a: df.select("id", F.col("content").alias(a), F.lit(1).alias(f"in_{a}"))
         b = side(self.result(name, g - 1) if g > 1 else self.result(name, 0), "b").join(side(self.result(name, g), "a"), "id", "full")
-        what = F.when(F.col("in_b").isNull(), "added").when(F.col("in_a").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+        what = F.when(F.col("in_b").isNull(), "added").when(F.col("in_a").isNull(), "removed").when(
+            ~F.col("a").eqNullSafe(F.col("b")), "changed"
+        )
         return b.select("id", what.alias("change")).where("change IS NOT NULL")
 
     def drain(self, events: Iterable[tuple[str, int]], tick: int, heads: dict[str, int]) -> list[str]:

@@ -18,7 +18,10 @@ from chronolith.streaming import feed
 
 def graph(spark, nodes, edges, attachments=None):
     n = [(x, x, "s", "t", None, None, r) if isinstance(r, list) else r for x, r in nodes]
-    return Graph(spark.createDataFrame(n, NODE), spark.createDataFrame(edges, EDGE), None if attachments is None else spark.createDataFrame(attachments, ATTACHMENT))
+    return Graph(
+        spark.createDataFrame(n, NODE), spark.createDataFrame(edges, EDGE),
+        None if attachments is None else spark.createDataFrame(attachments, ATTACHMENT)
+    )
 
 
 def edge(i, p, a, b, lo=0, hi=None, pol="positive", ctx=None, readers=()):
@@ -28,8 +31,15 @@ def edge(i, p, a, b, lo=0, hi=None, pol="positive", ctx=None, readers=()):
 @pytest.fixture(scope="module")
 def small(spark):
     nodes = [(x, []) for x in "abcd"] + [("h", ["bob"])]
-    edges = [edge("1", "p", "a", "b", 0, 10), edge("2", "p", "b", "c", 5, 20), edge("3", "q", "c", "d"), edge("4", "p", "a", "h"), edge("5", "p", "h", "d"), edge("6", "p", "a", "b", 3, 8, "negative"), edge("7", "p", "d", "d", 0, 5, ctx="x")]
-    att = [("n1", "node", "a", "note", "v", 0, 4, []), ("n2", "edge", "4", "note", "v", 0, None, []), ("n3", "node", "b", "note", "w", 2, None, ["bob"])]
+    edges = [
+        edge("1", "p", "a", "b", 0, 10), edge("2", "p", "b", "c", 5, 20), edge("3", "q", "c", "d"),
+        edge("4", "p", "a", "h"), edge("5", "p", "h", "d"), edge("6", "p", "a", "b", 3, 8, "negative"),
+        edge("7", "p", "d", "d", 0, 5, ctx="x")
+    ]
+    att = [
+        ("n1", "node", "a", "note", "v", 0, 4, []), ("n2", "edge", "4", "note", "v", 0, None, []),
+        ("n3", "node", "b", "note", "w", 2, None, ["bob"])
+    ]
     return graph(spark, nodes, edges, att)
 
 
@@ -73,8 +83,14 @@ def test_union_diff_support(small):
 
 
 def test_relations_and_clipping(small, spark):
-    l = graph(spark, [("a", []), ("b", [])], [edge("l1", "p", "a", "b", 0, 5), edge("l2", "p", "a", "b", 6, None), edge("l3", "p", "a", "b", 0, 5, "negative")])
-    r = graph(spark, [("b", []), ("c", [])], [edge("r1", "p", "b", "c", 5, 9), edge("r2", "p", "b", "c", 6, 7), edge("r3", "p", "b", "c", 0, None)])
+    l = graph(
+        spark, [("a", []), ("b", [])],
+        [edge("l1", "p", "a", "b", 0, 5), edge("l2", "p", "a", "b", 6, None), edge("l3", "p", "a", "b", 0, 5, "negative")]
+    )
+    r = graph(
+        spark, [("b", []), ("c", [])],
+        [edge("r1", "p", "b", "c", 5, 9), edge("r2", "p", "b", "c", 6, 7), edge("r3", "p", "b", "c", 0, None)]
+    )
     pairs = lambda name: sorted({(x["left_id"], x["right_id"]) for x in temporal.sequence(l, r, name, (0, 100)).collect()})
     assert pairs("before") == [("l1", "r2")] and pairs("meets") == [("l1", "r1")]
     assert pairs("overlaps") == [("l1", "r3"), ("l2", "r1"), ("l2", "r2"), ("l2", "r3")] and pairs("within") == [("l1", "r3"), ("l2", "r3")]
@@ -102,9 +118,18 @@ def test_expand(small, spark):
 
 def test_expand_passes_only_nodes_valid_then(spark):
     nodes = [(x, x, "s", "t", lo, hi, []) for x, lo, hi in (("a", None, None), ("b", 50, 60), ("c", None, None), ("d", 5, None))]
-    g = Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame([edge("1", "p", "a", "b"), edge("2", "p", "b", "c"), edge("3", "p", "a", "d"), edge("4", "p", "d", "gone")], EDGE))
+    g = Graph(
+        spark.createDataFrame(nodes, NODE),
+        spark.createDataFrame(
+            [edge("1", "p", "a", "b"), edge("2", "p", "b", "c"), edge("3", "p", "a", "d"), edge("4", "p", "d", "gone")],
+            EDGE
+        )
+    )
     seeds = spark.createDataFrame([("a",), ("b",)], "id string")
-    for at, reached, edges in ((10, {"a": 0, "d": 1}, ["3"]), (55, {"a": 0, "b": 0, "c": 1, "d": 1}, ["1", "2", "3"]), (60, {"a": 0, "d": 1}, ["3"])):
+    for at, reached, edges in (
+        (10, {"a": 0, "d": 1}, ["3"]), (55, {"a": 0, "b": 0, "c": 1, "d": 1}, ["1", "2", "3"]),
+        (60, {"a": 0, "d": 1}, ["3"])
+    ):
         n, e, lost = traverse.expand(g, seeds, 3, valid_at=at)
         assert {r["id"]: r["hop"] for r in n.collect()} == reached and ids(e) == edges and lost == ()
         assert set(ids(algebra.query(g, valid_at=at).edges)) == set(edges)
@@ -169,7 +194,13 @@ def test_matching_is_the_greedy_one(spark):
 
 
 def test_rules(spark):
-    e = spark.createDataFrame([edge("1", "p", "a", "b", 0, 10), edge("2", "p", "b", "c", 5, 20), edge("3", "p", "c", "a", 8, None), edge("4", "q", "a", "b", 0, None, "negative")], EDGE)
+    e = spark.createDataFrame(
+        [
+            edge("1", "p", "a", "b", 0, 10), edge("2", "p", "b", "c", 5, 20), edge("3", "p", "c", "a", 8, None),
+            edge("4", "q", "a", "b", 0, None, "negative")
+        ],
+        EDGE
+    )
     A = rules.Atom
     rs = [rules.Rule(A("t", "?x", "?y"), (A("p", "?x", "?y"),)), rules.Rule(A("t", "?x", "?z"), (A("t", "?x", "?y"), A("p", "?y", "?z")))]
     got = {(r["src"], r["dst"], r["valid_start"], r["valid_end"]) for r in rules.reason(e, rs).collect()}
@@ -221,7 +252,15 @@ def test_fact_store(spark, tmp_path):
     assert st.head() is None and st.state().count() == 0
     assert st.write(f(("node", "a", "assert", "1"), ("node", "b", "assert", "1"), ("edge", "e", "assert", AB)), expected=None)["head"] == 0
     assert st.write(f(("node", "a", "assert", "1")))["status"] == "unchanged"
-    for bad, code in ((f(("node", "a", "retract")), "E_DEPENDENT_FACT"), (f(("edge", "z", "assert", json.dumps({"src": "a", "dst": "q"}))), "E_ENDPOINT"), (f(("node", "zz", "retract")), "E_UNKNOWN_FACT"), (f(("edge", "e", "assert", json.dumps({"src": "b", "dst": "b"}))), "E_CONFLICT"), (f(("node", "a", "assert", "1"), ("node", "a", "assert", "2")), "E_CONFLICT"), (f(("node", "a", "drop")), "E_OP"), (f(("node", "a", "retract"), ("edge", "y", "assert", AB)), "E_DEPENDENT_FACT")):
+    for bad, code in (
+        (f(("node", "a", "retract")), "E_DEPENDENT_FACT"),
+        (f(("edge", "z", "assert", json.dumps({"src": "a", "dst": "q"}))), "E_ENDPOINT"),
+        (f(("node", "zz", "retract")), "E_UNKNOWN_FACT"),
+        (f(("edge", "e", "assert", json.dumps({"src": "b", "dst": "b"}))), "E_CONFLICT"),
+        (f(("node", "a", "assert", "1"), ("node", "a", "assert", "2")), "E_CONFLICT"),
+        (f(("node", "a", "drop")), "E_OP"),
+        (f(("node", "a", "retract"), ("edge", "y", "assert", AB)), "E_DEPENDENT_FACT")
+    ):
         with pytest.raises(EngineError, match=code):
             st.write(bad)
     with pytest.raises(EngineError, match="E_STALE_HEAD"):
@@ -297,7 +336,9 @@ def test_batches_are_seen_together_and_a_snapshot_replaces(spark, tmp_path):
 
 def test_import_writes_only_what_differs(spark, tmp_path):
     st = facts.FactStore(spark, str(tmp_path / "store"))
-    rows = [("node", f"n{i}", "1") for i in range(40)] + [("edge", f"e{i}", json.dumps({"src": f"n{i}", "dst": f"n{i + 1}"})) for i in range(39)]
+    rows = [("node", f"n{i}", "1") for i in range(40)] + [(
+        "edge", f"e{i}", json.dumps({"src": f"n{i}", "dst": f"n{i + 1}"})
+    ) for i in range(39)]
     wanted = lambda rs: spark.createDataFrame(rs, "kind string, id string, content string")
     first = facts.imported(st, wanted([*rows, rows[0]]), chunk=25)
     assert (first["assert"], first["correct"], first["unchanged"]) == (79, 0, 0) and first["commits"] > 2 and st.state().count() == 79
@@ -308,7 +349,13 @@ def test_import_writes_only_what_differs(spark, tmp_path):
 
 def test_facts_are_selected_by_their_keys(spark):
     cols = "kind string, id string, entity string, subject string, object string, predicate string, valid_from long, valid_to long, recorded_at_ms long"
-    df = spark.createDataFrame([("node", "a", "E", None, None, None, None, None, 1), ("edge", "e", None, "a", "b", "p", 0, 5, 2), ("edge", "f", None, "b", "a", "q", 3, None, 3), ("space", "s", None, None, None, None, None, None, 4)], cols)
+    df = spark.createDataFrame(
+        [
+            ("node", "a", "E", None, None, None, None, None, 1), ("edge", "e", None, "a", "b", "p", 0, 5, 2),
+            ("edge", "f", None, "b", "a", "q", 3, None, 3), ("space", "s", None, None, None, None, None, None, 4)
+        ],
+        cols
+    )
     f = lambda **k: ids(facts.selected(df, **k))
     assert f() == ["a", "e", "f", "s"] and f(kind="edge", valid_at=5) == ["f"] and f(subject="a") == ["e"] and f(object_="a") == ["f"]
     assert f(recorded=(2, 4)) == ["e", "f"] and f(unanchored=True) == ["s"] and f(entity="E", predicate="p") == []
@@ -318,9 +365,22 @@ def test_programs(spark, small):
     cat = program.Catalog(spark, {"g": lambda at: small}, clauses=[["alice"]])
     b = program.build
     q = b["query"](graph_id="g")
-    out = program.run([program.bind("x", q), program.ask(b["expand"](input=b["reference"](name="x"), seeds=["a"], hops=2)), program.ask(b["diff"](before=b["filter"](input=q, predicate="q"), after=q))], cat)
+    out = program.run(
+        [
+            program.bind("x", q), program.ask(b["expand"](input=b["reference"](name="x"), seeds=["a"], hops=2)),
+            program.ask(b["diff"](before=b["filter"](input=q, predicate="q"), after=q))
+        ],
+        cat
+    )
     assert ids(out[0].nodes) == ["a", "b", "c"] and out[1].attachments.count() > 0
-    for text, code in (('{"version":1,"commands":[],"x":1}', "E_FIELD"), ('{"version":2,"commands":[]}', "E_VERSION"), ('{"version":1,"version":1,"commands":[]}', "E_DUPLICATE_KEY"), ('{"version":1,"commands":[{"kind":"drop"}]}', "E_COMMAND"), ('{"version":1,"commands":[{"kind":"evaluate","expression":{"kind":"query"}}]}', "E_FIELD"), ('{"version":1,"commands":[{"kind":"evaluate","expression":{"kind":"query","graph_id":NaN}}]}', "E_NUMBER"), ("{", "E_JSON")):
+    for text, code in (
+        ('{"version":1,"commands":[],"x":1}', "E_FIELD"), ('{"version":2,"commands":[]}', "E_VERSION"),
+        ('{"version":1,"version":1,"commands":[]}', "E_DUPLICATE_KEY"),
+        ('{"version":1,"commands":[{"kind":"drop"}]}', "E_COMMAND"),
+        ('{"version":1,"commands":[{"kind":"evaluate","expression":{"kind":"query"}}]}', "E_FIELD"),
+        ('{"version":1,"commands":[{"kind":"evaluate","expression":{"kind":"query","graph_id":NaN}}]}', "E_NUMBER"),
+        ("{", "E_JSON")
+    ):
         with pytest.raises(EngineError, match=code):
             program.run(text, cat)
     with pytest.raises(EngineError, match="E_BUDGET"):
@@ -336,20 +396,32 @@ def test_programs_nest_and_mount(spark, small):
     inner = b["join"](left=p, right=p, output_predicate="pp")
     outer = b["join"](left=inner, right=b["filter"](input=q, predicate="q"), output_predicate="ppq")
     rule = [{"head": {"predicate": "r", "from": "?x", "to": "?y"}, "body": [{"predicate": "pp", "from": "?x", "to": "?y"}]}]
-    asked = [outer, b["reason"](input=inner, rules=rule), b["sequence"](left=p, right=p, relation="overlaps", window=[0, 100]), b["support"](input=b["query_mount"](mount="m"), predicate="p", valid_at=4), b["cluster"](input=q, predicate="p", levels=1, valid_at=6), b["typed_context"](input=q, selection="x", definition={"n": {"type": "integer"}}), b["expand"](input=b["union"](left=inner, right=q), seeds=["a"], hops=1)]
+    asked = [
+        outer, b["reason"](input=inner, rules=rule),
+        b["sequence"](left=p, right=p, relation="overlaps", window=[0, 100]),
+        b["support"](input=b["query_mount"](mount="m"), predicate="p", valid_at=4),
+        b["cluster"](input=q, predicate="p", levels=1, valid_at=6),
+        b["typed_context"](input=q, selection="x", definition={"n": {"type": "integer"}}),
+        b["expand"](input=b["union"](left=inner, right=q), seeds=["a"], hops=1)
+    ]
     got = program.run([program.ask(x) for x in asked], cat)
     entity = {r["id"]: r["entity_id"] for r in got[0].nodes.collect()}
     # a-b [0,10) and b-c [5,20) give a-c [5,10), which then meets c-d
     assert [(entity[r["src"]], entity[r["dst"]], r["valid_start"], r["valid_end"]) for r in got[0].edges.collect()] == [("a", "d", 5, 10)]
     assert {r["predicate"] for r in got[1].edges.collect()} == {"pp", "r"}
-    assert got[2].edges.count() == 2 * temporal.sequence(*(small.with_(edges=small.edges.where("predicate = 'p'")),) * 2, "overlaps", (0, 100)).select("left_id", "right_id").distinct().count()
+    assert got[2].edges.count() == 2 * temporal.sequence(
+        *(small.with_(edges=small.edges.where("predicate = 'p'")),) * 2, "overlaps", (0, 100)
+    ).select("left_id", "right_id").distinct().count()
     states = {r["value"] for r in got[3].attachments.collect()}
     assert states == {"conflicted", "supported", "unknown"} and got[3].edges.count() == small.edges.where("predicate = 'p' AND valid_start <= 4 AND (valid_end IS NULL OR valid_end > 4)").count()
     assert got[4].coverage == "partial" and got[4].edges.where("predicate = 'cluster:member'").count() > 0
     assert ids(got[5].edges) == ["7"] and set(ids(got[6].edges)) >= {"1", "4", "6"}
     with pytest.raises(EngineError, match="E_CONTEXT"):
         program.run([program.ask(b["union"](left=b["context"](input=q, selection="x"), right=q))], cat)
-    for bad, code in ((b["query_mount"](mount="none"), "E_MOUNT"), (b["typed_context"](input=q, selection="x", definition={"k": {"type": "string"}}), "E_CONTEXT_TYPE")):
+    for bad, code in (
+        (b["query_mount"](mount="none"), "E_MOUNT"),
+        (b["typed_context"](input=q, selection="x", definition={"k": {"type": "string"}}), "E_CONTEXT_TYPE")
+    ):
         with pytest.raises(EngineError, match=code):
             program.run([program.ask(bad)], cat)
 
@@ -361,7 +433,10 @@ def test_union_by_origin_and_identity(spark, small):
     assert ids(algebra.union(a, b).nodes) == ["1", "2", "3"]
     assert {(r["id"], r["membership"]) for r in algebra.diff(a, b).collect()} == {("1", "kept"), ("2", "kept"), ("3", "added")}
     nodes = [("p", "E", "phys"), ("d", "E", "digi"), ("z", "F", "digi")]
-    g = Graph(spark.createDataFrame([(i, en, sp, "t", None, None, []) for i, en, sp in nodes], NODE), spark.createDataFrame([edge("1", "same", "p", "d")], EDGE))
+    g = Graph(
+        spark.createDataFrame([(i, en, sp, "t", None, None, []) for i, en, sp in nodes], NODE),
+        spark.createDataFrame([edge("1", "same", "p", "d")], EDGE)
+    )
     assert ids(algebra.counterparts(g, "E", "phys", "digi", 1).nodes) == ["d", "p"]
     wrong = g.with_(edges=g.edges.unionAll(spark.createDataFrame([edge("2", "same", "p", "z")], EDGE)))
     with pytest.raises(EngineError, match="E_IDENTITY"):
@@ -406,7 +481,9 @@ def test_forks_proposals_and_exports(spark, tmp_path):
     other = facts.FactStore(spark, str(tmp_path / "other"))
     other.import_export(str(tmp_path / "out"), "copy")
     assert told["n"] == 4 and {r["id"] for r in other.state(graph="copy").collect()} == set("abcd")
-    spark.createDataFrame([("node", "z", "1")], "kind string, id string, content string").write.mode("append").parquet(str(tmp_path / "out" / "facts"))
+    spark.createDataFrame(
+        [("node", "z", "1")], "kind string, id string, content string"
+    ).write.mode("append").parquet(str(tmp_path / "out" / "facts"))
     with pytest.raises(EngineError, match="E_CAPSULE"):
         other.import_export(str(tmp_path / "out"), "again")
     with pytest.raises(EngineError, match="E_GRAPH"):
@@ -418,14 +495,18 @@ def test_views_and_experiments(spark, tmp_path, small):
     from chronolith.streaming.views import Views
 
     v = Views(spark, str(tmp_path / "views"))
-    plan = lambda tick: small.edges.where(algebra.edge_filter("p", valid_at=tick)).select("id", F.concat("dst", F.lit(tick % 2)).alias("content"))
+    plan = lambda tick: small.edges.where(algebra.edge_filter("p", valid_at=tick)).select(
+        "id", F.concat("dst", F.lit(tick % 2)).alias("content")
+    )
     v.register("ps", plan, ["g"])
     with pytest.raises(EngineError, match="E_VIEW_STALE"):
         v.current("ps", 4, {"g": 1})
     assert v.drain([("other", 1)], 4, {"g": 1}) == [] and v.drain([("g", 1)], 4, {"g": 1}) == ["ps"] and v.drain([("g", 1)], 4, {"g": 1}) == []
     assert ids(v.current("ps", 4, {"g": 1})) == ["1", "4", "5", "6", "7"]
     assert v.refresh("ps", 9, {"g": 2}) == 2
-    assert {tuple(r) for r in v.changes("ps").collect()} == {("2", "added"), ("6", "removed"), ("7", "removed"), ("1", "changed"), ("4", "changed"), ("5", "changed")}
+    assert {tuple(r) for r in v.changes("ps").collect()} == {
+        ("2", "added"), ("6", "removed"), ("7", "removed"), ("1", "changed"), ("4", "changed"), ("5", "changed")
+    }
     with pytest.raises(EngineError, match="E_CLOCK"):
         v.refresh("ps", 8, {"g": 2})
     with pytest.raises(EngineError, match="E_VIEW"):
@@ -444,7 +525,10 @@ def test_views_and_experiments(spark, tmp_path, small):
 def test_vector_properties_and_generator(spark):
     from chronolith.functions.splitmix import splitmix64, unit_interval
 
-    rows = [("a", "E", "s", [3e200, 0.0]), ("b", "E", "s", [1e200, 1e200]), ("c", "E", "t", [1.0, 0.0]), ("d", "E", "s", None), ("e", "E", "s", [0.0, -2.0])]
+    rows = [
+        ("a", "E", "s", [3e200, 0.0]), ("b", "E", "s", [1e200, 1e200]), ("c", "E", "t", [1.0, 0.0]),
+        ("d", "E", "s", None), ("e", "E", "s", [0.0, -2.0])
+    ]
     n = spark.createDataFrame(rows, "id string, entity_id string, space_id string, v array<double>")
     near = lambda m, q, df=n: [(r["id"], round(r["distance"], 9)) for r in vectors.nearest_vectors(df, q, 5, "s", m, "v").collect()]
     assert near(vectors.COSINE, [2.0, 0.0]) == [("a", 0.0), ("b", round(1 - 0.5**0.5, 9)), ("e", 1.0)]
@@ -453,15 +537,23 @@ def test_vector_properties_and_generator(spark):
         wrong = n.unionAll(spark.createDataFrame([("z", "E", "s", bad)], n.schema))
         with pytest.raises(Exception, match="E_VECTOR"):
             near(vectors.COSINE, [1.0, 0.0], wrong)
-    g = spark.createDataFrame([("a", [1.0, 2.0], None, None, []), ("b", None, None, None, [])], "id string, v array<double>, valid_start long, valid_end long, readers array<string>")
+    g = spark.createDataFrame(
+        [("a", [1.0, 2.0], None, None, []), ("b", None, None, None, [])],
+        "id string, v array<double>, valid_start long, valid_end long, readers array<string>"
+    )
     assert [tuple(r)[:3] for r in vectors.embedding_facts(g, "v", 2).collect()] == [("embedding:a", "a", [1.0, 2.0])]
     # the first numbers of seed 0, as published with the generator
     got = [r[0] for r in spark.range(3).select(splitmix64(F.col("id"), 0)).collect()]
     assert [x % 2**64 for x in got] == [0xE220A8397B1DCDAF, 0x6E789E6AA1B965F4, 0x06C45D188009454F]
     assert spark.range(200).select(unit_interval(splitmix64(F.col("id"), 7)).alias("u")).where("u < 0 OR u >= 1").count() == 0
-    e = spark.createDataFrame([(i, [float(i % 5), 1.0], f"s{i % 3}", i, i + 4) for i in range(20)], "id long, vector array<double>, who string, valid_start long, valid_end long")
+    e = spark.createDataFrame(
+        [(i, [float(i % 5), 1.0], f"s{i % 3}", i, i + 4) for i in range(20)],
+        "id long, vector array<double>, who string, valid_start long, valid_end long"
+    )
     hit = vectors.nearest(e, None, 3, of=6, subject="who", valid_at=8).collect()
-    assert [r["id"] for r in hit] == sorted((i for i in range(5, 9) if i % 3), key=lambda i: (1 - (i % 5 * 1 + 1) / ((i % 5) ** 2 + 1) ** 0.5 / 2**0.5, i))[:3]
+    assert [r["id"] for r in hit] == sorted(
+        (i for i in range(5, 9) if i % 3), key=lambda i: (1 - (i % 5 * 1 + 1) / ((i % 5) ** 2 + 1) ** 0.5 / 2**0.5, i)
+    )[:3]
     with pytest.raises(EngineError, match="E_EMBEDDING"):
         vectors.nearest(e, None, 3, of=99)
 
@@ -473,8 +565,14 @@ def test_updates_are_read_strictly(spark, tmp_path):
 
     row = "struct<work_order:string,kind:string>"
     schema = StructType.fromDDL(f"seq long, kind string, tables struct<maintenance:array<{row}>,parts:array<{row}>>")
-    good = [{"seq": 1, "kind": "maintenance", "tables": {"maintenance": [{"work_order": "W1"}]}}, {"seq": 2, "tables": {"parts": None}}, {"seq": 3}]
-    bad = [{"seq": 1, "new": 1}, {"seq": 1, "tables": {"other": []}}, {"seq": 1, "tables": {"maintenance": [{"work_order": "W", "x": 1}]}}, [1]]
+    good = [
+        {"seq": 1, "kind": "maintenance", "tables": {"maintenance": [{"work_order": "W1"}]}},
+        {"seq": 2, "tables": {"parts": None}}, {"seq": 3}
+    ]
+    bad = [
+        {"seq": 1, "new": 1}, {"seq": 1, "tables": {"other": []}},
+        {"seq": 1, "tables": {"maintenance": [{"work_order": "W", "x": 1}]}}, [1]
+    ]
     (tmp_path / "ok.jsonl").write_text("\n".join(map(json.dumps, good)) + "\n\n")
     got = read_updates(spark, str(tmp_path / "ok.jsonl"), schema).orderBy("seq").collect()
     assert [r["seq"] for r in got] == [1, 2, 3] and got[0]["tables"]["maintenance"][0]["work_order"] == "W1"
@@ -523,14 +621,20 @@ def test_hidden_records_change_nothing(spark, small):
     """Two worlds that differ only in what alice may not read give her the same answers."""
     more = small.with_(
         nodes=small.nodes.unionAll(spark.createDataFrame([("z", "z", "s", "t", None, None, ["bob"])], NODE)),
-        edges=small.edges.unionAll(spark.createDataFrame([edge("90", "p", "a", "z"), edge("91", "q", "a", "c", readers=["bob"]), edge("92", "p", "z", "b")], EDGE)),
+        edges=small.edges.unionAll(spark.createDataFrame(
+            [edge("90", "p", "a", "z"), edge("91", "q", "a", "c", readers=["bob"]), edge("92", "p", "z", "b")], EDGE
+        )),
     )
     seeds = spark.createDataFrame([("a",), ("z",)], "id string")
 
     def answers(w):
         g = access.visible(w, [["alice"]])
         n, e, lost = traverse.expand(g, seeds, 3, "both")
-        all_ = [algebra.query(g, valid_at=4).nodes.select("id"), temporal.path_join(g, g, "o"), algebra.support(g.edges, ["src", "dst"], 4), traverse.degree(g), release.describe(g), n, e.select("id"), temporal.window(g, 1, 6).edges.select("id")]
+        all_ = [
+            algebra.query(g, valid_at=4).nodes.select("id"), temporal.path_join(g, g, "o"),
+            algebra.support(g.edges, ["src", "dst"], 4), traverse.degree(g), release.describe(g), n, e.select("id"),
+            temporal.window(g, 1, 6).edges.select("id")
+        ]
         return [sorted(map(str, map(tuple, x.collect()))) for x in all_], lost
 
     assert answers(small) == answers(more)
@@ -539,11 +643,20 @@ def test_hidden_records_change_nothing(spark, small):
 
 
 def test_exact_decimals(spark):
-    cases = [("0.1", "0.2"), ("1", "3"), ("123456789012345678", "0.1"), ("2.5", "0"), ("2", "0.1234567891"), ("0.0000000003", "3"), ("1", "0.125"), ("-1", "0.298023223876953125"), ("0", "7"), (None, "1"), ("1000000000", "1000000000"), ("-0.5", "-8")]
-    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string").select("i", *(F.col(c).cast("decimal(38,18)").alias(c) for c in "ab"))
+    cases = [
+        ("0.1", "0.2"), ("1", "3"), ("123456789012345678", "0.1"), ("2.5", "0"), ("2", "0.1234567891"),
+        ("0.0000000003", "3"), ("1", "0.125"), ("-1", "0.298023223876953125"), ("0", "7"), (None, "1"),
+        ("1000000000", "1000000000"), ("-0.5", "-8")
+    ]
+    df = spark.createDataFrame(
+        [(i, *c) for i, c in enumerate(cases)], "i int, a string, b string"
+    ).select("i", *(F.col(c).cast("decimal(38,18)").alias(c) for c in "ab"))
     rnd = random.Random(1)
     value = lambda: Decimal(rnd.choice([1, -1]) * rnd.randrange(10 ** rnd.choice([1, 3, 6, 9]))).scaleb(-rnd.randrange(12))
-    more = [(i + 100, value(), rnd.choice([value(), Decimal(5 ** rnd.randrange(20)).scaleb(-rnd.randrange(9)), Decimal(2 ** rnd.randrange(25))])) for i in range(150)]
+    more = [(
+        i + 100, value(),
+        rnd.choice([value(), Decimal(5 ** rnd.randrange(20)).scaleb(-rnd.randrange(9)), Decimal(2 ** rnd.randrange(25))])
+    ) for i in range(150)]
     df = df.unionAll(spark.createDataFrame(more, "i int, a decimal(38,18), b decimal(38,18)"))
     a, b = F.col("a"), F.col("b")
 
@@ -553,7 +666,10 @@ def test_exact_decimals(spark):
 
     with localcontext() as c:
         c.prec = 250
-        for r in df.select("a", "b", exact.add(a, b).alias("plus"), exact.sub(a, b).alias("minus"), exact.mul(a, b).alias("times"), exact.div(a, b).alias("by")).collect():
+        for r in df.select(
+            "a", "b", exact.add(a, b).alias("plus"), exact.sub(a, b).alias("minus"), exact.mul(a, b).alias("times"),
+            exact.div(a, b).alias("by")
+        ).collect():
             x, y = r["a"], r["b"]
             want = (None,) * 4 if x is None else (fits(x + y), fits(x - y), fits(x * y), fits(x / y) if y and x / y * y == x else None)
             assert (r["plus"], r["minus"], r["times"], r["by"]) == want, r
@@ -563,13 +679,21 @@ def test_carriers_contexts_and_views(spark):
     d = spark.createDataFrame([([["b", "a"], ["a", "b"], ["a"]], [["c"]])], "x array<array<string>>, y array<array<string>>")
     r = d.select(release.canonical(F.col("x")).alias("c"), release.conjunction(F.col("x"), F.col("y")).alias("k")).first()
     assert r["c"] == [["a"]] and r["k"] == [["a", "c"]]
-    dec = spark.createDataFrame([("v", 1, 10, "r1", True), ("v", 2, 20, "r2", False), ("v", 3, 30, "r3", True)], "view string, decision_id int, decided_at long, revision string, accepted boolean")
+    dec = spark.createDataFrame(
+        [("v", 1, 10, "r1", True), ("v", 2, 20, "r2", False), ("v", 3, 30, "r3", True)],
+        "view string, decision_id int, decided_at long, revision string, accepted boolean"
+    )
     assert accepted.accepted_at(dec, ["view"]).first()["revision"] == "r3" and accepted.accepted_at(dec, ["view"], 25).first()["revision"] == "r1"
     assert [r["revision"] for r in accepted.accepted_range(dec, ["view"], 15, 40).orderBy("decided_at").collect()] == ["r1", "r3"]
-    ctx = spark.createDataFrame([("c1", {"n": "5"}), ("c2", {"n": "x"}), ("c3", {"q": "1", "n": "2"}), ("c4", {})], "context string, axes map<string,string>")
+    ctx = spark.createDataFrame(
+        [("c1", {"n": "5"}), ("c2", {"n": "x"}), ("c3", {"q": "1", "n": "2"}), ("c4", {})],
+        "context string, axes map<string,string>"
+    )
     assert [r[0] for r in accepted.typed_context(ctx, {"n": {"type": "integer", "required": True}}).select("context").collect()] == ["c1"]
     h = spark.createDataFrame([("g", "main", 4)], "graph_id string, branch_id string, seq long")
-    assert accepted.current_view({"tick": 1, "coverage": "complete", "inputs": {("g", "main"): 4}}, 1, h) and not accepted.current_view({"tick": 1, "coverage": "complete", "inputs": {("g", "main"): 3}}, 1, h)
+    assert accepted.current_view(
+        {"tick": 1, "coverage": "complete", "inputs": {("g", "main"): 4}}, 1, h
+    ) and not accepted.current_view({"tick": 1, "coverage": "complete", "inputs": {("g", "main"): 3}}, 1, h)
     with pytest.raises(EngineError, match="E_CLOCK"):
         accepted.next_tick(5, 4)
 
@@ -618,7 +742,10 @@ def test_feed_is_read_to_its_end(spark):
 
 
 def test_recorded_history_has_the_start_state(spark):
-    h = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 10), ("b", 1, 3), ("c", 1, 10), ("c", 2, 20), ("d", 7, 9), ("d", 8, 9)], "branch string, seq long, recorded_at_ms long")
+    h = spark.createDataFrame(
+        [("a", 1, 5), ("a", 2, 9), ("a", 3, 10), ("b", 1, 3), ("c", 1, 10), ("c", 2, 20), ("d", 7, 9), ("d", 8, 9)],
+        "branch string, seq long, recorded_at_ms long"
+    )
     got = {tuple(r) for r in facts.recorded_history(h, ["branch"], 10, 20).collect()}
     assert got == {("a", 2, 9, True), ("b", 1, 3, True), ("d", 8, 9, True), ("a", 3, 10, False), ("c", 1, 10, False)}
 
@@ -627,14 +754,27 @@ def test_knn_ranks_only_what_may_be_paired(spark):
     rnd = np.random.default_rng(5)
     m = rnd.integers(-9, 9, (80, 4))
     m[~m.any(axis=1)] = 1
-    rows = [(i, [float(x) for x in v], None if i % 13 == 0 else f"s{i % 6}", None if i % 17 == 0 else i % 10 * 10, None if i % 5 == 0 else i % 10 * 10 + 25) for i, v in enumerate(m)]
+    rows = [
+        (
+            i, [float(x) for x in v], None if i % 13 == 0 else f"s{i % 6}", None if i % 17 == 0 else i % 10 * 10,
+            None if i % 5 == 0 else i % 10 * 10 + 25
+        ) for i,
+        v in enumerate(m)
+    ]
     df = spark.createDataFrame(rows, "id long, vector array<float>, who string, vs long, ve long").repartition(4)
     got = {}
-    for r in vectors.knn(df.where("id >= 20"), df.where("id % 4 = 0"), 3, vectors.EUCLIDEAN, block=7, subject="who", valid=("vs", "ve")).collect():
+    for r in vectors.knn(
+        df.where("id >= 20"), df.where("id % 4 = 0"), 3, vectors.EUCLIDEAN, block=7, subject="who", valid=("vs", "ve")
+    ).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
     far = 10**9
     for i, _, who, vs, ve in rows[::4]:
-        ok = [j for j, _, w, s, e in rows[20:] if j != i and (w is None or w != who) and None not in (vs, s) and max(vs, s) < min(far if ve is None else ve, far if e is None else e)]
+        ok = [
+            j for j, _, w, s,
+            e in rows[20:] if j != i and (w is None or w != who) and None not in (vs, s) and max(vs, s) < min(
+                far if ve is None else ve, far if e is None else e
+            )
+        ]
         want = sorted(ok, key=lambda j: (((m[j] - m[i]) ** 2).sum(), j))[:3]
         assert [j for _, j in sorted(got.get(i, []))] == want
     assert len(got) > 15

@@ -36,14 +36,19 @@ def test_holding_takes_the_latest_and_is_independent_of_order(spark):
     data = [("a", 1, day(1)), ("a", 2, day(3)), ("a", 3, day(2)), ("b", 5, None), ("b", 4, None), (None, 1, day(1)), ("a", 2, day(3))]
     for _ in range(2):
         random.shuffle(data)
-        got = holding(spark.createDataFrame(data, "k string, v int, recorded_at timestamp_ntz"), "k", "recorded_at", ["k", "v", "recorded_at"])
+        got = holding(
+            spark.createDataFrame(data, "k string, v int, recorded_at timestamp_ntz"), "k", "recorded_at",
+            ["k", "v", "recorded_at"]
+        )
         assert [(r["k"], r["v"]) for r in got.orderBy("k").collect()] == [("a", 2), ("b", 5)]
 
 
 def test_running_sums_and_successor_across_blocks(spark):
     data = sorted({(random.choice("ab"), random.randrange(-50, 200)) for _ in range(150)})
     df = spark.createDataFrame(data, "k string, o long").withColumn("one", F.lit(1))
-    got = {(r["k"], r["o"]): (r["n"], r["nx"]) for r in successor(running_sums(df, ["k"], "o", {"n": "one"}, block=7), ["k"], "o", "nx", block=11).collect()}
+    got = {(r["k"], r["o"]): (r["n"], r["nx"]) for r in successor(
+        running_sums(df, ["k"], "o", {"n": "one"}, block=7), ["k"], "o", "nx", block=11
+    ).collect()}
     for k in "ab":
         os = [o for x, o in data if x == k]
         for i, o in enumerate(os):
@@ -51,7 +56,13 @@ def test_running_sums_and_successor_across_blocks(spark):
 
 
 def test_times_as_text(spark):
-    cases = {"1700000000123": 1700000000123, "2024-02-29": 1709164800000, "2023-02-29": None, "2024-01-01T00:00:00Z": 1704067200000, "2024-01-01 01:00:00+01:00": 1704067200000, "2024-01-01T00:00:00": 1704067200000, " 2024-01-01T00:00:00.5z": 1704067200500, "2023-12-31T19:00:00-0500": 1704067200000, "yesterday": None, "": None, None: None, "24/07": None, "2024-13-45T00:00:00Z": None}
+    cases = {
+        "1700000000123": 1700000000123, "2024-02-29": 1709164800000, "2023-02-29": None,
+        "2024-01-01T00:00:00Z": 1704067200000, "2024-01-01 01:00:00+01:00": 1704067200000,
+        "2024-01-01T00:00:00": 1704067200000, " 2024-01-01T00:00:00.5z": 1704067200500,
+        "2023-12-31T19:00:00-0500": 1704067200000, "yesterday": None, "": None, None: None, "24/07": None,
+        "2024-13-45T00:00:00Z": None
+    }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text_millis("t").alias("m"))
     assert {r["t"]: r["m"] for r in df.collect()} == cases
 
@@ -74,10 +85,17 @@ def brute_orphans(parents, children):
 
 def test_orphans_against_brute_force_with_a_hot_key(spark):
     rnd = random.Random(3)
-    parents = [(rnd.choice("ABCD"), day(rnd.randrange(60)), rnd.choice([None, day(rnd.randrange(70))])) for _ in range(25)] + [("E", None, None)]
-    children = [(f"c{i}", "A" if rnd.random() < 0.5 else rnd.choice(["B", "C", "D", "E", "Z", None]), rnd.choice([day(rnd.randrange(80)), day(rnd.randrange(80)), None])) for i in range(200)]
+    parents = [(
+        rnd.choice("ABCD"), day(rnd.randrange(60)), rnd.choice([None, day(rnd.randrange(70))])
+    ) for _ in range(25)] + [("E", None, None)]
+    children = [(
+        f"c{i}", "A" if rnd.random() < 0.5 else rnd.choice(["B", "C", "D", "E", "Z", None]),
+        rnd.choice([day(rnd.randrange(80)), day(rnd.randrange(80)), None])
+    ) for i in range(200)]
     p = spark.createDataFrame(parents, "key string, recorded_at timestamp_ntz, deleted_at timestamp_ntz").withColumn("at", F.lit(1))
-    c = spark.createDataFrame(children, "id string, ref string, recorded_at timestamp_ntz").withColumn("at", F.lit("clash")).withColumn("step", F.lit(9))
+    c = spark.createDataFrame(
+        children, "id string, ref string, recorded_at timestamp_ntz"
+    ).withColumn("at", F.lit("clash")).withColumn("step", F.lit(9))
     got = orphans.orphans([orphans.Parent("p", p, "key")], [orphans.Child("c", c, "id", "ref", "p")])
     assert rows(got.select("record_key", "ref_month", "reason")) == brute_orphans(parents, children)
     assert orphans.orphan_counts(got).agg(F.sum("n_rows")).first()[0] == got.count()
@@ -86,7 +104,9 @@ def test_orphans_against_brute_force_with_a_hot_key(spark):
 def test_orphans_of_empty_tables(spark):
     p = spark.createDataFrame([], "key string, recorded_at timestamp_ntz, deleted_at timestamp_ntz")
     c = spark.createDataFrame([("x", "A", day(1))], "id string, ref string, recorded_at timestamp_ntz")
-    f = lambda p, c: rows(orphans.orphans([orphans.Parent("p", p, "key")], [orphans.Child("c", c, "id", "ref", "p")]).select("reason"))
+    f = lambda p, c: rows(orphans.orphans(
+        [orphans.Parent("p", p, "key")], [orphans.Child("c", c, "id", "ref", "p")]
+    ).select("reason"))
     assert f(p, c) == [("missing",)] and f(p, c.limit(0)) == []
 
 
@@ -154,7 +174,9 @@ def brute_tree(links):
 
 
 def test_hierarchy_with_cycles_long_chains_and_a_hot_parent(spark):
-    links = [(f"n{i}", f"n{i - 1}") for i in range(1, 45)] + [(f"h{i}", "n3") for i in range(60)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("s", "s"), ("x", None), (None, "x"), ("n1", "n0"), ("h1", "n4")]
+    links = [(f"n{i}", f"n{i - 1}") for i in range(1, 45)] + [(f"h{i}", "n3") for i in range(60)] + [
+        ("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("s", "s"), ("x", None), (None, "x"), ("n1", "n0"), ("h1", "n4")
+    ]
     got = hierarchy.hierarchy(spark.createDataFrame(links, "child string, parent string"), levels_per_job=4, with_path=True)
     assert {r["child"]: (r["root"], r["depth"]) for r in got.collect()} == brute_tree(links)
     pairs = hierarchy.ancestor_pairs(got)
@@ -184,7 +206,9 @@ def test_hierarchy_of_nothing(spark):
 def test_dyadic_nodes_cover_exactly(spark):
     rnd = random.Random(1)
     cases = [(a, a + rnd.randrange(1, 60)) for a in (rnd.randrange(0, 200) for _ in range(40))]
-    iv = spark.createDataFrame(cases, "lo long, hi long").select("lo", "hi", F.explode(interval_nodes(F.col("lo"), F.col("hi"), 0, 8)).alias("n"))
+    iv = spark.createDataFrame(cases, "lo long, hi long").select(
+        "lo", "hi", F.explode(interval_nodes(F.col("lo"), F.col("hi"), 0, 8)).alias("n")
+    )
     pt = spark.range(0, 256).select("id", F.explode(point_nodes(F.col("id"), 0, 8)).alias("n"))
     hits = iv.join(pt, "n").groupBy("lo", "hi", "id").count().collect()
     assert all(r["count"] == 1 for r in hits)
@@ -194,16 +218,23 @@ def test_dyadic_nodes_cover_exactly(spark):
 def test_covering_nodes_are_met_once(spark):
     rnd = random.Random(2)
     cases = [(a, a + rnd.randrange(1, 120)) for a in (rnd.randrange(0, 200) for _ in range(60))]
-    iv = spark.createDataFrame(cases, "lo long, hi long").select("lo", "hi", F.explode(cover_nodes(F.col("lo"), F.col("hi"), (1, 3, 5, 8), 0, 8)).alias("n"))
+    iv = spark.createDataFrame(cases, "lo long, hi long").select(
+        "lo", "hi", F.explode(cover_nodes(F.col("lo"), F.col("hi"), (1, 3, 5, 8), 0, 8)).alias("n")
+    )
     pt = spark.range(0, 256).select("id", F.explode(step_nodes(F.col("id"), (1, 3, 5, 8), 0, 8)).alias("n"))
     hits = [tuple(r) for r in iv.distinct().join(pt, "n").select("lo", "hi", "id").collect()]
-    assert len(hits) == len(set(hits)) and {h for h in hits if h[0] <= h[2] < h[1]} == {(a, b, p) for a, b in cases for p in range(a, min(b, 256))}
+    assert len(hits) == len(set(hits)) and {h for h in hits if h[0] <= h[2] < h[1]} == {
+        (a, b, p) for a, b in cases for p in range(a, min(b, 256))
+    }
 
 
 def test_attributes_as_known_against_brute_force(spark):
     rnd = random.Random(7)
     U = 10**11
-    v = [(rnd.choice(["u1", "u1", "u2", None]), rnd.choice(["k1", "k2", "k3"]), rnd.choice([None, rnd.randrange(40) * U]), rnd.choice([None, rnd.randrange(60) * U]), rnd.randrange(50) * U, f"a{i}") for i in range(60)]
+    v = [(
+        rnd.choice(["u1", "u1", "u2", None]), rnd.choice(["k1", "k2", "k3"]), rnd.choice([None, rnd.randrange(40) * U]),
+        rnd.choice([None, rnd.randrange(60) * U]), rnd.randrange(50) * U, f"a{i}"
+    ) for i in range(60)]
     e = [(i, rnd.choice(["u1", "u2", None]), rnd.choice([None, rnd.randrange(70) * U + rnd.randrange(3) - 1])) for i in range(80)]
     want = set()
     for i, u, s in e:
@@ -241,7 +272,11 @@ def brute_periods(xs):
 
 def test_periods_and_gaps_against_brute_force(spark):
     rnd = random.Random(11)
-    xs = [("hot" if rnd.random() < 0.4 else rnd.choice(["a", "b", None]), rnd.choice([None] + [rnd.randrange(900) * 10**11] * 6), None if rnd.random() < 0.004 else rnd.randrange(900) * 10**11) for _ in range(700)]
+    xs = [(
+        "hot" if rnd.random() < 0.4 else rnd.choice(["a", "b", None]),
+        rnd.choice([None] + [rnd.randrange(900) * 10**11] * 6),
+        None if rnd.random() < 0.004 else rnd.randrange(900) * 10**11
+    ) for _ in range(700)]
     xs = [(k, s, e if s is None or e is None or rnd.random() < 0.1 else s + (e % (12 * 10**11))) for k, s, e in xs]
     xs += xs[:50] + [("t", 0, 10**12), ("t", 10**12, 2 * 10**12), ("t", 3 * 10**12, None)]
     df = spark.createDataFrame(xs, "entity string, s0 long, e0 long").withColumn("k", F.lit(1)).withColumn("n", F.lit(1))
@@ -255,14 +290,20 @@ def test_periods_and_gaps_against_brute_force(spark):
 def late_records():
     W, D = late.WEEK_MS, late.DAY_MS
     mon = late.WEEK_MS * 2800 + 4 * D  # a Monday
-    recs = [("a", mon, mon + 1), ("a", mon + 1, mon + W), ("a", mon + 2, mon + W + 21 * D), ("a", mon + 3, mon + W + 21 * D + 1), (None, mon, mon + 2 * W), ("b", None, mon), ("b", mon, None), ("a", mon + W - 1, mon + 60 * D)]
+    recs = [
+        ("a", mon, mon + 1), ("a", mon + 1, mon + W), ("a", mon + 2, mon + W + 21 * D),
+        ("a", mon + 3, mon + W + 21 * D + 1), (None, mon, mon + 2 * W), ("b", None, mon), ("b", mon, None),
+        ("a", mon + W - 1, mon + 60 * D)
+    ]
     return mon, recs
 
 
 def stream_of(spark, path, recs, files):
     """The records in so many files, a micro-batch each."""
     for i in range(files):
-        spark.createDataFrame(recs[i::files], "source string, at long, reported long").withColumn("h", F.lit(1.0)).coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame(
+            recs[i::files], "source string, at long, reported long"
+        ).withColumn("h", F.lit(1.0)).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema("source string, at long, reported long, h double").option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -276,7 +317,10 @@ def test_late_records_and_closings(spark, tmp_path):
     W, D = late.WEEK_MS, late.DAY_MS
     events = late.LateEvents(spark, str(tmp_path / "s"), "h")
     out = events.run(stream_of(spark, str(tmp_path / "in"), recs, 1))
-    assert sorted((r["source"], r["reported"] - mon, r["verdict"]) for r in out.collect()) == sorted([("a", 1, "on_time"), ("a", W, "corrects"), ("a", W + 21 * D, "corrects"), ("a", W + 21 * D + 1, "too_late"), ("", 2 * W, "corrects"), ("a", 60 * D, "too_late")])
+    assert sorted((r["source"], r["reported"] - mon, r["verdict"]) for r in out.collect()) == sorted([
+        ("a", 1, "on_time"), ("a", W, "corrects"), ("a", W + 21 * D, "corrects"), ("a", W + 21 * D + 1, "too_late"),
+        ("", 2 * W, "corrects"), ("a", 60 * D, "too_late")
+    ])
     # source a passes the bound at its own report; the nameless source has been silent for four weeks by then
     assert rows(events.closings()) == [(mon + W, mon + 2 * W + 28 * D, 2)]
     p = events.periods().first()
@@ -287,7 +331,9 @@ def test_late_records_in_any_order_of_arrival_and_in_two_runs(spark, tmp_path):
     rnd = random.Random(21)
     W, D = late.WEEK_MS, late.DAY_MS
     mon, few = late_records()
-    recs = few + [(rnd.choice(["a", "a", "b", "c", None]), at, at + rnd.randrange(0, 70 * D)) for at in (mon + rnd.randrange(6 * W) for _ in range(120))]
+    recs = few + [(
+        rnd.choice(["a", "a", "b", "c", None]), at, at + rnd.randrange(0, 70 * D)
+    ) for at in (mon + rnd.randrange(6 * W) for _ in range(120))]
     want = None
     for k in range(3):
         events = late.LateEvents(spark, str(tmp_path / f"s{k}"), "h")
@@ -341,7 +387,9 @@ def test_late_events_of_nothing(spark, tmp_path):
 
 
 def content_case(rnd, n_runs=12, n_recs=300):
-    runs = [("f", rnd.choice(["s", "t"]), a, a + rnd.randrange(0, 30), rnd.randrange(100)) for a in (rnd.randrange(0, 80) for _ in range(n_runs))] + [("f", None, 0, 9, 5), ("f", "s", None, 9, 5)]
+    runs = [(
+        "f", rnd.choice(["s", "t"]), a, a + rnd.randrange(0, 30), rnd.randrange(100)
+    ) for a in (rnd.randrange(0, 80) for _ in range(n_runs))] + [("f", None, 0, 9, 5), ("f", "s", None, 9, 5)]
     recs = [("f", rnd.choice(["s", "t", ""]), rnd.randrange(1, 90), rnd.randrange(100), rnd.randrange(3)) for _ in range(n_recs)]
     return runs, recs
 
@@ -358,7 +406,10 @@ def brute_unprocessed(runs, recs):
 
 
 def taken_up(spark, state, runs, recs):
-    df = spark.createDataFrame([(f, s, p, t, c * 7, c) for f, s, p, t, c in recs], "feed string, scope string, pos long, received long, h1 long, h2 long")
+    df = spark.createDataFrame(
+        [(f, s, p, t, c * 7, c) for f, s, p, t, c in recs],
+        "feed string, scope string, pos long, received long, h1 long, h2 long"
+    )
     rs = spark.createDataFrame(runs, "feed string, scope string, after_pos long, upto_pos long, started long")
     got = incremental.take_up(state, incremental.content_versions(df), rs, df.groupBy("feed", "scope").agg(F.max("pos").alias("top")))
     out = [tuple(r) for r in got.collect()]
@@ -376,7 +427,9 @@ def test_incremental_over_several_runs_with_changes_and_crashes(spark, tmp_path,
     held = rows(state().read())
     assert taken_up(spark, state(), runs, recs) == brute_unprocessed(runs, recs) and state().version() == 1
     # more runs and changed records; the run dies between write and swap and leaves what holds as it was
-    more_runs, more = [r[:4] + (r[4] + 100,) for r in content_case(rnd)[0][:5]], [(f, s, p, t + 100, c) for f, s, p, t, c in content_case(rnd)[1][:80]]
+    more_runs, more = [r[:4] + (r[4] + 100,) for r in content_case(rnd)[0][:5]], [
+        (f, s, p, t + 100, c) for f, s, p, t, c in content_case(rnd)[1][:80]
+    ]
     real = incremental.claim
 
     def dies(*_):
@@ -418,9 +471,13 @@ def test_incremental_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "feed string, scope string, pos long, received long, h1 long, h2 long")
     tops = df.groupBy("feed", "scope").agg(F.max("pos").alias("top"))
     assert incremental.take_up(none, incremental.content_versions(df), spark.createDataFrame(runs, incremental.RUN), tops).count() == 0
-    assert len(taken_up(spark, incremental.ContentState(spark, str(tmp_path / "other")), runs[:0] or runs[-2:], recs)) == len({r[:3] for r in recs})
+    assert len(taken_up(
+        spark, incremental.ContentState(spark, str(tmp_path / "other")), runs[:0] or runs[-2:], recs
+    )) == len({r[:3] for r in recs})
 
 
 def test_content_hash_tells_nulls_apart(spark):
-    df = spark.createDataFrame([("a", None, None), (None, "a", None), ("a", "", None), ("a", None, [1])], "x string, y string, z array<int>")
+    df = spark.createDataFrame(
+        [("a", None, None), (None, "a", None), ("a", "", None), ("a", None, [1])], "x string, y string, z array<int>"
+    )
     assert df.select(*incremental.content_hash(["x", "y", "z"], df)).distinct().count() == 4
