@@ -68,7 +68,10 @@ class Items:
         self.depth = max(map(len, self.words), default=1)
         # a run of L words with e edits keeps L - TRIPLE + 1 - TRIPLE e windows of TRIPLE words
         self.windows = [packed(w) for w in self.words]
-        self.intact = [min(L - TRIPLE + 1 - TRIPLE * int(slack * L + 1e-9) for L in range(int(n), len(w) + 1)) for n, w in zip(self.least, self.words)]
+        self.intact = [
+            min(L - TRIPLE + 1 - TRIPLE * int(slack * L + 1e-9) for L in range(int(n), len(w) + 1)) for n,
+            w in zip(self.least, self.words)
+        ]
 
     def numbers(self, text: str | None) -> list[int]:
         get = self.vocab.get
@@ -198,7 +201,10 @@ def longest_run(item: np.ndarray, doc: np.ndarray, least: int, slack: float, dia
     return (best[0], -best[2], -best[3]) if best else None
 
 
-def _followed(item: np.ndarray, text: np.ndarray, pad: int, a: np.ndarray, d: np.ndarray, off: np.ndarray, least: int, slack: float) -> tuple[int, int, int, int] | None:
+def _followed(
+    item: np.ndarray, text: np.ndarray, pad: int, a: np.ndarray, d: np.ndarray, off: np.ndarray, least: int,
+    slack: float
+) -> tuple[int, int, int, int] | None:
     """The longest run from the beginnings (place a in the item, diagonal d): words, and negated edits and places."""
     n, far, cols = len(item), 1 << 20, np.arange(len(off))
     best = None

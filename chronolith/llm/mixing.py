@@ -59,7 +59,10 @@ def source_key(col: Column | str) -> Column:
 def listed(targets: DataFrame) -> DataFrame:
     """(source_key, source, target_share, max_repeats), one row per source; shares of spellings of one source add up."""
     t = targets.where("source IS NOT NULL").groupBy(source_key("source").alias("source_key"))
-    return t.agg(F.min(F.trim("source")).alias("source"), F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"))
+    return t.agg(
+        F.min(F.trim("source")).alias("source"), F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"),
+        F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats")
+    )
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -76,7 +79,10 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     total = both.agg(F.sum("own_tokens").alias("total_tokens"))
     wanted = F.col("target_share") * F.col("total_tokens")
     # `total` is one row
-    return both.join(F.broadcast(total)).withColumn("rate", F.when(F.col("own_tokens") > 0, F.least(wanted / F.col("own_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)).withColumn("reachable", F.col("max_repeats") * F.col("own_tokens") >= wanted)
+    return both.join(F.broadcast(total)).withColumn(
+        "rate",
+        F.when(F.col("own_tokens") > 0, F.least(wanted / F.col("own_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    ).withColumn("reachable", F.col("max_repeats") * F.col("own_tokens") >= wanted)
 
 
 def copies(doc_id: Column, rate: Column, seed: int) -> Column:
@@ -102,7 +108,12 @@ def emitted(mixed: DataFrame) -> DataFrame:
 
 def shares(mixed_sizes: DataFrame, mixing: DataFrame) -> DataFrame:
     """Shares reached: mixed_sizes has (source, n_tokens, copies) of each document in the mix."""
-    got = mixed_sizes.groupBy(source_key("source").alias("source_key")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("got_tokens"), F.sum("copies").alias("n_copies"))
+    got = mixed_sizes.groupBy(source_key("source").alias("source_key")).agg(
+        F.sum(F.col("n_tokens") * F.col("copies")).alias("got_tokens"), F.sum("copies").alias("n_copies")
+    )
     x = mixing.join(got, "source_key", "left").na.fill(0, ["got_tokens", "n_copies"])
     total = x.agg(F.sum("got_tokens").alias("got_total"))
-    return x.join(F.broadcast(total)).select("source", "target_share", "max_repeats", "rate", "n_copies", "got_tokens", F.when(F.col("got_total") > 0, F.col("got_tokens") / F.col("got_total")).otherwise(0.0).alias("got_share"))
+    return x.join(F.broadcast(total)).select(
+        "source", "target_share", "max_repeats", "rate", "n_copies", "got_tokens",
+        F.when(F.col("got_total") > 0, F.col("got_tokens") / F.col("got_total")).otherwise(0.0).alias("got_share")
+    )

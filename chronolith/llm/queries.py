@@ -23,10 +23,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items: in how many pages, the longest run and the longest verbatim match, and where they stand (page and word places)."""
-    first = lambda what: F.max(F.struct(f"{what}_words", (-F.col("doc_id")).alias("doc_id"), f"{what}_item_at", f"{what}_page_at")).alias(what)
+    first = lambda what: F.max(F.struct(
+        f"{what}_words", (-F.col("doc_id")).alias("doc_id"), f"{what}_item_at", f"{what}_page_at"
+    )).alias(what)
     g = _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), first("run"), first("verbatim"))
-    place = lambda what: [(-F.col(f"{what}.doc_id")).alias(f"{what}_doc_id"), f"{what}.{what}_item_at", f"{what}.{what}_page_at"]
-    return g.select("item_id", "n_docs", F.col("run.run_words").alias("longest_run"), *place("run"), F.col("verbatim.verbatim_words").alias("longest_verbatim"), *place("verbatim"))
+    place = lambda what: [
+        (-F.col(f"{what}.doc_id")).alias(f"{what}_doc_id"), f"{what}.{what}_item_at", f"{what}.{what}_page_at"
+    ]
+    return g.select(
+        "item_id", "n_docs", F.col("run.run_words").alias("longest_run"), *place("run"),
+        F.col("verbatim.verbatim_words").alias("longest_verbatim"), *place("verbatim")
+    )
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +95,9 @@ def p10_held_out(spark: SparkSession, d: str) -> DataFrame:
     return reading.held_out(scored, table(spark, d, "graded_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_items, p8_clean, p9_found, p9_mix, p9_shares, p10_found, p10_profile, p10_fit, p10_held_out)}
+QUERIES = {f.__name__: f for f in (
+    p8_found, p8_items, p8_clean, p9_found, p9_mix, p9_shares, p10_found, p10_profile, p10_fit, p10_held_out
+)}
 
 #: p9_found holds for any measure of size (TESTDATA); the SQL takes characters.
 SQL = {

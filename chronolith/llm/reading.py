@@ -96,9 +96,14 @@ def boilerplate(documents: DataFrame, text: str = "text", share: float = LINE_SH
                 ls = set(_lines(t)) if t else ()
                 at.append([_hash(x) for x in ls])
                 context.append(_hash(max(ls, key=lambda x: (len(x), x))) if ls else None)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), pa.array(context, pa.int64())], names=["lines", "context"])
-
-    per = written(documents.select(text).where(f"{text} IS NOT NULL AND {text} <> ''").mapInArrow(hashed, "lines array<long>, context long"), "page-lines")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.list_(pa.int64())), pa.array(context, pa.int64())], names=["lines", "context"]
+            )
+
+    per = written(
+        documents.select(text).where(f"{text} IS NOT NULL AND {text} <> ''").mapInArrow(hashed, "lines array<long>, context long"),
+        "page-lines"
+    )
     least = max(5, share * per.count())
     frequent = per.select(F.explode("lines").alias("line")).groupBy("line").count().where(F.col("count") >= least).select("line")
     pairs = per.select(F.explode("lines").alias("line"), "context").join(frequent, "line").distinct()
@@ -138,7 +143,10 @@ class Languages:
         return self.labels[int(score.argmax())] == "en"
 
 
-def language_model(documents: DataFrame, boiler: np.ndarray, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", labelled: int = LABELLED) -> Languages:
+def language_model(
+    documents: DataFrame, boiler: np.ndarray, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+    labelled: int = LABELLED
+) -> Languages:
     """Fitted to the main texts of about ``labelled`` labelled pages, drawn by a hash of their id.
 
     A label is the first two letters of ``lang``; labels of fewer than 1 % of the
@@ -161,10 +169,15 @@ def language_model(documents: DataFrame, boiler: np.ndarray, doc_id: str = "doc_
                     pages[name] = pages.get(name, 0) + 1
         for name, total in sums.items():
             at = np.flatnonzero(total)
-            values = [pa.array([name] * (len(at) + 1)), pa.array([*at.tolist(), -1], pa.int32()), pa.array([*total[at].tolist(), float(pages[name])])]
+            values = [
+                pa.array([name] * (len(at) + 1)), pa.array([*at.tolist(), -1], pa.int32()),
+                pa.array([*total[at].tolist(), float(pages[name])])
+            ]
             yield pa.RecordBatch.from_arrays(values, names=["label", "triple", "n"])
 
-    sums = some.select("text", "label").mapInArrow(count, "label string, triple int, n double").groupBy("label", "triple").agg(F.sum("n").alias("n")).toArrow()
+    sums = some.select("text", "label").mapInArrow(
+        count, "label string, triple int, n double"
+    ).groupBy("label", "triple").agg(F.sum("n").alias("n")).toArrow()
     label_of, triple, n_of = np.array(sums.column(0).to_pylist(), object), sums.column(1).to_numpy(), sums.column(2).to_numpy()
     pages = dict(zip(label_of[triple < 0], n_of[triple < 0]))
     known = sorted(x for x, k in pages.items() if k >= 0.01 * sum(pages.values()))
@@ -195,7 +208,10 @@ def main_words(text: str | None, boiler: set[int], languages: Languages | None =
     return plain
 
 
-def prose(documents: DataFrame, boiler: np.ndarray, languages: Languages | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def prose(
+    documents: DataFrame, boiler: np.ndarray, languages: Languages | None = None, doc_id: str = "doc_id",
+    text: str = "text"
+) -> DataFrame:
     """(doc_id, occurrences, start): all words (hashes, in order) of each page of English prose and its mean word length."""
     shared = documents.sparkSession.sparkContext.broadcast((boiler, languages))
 

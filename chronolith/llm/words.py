@@ -115,7 +115,10 @@ def spellings(text: str) -> list[list[bytes]]:
         if len(base) != 1:
             continue
         low = token.lower()
-        forms = {"".join(c for c in unicodedata.normalize("NFKD", "".join(_PLAIN.get(x, x) for x in low)) if not unicodedata.combining(c)), "".join(_UMLAUT.get(x, _PLAIN.get(x, x)) for x in low)}
+        forms = {
+            "".join(c for c in unicodedata.normalize("NFKD", "".join(_PLAIN.get(x, x) for x in low)) if not unicodedata.combining(c)),
+            "".join(_UMLAUT.get(x, _PLAIN.get(x, x)) for x in low)
+        }
         more = [w[0] for f in sorted(forms) if len(w := words(f)) == 1 and w[0] != base[0]]
         if more:
             out.append([base[0], *more])

@@ -63,7 +63,9 @@ def test_leaks_against_brute_force(spark):
             quote = rnd.sample(quote, len(quote))
         docs.append((d, " ".join(body[:20] + quote + body[20:])))
     want = {(i, d) for i, w in items for d, t in docs if brute_run(w, t.split(), 0.1) >= np.ceil(0.4 * len(w) - 1e-9)}
-    df = spark.createDataFrame([*docs, (900, None), (901, "")], "doc_id long, text string").withColumn("item_id", F.lit("clash")).repartition(3)
+    df = spark.createDataFrame(
+        [*docs, (900, None), (901, "")], "doc_id long, text string"
+    ).withColumn("item_id", F.lit("clash")).repartition(3)
     got = leaks.leaked(df, [*((i, " ".join(w)) for i, w in items), (99, None), (98, "")], shard_chars=2000)
     found = {(r["item_id"], r["doc_id"]) for r in got.collect()}
     # a chain counts a gap as its longer side, never less than the edit distance: no false case, and none missed here
@@ -81,7 +83,10 @@ def test_a_passage_shared_by_many_items_is_found(spark):
     other = [(200 + i, text(30)) for i in range(15)]
     items = [*shared, *copied, *other]
     edited = passage[:9] + ["zzz"] + passage[10:]
-    docs = [(1, text(40) + passage + text(9)), (2, passage[::-1]), (3, text(5) + edited), (4, shared[7][1]), (5, passage[:6] + text(30)), (6, text(80))]
+    docs = [
+        (1, text(40) + passage + text(9)), (2, passage[::-1]), (3, text(5) + edited), (4, shared[7][1]),
+        (5, passage[:6] + text(30)), (6, text(80))
+    ]
     want = {(i, d) for i, w in items for d, t in docs if brute_run(w, t, 0.1) >= np.ceil(0.4 * len(w) - 1e-9)}
     df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
     found = [(r["item_id"], r["doc_id"]) for r in leaks.leaked(df, [(i, " ".join(w)) for i, w in items]).collect()]
@@ -140,7 +145,10 @@ def test_whole_run_is_told_with_its_places(spark):
     page = ["x"] * 7 + item[:30] + ["y"] + item[31:] + ["x"] * 3
     df = spark.createDataFrame([(1, " ".join(page))], "doc_id long, text string")
     r = leaks.leaked(df, [(3, " ".join(item))]).first().asDict()
-    assert r == {"item_id": 3, "doc_id": 1, "run_words": 50, "item_words": 50, "run_item_at": 0, "run_page_at": 7, "verbatim_words": 30, "verbatim_item_at": 0, "verbatim_page_at": 7}
+    assert r == {
+        "item_id": 3, "doc_id": 1, "run_words": 50, "item_words": 50, "run_item_at": 0, "run_page_at": 7,
+        "verbatim_words": 30, "verbatim_item_at": 0, "verbatim_page_at": 7
+    }
 
 
 def test_leak_in_a_very_long_text_and_a_short_item(spark):
@@ -151,9 +159,15 @@ def test_leak_in_a_very_long_text_and_a_short_item(spark):
 
 
 def test_mixing(spark):
-    docs = [(i, src, "some words here " * (1 + i % 3)) for i, src in enumerate(["A"] * 60 + [" a "] * 20 + ["b"] * 10 + ["c"] * 40 + [None] * 5 + ["other"] * 5)] + [(999, "A", None), (1000, "A", "")]
+    docs = [
+        (i, src, "some words here " * (1 + i % 3)) for i,
+        src in enumerate(["A"] * 60 + [" a "] * 20 + ["b"] * 10 + ["c"] * 40 + [None] * 5 + ["other"] * 5)
+    ] + [(999, "A", None), (1000, "A", "")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumn("rate", F.lit("clash"))
-    t = spark.createDataFrame([("a ", 0.2, 2), ("B", 0.5, 3), ("c", 0.2, 4), ("none", 0.1, 9), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    t = spark.createDataFrame(
+        [("a ", 0.2, 2), ("B", 0.5, 3), ("c", 0.2, 4), ("none", 0.1, 9), (None, 0.1, 1)],
+        "source string, target_share double, max_repeats int"
+    )
     sizes = mixing.token_counts(df, "text", ["doc_id", "source"])
     plan = mixing.plan(sizes, t)
     p = {r["source"]: r for r in plan.collect()}
@@ -203,9 +217,18 @@ def test_reading_levels_of_held_out_pages(spark):
     rnd = random.Random(9)
     ps = pages(rnd)
     ps[200] = (200, "hard", ps[200][2] + " " + " ".join(rnd.choice(EASY) for _ in range(40)))
-    bad = [(1000, "spare pump 317-A 360.39 EUR\n" * 30, "en"), (1001, "", "en"), (1002, None, "en"), (1003, "404 - not found", None), (1004, "Дом стоял у реки. " * 40, "en"), (1005, ps[0][2], "de"), (None, ps[1][2], "en")]
-    df = spark.createDataFrame([*labelled(rnd, ps), *bad], "doc_id long, text string, lang string").withColumn("level", F.lit("clash")).repartition(4)
-    graded = spark.createDataFrame([(i, f"r{k}", g if rnd.random() > 0.1 else "middle") for i, g, _ in ps[:60] for k in (1, 2)], "doc_id long, rater string, grade string").withColumn("grade", F.upper("grade"))
+    bad = [
+        (1000, "spare pump 317-A 360.39 EUR\n" * 30, "en"), (1001, "", "en"), (1002, None, "en"),
+        (1003, "404 - not found", None), (1004, "Дом стоял у реки. " * 40, "en"), (1005, ps[0][2], "de"),
+        (None, ps[1][2], "en")
+    ]
+    df = spark.createDataFrame(
+        [*labelled(rnd, ps), *bad], "doc_id long, text string, lang string"
+    ).withColumn("level", F.lit("clash")).repartition(4)
+    graded = spark.createDataFrame(
+        [(i, f"r{k}", g if rnd.random() > 0.1 else "middle") for i, g, _ in ps[:60] for k in (1, 2)],
+        "doc_id long, rater string, grade string"
+    ).withColumn("grade", F.upper("grade"))
     scored, scale = reading.scaled(df)
     got = {r["doc_id"]: r["band"] for r in reading.banded(scored, graded).collect()}
     held = [(got.get(i), b) for i, b, _ in ps[60:]]
@@ -328,7 +351,10 @@ def test_passages_in_other_scripts_are_found(spark):
     ru = "Зимой старая мельница стояла над рекой, и никто не помнил, когда её колесо повернулось в последний раз перед большим наводнением"
     ja = "春になると村の人々は古い橋を渡って市場へ出かけ新しい種と道具を買い求めた"
     wrong = [ru.encode().decode("cp1251", "replace"), ru.encode().decode("cp1252", "replace")]
-    docs = [(1, f"Home | News\n{ru}. Конец."), (2, f"前文。{ja}。"), *((3 + i, f"a b c\n{w}") for i, w in enumerate(wrong)), (9, "Зимой старая река")]
+    docs = [
+        (1, f"Home | News\n{ru}. Конец."), (2, f"前文。{ja}。"), *((3 + i, f"a b c\n{w}") for i, w in enumerate(wrong)),
+        (9, "Зимой старая река")
+    ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {tuple(r)[:2] for r in leaks.leaked(df, [(1, ru), (2, ja)]).collect()}
     assert {(1, 1), (2, 2), (1, 3)} <= got and not any(d == 9 for _, d in got)
