@@ -75,9 +75,9 @@ def project(g: Graph, node_ids: DataFrame | None = None, edge_ids: DataFrame | N
     for want, have in ((n, g.nodes), (e, g.edges)):
         if not want.join(have.select("id"), "id", "left_anti").isEmpty():
             raise EngineError("E_PROJECT_MEMBER", "an id is not in the graph")
-    edges = g.edges.join(e, "id", "left_semi")
-    keep = n.unionAll(endpoints(edges).withColumnRenamed("_n", "id")).distinct()
-    nodes = g.nodes.join(keep, "id", "left_semi")
+    edges = having(g.edges, "id", e)
+    keep = n.unionAll(endpoints(edges).withColumnRenamed("_n", "id"))
+    nodes = having(g.nodes, "id", keep)
     return g.with_(nodes=nodes, edges=edges, attachments=hosted(g.attachments, nodes, edges))
 
 

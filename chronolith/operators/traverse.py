@@ -86,11 +86,10 @@ def topology(g: Graph, valid_at: int | None = None) -> DataFrame:
 def degree(g: Graph, valid_at: int | None = None) -> DataFrame:
     """(id, in_degree, out_degree, degree) of all nodes; a loop counts once each way, isolated nodes 0."""
     e = topology(g, valid_at)
-    ends = e.select(
-        F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")
-    ).unionAll(e.select("dst", F.lit(1), F.lit(0))).unionAll(g.nodes.select("id", F.lit(0), F.lit(0)))
-    d = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    return d.join(g.nodes.select("id"), "id", "left_semi").withColumn("degree", F.col("in_degree") + F.col("out_degree"))
+    row = lambda df, col, i, o, n: df.select(F.col(col).alias("id"), F.lit(i).alias("i"), F.lit(o).alias("o"), F.lit(n).alias("n"))
+    ends = row(e, "src", 0, 1, 0).unionAll(row(e, "dst", 1, 0, 0)).unionAll(row(g.nodes, "id", 0, 0, 1))
+    d = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.max("n").alias("n"))
+    return d.where("n > 0").select("id", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -617,6 +617,20 @@ def test_shared_scratch_is_removed_and_required_on_a_cluster(spark):
         session.shared_dir(Far)
 
 
+def test_plans_read_each_table_a_few_times_only(spark):
+    """Of the star graph's 14 tables: what a plan scans before it is run, shared scans counted again."""
+    from chronolith.plans import graph_queries, problems
+
+    d = "/root/testdata/sf0.001"
+    for q, scans, exchanges in (
+        (graph_queries.query_visible, 28, 6), (graph_queries.query_valid_at, 49, 10), (graph_queries.diff_membership, 98, 20),
+        (graph_queries.degree, 21, 2), (graph_queries.project_members, 60, 20), (problems.p4_found, 6, 12), (problems.p5_found, 2, 4),
+    ):
+        plan = q(spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= scans, q.__name__
+        assert plan.count("Exchange hashpartitioning") <= exchanges, q.__name__
+
+
 def test_hidden_records_change_nothing(spark, small):
     """Two worlds that differ only in what alice may not read give her the same answers."""
     more = small.with_(
